@@ -17,6 +17,7 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -53,6 +54,7 @@ class ChunkEncoder:
     uneven = re.compile(r" (?=\s)| \Z")
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and forked workers must not share a thread pool
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -129,18 +131,26 @@ def best_pattern(sizes: np.ndarray, duals: np.ndarray, capacity: int) -> tuple[f
     return float(value[capacity]), pattern
 
 
-def pattern_plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
+def pattern_plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 1500, gap: float = 1e-3) -> list[tuple[np.ndarray, int]]:
     """(pattern, times) that cover the demand of each size exactly. `rounds` bounds the simplex steps of the
-    program, whose size does not follow the input; a program stopped early still packs everything."""
+    program, whose size does not follow the input; a program stopped early still packs everything. It also stops
+    when the pricing shows the optimum to be within `gap` (the value over its best pattern is a lower bound)."""
     m = len(sizes)
     if not m:
         return []
-    columns = np.diag(capacity // sizes).astype(float)
-    inverse = np.diag(1.0 / np.diag(columns))
-    use = inverse @ demand
+    columns = np.diag(capacity // sizes).astype(float)  # each size alone, and above half the capacity with its best complement
+    open_demand = demand.astype(float).copy()
+    for k in range(m - 1, -1, -1):  # largest first, and only while the complement's demand lasts, so the basis is feasible
+        times = open_demand[k] / columns[k, k]
+        other = int(np.searchsorted(sizes, capacity - sizes[k] * (capacity // sizes[k]), "right")) - 1
+        if 0 <= other < k and open_demand[other] >= times:
+            columns[other, k] += 1
+            open_demand[other] -= times
+    inverse = np.linalg.inv(columns)
+    use = np.maximum(inverse @ demand, 0)
     for step in range(rounds):
         value, pattern = best_pattern(sizes, inverse.sum(axis=0), capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + gap:
             break
         direction = inverse @ pattern
         able = direction > 1e-9

@@ -6,15 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import minhash
-from arborlake.llm.common import documents
+import corpus_pipeline
+from arborlake.llm import minhash, mixing, packing, pii, quality, urls
+from arborlake.llm.common import documents, remainder
+
+
+#: Fixed values of op6: verdict, host, path start.
+RULES: list[urls.Rule] = [
+    ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
+]
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), numerator=85)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder(5) != 0))
+    return quality.score(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "domain", "lang", "source", "epoch", "tokens", "taken")
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op3_mixing": op3_mixing,
+    "op6_urls": op6_urls,
+    "op7_packing": op7_packing,
+    "op9_pii": op9_pii,
+    "pipeline": corpus_pipeline.run,
     "op10_minhash": op10_minhash,
 }
 

@@ -4,8 +4,8 @@ Urls that a rule decides are the labels. Each path is cut into segments; segment
 (numbers, long hexadecimal or mixed tokens) become wildcards; then, level by level, a node with more
 than `fanout` children, or children whose labelled rates do not differ from their siblings' (two
 proportions, |z| < `z`), is merged into one wildcard branch. A template is rejected when its purity,
-smoothed towards its host's (itself smoothed towards the whole table's) rate by `weight` pseudo-urls,
-reaches `reject`.
+smoothed by `weight` pseudo-urls towards its host's rate (itself smoothed towards `prior`, as the rules
+are no fair sample of hosts), reaches `reject`.
 
 Everything is aggregated by (host, template) first, so a hot host is pre-aggregated; the join back is
 salted. Segments beyond `depth` are one tail segment, so no url is left out.
@@ -52,7 +52,7 @@ def segment_form(segment: Column) -> Column:
     return F.when(varies, F.concat(F.lit("*"), ending)).otherwise(segment)
 
 
-def judge(pages: DataFrame, rules: list[Rule], depth: int = 6, fanout: int = 24, z: float = 1.96, weight: float = 4.0, reject: float = 0.5, salts: int = 32) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], depth: int = 6, fanout: int = 24, z: float = 1.96, weight: float = 4.0, prior: float = 0.2, reject: float = 0.5, salts: int = 32) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity."""
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id"), host.alias("host"), path.alias("path")).withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
@@ -76,9 +76,7 @@ def judge(pages: DataFrame, rules: list[Rule], depth: int = 6, fanout: int = 24,
         tree = here.join(step, ["host", "template", "segment"], "left")
         tree = stored(tree.select("host", "raw", "labelled", "bad", F.when(F.col("to").isNotNull(), F.concat("template", F.lit("/"), "to")).otherwise(F.col("template")).alias("template")))
 
-    total = tree.agg(F.sum("bad").alias("tb"), F.sum("labelled").alias("tn"))
-    hosts = tree.groupBy("host").agg(F.sum("bad").alias("hb"), F.sum("labelled").alias("hn")).join(total)  # one row beside every host
-    prior = (F.col("tb") + 1) / (F.col("tn") + 2)
+    hosts = tree.groupBy("host").agg(F.sum("bad").alias("hb"), F.sum("labelled").alias("hn"))
     hosts = hosts.select("host", ((F.col("hb") + weight * prior) / (F.col("hn") + weight)).alias("host_rate"))
     templates = tree.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("labelled").alias("n")).join(hosts, "host")
     purity = (F.col("b") + weight * F.col("host_rate")) / (F.col("n") + weight)
