@@ -131,6 +131,26 @@ def best_pattern(sizes: np.ndarray, duals: np.ndarray, capacity: int) -> tuple[f
     return float(value[capacity]), pattern
 
 
+def inverse_of(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with partial pivoting, without a threaded library: those can hang in a driver that has forked."""
+    m = len(matrix)
+    work = np.concatenate([matrix.astype(float), np.eye(m)], axis=1)
+    for k in range(m):
+        pivot = k + int(np.abs(work[k:, k]).argmax())
+        if pivot != k:
+            work[[k, pivot]] = work[[pivot, k]]
+        work[k] /= work[k, k]
+        factor = work[:, k].copy()
+        factor[k] = 0
+        used = np.flatnonzero(factor)
+        work[used] -= factor[used, None] * work[k]
+    return work[:, m:]
+
+
+def times_vector(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(axis=1)
+
+
 def pattern_plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 1500, gap: float = 1e-3) -> list[tuple[np.ndarray, int]]:
     """(pattern, times) that cover the demand of each size exactly. `rounds` bounds the simplex steps of the
     program, whose size does not follow the input; a program stopped early still packs everything. It also stops
@@ -146,24 +166,24 @@ def pattern_plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: i
         if 0 <= other < k and open_demand[other] >= times:
             columns[other, k] += 1
             open_demand[other] -= times
-    inverse = np.linalg.inv(columns)
-    use = np.maximum(inverse @ demand, 0)
+    inverse = inverse_of(columns)
+    use = np.maximum(times_vector(inverse, demand), 0)
     for step in range(rounds):
         value, pattern = best_pattern(sizes, inverse.sum(axis=0), capacity)
         if value <= 1 + gap:
             break
-        direction = inverse @ pattern
+        direction = times_vector(inverse, pattern)
         able = direction > 1e-9
         ratio = np.where(able, use / np.where(able, direction, 1), np.inf)
         out = int(ratio.argmin())
         columns[:, out] = pattern
         if step % 64 == 63:
-            inverse = np.linalg.inv(columns)
+            inverse = inverse_of(columns)
         else:
             row = inverse[out] / direction[out]
             inverse -= np.outer(direction, row)
             inverse[out] = row
-        use = np.maximum(inverse @ demand, 0)
+        use = np.maximum(times_vector(inverse, demand), 0)
     plan: list[tuple[np.ndarray, int]] = []
     left = demand.astype(np.int64).copy()
     for k in np.argsort(-use, kind="stable"):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from arborlake.llm import minhash, mixing, packing, pii, quality, urls
+from arborlake.llm import jpeg, minhash, mixing, packing, pii, quality, urls
 from arborlake.llm.common import documents, remainder
 
 
@@ -32,6 +32,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "domain", "lang", "source", "epoch", "tokens", "taken")
 
 
+def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_features(documents(spark, sf_dir))
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
 
@@ -47,6 +51,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_mixing": op3_mixing,
+    "op4_jpeg": op4_jpeg,
     "op6_urls": op6_urls,
     "op7_packing": op7_packing,
     "op9_pii": op9_pii,
