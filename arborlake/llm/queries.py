@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arborlake.llm import jpeg, minhash, mixing, packing, pii, quality, urls
+from arborlake.llm import ann, jpeg, minhash, mixing, packing, pii, quality, substring, urls
 from arborlake.llm.common import documents, remainder
 
 
@@ -28,6 +29,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(documents(spark, sf_dir))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "domain", "lang", "source", "epoch", "tokens", "taken")
 
@@ -36,6 +41,10 @@ def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_features(documents(spark, sf_dir))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
 
@@ -50,8 +59,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_substring": op2_substring,
     "op3_mixing": op3_mixing,
     "op4_jpeg": op4_jpeg,
+    "op5_ann": op5_ann,
     "op6_urls": op6_urls,
     "op7_packing": op7_packing,
     "op9_pii": op9_pii,
