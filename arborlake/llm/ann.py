@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from arborlake.llm.common import stored
 
-BLOCK, QUERY_BLOCK, PROJECTIONS = 8192, 2048, 40
+BLOCK, QUERY_BLOCK, PROJECTIONS = 8192, 2048, 64
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, top_norm: float, k: int, verify: float, share: float, growth: float, projections: int, seed: int = 5) -> list[tuple[int, int, float]]:
@@ -60,7 +60,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
     return out
 
 
-def nearest(vectors: DataFrame, asked, k: int = 20, verify: float = 0.3, share: float = 0.5, growth: float = 1.4, projections: int = PROJECTIONS, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, asked, k: int = 20, verify: float = 0.5, share: float = 0.5, growth: float = 1.4, projections: int = PROJECTIONS, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score. `asked` is a condition on vec_id that tells the queries."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))

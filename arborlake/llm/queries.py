@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arborlake.llm import ann, jpeg, minhash, mixing, packing, pii, quality, substring, urls
+from arborlake.llm import ann, hmm, jpeg, minhash, mixing, packing, pii, quality, substring, urls
 from arborlake.llm.common import documents, remainder
 
 
@@ -53,6 +53,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(documents(spark, sf_dir), remainder(7) == 2)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ann": op5_ann,
     "op6_urls": op6_urls,
     "op7_packing": op7_packing,
+    "op8_hmm": op8_hmm,
     "op9_pii": op9_pii,
     "pipeline": corpus_pipeline.run,
     "op10_minhash": op10_minhash,
