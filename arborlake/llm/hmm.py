@@ -123,7 +123,7 @@ def score(docs: DataFrame, held_out, states: int = STATES, rounds: int = ROUNDS)
 
     # Block numbers are of partitions; the table is written, so a rerun reads the same blocks.
     blocks = stored(docs.mapInArrow(cut, "block long, ids array<long>, held array<boolean>, lengths array<long>, tokens binary, words array<long>, counts array<long>"))
-    local = blocks.select("block", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("block", F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
+    local = blocks.select("block", F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("block").alias("of_block"), F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
     vocabulary = stored(local.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"))
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"]), int(total["v"])
@@ -133,7 +133,7 @@ def score(docs: DataFrame, held_out, states: int = STATES, rounds: int = ROUNDS)
     def run(model: DataFrame, mass: np.ndarray | None, start: np.ndarray, move: np.ndarray, learn: bool, schema: str) -> DataFrame:
         """One pass over the blocks with the words' state counts (none: the seeded split)."""
         columns = ["word", "c", *(names if mass is not None else [])]
-        rows = local.select("block", "word").join(model.select(*columns), "word")
+        rows = local.select("of_block", "word").join(model.select(*columns), "word")
 
         def step(left: pa.Table, right: pa.Table) -> pa.Table:
             row = left.to_pylist()[0]
@@ -168,7 +168,7 @@ def score(docs: DataFrame, held_out, states: int = STATES, rounds: int = ROUNDS)
             size = len(lengths)
             return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(lengths, pa.int64()), "n_known": pa.array([int((c[t] > 0).sum()) for t in texts_], pa.int64()), "train_tokens": pa.array([n] * size, pa.int64()), "base_score": pa.array([float(base[t].sum()) for t in texts_], pa.float64()), "score": pa.array(scores, pa.float64())})
 
-        return body.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(step, schema)
+        return body.groupBy("block").cogroup(rows.groupBy("of_block")).applyInArrow(step, schema)
 
     model, mass = vocabulary, None
     start = np.full(states, 1 / states)
