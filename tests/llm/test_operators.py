@@ -33,11 +33,13 @@ def test_operators_take_odd_and_empty_tables(spark):
 
 
 def test_quality_held_out(spark):
-    docs, labels = documents(spark, SF), spark.read.parquet(f"{SF}/labels.parquet")
+    """On the middle tables: the smallest hold 19 held-out labels, too few to tell a model from the majority."""
+    sf = SF.replace("sf0.001", "sf0.01")
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
     model = quality.fit(docs, labels.where(remainder(5) != 0))
     found = quality.score(docs, model).join(labels, "doc_id").where(remainder(5) == 0)
-    right = found.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0]
-    assert right >= 0.85
+    right, good = found.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int")), F.avg("quality")).first()
+    assert right >= max(good, 1 - good) + 0.05
 
 
 def test_pii_base_equals_plain_expressions(spark):
