@@ -24,6 +24,9 @@ SLICE_BYTES = 4 << 20
 #: Entries after which a worker's word memo is emptied; a memo only saves time.
 MEMO_ENTRIES = 200_000
 
+#: Whether Spark removes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -37,12 +40,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _drop_scratch() -> None:
     for spark, path in _scratch:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; the folder's owner clears it
             return
 
@@ -54,9 +60,22 @@ def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: a lost executor then costs a reread, not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/arborlake-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    had = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # once the table is written, nothing reads the shuffle files behind it
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if had is None else spark.conf.set(CLEANUP, had)
     _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._arborlake_path = path
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes a table of stored() that no later step reads."""
+    _delete(table.sparkSession, table._arborlake_path)
+    _scratch.remove((table.sparkSession, table._arborlake_path))
 
 
 def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:

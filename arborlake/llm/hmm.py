@@ -6,9 +6,10 @@ summed over all partitions. A state's emission is (g * N / G + 1) / (N + V + 1),
 count in the state, G the state's, N all tokens and V the vocabulary: it sums to one with the unknown
 words, and with one state it is the add-one base. The scaled forward recursion gives exact likelihoods.
 
-A block is a run of documents of up to `BLOCK_BYTES` of text (or one document) with its own dictionary;
-a word meets its counts once for each block, so frequent words are no hot keys, and no task or driver
-holds the whole vocabulary, which grows with the input. Only the states' transitions (fixed size) are
+A block is a run of documents of up to `BLOCK_BYTES` of text (or one document) with its own dictionary,
+frequent words first, so that its token numbers compress; a word meets its counts once for each block,
+so frequent words are no hot keys, and no task or driver holds the whole vocabulary, which grows with
+the input. Only the states' transitions (fixed size) are
 on the driver.
 
 Defined results: null and empty texts are one end; rows with equal doc_id are scored alike, and each
@@ -26,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import WordHashes, mixed, stored, texts
+from arborlake.llm.common import WordHashes, dropped, mixed, stored, texts
 
-STATES, ROUNDS, BLOCK_BYTES = 4, 2, 8 << 20
+STATES, ROUNDS, BLOCK_BYTES = 4, 2, 16 << 20
 END = 0x454E44
 
 _hashes = WordHashes()
@@ -89,16 +90,30 @@ def forward(tokens: list[np.ndarray], emission: np.ndarray, start: np.ndarray, m
     return score, emitted, gamma[: active[0]].sum(axis=0), moves
 
 
+def squeezed(index: np.ndarray) -> bytes:
+    """32-bit numbers, compressed byte plane by byte plane."""
+    return pa.compress(index.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
 def blocks_of(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
     rows: list[tuple[int | None, bool | None, np.ndarray]] = []
     held = number = 0
 
     def block() -> pa.RecordBatch:
-        words, index = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
+        words, index, often = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")
+        place = np.empty(len(order), "<u4")
+        place[order] = np.arange(len(order))
+        words, index = words[order], place[index]
         learned = np.repeat([r[1] is False for r in rows], [len(r[2]) for r in rows])
         c = np.bincount(index[learned], minlength=len(words)).astype("<i8")
         cell = lambda v, t: pa.array([v], t)
-        return pa.RecordBatch.from_arrays([cell((part << 32) + number, pa.int64()), cell([r[0] for r in rows], pa.list_(pa.int64())), cell([r[1] for r in rows], pa.list_(pa.bool_())), cell([len(r[2]) for r in rows], pa.list_(pa.int64())), cell(index.astype("<u4").tobytes(), pa.binary()), cell(words.view(np.int64), pa.list_(pa.int64())), cell(c, pa.list_(pa.int64()))], names=["block", "ids", "held", "lengths", "tokens", "words", "counts"])
+        return pa.RecordBatch.from_arrays([cell((part << 32) + number, pa.int64()), cell([r[0] for r in rows], pa.list_(pa.int64())), cell([r[1] for r in rows], pa.list_(pa.bool_())), cell([len(r[2]) for r in rows], pa.list_(pa.int64())), cell(squeezed(index), pa.binary()), cell(words.view(np.int64), pa.list_(pa.int64())), cell(c, pa.list_(pa.int64()))], names=["block", "ids", "held", "lengths", "tokens", "words", "counts"])
 
     for batch in batches:
         for doc_id, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), texts(batch.column("text"))):
@@ -123,46 +138,49 @@ def score(docs: DataFrame, held_out, states: int = STATES, rounds: int = ROUNDS)
 
     # Block numbers are of partitions; the table is written, so a rerun reads the same blocks.
     blocks = stored(docs.mapInArrow(cut, "block long, ids array<long>, held array<boolean>, lengths array<long>, tokens binary, words array<long>, counts array<long>"))
-    local = blocks.select("block", F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("block").alias("of_block"), F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
+    local = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select(F.col("block").alias("of_block"), "at", F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
     vocabulary = stored(local.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"))
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"]), int(total["v"])
     names = [f"g{k}" for k in range(states)]
-    body = blocks.select("block", "ids", "held", "lengths", "tokens", "words")
+    body = blocks.select("block", "ids", "held", "lengths", "tokens")
 
     def run(model: DataFrame, mass: np.ndarray | None, start: np.ndarray, move: np.ndarray, learn: bool, schema: str) -> DataFrame:
         """One pass over the blocks with the words' state counts (none: the seeded split)."""
-        columns = ["word", "c", *(names if mass is not None else [])]
-        rows = local.select("of_block", "word").join(model.select(*columns), "word")
+        columns = [*(["c"] if mass is None or not learn else []), *(names if mass is not None else [])]
+        rows = local.select("of_block", "at", "word").join(model.select("word", *columns), "word").select("of_block", "at", *(["word"] if learn or mass is None else []), *columns)
 
         def step(left: pa.Table, right: pa.Table) -> pa.Table:
             row = left.to_pylist()[0]
-            words = np.array(row["words"], np.int64)
-            at = np.searchsorted(words, sorted_keys := right.column("word").to_numpy(), sorter=(by := words.argsort()))
-            at = by[at] if len(sorted_keys) else at
-            c = np.zeros(len(words))
-            c[at] = right.column("c").to_numpy()
+            tokens = unsqueezed(row["tokens"], sum(row["lengths"]))
+            at = right.column("at").to_numpy()
+            g, c = np.zeros((int(tokens.max()) + 1, states)), np.zeros(int(tokens.max()) + 1)
+            if "c" in columns:
+                c[at] = right.column("c").to_numpy()
             if mass is None:
-                g, whole = state_shares(words.view(np.uint64), states) * c[:, None], np.full(states, n / states)
+                whole = np.full(states, n / states)
+                g[at] = state_shares(right.column("word").to_numpy().view(np.uint64), states) * c[at][:, None]
             else:
-                g, whole = np.zeros((len(words), states)), mass
+                whole = mass
                 for k, name in enumerate(names):
                     g[at, k] = right.column(name).to_numpy()
             emission = (g * (n / np.maximum(whole, 1e-300)) + 1) / (n + v + 1)
             lengths = np.array(row["lengths"])
-            texts_ = np.split(np.frombuffer(row["tokens"], "<u4").astype(np.int64), np.cumsum(lengths)[:-1])
+            texts_ = np.split(tokens, np.cumsum(lengths)[:-1])
             if learn:
                 chosen = [t for t, h in zip(texts_, row["held"]) if h is False]
                 keys, values = np.zeros(0, np.int64), np.zeros((0, states))
+                extra = 0
                 if chosen:
                     _, emitted, starts, moves = forward(chosen, emission, start, move, True)
-                    keys = words[at]
-                    values = emitted[at]
+                    seen = emitted[at].any(axis=1)
+                    keys, values = right.column("word").to_numpy()[seen], emitted[at[seen]]
                     # Transitions and starts travel as rows of null word: state count + 1 of them for each block.
-                    values = np.concatenate([values, starts[None], moves])
-                extra = len(values) - len(keys)
-                kind = [None] * len(keys) + list(range(extra))
-                return pa.table({"word": pa.array([*keys.tolist(), *[None] * extra], pa.int64()), "kind": pa.array(kind, pa.int32()), **{m: pa.array(values[:, k]) for k, m in enumerate(names)}})
+                    values, extra = np.concatenate([values, starts[None], moves]), 1 + states
+                of_word = np.arange(len(values)) < len(keys)
+                kind = np.concatenate([np.zeros(len(keys), np.int32), np.arange(extra, dtype=np.int32)])
+                keys = np.concatenate([keys, np.zeros(extra, np.int64)])
+                return pa.table({"word": pa.array(keys, mask=~of_word), "kind": pa.array(kind, mask=of_word), **{m: pa.array(values[:, k].astype(np.float32)) for k, m in enumerate(names)}})
             base = np.log10((c + 1) / (n + v + 1))
             scores, _, _, _ = forward(texts_, emission, start, move, False)
             size = len(lengths)
@@ -173,12 +191,14 @@ def score(docs: DataFrame, held_out, states: int = STATES, rounds: int = ROUNDS)
     model, mass = vocabulary, None
     start = np.full(states, 1 / states)
     move = np.full((states, states), 0.5 / states) + np.eye(states) * 0.5
-    sums = [F.sum(m).alias(m) for m in names]
-    for _ in range(rounds if n else 0):
-        schema = "word long, kind int, " + ", ".join(f"{m} double" for m in names)
+    sums = [F.sum(F.col(m).cast("double")).alias(m) for m in names]
+    for left in range(rounds if n else 0, 0, -1):
+        schema = "word long, kind int, " + ", ".join(f"{m} float" for m in names)
         found = stored(run(model, mass, start, move, True, schema))
         few = {r["kind"]: np.array([r[m] for m in names]) for r in found.where("kind is not null").groupBy("kind").agg(*sums).collect()}
-        model = stored(found.where("word is not null").groupBy("word").agg(*sums).join(vocabulary, "word"))
+        model = found.where("word is not null").groupBy("word").agg(*(s.cast("float").alias(m) for s, m in zip(sums, names)))
+        model = stored(model if left > 1 else model.join(vocabulary, "word"))  # the scores' base needs the counts
+        dropped(found)
         whole = model.agg(*sums).first()
         mass = np.array([whole[m] for m in names])
         start = (few[0] + 1) / (few[0].sum() + states)
