@@ -17,6 +17,7 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -31,10 +32,8 @@ from pyspark.sql import functions as F
 from arborlake.llm.common import per_batch, stored
 
 SEQUENCE, CLASS_WIDTH, CLOSING_ID = 1024, 4, 0
-#: Chunks that a worker remembers, and the longest chunk worth it.
-CHUNKS, CHUNK_CHARS = 300_000, 64
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -43,46 +42,60 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class ChunkEncoder:
-    """Ids of whole texts by a byte-level BPE whose pre-tokens never hold a space except in front.
+class Encoder:
+    """Ids of whole texts by the tokenizer of a file.
 
-    A space before a character that is no white space always begins a pre-token, so a text may be cut
-    there and the chunks encoded apart; chunks repeat, so their ids are remembered. Texts in which a
-    space stands before white space or at the end, or which hold a special token, go to the tokenizer whole.
+    Where the file is a byte-level BPE with the plain pre-tokens, no normaliser and ids in the order of its
+    merges, tiktoken gives the same ids from its vocabulary in a quarter of the time. Texts that hold an added
+    token, and all texts of other files, go to the tokenizer itself.
     """
 
-    uneven = re.compile(r" (?=\s)| \Z")
+    #: The byte-level pre-tokens.
+    pre_tokens = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and forked workers must not share a thread pool
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        self.apart = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        self.fast = self.twin(json.loads(self.tokenizer.to_str()))
+
+    def twin(self, form: dict):
+        """A tiktoken encoding with the same ids, or None."""
+        model, cut = form["model"], form.get("pre_tokenizer") or {}
+        plain = model["type"] == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+        if not plain or form.get("normalizer") or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            return None
+        vocab = model["vocab"]
+        merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        if len(vocab) != 256 + len(merged) or merged != list(range(256, len(vocab))):
+            return None
+        import tiktoken
+
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+        ranks = {bytes(byte_of[c] for c in word): i for word, i in vocab.items()}
+        return tiktoken.Encoding("byte_level", pat_str=self.pre_tokens, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        cut = [not self.uneven.search(t) and not any(s in t for s in self.special) for t in texts]
-        parts = [t.replace(" ", "\0 ").split("\0") if c and "\0" not in t else [t] for t, c in zip(texts, cut)]
-        new = {x for p in parts for x in p if x not in self.known}
-        if len(self.known) + len(new) > CHUNKS:
-            self.known.clear()
-            new = {x for p in parts for x in p}
-        new = list(new)
-        local = dict(zip(new, self.whole(new)))
-        self.known.update(x for x in local.items() if len(x[0]) <= CHUNK_CHARS)
-        local |= {x: self.known[x] for p in parts for x in p if x not in local}
-        return [b"".join(map(local.__getitem__, p)) for p in parts]
-
-
-def encoder(path: str) -> ChunkEncoder:
+        return [np.array(self.ids(t), "<u4").tobytes() for t in texts]
+
+    def ids(self, text: str) -> list[int]:
+        if self.fast is None or self.apart.search(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
+    own = {b for b in range(256) if 33 <= b <= 126 or (161 <= b and b != 173)}
+    return [chr(b) if b in own else chr(256 + b - sum(o < b for o in own)) for b in range(256)]
+
+
+def encoder(path: str) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
