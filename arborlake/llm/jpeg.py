@@ -45,6 +45,11 @@ def codes(counts: tuple[int, ...], symbols: tuple[int, ...]) -> list[tuple[int,
     return out
 
 
+#: Of a DC difference's size class, its code and the code's length; of an absolute difference, its size class.
+DC_CODE, DC_LENGTH = (np.array([x[k] for x in sorted(codes(DC_COUNTS, DC_SYMBOLS))], np.int64) for k in (1, 2))
+SIZE_OF = np.array([x.bit_length() for x in range(256)], np.int64)
+
+
 def lookup(counts: tuple[int, ...], symbols: tuple[int, ...]) -> np.ndarray:
     """For every 16-bit window: length << 8 | symbol; 0 where no code fits."""
     table = np.zeros(1 << 16, np.int32)
@@ -60,24 +65,22 @@ def _segment(marker: int, body: bytes) -> bytes:
 def _scan(samples: np.ndarray) -> bytes:
     """Entropy-coded rows of 64 DC values, each a restart interval."""
     dc = samples.reshape(-1, ROW).astype(np.int64) - 128
-    diff = np.diff(dc, axis=1, prepend=0)
-    size = np.where(diff == 0, 0, np.floor(np.log2(np.maximum(np.abs(diff), 1))).astype(np.int64) + 1)
-    table = {s: (c, n) for s, c, n in codes(DC_COUNTS, DC_SYMBOLS)}
-    code = np.array([table[s][0] for s in range(12)])[size]
-    length = np.array([table[s][1] for s in range(12)])[size]
+    diff = np.diff(dc, axis=1, prepend=0).ravel()
+    size = SIZE_OF[np.abs(diff)]
     extra = np.where(diff < 0, diff + (1 << size) - 1, diff)
-    word = (((code << size) | extra) << 2).ravel()  # the end-of-block code is 00
-    bits = length + size + 2
-    ends = bits.sum(axis=1)
-    pad = -ends % 8
-    row_start = np.concatenate([[0], np.cumsum(ends + pad)])
-    start = (row_start[:-1, None] + np.cumsum(bits, axis=1) - bits).ravel()
-    n = bits.ravel()
-    stream = np.ones(int(row_start[-1]), np.uint8)  # padding bits are 1
-    for k in range(int(n.max())):
-        live = n > k
-        stream[start[live] + k] = (word[live] >> (n[live] - 1 - k)) & 1
-    data = np.packbits(stream).tobytes()
+    word = ((DC_CODE[size] << size) | extra) << 2  # the end-of-block code is 00
+    bits = DC_LENGTH[size] + size + 2  # at most 19
+    inside = bits.reshape(-1, ROW).cumsum(axis=1)
+    pad = -inside[:, -1] % 8
+    row_start = np.concatenate([[0], np.cumsum(inside[:, -1] + pad)])
+    start = (row_start[:-1, None] + inside).ravel() - bits
+    # Each word meets at most four bytes; words share no bits, so sums of their parts are the bytes.
+    first, placed = start >> 3, word << (32 - bits - (start & 7))
+    data = np.zeros(int(row_start[-1]) // 8 + 4)
+    for k in range(4):
+        data += np.bincount(first + k, (placed >> (24 - 8 * k)) & 255, len(data))
+    data[row_start[1:] // 8 - 1] += (1 << pad) - 1  # padding bits are 1
+    data = data[:-4].astype(np.uint8).tobytes()
     edges = (row_start // 8).tolist()
     out = []
     for i, (a, b) in enumerate(zip(edges, edges[1:])):
