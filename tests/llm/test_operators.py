@@ -68,6 +68,16 @@ def test_jpeg_round_trip(payload):
     assert back == payload
 
 
+def test_fast_ids_are_the_tokenizers():
+    encoder = packing.encoder(packing.tokenizer_path())
+    assert encoder.fast is not None
+    rng = np.random.default_rng(9)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "a", "Bc", "é", "'s", "'ll", "1", "23", "!", "中", "\u00a0", "\u3000", "\u2028", "😀", "\0", "<|endoftext|>"]
+    cases = ["", " " * 5000, "a" * 5000, *("".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(3000))]
+    for text in cases:
+        assert encoder.ids(text) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_places_every_id_once(spark):
     docs = documents(spark, SF)
     found = packing.pack(docs).toPandas()
