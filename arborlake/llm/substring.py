@@ -1,9 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (after . ! ? or a line break, with the white space that follows). Every run of
-`span` consecutive sentences is hashed over its lower-cased words; runs meet by hash over all documents,
-and sentences covered by any run that is not the first of its hash, by (doc_id, position), are removed.
-Runs need `min_words` words, so short formulas stay.
+A text is cut into sentences (after . ! ? or a line break, with the white space that follows). A run is the
+least number of consecutive sentences that hold `min_words` words, forward from a sentence or back from one;
+so runs cover every sentence of any repeated sequence of whole sentences with that many words together, be
+they many short ones or a single long one. Runs are hashed over their lower-cased words and meet by hash over
+all documents, and sentences covered by any run that is not the first of its hash, by (doc_id, position), are
+removed. Sequences of fewer words stay, and so do the parts of sentences at a repeated passage's ends.
 
 The first of each hash is a minimum, aggregated on the map side, so a passage that many documents share
 is never gathered; the join back brings one row for each hash and is left to AQE where a hash is hot.
@@ -15,6 +17,8 @@ empty table.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -31,43 +35,42 @@ def sentences(text: str) -> list[str]:
     return [x for x in _SENTENCE.findall(text) if x]
 
 
-def runs(text: str | None, span: int, min_words: int) -> list[tuple[int, int]]:
-    """(first sentence, hash) of every run; the pieces without words belong to no run."""
-    words = [x.lower().split() for x in sentences(text or "")]
-    real = [i for i, w in enumerate(words) if w]
-    out = []
-    for a in range(len(real) - span + 1):
-        joined = [w for i in real[a : a + span] for w in words[i]]
-        if len(joined) >= min_words:
-            out.append((a, xxhash.xxh3_64_intdigest(" ".join(joined)) - (1 << 63)))
-    return out
+def runs(text: str | None, min_words: int) -> list[tuple[int, int, int]]:
+    """(first sentence, sentences, hash) of every run; the pieces without words belong to no run."""
+    words = [w for x in sentences(text or "") if (w := x.lower().split())]
+    at = [0, *accumulate(map(len, words))]
+    flat = [w for x in words for w in x]
+    ends = [(a, bisect_left(at, at[a] + min_words)) for a in range(len(words))]
+    starts = [(bisect_right(at, at[b] - min_words) - 1, b) for b in range(1, len(words) + 1)]
+    every = {(a, b) for a, b in ends if b < len(at)} | {(a, b) for a, b in starts if a >= 0}
+    return [(a, b - a, xxhash.xxh3_64_intdigest(" ".join(flat[at[a] : at[b]])) - (1 << 63)) for a, b in sorted(every)]
 
 
-def without(text: str, starts: list[int], span: int) -> tuple[str, int]:
-    """The text without the sentences of the runs, and how many are removed."""
+def without(text: str, later: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text without the sentences of the runs (first sentence, sentences), and how many are removed."""
     pieces = sentences(text)
     real = [i for i, x in enumerate(pieces) if x.split()]
-    gone = {real[i] for a in starts for i in range(a, a + span)}
+    gone = {real[i] for a, n in later for i in range(a, a + n)}
     return "".join(x for i, x in enumerate(pieces) if i not in gone), len(gone)
 
 
-def dedup(docs: DataFrame, span: int = 3, min_words: int = 20) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """doc_id, text, n_removed: a row for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(d, a, h) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if d is not None for a, h in runs(t, span, min_words)]
-        d, a, h = zip(*found) if found else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int32()), pa.array(h, pa.int64())], names=["doc_id", "start", "hash"])
+        found = [(d, *x) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if d is not None for x in runs(t, min_words)]
+        d, a, n, h = zip(*found) if found else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64())], names=["doc_id", "start", "length", "hash"])
 
-    found = stored(docs.mapInArrow(per_batch(step, size_of="text"), "doc_id long, start int, hash long"))
+    found = stored(docs.mapInArrow(per_batch(step, size_of="text"), "doc_id long, start int, length int, hash long"))
     first = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("hash", "first")
     later = found.join(first, "hash").where(F.struct("doc_id", "start") > F.col("first"))
-    gone = later.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    gone = later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "length")).alias("later"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        new = [(t, 0) if not t or not s else without(t, s, span) for t, s in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist())]
+        new = [(t, 0) if not t or not s else without(t, [(x["start"], x["length"]) for x in s]) for t, s in zip(batch.column("text").to_pylist(), batch.column("later").to_pylist())]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t for t, _ in new], pa.string()), pa.array([n for _, n in new], pa.int64())], names=["doc_id", "text", "n_removed"])
 
-    joined = docs.join(gone, "doc_id", "left").select("doc_id", "text", "starts")
+    joined = docs.join(gone, "doc_id", "left").select("doc_id", "text", "later")
     return joined.mapInArrow(per_batch(cut, size_of="text"), "doc_id long, text string, n_removed long")

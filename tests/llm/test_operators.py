@@ -165,3 +165,23 @@ def test_repeated_spans_go_once(spark):
     docs = spark.createDataFrame([(1, f"Alpha. {shared} Omega."), (2, f"Beta. {shared} End."), (3, "Alone.")], "doc_id long, text string")
     found = {r.doc_id: (r.text, r.n_removed) for r in substring.dedup(docs).collect()}
     assert found == {1: (f"Alpha. {shared} Omega.", 0), 2: ("Beta. End.", 3), 3: ("Alone.", 0)}
+
+
+def test_repeated_sequences_of_any_sentence_length_go(spark):
+    """Short lines, one long sentence, a long one between short ones; against all repeated word sequences of whole sentences."""
+    rng = np.random.default_rng(5)
+    bank = [" ".join(f"w{rng.integers(0, 10**6)}" for _ in range(n)) + "." for n in (1, 2, 3, 1, 4, 2, 3, 2, 1, 5, 2, 3, 25, 3, 2, 40, 8, 7, 9, 1)]
+    texts = ["\n".join(f"line {w}{i}" for i in range(30)) for w in "ab"] + [" ".join(bank)]
+    texts += [f"Head {k}. {' '.join(bank[a : a + n])} Tail {k}." for k, (a, n) in enumerate([(0, 12), (0, 6), (12, 1), (11, 3), (3, 9), (15, 5), (14, 3), (18, 2)])] + [f"Start. {texts[0]}\nStop."]
+    seen, expected = {}, {}
+    for d, text in enumerate(texts):
+        pieces, gone = substring.sentences(text), set()
+        for a in range(len(pieces)):
+            for b in range(a + 1, len(pieces) + 1):
+                words = tuple("".join(pieces[a:b]).split())
+                if len(words) >= 20 and seen.setdefault(words, (d, a)) < (d, a):
+                    gone.update(range(a, b))
+        expected[d] = ("".join(x for i, x in enumerate(pieces) if i not in gone), len(gone))
+    assert expected[len(texts) - 1][1] == 30 and expected[5][1] == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: (r.text, r.n_removed) for r in substring.dedup(docs).collect()} == expected
