@@ -3,9 +3,11 @@
 Urls that a rule decides are the labels. Each path is cut into segments; segments that vary by form
 (numbers, long hexadecimal or mixed tokens) become wildcards; then, level by level, a node with more
 than `fanout` children, or children whose labelled rates do not differ from their siblings' (two
-proportions, |z| < `z`), is merged into one wildcard branch. A template is rejected when its purity,
-smoothed by `weight` pseudo-urls towards its host's rate (itself smoothed towards `prior`, as the rules
-are no fair sample of hosts), reaches `reject`.
+proportions, |z| < `z`, with at least `enough` labels on both sides), is merged into one wildcard branch,
+"?", which no segment can be. A branch with fewer labels, or none, stays by itself. A template is rejected
+when its purity, smoothed by `weight` pseudo-urls towards its host's rate, reaches `reject`. That rate is
+the mean over the host's labelled first segments, smoothed by `weight` segments towards `prior`: rules are
+no fair sample of a host, so many urls under one segment say little about the others.
 
 Everything is aggregated by (host, template) first, so a hot host is pre-aggregated; the join back is
 salted. Segments beyond `depth` are one tail segment, so no url is left out.
@@ -52,7 +54,7 @@ def segment_form(segment: Column) -> Column:
     return F.when(varies, F.concat(F.lit("*"), ending)).otherwise(segment)
 
 
-def judge(pages: DataFrame, rules: list[Rule], depth: int = 6, fanout: int = 24, z: float = 1.96, weight: float = 4.0, prior: float = 0.2, reject: float = 0.5, salts: int = 32) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], depth: int = 6, fanout: int = 24, z: float = 1.96, enough: int = 10, weight: float = 4.0, prior: float = 0.2, reject: float = 0.5, salts: int = 32) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity."""
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id"), host.alias("host"), path.alias("path")).withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
@@ -70,14 +72,15 @@ def judge(pages: DataFrame, rules: list[Rule], depth: int = 6, fanout: int = 24,
         n2, b2 = F.col("pn") - F.col("n"), F.col("pb") - F.col("b")
         pooled = F.col("pb") / F.nullif("pn", F.lit(0))
         spread = F.sqrt(pooled * (1 - pooled) * (1 / F.nullif("n", F.lit(0)) + 1 / F.nullif(n2, F.lit(0))))
-        alike = (F.col("n") == 0) | (n2 == 0) | (pooled == 0) | (pooled == 1) | (F.abs(F.col("b") / F.nullif("n", F.lit(0)) - b2 / F.nullif(n2, F.lit(0))) < z * spread)
-        merged = (F.col("children") > fanout) | ((F.col("children") > 1) & F.coalesce(alike, F.lit(True)))
-        step = child.join(parent, ["host", "template"]).select("host", "template", "segment", F.when(merged, F.lit("*")).otherwise(F.col("segment")).alias("to"))
+        alike = (pooled == 0) | (pooled == 1) | (F.abs(F.col("b") / F.nullif("n", F.lit(0)) - b2 / F.nullif(n2, F.lit(0))) < z * spread)
+        merged = (F.col("children") > fanout) | ((F.least("n", n2) >= enough) & F.coalesce(alike, F.lit(True)))
+        step = child.join(parent, ["host", "template"]).select("host", "template", "segment", F.when(merged, F.lit("?")).otherwise(F.col("segment")).alias("to"))
         tree = here.join(step, ["host", "template", "segment"], "left")
         tree = stored(tree.select("host", "raw", "labelled", "bad", F.when(F.col("to").isNotNull(), F.concat("template", F.lit("/"), "to")).otherwise(F.col("template")).alias("template")))
 
-    hosts = tree.groupBy("host").agg(F.sum("bad").alias("hb"), F.sum("labelled").alias("hn"))
-    hosts = hosts.select("host", ((F.col("hb") + weight * prior) / (F.col("hn") + weight)).alias("host_rate"))
+    branch = tree.groupBy("host", F.get("raw", F.lit(0)).alias("segment")).agg(F.sum("bad").alias("b"), F.sum("labelled").alias("n"))
+    rate = F.coalesce(F.sum(F.col("b") / F.nullif("n", F.lit(0))), F.lit(0.0))
+    hosts = branch.groupBy("host").agg(((rate + weight * prior) / (F.count(F.nullif("n", F.lit(0))) + weight)).alias("host_rate"))
     templates = tree.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("labelled").alias("n")).join(hosts, "host")
     purity = (F.col("b") + weight * F.col("host_rate")) / (F.col("n") + weight)
     leaf = tree.select("host", "raw", "template").join(templates.select("host", "template", purity.alias("purity")), ["host", "template"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from arborlake.llm import ann, hmm, jpeg, minhash, mixing, packing, pii, quality, substring, urls
 from arborlake.llm.common import documents, remainder
+from arborlake.llm.queries import op6_urls
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -185,3 +186,25 @@ def test_repeated_sequences_of_any_sentence_length_go(spark):
     assert expected[len(texts) - 1][1] == 30 and expected[5][1] == 1
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: (r.text, r.n_removed) for r in substring.dedup(docs).collect()} == expected
+
+
+@pytest.mark.parametrize("size, unruled", [("sf0.001", 33), ("sf0.01", 165), ("sf0.1", 1751)])
+def test_no_given_url_without_a_rule_is_blocked(spark, size, unruled):
+    """The labels of the given pages say nothing about the first segments without a rule."""
+    found = op6_urls(spark, SF.replace("sf0.001", size)).where("rule is null")
+    assert found.agg(F.count("*"), F.count_if(F.col("verdict") == "block")).first() == (unruled, 0)
+
+
+def test_branches_merge_on_evidence_only(spark):
+    rules = [("block", "a.com", "/bad/"), ("block", "a.com", "/worse/"), ("allow", "a.com", "/good/"), ("block", "a.com", "/few/"), ("block", "b.com", "/u/1")]
+    sections = [("bad", 400), ("worse", 300), ("good", 300), ("few", 3), ("plain", 50), ("7", 50)]
+    rows = [f"http://a.com/{s}/x/p{i}" for s, n in sections for i in range(n)] + [f"http://b.com/u/{i}" for i in range(10, 23)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    found = {r.path: (r.template.split("/")[1], r.verdict) for r in urls.judge(pages, rules).collect()}
+    assert found["/plain/x/p1"] == ("plain", "allow") and found["/7/x/p1"] == ("*", "allow") and found["/few/x/p1"][0] == "few"
+    assert found["/bad/x/p1"][0] != found["/good/x/p1"][0] and found["/u/22"] == ("u", "block")
+    same = [f"http://c.com/{s}/p{i}" for s in ("en", "fr", "de") for i in range(40)]
+    pages = spark.createDataFrame(list(enumerate(same)), "page_id long, url string")
+    half = [("block", "c.com", f"/{s}/p{d}") for s in ("en", "fr") for d in (1, 2)] + [("allow", "c.com", f"/{s}/p{d}") for s in ("en", "fr") for d in (0, 3)]
+    found = {r.path: r.template.split("/")[1] for r in urls.judge(pages, half).collect()}
+    assert found["/en/p9"] == found["/fr/p9"] == "?" and found["/de/p9"] == "de"
