@@ -1,16 +1,17 @@
 """URL verdicts: explicit host and path rules, and beyond them a tree of path templates for each host.
 
 Urls that a rule decides are the labels. Each path is cut into segments; segments that vary by form
-(numbers, long hexadecimal or mixed tokens) become wildcards; then, level by level, a node with more
-than `fanout` children, or children whose labelled rates do not differ from their siblings' (two
-proportions, |z| < `z`, with at least `enough` labels on both sides), is merged into one wildcard branch,
-"?", which no segment can be. A branch with fewer labels, or none, stays by itself. A template is rejected
+(numbers, long hexadecimal or mixed tokens) become wildcards; then, level by level until no segment is
+left, the children of a node whose labelled rates do not differ from their siblings' (two proportions,
+|z| < `z`, with at least `enough` labels on both sides) are merged into one wildcard branch, "?", which no
+segment can be; however many children there are, nothing else merges them. A branch with fewer labels, or none, stays by itself. A template is rejected
 when its purity, smoothed by `weight` pseudo-urls towards its host's rate, reaches `reject`. That rate is
 the mean over the host's labelled first segments, smoothed by `weight` segments towards `prior`: rules are
 no fair sample of a host, so many urls under one segment say little about the others.
 
 Everything is aggregated by (host, template) first, so a hot host is pre-aggregated; the join back is
-salted. Segments beyond `depth` are one tail segment, so no url is left out.
+salted. A node that holds a single path has nothing to merge, so the rest of that path is taken at once;
+levels are walked only as deep as different paths agree.
 
 Defined results: null urls and urls without :// have empty host and path, fit no rule and are judged
 by the empty host's template; repeated rows keep a row each; other columns are ignored; an empty table
@@ -19,6 +20,8 @@ gives an empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,29 +57,31 @@ def segment_form(segment: Column) -> Column:
     return F.when(varies, F.concat(F.lit("*"), ending)).otherwise(segment)
 
 
-def judge(pages: DataFrame, rules: list[Rule], depth: int = 6, fanout: int = 24, z: float = 1.96, enough: int = 10, weight: float = 4.0, prior: float = 0.2, reject: float = 0.5, salts: int = 32) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], z: float = 1.96, enough: int = 10, weight: float = 4.0, prior: float = 0.2, reject: float = 0.5, salts: int = 32) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity."""
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id"), host.alias("host"), path.alias("path")).withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
     parts = F.split(F.regexp_replace("path", r"\A/", ""), "/")
-    raw = F.transform(F.slice(parts, 1, depth), segment_form)
-    raw = F.when(F.size(parts) > depth, F.array_append(raw, F.lit("**"))).otherwise(raw)
-    rows = stored(rows.withColumn("raw", raw).withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts))))
+    rows = stored(rows.withColumn("raw", F.transform(parts, segment_form)).withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts))))
 
     labelled, bad = F.count("fit.verdict").alias("labelled"), F.count(F.when(F.col("fit.verdict") == "block", 1)).alias("bad")
-    tree = stored(rows.groupBy("host", "raw").agg(labelled, bad).withColumn("template", F.lit("")))
-    for level in range(depth + 1):
-        here = tree.withColumn("segment", F.get("raw", F.lit(level)))
-        child = here.where("segment is not null").groupBy("host", "template", "segment").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
-        parent = child.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("pn"), F.sum("b").alias("pb"))
+    here, ended, level = stored(rows.groupBy("host", "raw").agg(labelled, bad).withColumn("template", F.lit(""))), [], 0
+    while not here.isEmpty():
+        here = here.withColumn("segment", F.get("raw", F.lit(level)))
+        child = here.groupBy("host", "template", "segment").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"), F.count("*").alias("paths"))
+        parent = child.groupBy("host", "template").agg(F.sum("paths").alias("paths"), F.sum("n").alias("pn"), F.sum("b").alias("pb"))
         n2, b2 = F.col("pn") - F.col("n"), F.col("pb") - F.col("b")
         pooled = F.col("pb") / F.nullif("pn", F.lit(0))
         spread = F.sqrt(pooled * (1 - pooled) * (1 / F.nullif("n", F.lit(0)) + 1 / F.nullif(n2, F.lit(0))))
         alike = (pooled == 0) | (pooled == 1) | (F.abs(F.col("b") / F.nullif("n", F.lit(0)) - b2 / F.nullif(n2, F.lit(0))) < z * spread)
-        merged = (F.col("children") > fanout) | ((F.least("n", n2) >= enough) & F.coalesce(alike, F.lit(True)))
-        step = child.join(parent, ["host", "template"]).select("host", "template", "segment", F.when(merged, F.lit("?")).otherwise(F.col("segment")).alias("to"))
-        tree = here.join(step, ["host", "template", "segment"], "left")
-        tree = stored(tree.select("host", "raw", "labelled", "bad", F.when(F.col("to").isNotNull(), F.concat("template", F.lit("/"), "to")).otherwise(F.col("template")).alias("template")))
+        merged = (F.least("n", n2) >= enough) & F.coalesce(alike, F.lit(True))
+        step = child.drop("paths").join(parent, ["host", "template"]).select("host", "template", "segment", (F.col("paths") == 1).alias("alone"), F.when(merged, F.lit("?")).otherwise(F.col("segment")).alias("to"))
+        to = F.when(F.col("alone"), F.array_join(F.slice("raw", F.lit(level + 1), F.size("raw")), "/")).otherwise(F.col("to"))
+        going = ~F.col("alone") & (F.size("raw") > level + 1)
+        walked = stored(here.join(step, ["host", "template", "segment"]).select("host", "raw", "labelled", "bad", F.concat("template", F.lit("/"), to).alias("template"), going.alias("going")))
+        ended.append(walked.where("not going").drop("going"))
+        here, level = walked.where("going").drop("going"), level + 1
+    tree = reduce(DataFrame.unionByName, ended, here)
 
     branch = tree.groupBy("host", F.get("raw", F.lit(0)).alias("segment")).agg(F.sum("bad").alias("b"), F.sum("labelled").alias("n"))
     rate = F.coalesce(F.sum(F.col("b") / F.nullif("n", F.lit(0))), F.lit(0.0))

@@ -208,3 +208,18 @@ def test_branches_merge_on_evidence_only(spark):
     half = [("block", "c.com", f"/{s}/p{d}") for s in ("en", "fr") for d in (1, 2)] + [("allow", "c.com", f"/{s}/p{d}") for s in ("en", "fr") for d in (0, 3)]
     found = {r.path: r.template.split("/")[1] for r in urls.judge(pages, half).collect()}
     assert found["/en/p9"] == found["/fr/p9"] == "?" and found["/de/p9"] == "de"
+
+
+def test_many_and_deep_branches_keep_their_own_verdicts(spark):
+    rules = [("block", "a.com", "/s0/"), *(("allow", "a.com", f"/s{i}/") for i in range(1, 30)), ("block", "a.com", "/d/1/2x/3x/4x/5x/bad/"), ("allow", "a.com", "/d/1/2x/3x/4x/5x/good/")]
+    rows = [f"http://a.com/s{i}/{j}" for i in range(40) for j in range(12)] + [f"http://a.com/d/1/2x/3x/4x/5x/{s}/q/r/{j}" for s in ("bad", "good", "else") for j in range(12)]
+    rows += ["http://a.com/" + "/".join(f"t{i}" for i in range(300)), "http://a.com", "http://a.com/"]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    found = {r.path: r for r in urls.judge(pages, rules).collect()}
+    assert len(found) == len(rows)
+    first = {p: r.template.split("/")[1] for p, r in found.items()}
+    assert first["/s0/1"] == "s0" and first["/s1/1"] == first["/s29/1"] == "?" and first["/s39/1"] == "s39"
+    assert found["/s0/1"].purity > 0.5 and all(found[f"/s{i}/1"].purity < 0.5 for i in range(1, 40))
+    deep = {s: found[f"/d/1/2x/3x/4x/5x/{s}/q/r/1"] for s in ("bad", "good", "else")}
+    assert [deep[s].template.split("/")[7] for s in deep] == list(deep) and deep["else"].verdict == "allow"
+    assert found["/" + "/".join(f"t{i}" for i in range(300))].template.endswith("/t299") and found["/"].template == "/"
