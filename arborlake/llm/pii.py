@@ -1,7 +1,7 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust the score.
 
 Base kinds (email, ip, card, phone) are confirmed by their own rule (parts, Luhn, digit counts) and
-always stay; the added kinds iban (mod 97) and ssn need a score of at least `threshold`, which starts
+always stay; the added kinds iban (its country's length, mod 97) and ssn need a score of at least `threshold`, which starts
 at the kind's prior and rises with words like "account" within `CONTEXT_CHARS` before the span.
 
 Defined results: null text is empty and has no spans; repeated rows and null doc_ids keep a row each;
@@ -35,10 +35,21 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_NEXT = re.compile(r"\x20?[A-Z0-9]")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[a-z]+")
 
+#: Lengths of IBANs by country: the registry's, and those in use in countries outside it.
+IBAN_LENGTHS = {
+    c: n for n, every in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+        28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items() for c in every.split()
+}
+
 
 def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
@@ -71,6 +82,32 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Of each start, the ending at its country's length; beside those, of other codes the longest of 15 to 34 characters that confirms."""
+    known, other = [], []
+    for m in _IBAN.finditer(text):
+        length, ends, at = IBAN_LENGTHS.get(m[0][:2]), [], m.end()
+        for n in range(5, (length or 34) + 1):
+            following = _IBAN_NEXT.match(text, at)
+            if not following:
+                break
+            at = following.end()
+            if n >= (length or 15) and not _ALNUM.match(text, at):
+                ends.append(at)
+        for at in reversed(ends):
+            found = known if length else other
+            if (not found or m.start() >= found[-1][1]) and mod97(text[m.start() : at]):
+                found.append((m.start(), at))
+                break
+    i, out = 0, list(known)
+    for a, b in other:
+        while i < len(known) and known[i][1] <= a:
+            i += 1
+        if i == len(known) or known[i][0] >= b:
+            out.append((a, b))
+    return out
+
+
 def proposals(text: str) -> Iterator[tuple[int, int, int]]:
     """(start, kind index, end) of confirmed spans of every kind, before context is seen."""
     for a, b in _emails(text):
@@ -88,9 +125,8 @@ def proposals(text: str) -> Iterator[tuple[int, int, int]]:
         for m in _PHONE.finditer(text):
             if 10 <= len(digits_of(m[0])) <= 15:
                 yield m.start(), 3, m.end()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield m.start(), 4, m.end()
+    for a, b in _ibans(text):
+        yield a, 4, b
     if "-" in text:
         for m in _SSN.finditer(text):
             yield m.start(), 5, m.end()

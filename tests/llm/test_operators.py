@@ -60,6 +60,21 @@ def test_iban_needs_its_check_digits():
     assert not [x for x in pii.spans("iban GB83 WEST 1234 5698 7654 32 now") if x[1] == 4]
 
 
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"])
+@pytest.mark.parametrize("after", ["", " now", " BIC COBADEFFXXX", " 2026-01-05", " I paid", " 7", ", OK", ".", " AB12 3456 7890 1234"])
+def test_iban_ends_before_what_follows(iban, after):
+    for before in ("IBAN ", "KTO AB12 ", "AB12 34 CD56 "):
+        found = [x[:3] for x in pii.spans(before + iban + after) if x[1] == 4]
+        assert found == [(len(before), 4, len(before + iban))]
+        assert pii.redacted(before + iban + after).find(iban) < 0
+    assert not [x for x in pii.spans(f"IBAN {iban}X{after}") if x[1] == 4]
+
+
+def test_iban_of_an_unregistered_code_ends_where_it_confirms():
+    text = "IBAN XX42 1234 5678 9012 34 BIC ABCDEFGH"
+    assert [x[:3] for x in pii.spans(text) if x[1] == 4] == [(5, 4, 27)]
+
+
 @pytest.mark.parametrize("payload", [bytes(64), bytes(range(256)), os.urandom(6400), b"\xff" * 640, bytes(64 * 8200)])
 def test_jpeg_round_trip(payload):
     data, back, at = jpeg.encode(payload), b"", 0
