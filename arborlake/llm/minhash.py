@@ -12,8 +12,9 @@ miss rate below), and each component then emits a spanning forest of links confi
 Groups beyond a tile's size are compared tile against tile, so no task holds a whole group, and
 buckets beyond `refine_over` members are split by the other bands that their members share.
 
-Chances: `bands` is chosen so that a pair exactly at the threshold misses all bands with probability
-at most 1e-6; the sketch comparison rejects it beyond 5.5 standard deviations. Shingles are 64-bit
+Chances: `bands` is chosen so that a pair exactly at the threshold shares fewer than two bands with
+probability at most 1e-6, as members of a bucket beyond `refine_over` meet only where they share a second
+one; in smaller buckets one is enough, and the chance of none is below 1e-7. The sketch comparison rejects it beyond 5.5 standard deviations. Shingles are 64-bit
 hashes of their words.
 
 Defined results: null or wordless texts have no shingles and link with nothing; fewer words than a
@@ -83,7 +84,11 @@ def band_keys(table: np.ndarray, rows: int = ROWS_PER_BAND) -> np.ndarray:
 
 
 def bands_for(threshold: float, rows: int = ROWS_PER_BAND, miss: float = 1e-6) -> int:
-    return math.ceil(math.log(miss) / math.log(1 - threshold**rows))
+    """The least number of bands of which a pair at the threshold shares fewer than two with probability at most `miss`."""
+    p, n = threshold**rows, 2
+    while (1 - p) ** n + n * p * (1 - p) ** (n - 1) > miss:
+        n += 1
+    return n
 
 
 def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100, width: int = 5, refine_over: int = 4096, tile_rows: int = TILE_ROWS) -> DataFrame:

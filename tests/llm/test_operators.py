@@ -238,3 +238,16 @@ def test_many_and_deep_branches_keep_their_own_verdicts(spark):
     deep = {s: found[f"/d/1/2x/3x/4x/5x/{s}/q/r/1"] for s in ("bad", "good", "else")}
     assert [deep[s].template.split("/")[7] for s in deep] == list(deep) and deep["else"].verdict == "allow"
     assert found["/" + "/".join(f"t{i}" for i in range(300))].template.endswith("/t299") and found["/"].template == "/"
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_pairs_share_two_bands(threshold):
+    """Buckets beyond `refine_over` ask for two."""
+    n, p = minhash.bands_for(threshold), threshold**minhash.ROWS_PER_BAND
+    assert (1 - p) ** n + n * p * (1 - p) ** (n - 1) <= 1e-6 and (1 - p) ** n <= 1e-7
+
+
+def test_large_buckets_equal_small_ones(spark):
+    docs = documents(spark, SF)
+    found = [sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, refine_over=n).collect()) for n in (1, 4096)]
+    assert found[0] == found[1]
