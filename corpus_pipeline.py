@@ -5,21 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from arborlake.llm import common, minhash, mixing, packing, pii, quality
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written so that it stays the same."""
+    return common.stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """The rows with their number as doc_id: equal and null ids then stand for a row each."""
+    return rows.withColumn("doc_id", F.col("_row")).drop("_row")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier rejects; labels come from the labelled rows still there."""
+    """Drops the rows that the classifier rejects; labels come from the labelled rows still there."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    good = quality.score(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, docs.doc_id.eqNullSafe(good.doc_id), "left_semi")
+    rows = numbered(docs)
+    good = quality.score(by_row(rows), model).where("predicted = 1").select(F.col("doc_id").alias("_row"))
+    return rows.join(good, "_row", "left_semi").select(*docs.columns)
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, that of least doc_id."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near-duplicates, that of least doc_id; null is after all others."""
+    rows = numbered(docs)
+    found = minhash.near_duplicates(by_row(rows)).select(F.col("doc_id").alias("_row"), "component_id")
+    several = common.stored(found.join(found.where("component_id <> _row").select("component_id").distinct(), "component_id"))
+    ranked = rows.select("_row", "doc_id").join(several, "_row").withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    first = ranked.groupBy("component_id").agg(F.min("rank").alias("first"))
+    gone = several.join(first.select(F.col("first._row").alias("_row")), "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

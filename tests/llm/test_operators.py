@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from arborlake.llm import ann, hmm, jpeg, minhash, mixing, packing, pii, quality, substring, urls
 from arborlake.llm.common import documents, remainder
 from arborlake.llm.queries import op6_urls
@@ -251,3 +252,23 @@ def test_large_buckets_equal_small_ones(spark):
     docs = documents(spark, SF)
     found = [sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, refine_over=n).collect()) for n in (1, 4096)]
     assert found[0] == found[1]
+
+
+def test_pipeline_stages_decide_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, b), (1, a), (1, a), (2, a + " more"), (None, a), (None, c), (None, c), (3, b), (3, c), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    kept = corpus_pipeline.keep_first_copies(spark, docs, SF).select(*docs.columns)
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, a), (3, b), (3, c), (4, ""), (0, "")])
+    assert kept.columns == docs.columns
+    docs = documents(spark, SF).limit(40)
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    same = docs.withColumn("doc_id", F.lit(7).cast("long"))
+    good = {r.doc_id for r in quality.score(docs, model).where("predicted = 1").collect()}
+    expected = sorted(r.text or "" for r in docs.collect() if r.doc_id in good)
+    fit, quality.fit = quality.fit, lambda *_: model
+    try:
+        found = sorted(r.text or "" for r in corpus_pipeline.keep_quality(spark, same, SF).collect())
+    finally:
+        quality.fit = fit
+    assert found == expected and 0 < len(found) < 40
