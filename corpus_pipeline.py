@@ -59,7 +59,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Training, sketching and the linear program have no SQL form; tests hold the stages against brute force.
+#: Training, sketching and the linear program have no SQL form; README lists which stages tests hold against brute force.
 ORACLE_SQL: str | None = None
 
 
