@@ -1,16 +1,20 @@
 """Nearest neighbours by largest inner product, by collision-counting hashing.
 
-Vectors are extended by one component to equal norm, which turns inner products into distances. Each
-block of candidates keeps one sorted array for each of `projections` random directions. A query's
-windows, centred on its own projections, grow by the factor `growth` (virtual rehashing: only the new
-rings are counted) until at least max(k, verify * block) candidates collide in `share` of the
-directions; all that do are verified by their exact inner product on the original vectors, and the
+Vectors are dealt to blocks of similar norm. Within a block they are extended by one component to equal
+norm, which turns inner products into distances, and each of `projections` random directions keeps one
+sorted array of them. A query's windows, centred on its own projections, grow ring by ring (virtual
+rehashing: only the new rings are counted) until at least k + max(20 k, `verify` * block) vectors collide in `share`
+of the directions; all of those are verified by their exact inner product on the original vectors. The
 blocks' best k meet in one ranking.
 
-Query blocks meet candidate blocks, so no task holds all of either. Defined results: null, zero or
-non-finite vectors, null ids and vectors of another length than the longest take no part; rows that
-share a vec_id are candidates each, but never of their own id; an id given twice is asked once (its
-least vector); other columns are ignored; an empty table gives an empty table.
+Blocks hold up to `block` vectors and queries come in blocks too, so no task holds all of either; a
+candidate is copied once for each `query_block` queries. Each query meets every block: its windows cover a
+share of a block, so work grows as queries times vectors, with a small constant.
+
+Defined results: null, zero or non-finite vectors and null ids take no part, nor do vectors of another
+length than the commonest (the longer of equally common ones); rows that share a vec_id are candidates
+each, but never of their own id; an id given twice is asked once (its least vector); ties go to the
+smaller vec_id; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,66 +27,85 @@ from pyspark.sql import functions as F
 
 from arborlake.llm.common import stored
 
-BLOCK, QUERY_BLOCK, PROJECTIONS = 8192, 2048, 64
+BLOCK, QUERY_BLOCK, PROJECTIONS = 8192, 16384, 64
+#: Growth of the windows from ring to ring, and queries whose window bounds are computed together.
+GROWTH, CHUNK = 1.15, 256
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, top_norm: float, k: int, verify: float, share: float, growth: float, projections: int, seed: int = 5) -> list[tuple[int, int, float]]:
-    """(query, id, inner product) of the best k of one block for each query."""
+def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, verify: float, share: float, projections: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries, ids, inner products) of the best k of one block for each query."""
     n, d = x.shape
+    need, limit = min(n, k + 1 + max(20 * k, int(verify * n))), int(np.ceil(share * projections))
     axes = np.random.default_rng(seed).normal(size=(projections, d + 1))
-    tail = np.sqrt(np.maximum(top_norm**2 - np.einsum("ij,ij->i", x, x), 0))
-    hx = np.einsum("ij,kj->ki", x, axes[:, :d]) + axes[:, d:] * tail
-    # Scaling a query changes no ranking; at the common norm its distances are the smallest.
-    scale = top_norm / np.sqrt(np.einsum("ij,ij->i", q, q))
-    hq = np.einsum("ij,kj->ki", q * scale[:, None], axes[:, :d])
-    order = hx.argsort(axis=1, kind="stable")
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        square = np.einsum("ij,ij->i", x, x)
+        top = np.sqrt(square.max())
+        tail = np.sqrt(np.maximum(top**2 - square, 0))
+        hx = np.einsum("ij,kj->ki", x, axes[:, :d]) + axes[:, d:] * tail
+        # Scaling a query changes no ranking; at the common norm its distances are the smallest.
+        hq = np.einsum("ij,kj->ik", q * (top / np.sqrt(np.einsum("ij,ij->i", q, q)))[:, None], axes[:, :d])
+    everything = need == n or not (np.isfinite(hx).all() and np.isfinite(hq).all() and top > 0)
+    order = hx.argsort(axis=1, kind="stable").astype(np.int32)
     keys = np.take_along_axis(hx, order, axis=1)
-    need, limit = min(n, max(k + 1, int(np.ceil(verify * n)))), int(np.ceil(share * projections))
-    out = []
-    for i in range(len(q)):
-        counts = np.zeros(n, np.int16)
-        lo = np.array([np.searchsorted(keys[j], hq[j, i]) for j in range(projections)])
-        hi, width = lo.copy(), 0.25 * top_norm
-        while True:
-            for j in range(projections):
-                a, b = np.searchsorted(keys[j], (hq[j, i] - width, hq[j, i] + width))
-                counts[order[j, a : lo[j]]] += 1
-                counts[order[j, hi[j] : b]] += 1
-                lo[j], hi[j] = min(a, lo[j]), max(b, hi[j])
-            found = np.flatnonzero(counts >= limit)
-            if len(found) >= need:
-                break
-            width *= growth
-        found = found[ids[found] != qids[i]]
-        score = np.einsum("ij,j->i", x[found], q[i])
-        best = np.lexsort((ids[found], -score))[:k]
-        out += [(int(qids[i]), int(ids[found[b]]), float(score[b])) for b in best]
-    return out
+    flat, base = order.ravel(), np.arange(projections) * n
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for start in range(0, len(q), CHUNK):
+        some = slice(start, min(len(q), start + CHUNK))
+        width, ring = 0.5 * top, np.arange(some.stop - some.start)
+        counts = np.zeros((len(ring), n), np.uint8 if projections < 256 else np.int16)
+        lo = hi = None
+        while len(ring) and not everything:
+            a = np.stack([np.searchsorted(keys[j], hq[some, j][ring] - width, "left") for j in range(projections)], axis=1)
+            b = np.stack([np.searchsorted(keys[j], hq[some, j][ring] + width, "right") for j in range(projections)], axis=1)
+            more = np.zeros(len(ring), bool)
+            for i, row in enumerate(ring):
+                if lo is None:
+                    parts = [flat[s + f : s + t] for s, f, t in zip(base, a[i], b[i])]
+                else:
+                    parts = [flat[s + f : s + t] for s, f, t in zip(base, a[i], lo[i])] + [flat[s + f : s + t] for s, f, t in zip(base, hi[i], b[i])]
+                counts[row] += np.bincount(np.concatenate(parts), minlength=n).astype(counts.dtype)
+                more[i] = np.count_nonzero(counts[row] >= limit) < need
+            ring, lo, hi, width = ring[more], a[more], b[more], width * GROWTH
+        # So many are verified that one product of the chunk is cheaper than gathering each query's own.
+        product = np.einsum("ij,kj->ik", q[some], x)
+        for i in range(some.stop - some.start):
+            at = np.flatnonzero((counts[i] >= limit if not everything else True) & (ids != qids[start + i]))
+            score = product[i, at]
+            if len(at) > k:
+                close = score >= np.partition(score, len(at) - k)[len(at) - k]
+                at, score = at[close], score[close]
+            best = np.lexsort((ids[at], -score))[:k]
+            found.append((np.full(len(best), qids[start + i]), ids[at[best]], score[best]))
+    return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def nearest(vectors: DataFrame, asked, k: int = 20, verify: float = 0.5, share: float = 0.5, growth: float = 1.4, projections: int = PROJECTIONS, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, asked, k: int = 20, verify: float = 0.5, share: float = 0.25, projections: int = PROJECTIONS, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score. `asked` is a condition on vec_id that tells the queries."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = stored(rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda c: c != 0)))
     square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)
-    sizes = rows.agg(F.max(F.size("v")).alias("d")).first()
-    rows = rows.where(F.size("v") == (sizes["d"] or 0))
+    # Norms differ by at most a fifth within a class; a double's exponents bound the classes.
+    norm = F.coalesce(F.floor(2 * F.log2(F.least(square, F.lit(1e308)))), F.lit(-9999)).cast("int")
+    rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda c: c != 0))
+    rows = stored(rows.withColumns({"d": F.size("v"), "norm": norm}))
+    lengths = rows.groupBy("d").count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
+    rows = rows.where(F.col("d") == (lengths[0]["d"] if lengths else 0)).drop("d")
+    classes = [(r["norm"], -(-r["count"] // block)) for r in rows.groupBy("norm").count().orderBy("norm").collect()]
+    first = np.cumsum([0, *(n for _, n in classes)]).tolist()
+    blocks = max(1, first[-1])
+    dealt = vectors.sparkSession.createDataFrame([(c, n, f) for (c, n), f in zip(classes, first)], "norm int, n int, f int")
     asking = rows.where(asked).groupBy("vec_id").agg(F.min("v").alias("v"))
-    known = rows.agg(F.count("*").alias("n"), F.max(square).alias("m")).first()
-    blocks, query_blocks = max(1, -(-known["n"] // block)), max(1, -(-asking.count() // query_block))
-    top_norm = float(np.sqrt(known["m"] or 0.0))
+    query_blocks = max(1, -(-asking.count() // query_block))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    mine = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n)).cast("int")
-    left = rows.select(mine(blocks).alias("b"), every(query_blocks).alias("qb"), "vec_id", "v")
-    right = asking.select(every(blocks).alias("b"), mine(query_blocks).alias("qb"), "vec_id", "v")
+    mine = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(3)), n).cast("int")
+    left = rows.join(F.broadcast(dealt), "norm").select((F.col("f") + mine(F.col("n"))).alias("b"), every(query_blocks).alias("qb"), "vec_id", "v")
+    right = asking.select(every(blocks).alias("b"), mine(F.lit(query_blocks)).alias("qb"), F.col("vec_id").alias("id"), "v")
 
     def tile(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, float]] = []
+        q, i, s = (), (), ()
         if candidates.num_rows and queries.num_rows:
-            flat = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-            found = search_block(candidates.column("vec_id").to_numpy(), flat(candidates), queries.column("vec_id").to_numpy(), flat(queries), top_norm, k, verify, share, growth, projections)
-        q, i, s = zip(*found) if found else ((), (), ())
+            plain = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+            q, i, s = search_block(candidates.column("vec_id").to_numpy(), plain(candidates), queries.column("id").to_numpy(), plain(queries), k, verify, share, projections)
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
 
     near = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(tile, "query_id long, vec_id long, score double")
