@@ -34,6 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; where unset (tests), one of our own."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: executors share no folder")
         folder = getattr(spark, "_arborlake_scratch", None)
         if folder is None:
             folder = spark._arborlake_scratch = "file://" + tempfile.mkdtemp(prefix="arborlake-")
