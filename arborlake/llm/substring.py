@@ -3,7 +3,7 @@
 A text is cut into sentences (after . ! ? or a line break, with the white space that follows). A run is the
 least number of consecutive sentences that hold `min_words` words, forward from a sentence or back from one;
 so runs cover every sentence of any repeated sequence of whole sentences with that many words together, be
-they many short ones or a single long one. Runs are hashed over their lower-cased words and meet by hash over
+they many short ones or a single long one. Runs are hashed (128 bits) over their lower-cased words and meet by hash over
 all documents, and sentences covered by any run that is not the first of its hash, by (doc_id, position), are
 removed. Sequences of fewer words stay, and so do the parts of sentences at a repeated passage's ends.
 
@@ -35,7 +35,7 @@ def sentences(text: str) -> list[str]:
     return [x for x in _SENTENCE.findall(text) if x]
 
 
-def runs(text: str | None, min_words: int) -> list[tuple[int, int, int]]:
+def runs(text: str | None, min_words: int) -> list[tuple[int, int, bytes]]:
     """(first sentence, sentences, hash) of every run; the pieces without words belong to no run."""
     words = [w for x in sentences(text or "") if (w := x.lower().split())]
     at = [0, *accumulate(map(len, words))]
@@ -43,7 +43,7 @@ def runs(text: str | None, min_words: int) -> list[tuple[int, int, int]]:
     ends = [(a, bisect_left(at, at[a] + min_words)) for a in range(len(words))]
     starts = [(bisect_right(at, at[b] - min_words) - 1, b) for b in range(1, len(words) + 1)]
     every = {(a, b) for a, b in ends if b < len(at)} | {(a, b) for a, b in starts if a >= 0}
-    return [(a, b - a, xxhash.xxh3_64_intdigest(" ".join(flat[at[a] : at[b]])) - (1 << 63)) for a, b in sorted(every)]
+    return [(a, b - a, xxhash.xxh3_128_digest(" ".join(flat[at[a] : at[b]]))) for a, b in sorted(every)]
 
 
 def without(text: str, later: list[tuple[int, int]]) -> tuple[str, int]:
@@ -61,9 +61,9 @@ def dedup(docs: DataFrame, min_words: int = 20) -> DataFrame:
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [(d, *x) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if d is not None for x in runs(t, min_words)]
         d, a, n, h = zip(*found) if found else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64())], names=["doc_id", "start", "length", "hash"])
+        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.binary())], names=["doc_id", "start", "length", "hash"])
 
-    found = stored(docs.mapInArrow(per_batch(step, size_of="text"), "doc_id long, start int, length int, hash long"))
+    found = stored(docs.mapInArrow(per_batch(step, size_of="text"), "doc_id long, start int, length int, hash binary"))
     first = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("hash", "first")
     later = found.join(first, "hash").where(F.struct("doc_id", "start") > F.col("first"))
     gone = later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "length")).alias("later"))
