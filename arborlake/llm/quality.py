@@ -137,18 +137,39 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     return train(pairs, np.array(table.column("quality").to_pylist(), np.float64))
 
 
+def _scorer(docs: DataFrame, model: Model):
+    """A function from texts and n_chars to scores; the model sent is of fixed size."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.w0, model.w.astype(np.float32), model.v.astype(np.float32)))
+
+    def scores(text: pa.Array, n_chars: list[int | None]) -> np.ndarray:
+        if not len(text):
+            return np.zeros(0)
+        found = [features(t, n) for t, n in zip(texts(text), n_chars)]
+        sizes = np.array([len(i) for i, _ in found])
+        margin, _ = margins(Model(*sent.value), np.concatenate([i for i, _ in found]), np.concatenate([v for _, v in found]), np.cumsum(sizes) - sizes)
+        return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+
+    return scores
+
+
 def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
     """doc_id, score, predicted: a row for each row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.w0, model.w.astype(np.float32), model.v.astype(np.float32)))  # of fixed size
+    scores = _scorer(docs, model)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not batch.num_rows:
-            values = np.zeros(0)
-        else:
-            found = [features(t, n) for t, n in zip(texts(batch.column("text")), batch.column("n_chars").to_pylist())]
-            sizes = np.array([len(i) for i, _ in found])
-            margin, _ = margins(Model(*sent.value), np.concatenate([i for i, _ in found]), np.concatenate([v for _, v in found]), np.cumsum(sizes) - sizes)
-            values = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+        values = scores(batch.column("text"), batch.column("n_chars").to_pylist())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.float64()), pa.array((values >= keep).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return _inputs(docs).mapInArrow(per_batch(step, size_of="text"), "doc_id long, score double, predicted int")
+
+
+def kept(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
+    """The rows of docs that score at least `keep`, with all their columns; each row decides for itself, so nothing is shuffled."""
+    scores = _scorer(docs, model)
+    i, j = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n_chars = [None] * batch.num_rows if j is None else batch.column(j).cast(pa.int64()).to_pylist()
+        return batch.filter(pa.array(scores(batch.column(i).cast(pa.string()), n_chars) >= keep, pa.bool_()))
+
+    return docs.mapInArrow(per_batch(step, size_of="text"), docs.schema)
