@@ -21,11 +21,11 @@ def by_row(rows: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the rows that the classifier rejects; labels come from the labelled rows still there."""
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = numbered(docs)
-    good = quality.score(by_row(rows), model).where("predicted = 1").select(F.col("doc_id").alias("_row"))
-    return rows.join(good, "_row", "left_semi").select(*docs.columns)
+    """Drops the rows that the classifier rejects; labels come from the labelled rows still there.
+
+    Null and empty texts are scored like others; a table without labelled rows keeps all rows; other columns pass through.
+    """
+    return quality.kept(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
