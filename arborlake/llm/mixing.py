@@ -1,24 +1,26 @@
 """Mixing sources to target weights: hierarchical budgets over a domain-language-source tree.
 
-The total budget (all tokens times `share`) flows down by weights (equal where none is given). A leaf
-offers its tokens times `max_epochs`. What a node cannot use is shared among its siblings first, by
-weight, and only what they cannot use goes up to the ancestors; since a node's offer is the sum of
-its leaves', filling each level against the children's offers does exactly that. Each leaf then takes
-whole epochs and a token prefix of one more, in a seeded order: documents while the tokens before
-them stay below the budget, so a leaf overshoots by less than one document.
-
-The tree (one row a leaf) comes to the driver: its size is the number of distinct (domain, lang,
-source), checked against `max_leaves`. Prefix sums are computed by seeded hash slot: slots are summed
-first, then rows within (leaf, slot), so a hot leaf is not one task.
-
-Defined results: a null lang or source is a leaf of its own; null and empty texts have no tokens and
-are taken with the first epoch of a budget above 0; repeated rows are separate; an empty table gives
-an empty table. Tokens are white-space words.
+The total budget (all tokens times `share`) flows down by weights (1 where none is given). A leaf offers
+its tokens times `max_epochs`, a node the sum of its leaves' offers. What a node cannot use is shared among
+its siblings first, by weight; only what they cannot use either stays with the ancestors, which have already
+filled against the sums. Each leaf then takes whole epochs, and of one more epoch a token prefix in an order
+seeded by that epoch's number: documents while the tokens before them stay below the rest of the budget, so
+a leaf overshoots by less than one document (or the rows equal to it).
+
+Filling a level is a water level: children sorted by offer for each weight are full as long as their offers
+and an equal level for the others fit. So each level is one window over siblings, and no tree comes to the
+driver. A prefix ends at a key: token sums by (leaf, key slot) tell the slot, and only that slot's rows are
+ordered. Rows are then taken by comparing keys, and no text is shuffled unless the leaves outgrow a broadcast.
+
+Defined results: a null lang or source is a leaf of its own, and a source without a number has domain
+"other"; null and empty texts have no tokens, and are taken when their key lies in the prefix; rows equal
+in doc_id and text share their key and go together; columns besides doc_id, text, lang and source pass
+through untouched, whatever their names; an empty table gives an empty table. Tokens are white-space words.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,92 +29,116 @@ from pyspark.sql import functions as F
 from arborlake.llm.common import stored
 
 LEAF = ("domain", "lang", "source")
+#: Names from the root down to a node; weights are by path.
 Path = tuple[str | None, ...]
-
-
-def fill(total: float, offers: dict[Path, float], weights: dict[Path, float]) -> dict[Path, float]:
-    """Shares `total` by weight; what a child cannot use goes to its siblings, by weight."""
-    out = dict.fromkeys(offers, 0.0)
-    open_ = {k for k in offers if offers[k] > 0 and weights[k] > 0}
-    while open_ and total > 1e-9:
-        whole = sum(weights[k] for k in open_)
-        level = min((offers[k] - out[k]) / weights[k] for k in open_)
-        step = min(level, total / whole)
-        for k in open_:
-            out[k] += step * weights[k]
-        total -= step * whole
-        open_ = {k for k in open_ if offers[k] - out[k] > 1e-9 * max(1.0, offers[k])}
-    return out
-
-
-def budgets(offers: dict[Path, float], total: float, weights: dict[Path, float] | None = None) -> dict[Path, float]:
-    """Each leaf's tokens. `weights` are by path from the root; a missing one is 1."""
-    weights = weights or {}
-    sums: dict[Path, float] = defaultdict(float)
-    children: dict[Path, set[Path]] = defaultdict(set)
-    for leaf, offer in offers.items():
-        for d in range(len(leaf) + 1):
-            sums[leaf[:d]] += offer
-            if d:
-                children[leaf[: d - 1]].add(leaf[:d])
-
-    def down(node: Path, amount: float) -> dict[Path, float]:
-        if node not in children:
-            return {node: amount}
-        kids = sorted(children[node], key=str)
-        given = fill(amount, {k: sums[k] for k in kids}, {k: weights.get(k, 1.0) for k in kids})
-        return {leaf: x for k in kids for leaf, x in down(k, given[k]).items()}
-
-    return down((), min(total, sums[()])) if offers else {}
+#: The domain of a source by its number modulo their count.
+DOMAINS = ("web", "books", "code", "talk")
+SLOTS = 4096
 
 
 def domain_of(source: Column) -> Column:
-    """The top of the tree: the source's name without its number."""
-    return F.regexp_replace(source, r"[0-9]+\z", "")
-
-
-def planned(docs: DataFrame, weights: dict[Path, float] | None, share: float, max_epochs: int, seed: int, slots: int, max_leaves: int) -> DataFrame:
-    """docs with struct `_m`: domain, tokens, before (its leaf's tokens before it), whole (the leaf's) and budget."""
-    words = F.size(F.array_remove(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), ""))
-    names = ("_domain", "_lang", "_source", "_slot")
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    rows = docs.withColumns({"_domain": domain_of(F.col("source")), "_lang": F.col("lang"), "_source": F.col("source"), "_tokens": words.cast("long"), "_key": key}).withColumn("_slot", F.shiftright(F.col("_key"), 56).cast("int"))
-    if slots != 256:
-        rows = rows.withColumn("_slot", F.floor((F.col("_slot") + 128) * slots / 256).cast("int"))
-    rows = stored(rows)
-    sums = stored(rows.groupBy(*names).agg(F.sum("_tokens").alias("_in")))
-    leaves = sums.groupBy(*names[:3]).agg(F.sum("_in").alias("n")).limit(max_leaves + 1).collect()
-    if len(leaves) > max_leaves:
-        raise ValueError(f"more than {max_leaves} leaves")
-    offers = {tuple(r[:3]): float(r["n"] * max_epochs) for r in leaves}
-    given = budgets(offers, share * sum(r["n"] for r in leaves), weights)
-    plan = docs.sparkSession.createDataFrame([(*leaf, x) for leaf, x in given.items()], "_d string, _l string, _s string, _budget double")
-    ahead = W.partitionBy(*names[:3]).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)  # at most `slots` rows a leaf
-    sums = sums.select(*names, F.coalesce(F.sum("_in").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_in").over(W.partitionBy(*names[:3])).alias("_whole"))
-    sums = sums.join(F.broadcast(plan), [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(names, ("_d", "_l", "_s"))]).drop("_d", "_l", "_s")
-    sums = sums.select(*(F.col(c).alias(c + "2") for c in names), "_ahead", "_whole", "_budget")
-    within = W.partitionBy(*names).orderBy("_key", "doc_id", "_tokens").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum("_tokens").over(within), F.lit(0)))
-    rows = rows.join(sums, [F.col(c).eqNullSafe(F.col(c + "2")) for c in names])
-    found = F.struct(F.col("_domain").alias("domain"), F.col("_tokens").alias("tokens"), (F.col("_before") + F.col("_ahead")).alias("before"), F.col("_whole").alias("whole"), F.col("_budget").alias("budget"))
-    return rows.select(*docs.columns, found.alias("_m"))
-
-
-def copies(m: str = "_m") -> Column:
-    """How often a document is taken: once for each epoch whose prefix reaches it."""
-    whole, rest = F.col(f"{m}.whole"), F.col(f"{m}.budget")
-    full = F.floor(rest / F.greatest(whole, F.lit(1)) + 1e-9)
-    return (full + F.when(F.col(f"{m}.before") < rest - full * whole - 1e-6, 1).otherwise(0)).cast("int")
-
-
-def mix(docs: DataFrame, weights: dict[Path, float] | None = None, share: float = 1.0, max_epochs: int = 2, seed: int = 11, slots: int = 256, max_leaves: int = 100_000) -> DataFrame:
-    """docs with domain, tokens, epoch and taken: a row for each epoch that takes the document, or one with taken false."""
-    rows = planned(docs.select("doc_id", "text", "lang", "source"), weights, share, max_epochs, seed, slots, max_leaves)
-    rows = rows.withColumn("n", copies()).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.greatest("n", F.lit(1)))))
-    return rows.select("doc_id", F.col("_m.domain").alias("domain"), "lang", "source", "epoch", F.col("_m.tokens").alias("tokens"), (F.col("n") > 0).alias("taken"))
-
-
-def mixed(docs: DataFrame, weights: dict[Path, float] | None = None, share: float = 1.0, max_epochs: int = 2, seed: int = 11, slots: int = 256, max_leaves: int = 100_000) -> DataFrame:
+    """The top of the tree."""
+    number = F.regexp_extract(source, r"([0-9]{1,9})\z", 1)
+    return F.when(number.rlike("[0-9]"), F.element_at(F.array(*map(F.lit, DOMAINS)), (number.cast("int") % len(DOMAINS) + 1).cast("int"))).otherwise("other")
+
+
+def token_count(text: Column) -> Column:
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
+
+
+def document_key(doc_id: Column, text: Column) -> Column:
+    return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(text, F.lit(""))).cast("binary"))
+
+
+def epoch_key(document: Column, epoch: Column, seed: int) -> Column:
+    """60 bits, uniform, of another order for each epoch."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), document).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def weighted(nodes: DataFrame, depth: int, weights: dict[Path, float]) -> DataFrame:
+    """nodes with `w`: the weight of their path of `depth` names."""
+    given = [(*path, float(w)) for path, w in weights.items() if len(path) == depth]
+    if not given:
+        return nodes.withColumn("w", F.lit(1.0))
+    names = LEAF[:depth]
+    table = nodes.sparkSession.createDataFrame(given, ", ".join(f"_{n} string" for n in names) + ", _w double")
+    same = [F.col(n).eqNullSafe(F.col("_" + n)) for n in names]
+    return nodes.join(F.broadcast(table), same, "left").withColumn("w", F.coalesce("_w", F.lit(1.0))).drop("_w", *("_" + n for n in names))  # as many rows as the caller gave weights
+
+
+def filled(nodes: DataFrame, parents: tuple[str, ...]) -> DataFrame:
+    """nodes (offer, w, amount of their parent) with amount their own: the parent's, shared by weight up to the offers."""
+    siblings = W.partitionBy(*parents)
+    so_far = siblings.orderBy("ratio", "offer", *LEAF[len(parents) : len(parents) + 1]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    # Weightless nodes get nothing; among the others the node of least offer for its weight is full first.
+    nodes = nodes.withColumn("offer", F.when(F.col("w") > 0, F.col("offer")).otherwise(0.0)).withColumn("ratio", F.when(F.col("w") > 0, F.col("offer") / F.col("w")).otherwise(0.0))
+    nodes = nodes.withColumn("full", F.sum("offer").over(so_far) + F.col("ratio") * (F.sum("w").over(siblings) - F.sum("w").over(so_far)) <= F.col("amount"))
+    spent = F.sum(F.when(F.col("full"), F.col("offer")).otherwise(0.0)).over(siblings)
+    open_weight = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("w"))).over(siblings)
+    return nodes.withColumn("amount", F.when(F.col("full"), F.col("offer")).otherwise(F.least("offer", F.col("w") * (F.col("amount") - spent) / F.nullif(open_weight, F.lit(0.0))))).drop("ratio", "full")
+
+
+def budgets(leaves: DataFrame, weights: dict[Path, float], share: float, max_epochs: int) -> DataFrame:
+    """leaves (domain, lang, source, whole: tokens) with `amount`: their tokens of the mix."""
+    leaves = leaves.withColumn("offer", (F.col("whole") * max_epochs).cast("double"))
+    nodes = leaves.groupBy("domain").agg(F.sum("offer").alias("offer"), F.sum("whole").alias("whole"))
+    nodes = nodes.withColumn("amount", F.floor(F.sum("whole").over(W.partitionBy()) * share).cast("double"))
+    nodes = filled(weighted(nodes, 1, weights), ()).select("domain", F.col("amount").alias("given"))
+    below = leaves.groupBy("domain", "lang").agg(F.sum("offer").alias("offer")).join(nodes, "domain").withColumnRenamed("given", "amount")
+    below = filled(weighted(below, 2, weights), LEAF[:1]).select(F.col("domain").alias("_d"), F.col("lang").alias("_l"), "amount")
+    own = leaves.join(below, F.col("domain").eqNullSafe(F.col("_d")) & F.col("lang").eqNullSafe(F.col("_l"))).drop("_d", "_l")
+    return filled(weighted(own, 3, weights), LEAF[:2]).select(*LEAF, "whole", "amount")
+
+
+def planned(rows: DataFrame, weights: dict[Path, float], share: float, max_epochs: int, seed: int) -> DataFrame:
+    """For each leaf of `rows` (domain, lang, source, document, tokens): `full` epochs, and `cut`, the last key of the next one."""
+    leaves = stored(rows.groupBy(*LEAF).agg(F.sum("tokens").alias("whole")))
+    plan = stored(budgets(leaves, weights, share, max_epochs).withColumn("full", F.floor(F.col("amount") / F.greatest("whole", F.lit(1)) + 1e-9).cast("int")).withColumn("rest", F.col("amount") - F.col("full") * F.col("whole")))
+    names = [F.col(n).alias("_" + n) for n in LEAF]
+    same = [F.col(n).eqNullSafe(F.col("_" + n)) for n in LEAF]
+    open_ = plan.where("rest > 1e-6").select(*names, "full", "rest")
+    keyed = rows.join(open_, same).select(*LEAF, "rest", "tokens", epoch_key(F.col("document"), F.col("full") + 1, seed).alias("key"))
+    keyed = keyed.withColumn("slot", F.floor(F.col("key") / F.lit((1 << 60) // SLOTS)).cast("int"))
+    ahead = W.partitionBy(*LEAF).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)  # at most SLOTS rows a leaf
+    slots = keyed.groupBy(*LEAF, "slot", "rest").agg(F.sum("tokens").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    last = slots.where("ahead < rest").groupBy(*LEAF).agg(F.max("slot").alias("slot"), F.max_by("ahead", "slot").alias("ahead"))
+    last = last.select(*names, F.col("slot").alias("_slot"), "ahead")
+    inside = keyed.join(last, [*same, F.col("slot") == F.col("_slot")]).drop("_slot", *("_" + n for n in LEAF))
+    before = W.partitionBy(*LEAF).orderBy("key").rangeBetween(W.unboundedPreceding, -1)
+    cuts = inside.withColumn("before", F.col("ahead") + F.coalesce(F.sum("tokens").over(before), F.lit(0))).where("before < rest").groupBy(*LEAF).agg(F.max("key").alias("cut"))
+    cuts = cuts.select(*names, "cut")
+    return stored(plan.join(cuts, same, "left").select(*LEAF, "full", "cut"))
+
+
+def tallied(docs: DataFrame, domain: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, domain, lang, source, tokens, document: what the plan needs, without texts."""
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    return stored(docs.select("doc_id", domain(source).alias("domain"), F.col("lang").cast("string").alias("lang"), source.alias("source"), token_count(text).alias("tokens"), document_key(F.col("doc_id"), text).alias("document")))
+
+
+def copies(full: str, cut: str, key: Column) -> Column:
+    """How often a document is taken."""
+    return F.col(full) + F.when(key <= F.col(cut), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, weights: dict[Path, float] | None = None, share: float = 1.0, max_epochs: int = 2, seed: int = 11, domain: Callable[[Column], Column] = domain_of) -> DataFrame:
+    """doc_id, domain, lang, source, epoch, tokens, taken: a row for each epoch that takes the document, or one with taken false."""
+    rows = tallied(docs, domain)
+    plan = planned(rows, weights or {}, share, max_epochs, seed).select(*(F.col(n).alias("_" + n) for n in LEAF), "full", "cut")
+    rows = rows.join(plan, [F.col(n).eqNullSafe(F.col("_" + n)) for n in LEAF])
+    rows = rows.withColumn("n", copies("full", "cut", epoch_key(F.col("document"), F.col("full") + 1, seed)))
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.greatest("n", F.lit(1)))))
+    return rows.select("doc_id", *LEAF, "epoch", "tokens", (F.col("n") > 0).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: dict[Path, float] | None = None, share: float = 1.0, max_epochs: int = 2, seed: int = 11, domain: Callable[[Column], Column] = domain_of) -> DataFrame:
     """The documents that the mix takes, once for each epoch, with their own columns."""
-    rows = planned(docs, weights, share, max_epochs, seed, slots, max_leaves).withColumn("_n", copies()).where("_n > 0")
-    return rows.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    plan = planned(tallied(docs, domain), weights or {}, share, max_epochs, seed)
+    # All of a row travels as one struct, so no column name can clash.
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    source, lang = F.col("row.source").cast("string"), F.col("row.lang").cast("string")
+    same = domain(source).eqNullSafe(F.col("domain")) & lang.eqNullSafe(F.col("lang")) & source.eqNullSafe(F.col("source"))
+    rows = whole.join(plan, same)
+    key = epoch_key(document_key(F.col("row.doc_id"), F.col("row.text").cast("string")), F.col("full") + 1, seed)
+    rows = rows.select("row", F.explode(F.array_repeat(F.lit(1), copies("full", "cut", key))).alias("taken"))
+    return rows.select("row.*")

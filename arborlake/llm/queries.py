@@ -19,6 +19,14 @@ RULES: list[urls.Rule] = [
 ]
 
 
+#: Target weights of op3 by path: domains, languages of a domain, and sources that differ from their siblings.
+WEIGHTS: dict[mixing.Path, float] = {
+    ("web",): 3.0, ("books",): 4.0, ("code",): 1.0, ("talk",): 2.0,
+    **{(d, "en"): 4.0 for d in mixing.DOMAINS}, **{(d, "de"): 2.0 for d in mixing.DOMAINS},
+    ("web", "en", "src0"): 3.0, ("books", "de", "src1"): 0.5, ("talk", "fr", "src3"): 0.0,
+}
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), numerator=85)
 
@@ -34,7 +42,7 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "domain", "lang", "source", "epoch", "tokens", "taken")
+    return mixing.mix(documents(spark, sf_dir), WEIGHTS).select("doc_id", "domain", "lang", "source", "epoch", "tokens", "taken")
 
 
 def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +83,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": op10_minhash,
 }
 
-#: op10's components need a recursive closure over an all-pairs join; tests hold it against brute force.
-ORACLE: dict[str, str] = {}
+def _weights_sql(depth: int) -> str:
+    rows = [(*(f"'{n}'" for n in path), str(w)) for path, w in WEIGHTS.items() if len(path) == depth]
+    return "(VALUES " + ", ".join(f"({', '.join(r)})" for r in rows) + ") AS g(" + ", ".join([*("abc"[:depth]), "w"]) + ")"
+
+
+def _filled_sql(table: str, parents: str, name: str) -> str:
+    """A level of the tree: children in order of offer by weight are full while an equal level for the rest fits."""
+    by = f"PARTITION BY {parents}" if parents else ""
+    return f"""(SELECT * REPLACE (CASE WHEN sated THEN offer ELSE least(offer, w * (amount - sum(CASE WHEN sated THEN offer ELSE 0.0 END) OVER ({by}))
+  / nullif(sum(CASE WHEN sated THEN 0.0 ELSE w END) OVER ({by}), 0)) END AS amount) FROM (
+  SELECT *, sum(offer) OVER o + ratio * (sum(w) OVER ({by}) - sum(w) OVER o) <= amount AS sated FROM (
+    SELECT * REPLACE (CASE WHEN w > 0 THEN offer ELSE 0.0 END AS offer), CASE WHEN w > 0 THEN offer / w ELSE 0.0 END AS ratio FROM {table})
+  WINDOW o AS ({by} ORDER BY ratio, offer, {name} ROWS UNBOUNDED PRECEDING)))"""
+
+
+_OP3 = f"""WITH d AS (SELECT doc_id, lang, source, len(list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')) AS tokens,
+  CASE WHEN regexp_matches(source, '[0-9]$') THEN (['web', 'books', 'code', 'talk'])[CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INTEGER) % 4 + 1] ELSE 'other' END AS domain,
+  md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), 'null'), coalesce(text, ''))) AS document FROM documents),
+leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS DOUBLE) AS whole, CAST(sum(tokens) * 2 AS DOUBLE) AS offer FROM d GROUP BY ALL),
+top AS (SELECT domain, sum(leaves.offer) AS offer, coalesce(any_value(g.w), 1.0)::DOUBLE AS w, (SELECT sum(whole) FROM leaves) AS amount FROM leaves LEFT JOIN {_weights_sql(1)} ON domain = g.a GROUP BY domain),
+top_filled AS {_filled_sql("top", "", "domain")},
+middle AS (SELECT l.domain, l.lang, sum(l.offer) AS offer, coalesce(any_value(g.w), 1.0)::DOUBLE AS w, any_value(t.amount) AS amount
+  FROM leaves l JOIN top_filled t ON l.domain = t.domain LEFT JOIN {_weights_sql(2)} ON l.domain = g.a AND l.lang IS NOT DISTINCT FROM g.b GROUP BY l.domain, l.lang),
+middle_filled AS {_filled_sql("middle", "domain", "lang")},
+low AS (SELECT l.domain, l.lang, l.source, l.whole, l.offer, coalesce(g.w, 1.0)::DOUBLE AS w, m.amount
+  FROM leaves l JOIN middle_filled m ON l.domain = m.domain AND l.lang IS NOT DISTINCT FROM m.lang
+  LEFT JOIN {_weights_sql(3)} ON l.domain = g.a AND l.lang IS NOT DISTINCT FROM g.b AND l.source IS NOT DISTINCT FROM g.c),
+plan AS (SELECT *, CAST(floor(amount / greatest(whole, 1) + 1e-9) AS INTEGER) AS epochs FROM {_filled_sql("low", "domain, lang", "source")}),
+keyed AS (SELECT d.*, p.epochs, p.amount - p.epochs * p.whole AS rest, CAST('0x' || substr(md5(concat_ws('|', '11', CAST(p.epochs + 1 AS VARCHAR), document)), 1, 15) AS BIGINT) AS key
+  FROM d JOIN plan p ON d.domain = p.domain AND d.lang IS NOT DISTINCT FROM p.lang AND d.source IS NOT DISTINCT FROM p.source),
+ahead AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keyed),
+taken AS (SELECT *, epochs + CASE WHEN rest > 1e-6 AND before < rest THEN 1 ELSE 0 END AS n FROM ahead)
+SELECT doc_id, domain, lang, source, CAST(e AS INTEGER) AS epoch, CAST(tokens AS BIGINT) AS tokens, n > 0 AS taken FROM (SELECT *, unnest(range(1, greatest(n, 1) + 1)) AS e FROM taken)"""
+
+#: Tests hold the others against brute force: hashes, models and closures that SQL cannot express or not within reason.
+ORACLE: dict[str, str] = {"op3_mixing": _OP3}

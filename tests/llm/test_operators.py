@@ -3,13 +3,15 @@
 import os
 import re
 import zlib
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arborlake.llm import ann, hmm, jpeg, minhash, mixing, packing, pii, quality, substring, urls
+from arborlake.llm import ann, hmm, jpeg, minhash, mixing, packing, pii, quality, queries, substring, urls
 from arborlake.llm.common import documents, remainder
 from arborlake.llm.queries import op6_urls
 
@@ -171,10 +173,61 @@ def test_rules_and_hosts(spark):
     assert found[3][:3] == found[4][:3] == ("", "", None) and found[5][2] is None
 
 
-def test_budgets_fill_siblings_first():
-    offers = {("a", "x"): 10.0, ("a", "y"): 100.0, ("b", "z"): 100.0}
-    found = mixing.budgets(offers, 100.0, {("a",): 1.0, ("b",): 1.0})
-    assert {k: round(v, 6) for k, v in found.items()} == {("a", "x"): 10.0, ("a", "y"): 40.0, ("b", "z"): 50.0}
+def test_budgets_fill_siblings_first(spark):
+    leaves = spark.createDataFrame([("a", "x", "1", 10), ("a", "y", "1", 100), ("b", "z", "1", 100)], "domain string, lang string, source string, whole long")
+    found = {(r.domain, r.lang): round(r.amount, 6) for r in mixing.budgets(leaves, {("a",): 1.0, ("b",): 1.0}, 100 / 210, 1).collect()}
+    assert found == {("a", "x"): 10.0, ("a", "y"): 40.0, ("b", "z"): 50.0}
+
+
+def test_budgets_equal_plain_filling(spark):
+    """Against filling by steps: raise all open children until one is full, then go on without it."""
+    rng = np.random.default_rng(4)
+    rows = [(f"d{rng.integers(3)}", f"l{rng.integers(3)}", f"s{i}", int(rng.integers(0, 60))) for i in range(40)]
+    paths = [(d,) for d, *_ in rows] + [(d, x) for d, x, *_ in rows] + [r[:3] for r in rows]
+    weights = {p: float(rng.integers(0, 4)) for p in paths if rng.random() < 0.6}
+
+    def fill(total, offers, depth_weights):
+        out = dict.fromkeys(offers, 0.0)
+        while total > 1e-9 and (open_ := [k for k in offers if depth_weights[k] > 0 and offers[k] - out[k] > 1e-9]):
+            step = min(min((offers[k] - out[k]) / depth_weights[k] for k in open_), total / sum(depth_weights[k] for k in open_))
+            for k in open_:
+                out[k] += step * depth_weights[k]
+            total -= step * sum(depth_weights[k] for k in open_)
+        return out
+
+    def down(prefix, total):
+        mine = [r for r in rows if r[: len(prefix)] == prefix]
+        if len(prefix) == 3:
+            return {prefix: total}
+        offers = {}
+        for r in mine:
+            offers[r[: len(prefix) + 1]] = offers.get(r[: len(prefix) + 1], 0) + 2.0 * r[3]
+        given = fill(total, offers, {k: weights.get(k, 1.0) for k in offers})
+        return {leaf: x for k in offers for leaf, x in down(k, given[k]).items()}
+
+    expected = down((), float(sum(r[3] for r in rows)))
+    leaves = spark.createDataFrame(rows, "domain string, lang string, source string, whole long")
+    found = {tuple(r[:3]): r.amount for r in mixing.budgets(leaves, weights, 1.0, 2).collect()}
+    assert found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-6 for k in found)
+
+
+def test_mix_equals_sql(spark, tmp_path):
+    """The given table, and one with nulls, equal rows and sources without numbers."""
+    odd(spark).union(odd(spark)).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (SF, str(tmp_path)):
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet{'' if folder == SF else '/*.parquet'}')")
+        names = ["doc_id", "domain", "lang", "source", "epoch", "tokens", "taken"]
+        found = Counter(tuple(r) for r in queries.op3_mixing(spark, folder).select(*names).collect())
+        assert found == Counter(con.sql(queries.ORACLE["op3_mixing"]).select(", ".join(names)).fetchall())
+
+
+def test_mixed_keeps_any_column(spark):
+    docs = odd(spark).withColumns({c: F.lit(7) for c in ("_slot", "_tokens", "_m", "domain", "full", "cut", "row", "taken", "key")})
+    found = mixing.mixed(docs)
+    assert found.columns == docs.columns and {r.key for r in found.collect()} == {7}
+    taken = mixing.mix(docs).where("taken")
+    assert found.count() == taken.count() and mixing.mixed(docs.limit(0)).count() == 0
 
 
 def test_repeated_spans_go_once(spark):
