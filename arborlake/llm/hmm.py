@@ -1,16 +1,16 @@
 """Language-model scores by a hidden Markov model over words.
 
 Tokens are lower-cased (A-Z) words, then one end for each text. Training counts every word; Baum-Welch
-then splits each word's count among latent states: expected counts are computed block by block and
-summed over all partitions. A state's emission is (g * N / G + 1) / (N + V + 1), where g is the word's
+then splits each word's count among latent states: in each of `ROUNDS` rounds every block runs `INNER` rounds
+of its own from the common model, and the last one's expected counts are summed over all partitions, so that
+few exchanges train as far as many rounds. A state's emission is (g * N / G + 1) / (N + V + 1), where g is the word's
 count in the state, G the state's, N all tokens and V the vocabulary: it sums to one with the unknown
 words, and with one state it is the add-one base. The scaled forward recursion gives exact likelihoods.
 
 A block is a run of documents of up to `BLOCK_BYTES` of text (or one document) with its own dictionary,
 frequent words first, so that its token numbers compress; a word meets its counts once for each block,
 so frequent words are no hot keys, and no task or driver holds the whole vocabulary, which grows with
-the input. Only the states' transitions (fixed size) are
-on the driver.
+the input. Only the states' transitions (fixed size) are on the driver.
 
 Defined results: null and empty texts are one end; rows with equal doc_id are scored alike, and each
 counts; a null doc_id is held out of training and has null held_out; without training rows every word
@@ -24,17 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import WordHashes, dropped, mixed, stored, texts
+from arborlake.llm.common import dropped, mixed, stored, texts
 
-STATES, ROUNDS, BLOCK_BYTES = 4, 2, 16 << 20
+STATES, ROUNDS, INNER, BLOCK_BYTES, PIECE = 4, 2, 4, 32 << 20, 4096
 END = 0x454E44
 
-_hashes = WordHashes()
-
-
 def state_shares(words: np.ndarray, states: int) -> np.ndarray:
     """A seeded split of each word's count among the states, to begin with."""
     x = np.stack([mixed(words + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for k in range(states)], axis=1)
@@ -42,52 +40,95 @@ def state_shares(words: np.ndarray, states: int) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def forward(tokens: list[np.ndarray], emission: np.ndarray, start: np.ndarray, move: np.ndarray, counts: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray | None]:
+def _layout(lengths: np.ndarray, piece: int) -> tuple[np.ndarray, ...]:
+    """Texts are cut into pieces of up to `piece` tokens, which are stepped together, longest first.
+
+    Returns each piece's text and number there, its row, and for each step how many pieces are that long and
+    where its cells begin; then each cell's place among the tokens.
+    """
+    count = -(-lengths // piece)
+    text = np.repeat(np.arange(len(lengths)), count)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    size = np.minimum(lengths[text] - nth * piece, piece)
+    order = np.argsort(-size, kind="stable")
+    row = np.empty(len(order), np.int64)
+    row[order] = np.arange(len(order))
+    active = np.searchsorted(-size[order], -np.arange(int(size[order[0]])), "left")
+    offset = np.concatenate([[0], np.cumsum(active)])
+    begin = ((np.cumsum(lengths) - lengths)[text] + nth * piece)[order]
+    cell_row = np.arange(offset[-1]) - np.repeat(offset[:-1], active)
+    return text, nth, row, active, offset, cell_row, begin[cell_row] + np.repeat(np.arange(len(active)), active)
+
+
+def _across(cells: np.ndarray, move: np.ndarray, active: np.ndarray, offset: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For the pieces at `rows` (ascending) the matrix from the states ahead of the piece to its last state, up to a factor."""
+    states = len(move)
+    found = np.repeat(np.eye(states, dtype=cells.dtype)[:, :, None], len(rows), axis=2)
+    for t in range(len(active)):
+        a = int(np.searchsorted(rows, active[t]))
+        if not a:
+            break
+        x = found[:, :, :a] if t == 0 else np.einsum("ijp,jk->ikp", found[:, :, :a], move)
+        x = x * cells[None, :, offset[t] + rows[:a]]
+        found[:, :, :a] = x / x.max(axis=(0, 1))
+    return found
+
+
+def forward(tokens: np.ndarray, lengths: np.ndarray, emission: np.ndarray, start: np.ndarray, move: np.ndarray, counts: bool, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray | None]:
     """log10 likelihood of each text; with `counts`, also expected emissions, starts and transitions.
 
-    Texts are stepped together, longest first, so step t works on the first texts alone.
+    `tokens` holds the texts one after another; none is empty. The recursion is exact for texts of several
+    pieces too: their pieces' matrices give the states at the pieces' ends first.
     """
     states = len(start)
-    order = np.argsort([-len(t) for t in tokens], kind="stable")
-    length = np.array([len(tokens[i]) for i in order])
-    steps = int(length[0])
-    active = np.searchsorted(-length, -np.arange(steps), "left")  # texts longer than t
-    offset = np.concatenate([[0], np.cumsum(active)])
-    flat = np.empty(int(offset[-1]), np.int64)
-    for r, i in enumerate(order):
-        flat[offset[: len(tokens[i])] + r] = tokens[i]
-    alpha = np.empty((len(flat), states)) if counts else None
-    scale = np.empty(len(flat))
-    state = None
-    for t in range(steps):
-        a = active[t]
-        at = slice(offset[t], offset[t + 1])
-        ahead = np.broadcast_to(start, (a, states)) if t == 0 else np.einsum("ij,jk->ik", state[:a], move)
-        state = ahead * emission[flat[at]]
-        scale[at] = state.sum(axis=1)
-        state = state / scale[at][:, None]
+    text, nth, row, active, offset, cell_row, at_token = _layout(lengths, piece)
+    token = tokens[at_token]
+    cells = np.ascontiguousarray(emission[token].T)
+    ahead = np.repeat(start[:, None], len(row), axis=1)
+    after = np.ones_like(ahead)
+    follows = np.flatnonzero(nth > 0)
+    before = np.zeros_like(ahead)
+    if len(follows):
+        long = np.unique(np.concatenate([follows, follows - 1]))
+        rows = np.sort(row[long])
+        across = _across(cells, move, active, offset, rows)
+        matrix = {int(p): across[:, :, i] for p, i in zip(long, np.searchsorted(rows, row[long]))}
+        for p in long.tolist():
+            if nth[p]:
+                before[:, row[p]] = end
+                ahead[:, row[p]] = end @ move
+            end = ahead[:, row[p]] @ matrix[p]
+            end /= end.sum()
+        for p in long[::-1].tolist():
+            if p + 1 in matrix and nth[p + 1]:
+                x = move @ (matrix[p + 1] @ after[:, row[p + 1]])
+                after[:, row[p]] = x / x.max()
+    scale = np.empty(len(token), cells.dtype)
+    alpha = np.empty((states, len(token)), cells.dtype) if counts else None
+    for t in range(len(active)):
+        a, at = active[t], slice(offset[t], offset[t + 1])
+        state = (ahead[:, :a] if t == 0 else np.einsum("jp,jk->kp", state[:, :a], move)) * cells[:, at]
+        scale[at] = state.sum(axis=0)
+        state /= scale[at]
         if counts:
-            alpha[at] = state
-    score = np.zeros(len(tokens))
-    row = np.arange(len(flat)) - np.repeat(offset[:-1], active)
-    score[order] = np.bincount(row, np.log10(scale), len(tokens))
+            alpha[:, at] = state
+    score = np.bincount(text, np.bincount(cell_row, np.log10(scale), len(row))[row], len(lengths))
     if not counts:
         return score, None, None, None
-    gamma, moves = alpha, np.zeros((states, states))
-    beta = np.ones((0, states))
-    for t in range(steps - 1, -1, -1):
-        a = active[t]
-        at = slice(offset[t], offset[t + 1])
-        full = np.ones((a, states))
-        full[: len(beta)] = beta
-        here = full * emission[flat[at]] / scale[at][:, None]
-        gamma[at] = alpha[at] * full
-        if t:
-            before = alpha[offset[t - 1] : offset[t - 1] + a]
-            moves += np.einsum("ij,ik->jk", before, here) * move
-            beta = np.einsum("ik,jk->ij", here, move)
-    emitted = np.stack([np.bincount(flat, gamma[:, k], len(emission)) for k in range(states)], axis=1)
-    return score, emitted, gamma[: active[0]].sum(axis=0), moves
+    moves, beta = np.zeros((states, states)), np.zeros((states, 0), cells.dtype)
+    for t in range(len(active) - 1, -1, -1):
+        a, at = active[t], slice(offset[t], offset[t + 1])
+        full = after[:, :a].copy()
+        full[:, : beta.shape[1]] = beta
+        ending = slice(beta.shape[1], a)
+        full[:, ending] /= (full[:, ending] * alpha[:, at][:, ending]).sum(axis=0)
+        here = full * cells[:, at]
+        here /= scale[at]
+        moves += np.einsum("jp,kp->jk", alpha[:, offset[t - 1] : offset[t - 1] + a] if t else before[:, :a], here)
+        alpha[:, at] *= full
+        beta = np.einsum("kp,jk->jp", here, move)
+    emitted = np.stack([np.bincount(token, alpha[k], len(emission)) for k in range(states)], axis=1)
+    return score, emitted, alpha[:, row[nth == 0]].sum(axis=1, dtype=float), moves * move
 
 
 def squeezed(index: np.ndarray) -> bytes:
@@ -100,34 +141,71 @@ def unsqueezed(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
+class Numbers(dict):
+    """Word to its number, in order of first occurrence."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
 def blocks_of(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
     rows: list[tuple[int | None, bool | None, np.ndarray]] = []
-    held = number = 0
+    numbers, held, number = Numbers(), 0, 0
+    numbers[None]  # the end
 
     def block() -> pa.RecordBatch:
-        words, index, often = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True, return_counts=True)
-        order = np.argsort(-often, kind="stable")
+        index = np.concatenate([r[2] for r in rows])
+        lengths = [len(r[2]) for r in rows]
+        words = np.fromiter((END if w is None else xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
+        order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
         place = np.empty(len(order), "<u4")
         place[order] = np.arange(len(order))
         words, index = words[order], place[index]
-        learned = np.repeat([r[1] is False for r in rows], [len(r[2]) for r in rows])
+        learned = np.repeat([r[1] is False for r in rows], lengths)
         c = np.bincount(index[learned], minlength=len(words)).astype("<i8")
         cell = lambda v, t: pa.array([v], t)
-        return pa.RecordBatch.from_arrays([cell((part << 32) + number, pa.int64()), cell([r[0] for r in rows], pa.list_(pa.int64())), cell([r[1] for r in rows], pa.list_(pa.bool_())), cell([len(r[2]) for r in rows], pa.list_(pa.int64())), cell(squeezed(index), pa.binary()), cell(words.view(np.int64), pa.list_(pa.int64())), cell(c, pa.list_(pa.int64()))], names=["block", "ids", "held", "lengths", "tokens", "words", "counts"])
+        return pa.RecordBatch.from_arrays([cell((part << 32) + number, pa.int64()), cell([r[0] for r in rows], pa.list_(pa.int64())), cell([r[1] for r in rows], pa.list_(pa.bool_())), cell(lengths, pa.list_(pa.int64())), cell(squeezed(index), pa.binary()), cell(words.view(np.int64), pa.list_(pa.int64())), cell(c, pa.list_(pa.int64()))], names=["block", "ids", "held", "lengths", "tokens", "words", "counts"])
 
     for batch in batches:
         for doc_id, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), texts(batch.column("text"))):
-            words = _hashes.of((text or b"").lower().split())
-            rows.append((doc_id, out, np.append(words, np.uint64(END))))
+            words = (text or b"").lower().split()
+            rows.append((doc_id, out, np.fromiter(map(numbers.__getitem__, (*words, None)), np.int32, len(words) + 1)))
             held += len(text or b"") + 64
             if held >= BLOCK_BYTES:
                 yield block()
                 rows, held, number = [], 0, number + 1
+                numbers.clear()
+                numbers[None]
     if rows:
         yield block()
 
 
-def score(docs: DataFrame, held_out, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def emissions(g: np.ndarray, mass: np.ndarray, n: int, v: int) -> np.ndarray:
+    """Each word's probability in each state, from its counts there and the states' totals."""
+    return (g * (n / np.maximum(mass, 1e-300)) + 1) / (n + v + 1)
+
+
+def smoothed(counts: np.ndarray) -> np.ndarray:
+    return (counts + 1) / (counts.sum(axis=-1, keepdims=True) + counts.shape[-1])
+
+
+def learned(tokens: np.ndarray, lengths: np.ndarray, c: np.ndarray, g: np.ndarray, mass: np.ndarray, start: np.ndarray, move: np.ndarray, n: int, v: int, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts (words, starts, transitions) of a block after `inner` rounds on it.
+
+    Between the rounds each word's count in the whole corpus, c, is split as the block's expectations split it.
+    """
+    for left in range(inner, 0, -1):
+        single = (x.astype(np.float32) for x in (emissions(g, mass, n, v), start, move))
+        _, emitted, starts, moves = forward(tokens, lengths, *single, True)
+        if left > 1:
+            of_word = emitted.sum(axis=1)
+            g = np.where(of_word[:, None] > 0, emitted * (c / np.maximum(of_word, 1e-300))[:, None], g)
+            mass, start, move = emitted.sum(axis=0) * (n / emitted.sum()), smoothed(starts), smoothed(moves)
+    return emitted, starts, moves
+
+
+def score(docs: DataFrame, held_out, states: int = STATES, rounds: int = ROUNDS, inner: int = INNER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. `held_out` is a condition on doc_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out)
 
@@ -142,21 +220,21 @@ def score(docs: DataFrame, held_out, states: int = STATES, rounds: int = ROUNDS)
     vocabulary = stored(local.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"))
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"]), int(total["v"])
-    names = [f"g{k}" for k in range(states)]
+    names = [f"g{k}" for k in range(states - 1)]  # the last state's counts are what is left of c
     body = blocks.select("block", "ids", "held", "lengths", "tokens")
 
     def run(model: DataFrame, mass: np.ndarray | None, start: np.ndarray, move: np.ndarray, learn: bool, schema: str) -> DataFrame:
-        """One pass over the blocks with the words' state counts (none: the seeded split)."""
-        columns = [*(["c"] if mass is None or not learn else []), *(names if mass is not None else [])]
+        """One pass over the blocks with the words' state counts (none: the seeded split). A word's state counts add up to its count."""
+        columns = ["c"] if mass is None else ["c", *names]
         rows = local.select("of_block", "at", "word").join(model.select("word", *columns), "word").select("of_block", "at", *(["word"] if learn or mass is None else []), *columns)
 
         def step(left: pa.Table, right: pa.Table) -> pa.Table:
             row = left.to_pylist()[0]
-            tokens = unsqueezed(row["tokens"], sum(row["lengths"]))
+            lengths = np.array(row["lengths"])
+            tokens = unsqueezed(row["tokens"], int(lengths.sum()))
             at = right.column("at").to_numpy()
             g, c = np.zeros((int(tokens.max()) + 1, states)), np.zeros(int(tokens.max()) + 1)
-            if "c" in columns:
-                c[at] = right.column("c").to_numpy()
+            c[at] = right.column("c").to_numpy()
             if mass is None:
                 whole = np.full(states, n / states)
                 g[at] = state_shares(right.column("word").to_numpy().view(np.uint64), states) * c[at][:, None]
@@ -164,27 +242,27 @@ def score(docs: DataFrame, held_out, states: int = STATES, rounds: int = ROUNDS)
                 whole = mass
                 for k, name in enumerate(names):
                     g[at, k] = right.column(name).to_numpy()
-            emission = (g * (n / np.maximum(whole, 1e-300)) + 1) / (n + v + 1)
-            lengths = np.array(row["lengths"])
-            texts_ = np.split(tokens, np.cumsum(lengths)[:-1])
-            if learn:
-                chosen = [t for t, h in zip(texts_, row["held"]) if h is False]
-                keys, values = np.zeros(0, np.int64), np.zeros((0, states))
-                extra = 0
-                if chosen:
-                    _, emitted, starts, moves = forward(chosen, emission, start, move, True)
-                    seen = emitted[at].any(axis=1)
-                    keys, values = right.column("word").to_numpy()[seen], emitted[at[seen]]
-                    # Transitions and starts travel as rows of null word: state count + 1 of them for each block.
-                    values, extra = np.concatenate([values, starts[None], moves]), 1 + states
-                of_word = np.arange(len(values)) < len(keys)
-                kind = np.concatenate([np.zeros(len(keys), np.int32), np.arange(extra, dtype=np.int32)])
-                keys = np.concatenate([keys, np.zeros(extra, np.int64)])
-                return pa.table({"word": pa.array(keys, mask=~of_word), "kind": pa.array(kind, mask=of_word), **{m: pa.array(values[:, k].astype(np.float32)) for k, m in enumerate(names)}})
-            base = np.log10((c + 1) / (n + v + 1))
-            scores, _, _, _ = forward(texts_, emission, start, move, False)
-            size = len(lengths)
-            return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(lengths, pa.int64()), "n_known": pa.array([int((c[t] > 0).sum()) for t in texts_], pa.int64()), "train_tokens": pa.array([n] * size, pa.int64()), "base_score": pa.array([float(base[t].sum()) for t in texts_], pa.float64()), "score": pa.array(scores, pa.float64())})
+                g[:, -1] = np.maximum(c - g[:, :-1].sum(axis=1), 0)
+            if not learn:
+                size = len(lengths)
+                scores, _, _, _ = forward(tokens, lengths, emissions(g, whole, n, v), start, move, False)
+                text = np.repeat(np.arange(size), lengths)
+                base = np.bincount(text, np.log10((c + 1) / (n + v + 1))[tokens], size)
+                known = np.bincount(text, c[tokens] > 0, size).astype(np.int64)
+                return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(lengths, pa.int64()), "n_known": pa.array(known), "train_tokens": pa.array([n] * size, pa.int64()), "base_score": pa.array(base), "score": pa.array(scores)})
+            chosen = np.array([h is False for h in row["held"]])
+            keys, few, values, own = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, states - 1)), np.zeros(0, np.int64)
+            if chosen.any():
+                mine = tokens[np.repeat(chosen, lengths)]
+                emitted, starts, moves = learned(mine, lengths[chosen], c, g, whole, start, move, n, v, inner)
+                own = np.bincount(mine, minlength=len(c))[at]
+                keys, values, own = right.column("word").to_numpy()[own > 0], emitted[at[own > 0], :-1], own[own > 0]
+                few = np.concatenate([starts, moves.ravel()])  # they travel as rows without a word, in g0
+            of_word = np.arange(len(keys) + len(few)) < len(keys)
+            padded = np.zeros((len(of_word), states - 1), np.float32)
+            padded[: len(keys)], padded[len(keys) :, 0] = values, few
+            keys, kinds = np.concatenate([keys, np.zeros(len(few), np.int64)]), np.arange(len(of_word)) - len(keys)
+            return pa.table({"word": pa.array(keys, mask=~of_word), "kind": pa.array(kinds.astype(np.int32), mask=of_word), "c": pa.array(np.concatenate([own, np.zeros(len(few), np.int64)])), **{m: pa.array(padded[:, k]) for k, m in enumerate(names)}})
 
         return body.groupBy("block").cogroup(rows.groupBy("of_block")).applyInArrow(step, schema)
 
@@ -192,15 +270,15 @@ def score(docs: DataFrame, held_out, states: int = STATES, rounds: int = ROUNDS)
     start = np.full(states, 1 / states)
     move = np.full((states, states), 0.5 / states) + np.eye(states) * 0.5
     sums = [F.sum(F.col(m).cast("double")).alias(m) for m in names]
-    for left in range(rounds if n else 0, 0, -1):
-        schema = "word long, kind int, " + ", ".join(f"{m} float" for m in names)
-        found = stored(run(model, mass, start, move, True, schema))
-        few = {r["kind"]: np.array([r[m] for m in names]) for r in found.where("kind is not null").groupBy("kind").agg(*sums).collect()}
-        model = found.where("word is not null").groupBy("word").agg(*(s.cast("float").alias(m) for s, m in zip(sums, names)))
-        model = stored(model if left > 1 else model.join(vocabulary, "word"))  # the scores' base needs the counts
-        dropped(found)
-        whole = model.agg(*sums).first()
+    for _ in range(rounds if n else 0):
+        # Few kinds, a row of each for each block, are no hot keys: they are added up on the map side first.
+        found = run(model, mass, start, move, True, "word long, kind int, c long, " + ", ".join(f"{m} float" for m in names))
+        found = stored(found.groupBy("word", "kind").agg(F.sum("c").alias("c"), *(s.cast("float").alias(m) for s, m in zip(sums, names))))
+        few = np.array([r["g0"] for r in found.where("word is null").orderBy("kind").select("g0").collect()])
+        dropped(model)
+        model = found
+        whole = model.where("word is not null").agg(*sums).first()
         mass = np.array([whole[m] for m in names])
-        start = (few[0] + 1) / (few[0].sum() + states)
-        move = np.stack([(few[k + 1] + 1) / (few[k + 1].sum() + states) for k in range(states)])
+        mass = np.append(mass, n - mass.sum())
+        start, move = smoothed(few[:states]), smoothed(few[states:].reshape(states, states))
     return run(model, mass, start, move, False, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -148,20 +148,47 @@ def test_search_recall(spark):
     assert hits >= 0.9 * 20 * len(asked)
 
 
-def test_forward_equals_sum_over_paths():
+@pytest.mark.parametrize("piece", [2, 1024])
+def test_forward_equals_sum_over_paths(piece):
     rng = np.random.default_rng(3)
     emission, start, move = rng.random((5, 2)), np.array([0.3, 0.7]), np.array([[0.9, 0.1], [0.4, 0.6]])
-    texts = [np.array([0, 3, 1]), np.array([4]), np.array([2, 2, 0, 1])]
-    scores, emitted, starts, _ = hmm.forward(texts, emission, start, move, True)
+    texts = [np.array([0, 3, 1]), np.array([4]), np.array([2, 2, 0, 1, 3, 3])]
+    scores, emitted, starts, moves = hmm.forward(np.concatenate(texts), np.array([3, 1, 6]), emission, start, move, True, piece)
+    expected, first, moved = np.zeros((5, 2)), np.zeros(2), np.zeros((2, 2))
     for t, s in zip(texts, scores):
-        total = 0.0
+        paths = {}
         for path in np.ndindex(*[2] * len(t)):
             p = start[path[0]] * emission[t[0], path[0]]
             for i in range(1, len(t)):
                 p *= move[path[i - 1], path[i]] * emission[t[i], path[i]]
-            total += p
+            paths[path] = p
+        total = sum(paths.values())
         assert abs(np.log10(total) - s) < 1e-12
-    assert abs(emitted.sum() - 8) < 1e-9 and abs(starts.sum() - 3) < 1e-9
+        for path, p in paths.items():
+            first[path[0]] += p / total
+            for i, k in enumerate(path):
+                expected[t[i], k] += p / total
+                if i:
+                    moved[path[i - 1], k] += p / total
+    assert np.allclose(emitted, expected) and np.allclose(starts, first) and np.allclose(moves, moved)
+
+
+def test_training_raises_held_out_likelihood(spark):
+    """Base columns against plain counting, more rounds against fewer, and the model against the base."""
+    docs = documents(spark, SF)
+    found = hmm.score(docs, remainder(7) == 2).toPandas().set_index("doc_id")
+    rows = {d: [*(t or "").encode().lower().split(), None] for d, t in docs.select("doc_id", "text").collect()}
+    out = {d for d in rows if zlib.crc32(str(d).encode()) % 7 == 2}
+    c = Counter(w for d in rows if d not in out for w in rows[d])
+    n, v = sum(c.values()), len(c)
+    for d, words in rows.items():
+        r = found.loc[d]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (d in out, len(words), sum(c[w] > 0 for w in words), n)
+        assert abs(r.base_score - sum(np.log10((c[w] + 1) / (n + v + 1)) for w in words)) < 1e-6
+    once = hmm.score(docs, remainder(7) == 2, rounds=1, inner=1).toPandas().set_index("doc_id")
+    held = found.held_out
+    assert found.score[held].sum() > once.score[held].sum() and found.score[held].sum() > 0.99 * found.base_score[held].sum()
+    assert found.score[~held].sum() > once.score[~held].sum() > found.base_score[~held].sum()
 
 
 def test_rules_and_hosts(spark):
