@@ -17,6 +17,7 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -50,7 +51,7 @@ class Encoder:
     token, and all texts of other files, go to the tokenizer itself.
     """
 
-    #: The byte-level pre-tokens.
+    #: Fixed value: the pre-tokens of byte-level tokenizers.
     pre_tokens = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
     def __init__(self, path: str) -> None:
@@ -164,10 +165,10 @@ def times_vector(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
     return (matrix * vector).sum(axis=1)
 
 
-def pattern_plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 1500, gap: float = 1e-3) -> list[tuple[np.ndarray, int]]:
-    """(pattern, times) that cover the demand of each size exactly. `rounds` bounds the simplex steps of the
-    program, whose size does not follow the input; a program stopped early still packs everything. It also stops
-    when the pricing shows the optimum to be within `gap` (the value over its best pattern is a lower bound)."""
+def pattern_plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3) -> list[tuple[np.ndarray, int]]:
+    """(pattern, times) that cover the demand of each size exactly. The program, whose size does not follow the
+    input, is solved until its value is within `gap` of the best lower bound that pricing has shown (the value over
+    the best pattern's). Demands are shifted by less than one piece in all, so that no two bases tie and none recurs."""
     m = len(sizes)
     if not m:
         return []
@@ -180,10 +181,12 @@ def pattern_plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: i
             columns[other, k] += 1
             open_demand[other] -= times
     inverse = inverse_of(columns)
-    use = np.maximum(times_vector(inverse, demand), 0)
-    for step in range(rounds):
+    shifted = demand + np.random.default_rng(1).random(m) / m
+    use, bound = np.maximum(times_vector(inverse, shifted), 0), 0.0
+    for step in itertools.count():
         value, pattern = best_pattern(sizes, inverse.sum(axis=0), capacity)
-        if value <= 1 + gap:
+        bound = max(bound, use.sum() / value)
+        if use.sum() <= bound * (1 + gap):
             break
         direction = times_vector(inverse, pattern)
         able = direction > 1e-9
@@ -196,7 +199,8 @@ def pattern_plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: i
             row = inverse[out] / direction[out]
             inverse -= np.outer(direction, row)
             inverse[out] = row
-        use = np.maximum(times_vector(inverse, demand), 0)
+        use = np.maximum(times_vector(inverse, shifted), 0)
+    use = np.maximum(times_vector(inverse, demand), 0)
     plan: list[tuple[np.ndarray, int]] = []
     left = demand.astype(np.int64).copy()
     for k in np.argsort(-use, kind="stable"):
