@@ -1,107 +1,433 @@
-"""Registered treebank queries, each with its DuckDB twin."""
+"""Registered treebank queries: each with its DuckDB twin, or none where tests hold it against brute force."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.operators import checks, statistics
-from arborlake.sources.synthetic import SENTENCES_SQL, WORDS_SQL, sentences, words
+from arborlake.functions import universal, without_spaces
+from arborlake.operators import checks, coreference, graphs, rewrites, scorer, statistics, surveys
+from arborlake.operators.sentence import per_sentence
+from arborlake.sources import synthetic
+from arborlake.sources.conllu import nodes_table, rendered
+from arborlake.sources.registry import UPOS
+from arborlake.sources.synthetic import PARTICULAR, SENTENCES_SQL, UNIVERSAL, WORDS_SQL, blocks, nested, planted, planted_sql, sentences, treebank, words
 
 Query = Callable[[SparkSession, str], DataFrame]
+KEYS = ("doc_id", "lang", "sent_no")
+
+CATALOGUE: dict[str, tuple[Query, str | None]] = {}
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    CATALOGUE[name] = (query, sql)
 
 
 def _words(step: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: step(words(spark, sf_dir))
 
 
-def _system(gold: DataFrame) -> DataFrame:
-    """A parser's output: the gold words with some heads, tags and relations changed."""
-    return gold.withColumns({
-        "head": F.when((F.col("doc_id") + F.col("id")) % 11 == 0, F.lit(0)).otherwise(F.col("head")),
-        "upos": F.when((F.col("doc_id") + F.col("id")) % 13 == 0, F.lit("X")).otherwise(F.col("upos")),
-        "deprel": F.when((F.col("doc_id") + F.col("id")) % 7 == 0, F.lit("dep")).otherwise(F.col("deprel")),
-    })
+def _nested(step: Callable[[DataFrame], DataFrame], *fields: str) -> Query:
+    return lambda spark, sf_dir: step(nested(spark, sf_dir, *fields))
+
+
+def _trees(step: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: step(treebank(spark, sf_dir))
+
+
+def _sentences(step: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: step(sentences(spark, sf_dir))
 
 
-def _top_sql(keys: str, value: str, expression: str, k: int) -> str:
-    return f"""WITH {WORDS_SQL}, counted AS (SELECT {keys}, {expression} AS {value}, count(*) AS n FROM words GROUP BY ALL)
+def _top_sql(keys: str, value: str, k: int, where: str = "true") -> str:
+    return f"""WITH {WORDS_SQL}, counted AS (SELECT {keys}, {value}, count(*) AS n FROM words WHERE {where} GROUP BY ALL)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, {value}) AS INTEGER) AS rank FROM counted) WHERE rank <= {k}"""
 
 
-_SIZE = "CAST(sum(CASE WHEN id = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_sentences, count(*) AS n_words"
-_INCIDENTS = " UNION ALL ".join(
-    [f"SELECT '{t}' AS testid, {level} AS level, lang, doc_id, sent_no, id FROM words WHERE {c}" for t, level, c in checks.WORD_CHECKS]
-    + [f"SELECT '{t}', 3, lang, doc_id, sent_no, head FROM words WHERE deprel = '{r}' AND head > 0 GROUP BY lang, doc_id, sent_no, head HAVING count(*) > 1" for r, t in (("nsubj", "too-many-subjects"), ("obj", "too-many-objects"))]
-)
-_CHECKED = f"WITH {WORDS_SQL}, incidents AS ({_INCIDENTS})"
-
-CATALOGUE: dict[str, tuple[Query, str]] = {
-    "tb_size": (
-        _words(lambda w: statistics.size(w, "lang")),
-        f"WITH {WORDS_SQL} SELECT lang, {_SIZE}, count(DISTINCT form) AS n_forms, count(DISTINCT lower(form)) AS n_lemmas FROM words GROUP BY lang",
-    ),
-    "tb_size_rollup": (_words(statistics.size_rollup), f"WITH {WORDS_SQL} SELECT lang, source, {_SIZE} FROM words GROUP BY ROLLUP (lang, source)"),
-    "lemma_form_top15": (_words(statistics.lemma_form_top15), _top_sql("lang", "lemma", "lower(form)", 15)),
-    "tag_top10_examples": (_words(statistics.tag_top10_examples), _top_sql("upos", "form", "form", 10)),
-    "tag_ranks": (_words(statistics.tag_ranks), _top_sql("lang", "upos", "upos", 17)),
-    "dep_direction_length": (
-        _words(statistics.direction_length),
-        f"""WITH {WORDS_SQL} SELECT lang, deprel, CAST(sum(CASE WHEN id < head THEN 1 ELSE 0 END) AS BIGINT) AS n_left,
-CAST(sum(CASE WHEN id > head THEN 1 ELSE 0 END) AS BIGINT) AS n_right, CAST(sum(abs(id - head)) AS BIGINT) AS distance FROM words WHERE head > 0 GROUP BY ALL""",
-    ),
-    "tagpair_by_rel": (
-        _words(statistics.tag_pairs),
-        f"""WITH {WORDS_SQL} SELECT p.upos AS parent_upos, c.deprel, c.upos, count(*) AS n FROM words c
-JOIN words p ON p.doc_id = c.doc_id AND p.sent_no = c.sent_no AND p.id = c.head GROUP BY ALL""",
-    ),
-    "child_degree_hist": (
-        _words(statistics.child_degrees),
-        f"""WITH {WORDS_SQL}, d AS (SELECT count(*) AS degree FROM words WHERE head > 0 GROUP BY doc_id, sent_no, head)
-SELECT degree, count(*) AS n FROM d GROUP BY degree UNION ALL SELECT 0, (SELECT count(*) FROM words) - (SELECT count(*) FROM d)""",
-    ),
-    "ambiguous_forms": (
-        _words(statistics.ambiguous_forms),
-        f"WITH {WORDS_SQL} SELECT lang, form, count(DISTINCT upos) AS n_tags, count(*) AS n FROM words GROUP BY lang, form HAVING count(DISTINCT upos) > 1",
-    ),
-    "paradigm_size": (
-        _words(statistics.paradigm_sizes),
-        f"WITH {WORDS_SQL}, s AS (SELECT lang, lower(form) AS lemma, count(DISTINCT form) AS n_forms FROM words GROUP BY ALL) SELECT lang, n_forms, count(*) AS n_lemmas FROM s GROUP BY ALL",
-    ),
-    "pos_trigrams": (
-        _words(statistics.tag_trigrams),
-        f"""WITH {WORDS_SQL}, t AS (SELECT lang, coalesce(lag(upos) OVER o, '#') AS t1, upos AS t2, coalesce(lead(upos) OVER o, '#') AS t3
-FROM words WINDOW o AS (PARTITION BY doc_id, sent_no ORDER BY id)) SELECT *, count(*) AS n FROM t GROUP BY ALL""",
-    ),
-    "duplicate_sentences": (
-        lambda spark, sf_dir: statistics.duplicate_sentences(sentences(spark, sf_dir)),
-        f"""WITH {SENTENCES_SQL} SELECT line, count(*) AS n, min((doc_id, sent_no))[1] AS first_doc, min((doc_id, sent_no))[2] AS first_sent
-FROM sentences GROUP BY line HAVING count(*) > 1""",
-    ),
-    "dedup_first": (
-        lambda spark, sf_dir: statistics.dedup_first(sentences(spark, sf_dir)),
-        f"WITH {SENTENCES_SQL} SELECT min((doc_id, sent_no))[1] AS doc_id, min((doc_id, sent_no))[2] AS sent_no, line FROM sentences GROUP BY line",
-    ),
-    "detokenize": (
-        _words(statistics.detokenize),
-        f"WITH {WORDS_SQL} SELECT doc_id, sent_no, string_agg(form, ' ' ORDER BY id) AS text FROM words GROUP BY doc_id, sent_no",
-    ),
-    "score_las_uas": (
-        _words(lambda w: statistics.attachment_scores(w, _system(w))),
-        f"""WITH {WORDS_SQL}, s AS (SELECT *, CASE WHEN (doc_id + id) % 11 = 0 THEN 0 ELSE head END AS h,
-CASE WHEN (doc_id + id) % 13 = 0 THEN 'X' ELSE upos END AS u, CASE WHEN (doc_id + id) % 7 = 0 THEN 'dep' ELSE deprel END AS d FROM words)
-SELECT lang, count(*) AS n_words, CAST(sum(CASE WHEN u = upos THEN 1 ELSE 0 END) AS BIGINT) AS upos,
-CAST(sum(CASE WHEN h = head THEN 1 ELSE 0 END) AS BIGINT) AS uas, CAST(sum(CASE WHEN h = head AND d = deprel THEN 1 ELSE 0 END) AS BIGINT) AS las FROM s GROUP BY lang""",
-    ),
-    "incidents_all": (_words(checks.incidents), f"{_CHECKED} SELECT * FROM incidents"),
-    "incidents_top20_per_class": (
-        _words(lambda w: checks.top_per_class(checks.incidents(w))),
-        f"""{_CHECKED} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY testid ORDER BY doc_id, sent_no, id) AS INTEGER) AS rank FROM incidents) WHERE rank <= 20""",
-    ),
-    "incident_summary": (
-        _words(lambda w: checks.summary(checks.incidents(w))),
-        f"{_CHECKED} SELECT lang, testid, level, count(*) AS n, count(DISTINCT (doc_id, sent_no)) AS n_sentences FROM incidents GROUP BY ALL",
-    ),
-}
+# Sizes, tops and ranks.
+
+_add(
+    "tb_size", _trees(lambda t: statistics.size(t, "lang")),
+    f"""WITH {WORDS_SQL} SELECT lang, count(DISTINCT (doc_id, sent_no)) AS n_sentences, CAST(count(*) - count_if(starts_range) AS BIGINT) AS n_tokens, CAST(count_if(starts_range) AS BIGINT) AS n_ranges,
+count(*) AS n_words, CAST(count_if(has_empty) AS BIGINT) AS n_empty, count(DISTINCT form) AS n_forms, count(DISTINCT nullif(lemma, '_')) AS n_lemmas FROM words GROUP BY lang""",
+)
+_add("tb_size_rollup", _nested(statistics.size_rollup, "id"), f"WITH {WORDS_SQL} SELECT lang, source, CAST(count_if(id = 1) AS BIGINT) AS n_sentences, count(*) AS n_words FROM words GROUP BY ROLLUP (lang, source)")
+_add("lemma_form_top15", _words(statistics.top_lemmas), _top_sql("lang", "lemma", 15, "lemma <> '_'"))
+_add("tag_top10_examples", _words(statistics.top_forms_of_tags), _top_sql("upos", "form", 10))
+_add(
+    "tag_ranks", _words(statistics.tag_ranks),
+    f"""WITH {WORDS_SQL}, s AS (SELECT lang, upos, count(*) AS tokens, count(DISTINCT form) AS types, count(DISTINCT nullif(lemma, '_')) AS lemmas FROM words GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY tokens DESC, upos) AS INTEGER) AS rank_tokens, CAST(row_number() OVER (PARTITION BY lang ORDER BY types DESC, upos) AS INTEGER) AS rank_types,
+CAST(row_number() OVER (PARTITION BY lang ORDER BY lemmas DESC, upos) AS INTEGER) AS rank_lemmas, CAST(floor(100 * tokens / sum(tokens) OVER (PARTITION BY lang) + 0.5) AS BIGINT) AS percent,
+round(types / nullif(lemmas, 0), 6) AS forms_per_lemma FROM s""",
+)
+_add("ambiguous_forms", _words(statistics.ambiguous_forms), f"WITH {WORDS_SQL} SELECT lang, form, count(DISTINCT upos) AS n_tags, count(*) AS n FROM words GROUP BY lang, form HAVING count(DISTINCT upos) > 1")
+_add(
+    "paradigm_size", _words(statistics.paradigm_sizes),
+    f"WITH {WORDS_SQL}, s AS (SELECT lang, lemma, count(DISTINCT form) AS n_forms FROM words WHERE lemma <> '_' GROUP BY ALL) SELECT lang, n_forms, count(*) AS n_lemmas FROM s GROUP BY ALL",
+)
+_add(
+    "paradigms_top3", _words(statistics.paradigms),
+    f"""WITH {WORDS_SQL}, s AS (SELECT upos, lemma, count(DISTINCT form) AS n, count(DISTINCT feats) AS n_feats FROM words WHERE lemma <> '_' GROUP BY ALL HAVING count(DISTINCT form) >= 2)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY upos ORDER BY n DESC, lemma) AS INTEGER) AS rank FROM s) WHERE rank <= 3""",
+)
+_add(
+    "folded_case", _words(statistics.folded_case),
+    f"""WITH {WORDS_SQL}, k AS (SELECT upos, form, count(*) AS n FROM words GROUP BY ALL)
+SELECT a.upos, CASE WHEN EXISTS (SELECT 1 FROM k b WHERE b.upos = a.upos AND b.form = lower(a.form)) THEN lower(a.form) ELSE a.form END AS form, CAST(sum(n) AS BIGINT) AS n FROM k a GROUP BY ALL""",
+)
+_add("unused_tags", _words(lambda w: statistics.unused_tags(w, UPOS)), f"WITH {WORDS_SQL}, l AS (SELECT DISTINCT lang FROM words) SELECT lang, t.upos FROM l, (SELECT unnest({[*UPOS]}) AS upos) t WHERE (lang, t.upos) NOT IN (SELECT (lang, upos) FROM words)")
+for _a, _b in (("PRON", "DET"), ("AUX", "VERB")):
+    _add(
+        f"lemmas_{_a.lower()}_{_b.lower()}", _words(lambda w, a=_a, b=_b: statistics.shared_lemmas(w, a, b)),
+        f"WITH {WORDS_SQL} SELECT lang, lemma FROM words WHERE lemma <> '_' AND upos = '{_a}' INTERSECT SELECT lang, lemma FROM words WHERE lemma <> '_' AND upos = '{_b}'",
+    )
+
+# Relations, parents, neighbours.
+
+_add(
+    "dep_direction_length", _words(statistics.direction_length),
+    f"""WITH {WORDS_SQL} SELECT lang, deprel, count(*) AS n, CAST(count_if(id < head) AS BIGINT) AS n_before, CAST(sum(abs(id - head)) AS BIGINT) AS distance,
+CAST(floor(100 * count_if(id < head) / count(*) + 0.5) AS BIGINT) AS percent_before FROM words GROUP BY ALL""",
+)
+_add(
+    "tagpair_by_rel", _nested(statistics.tag_pairs, "upos", "head", "deprel"),
+    f"WITH {WORDS_SQL} SELECT p.upos AS parent_upos, c.deprel, c.upos, count(*) AS n FROM words c JOIN words p ON p.doc_id = c.doc_id AND p.sent_no = c.sent_no AND p.id = c.head GROUP BY ALL",
+)
+_add(
+    "child_degree_hist", _nested(statistics.child_degrees, "head"),
+    f"""WITH {WORDS_SQL}, d AS (SELECT doc_id, sent_no, head, count(*) AS degree FROM words WHERE head > 0 GROUP BY ALL)
+SELECT coalesce(degree, 0) AS degree, count(*) AS n FROM words w LEFT JOIN d ON d.doc_id = w.doc_id AND d.sent_no = w.sent_no AND d.head = w.id GROUP BY 1""",
+)
+_add(
+    "agreement_rate", _nested(statistics.agreement, "feats", "head", "deprel"),
+    f"""WITH {WORDS_SQL}, f AS (SELECT doc_id, sent_no, id, head, deprel, split_part(x, '=', 1) AS feature, split_part(x, '=', 2) AS value FROM (SELECT *, unnest(string_split(feats, '|')) AS x FROM words WHERE feats <> '_'))
+SELECT c.deprel AS udeprel, c.feature, CAST(count_if(c.value = p.value) AS BIGINT) AS agree, CAST(count_if(c.value <> p.value) AS BIGINT) AS disagree
+FROM f c JOIN f p ON p.doc_id = c.doc_id AND p.sent_no = c.sent_no AND p.id = c.head AND p.feature = c.feature GROUP BY ALL""",
+)
+_TRIGRAMS = """t AS (SELECT lang, coalesce(lag(upos) OVER o, '#') AS t1, upos AS t2, coalesce(lead(upos) OVER o, '#') AS t3
+FROM words WINDOW o AS (PARTITION BY doc_id, sent_no ORDER BY id)), trigrams AS (SELECT *, count(*) AS n FROM t GROUP BY ALL)"""
+_add("pos_trigrams", _nested(statistics.tag_trigrams, "upos"), f"WITH {WORDS_SQL}, {_TRIGRAMS} SELECT * FROM trigrams")
+_add(
+    "trigram_divergence", _nested(lambda s: statistics.divergence(statistics.tag_trigrams(s)), "upos"),
+    f"""WITH {WORDS_SQL}, {_TRIGRAMS}, sums AS (SELECT lang, sum(n) AS total FROM trigrams GROUP BY lang)
+SELECT a.lang AS target, b.lang AS source, round(sum(a.n / sa.total * ln((a.n / sa.total) / (coalesce(s.n, 1) / b.total))), 6) AS divergence
+FROM trigrams a JOIN sums sa ON sa.lang = a.lang JOIN sums b ON b.lang <> a.lang LEFT JOIN trigrams s ON s.lang = b.lang AND s.t1 = a.t1 AND s.t2 = a.t2 AND s.t3 = a.t3 GROUP BY ALL""",
+)
+_add(
+    "relation_examples", _nested(statistics.examples, "form", "deprel"),
+    f"""WITH {WORDS_SQL}, s AS (SELECT doc_id, sent_no, string_agg(form, ' ' ORDER BY id) AS text, list(DISTINCT deprel) AS rels FROM words GROUP BY ALL), r AS (SELECT *, unnest(rels) AS deprel FROM s)
+SELECT deprel, first(text ORDER BY length(text) > 80, CASE WHEN length(text) > 80 THEN length(text) ELSE 0 END, doc_id, sent_no) AS example FROM r GROUP BY deprel""",
+)
+
+# Order-dependent operators.
+
+_add(
+    "duplicate_sentences", _sentences(statistics.duplicate_sentences),
+    f"WITH {SENTENCES_SQL} SELECT line, count(*) AS n, min((doc_id, sent_no))[1] AS first_doc, min((doc_id, sent_no))[2] AS first_sent FROM sentences GROUP BY line HAVING count(*) > 1",
+)
+_add("dedup_first", _sentences(statistics.dedup_first), f"WITH {SENTENCES_SQL} SELECT min((doc_id, sent_no))[1] AS doc_id, min((doc_id, sent_no))[2] AS sent_no, line FROM sentences GROUP BY line")
+def _portion() -> Column:
+    return F.when(F.col("doc_id") % 10 == 0, "test").when(F.col("doc_id") % 10 == 1, "dev").otherwise("train")
+
+
+_PORTION_SQL = "CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'dev' ELSE 'train' END"
+_add(
+    "dedup_vs_train", _sentences(lambda s: statistics.dedup_against(s.where(_portion() != "train"), s.where(_portion() == "train")).select("doc_id", "sent_no", "line")),
+    f"WITH {SENTENCES_SQL} SELECT doc_id, sent_no, line FROM sentences WHERE {_PORTION_SQL} <> 'train' AND line NOT IN (SELECT line FROM sentences WHERE {_PORTION_SQL} = 'train')",
+)
+_add(
+    "overlap_portions", _sentences(lambda s: statistics.overlap(s, _portion())),
+    f"""WITH {SENTENCES_SQL}, p AS (SELECT DISTINCT line, {_PORTION_SQL} AS portion FROM sentences)
+SELECT a.portion AS first, b.portion AS second, count(*) AS n FROM p a JOIN p b ON a.line = b.line AND a.portion < b.portion GROUP BY ALL""",
+)
+_add(
+    "detokenize", _nested(statistics.detokenize, "form", "misc"),
+    f"WITH {WORDS_SQL} SELECT doc_id, sent_no, rtrim(string_agg(form || CASE WHEN list_contains(string_split(misc, '|'), 'SpaceAfter=No') THEN '' ELSE ' ' END, '' ORDER BY id)) AS text FROM words GROUP BY ALL",
+)
+_add(
+    "mwt_sequences", _trees(statistics.ranges),
+    f"WITH {WORDS_SQL} SELECT lang, lower(form || next_form) AS form, lower(form) || ' ' || lower(next_form) AS words, count(*) AS n FROM words WHERE starts_range GROUP BY ALL",
+)
+_add(
+    "propn_runs", _nested(statistics.tag_runs, "form", "upos", "misc"),
+    f"""WITH {WORDS_SQL}, r AS (SELECT *, id - row_number() OVER (PARTITION BY doc_id, sent_no ORDER BY id) AS island FROM words WHERE upos = 'PROPN'),
+g AS (SELECT lang, rtrim(string_agg(form || CASE WHEN misc LIKE '%SpaceAfter=No%' THEN '' ELSE ' ' END, '' ORDER BY id)) AS run FROM r GROUP BY lang, doc_id, sent_no, island) SELECT lang, run, count(*) AS n FROM g GROUP BY ALL""",
+)
+_add(
+    "tenfold", _nested(lambda s: statistics.tenfold(s, "lang"), "id"),
+    f"""WITH {WORDS_SQL}, s AS (SELECT lang, doc_id, sent_no, count(*) AS n FROM words GROUP BY ALL)
+SELECT lang, doc_id, sent_no, CAST(least(floor((sum(n) OVER (PARTITION BY lang ORDER BY doc_id, sent_no) - n) * 10 / sum(n) OVER (PARTITION BY lang)), 9) AS BIGINT) AS fold FROM s""",
+)
+_add("cut_by_id", _sentences(lambda s: statistics.cut(s, "10-1", "20-1").select("doc_id", "sent_no", "line")), f"WITH {SENTENCES_SQL} SELECT doc_id, sent_no, line FROM sentences WHERE (doc_id, sent_no) BETWEEN (10, 1) AND (20, 1)")
+_add("sort_by_id", _sentences(lambda s: s.select(F.concat("doc_id", F.lit("-"), "sent_no").alias("sent_id"), "line").orderBy(*statistics.by_id(F.col("sent_id")))), f"WITH {SENTENCES_SQL} SELECT doc_id || '-' || sent_no AS sent_id, line FROM sentences")
+
+# Surveys.
+
+_F = "(SELECT lang, upos, split_part(x, '=', 1) AS feature, unnest(string_split(split_part(x, '=', 2), ',')) AS value FROM (SELECT lang, upos, unnest(string_split(feats, '|')) AS x FROM words WHERE feats <> '_'))"
+_add("feature_values", _words(surveys.features), f"WITH {WORDS_SQL}, c AS (SELECT feature, value, lang, count(*) AS n FROM {_F} GROUP BY ALL) SELECT * FROM c UNION ALL SELECT feature, value, 'TOTAL', CAST(sum(n) AS BIGINT) FROM c GROUP BY ALL")
+_NUMBER = "CASE WHEN list_contains(string_split(feats, '|'), 'Number=Sing') THEN 'Sing' WHEN list_contains(string_split(feats, '|'), 'Number=Plur') THEN 'Plur' ELSE 'EMPTY' END"
+_add("feature_by_tag", _words(lambda w: surveys.feature_by_tag(w, "Number")), f"WITH {WORDS_SQL} SELECT lang, upos, {_NUMBER} AS value, count(*) AS n FROM words GROUP BY ALL")
+_add(
+    "feature_pivot", _words(lambda w: surveys.feature_pivot(w, "Number", "lang", ["de", "en", "es", "fr"])),
+    f"WITH {WORDS_SQL} SELECT {_NUMBER} AS value, " + ", ".join(f"CAST(count_if(lang = '{x}') AS BIGINT) AS {x}" for x in ("de", "en", "es", "fr")) + " FROM words GROUP BY 1",
+)
+_add(
+    "feature_cooccurrence", _words(surveys.cooccurring),
+    f"""WITH {WORDS_SQL}, x AS (SELECT doc_id, sent_no, id, upos, unnest(string_split(feats, '|')) AS f FROM words WHERE feats <> '_')
+SELECT a.upos, a.f AS first, b.f AS second, count(*) AS n FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.sent_no = b.sent_no AND a.id = b.id AND a.f < b.f GROUP BY ALL""",
+)
+_add(
+    "misc_top50", _words(surveys.attributes),
+    f"""WITH {WORDS_SQL}, x AS (SELECT lang, unnest(string_split(misc, '|')) AS x FROM words WHERE misc <> '_'),
+c AS (SELECT lang, CASE WHEN x LIKE '%=%' THEN split_part(x, '=', 1) ELSE '_' END AS key, CASE WHEN x LIKE '%=%' THEN split_part(x, '=', 2) ELSE x END AS value, count(*) AS n FROM x GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, key ORDER BY n DESC, value) AS INTEGER) AS rank FROM c) WHERE rank <= 50""",
+)
+_E = "(SELECT *, split_part(e, ':', 1) AS parent, substr(e, strpos(e, ':') + 1) AS rel FROM (SELECT *, unnest(string_split(deps, '|')) AS e FROM words WHERE deps <> '_'))"
+_add("relation_subtypes", _words(surveys.subtypes), f"WITH {WORDS_SQL} SELECT lang, split_part(rel, ':', 1) AS udeprel, rel AS deprel, count(*) AS n FROM {_E} GROUP BY ALL")
+_SCRIPT = "CASE " + " ".join(f"WHEN regexp_matches(letter, '\\p{{{x}}}') THEN '{x}'" for x in surveys.SCRIPTS) + " ELSE 'Other' END"
+_add(
+    "scripts", _sentences(surveys.scripts),
+    f"""WITH {SENTENCES_SQL}, l AS (SELECT lang, unnest(regexp_extract_all(line, '\\p{{L}}')) AS letter FROM sentences), c AS (SELECT lang, letter, count(*) AS n, {_SCRIPT} AS script FROM l GROUP BY ALL),
+s AS (SELECT lang, script, CAST(sum(n) AS BIGINT) AS total, max((n, letter))[2] AS letter FROM c GROUP BY ALL)
+SELECT lang, script, total AS n, letter, CAST(floor(100 * total / sum(total) OVER (PARTITION BY lang) + 0.5) AS BIGINT) AS percent FROM s""",
+)
+_add(
+    "parallel_treebanks", _trees(surveys.parallel),
+    f"""WITH {SENTENCES_SQL} SELECT 'up' AS collection, source, count(DISTINCT sent_no) AS n_core, count(*) - count(DISTINCT sent_no) AS n_extra FROM sentences WHERE doc_id % 10 = 0 GROUP BY source""",
+)
+
+
+def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = nested(spark, sf_dir, "id").select("lang", F.size("words").alias("n")).groupBy("lang").agg(F.sum("n").alias("n_words"))
+    registry = spark.createDataFrame([("en", "IE", "Germanic"), ("de", "IE", "Germanic"), ("es", "IE", "Romance"), ("fr", "IE", "Romance")], "lang string, family string, genus string")
+    return surveys.families(sizes, registry)
+
+
+_add(
+    "language_families", _families,
+    f"""WITH {WORDS_SQL}, r(lang, family, genus) AS (VALUES ('en', 'IE', 'Germanic'), ('de', 'IE', 'Germanic'), ('es', 'IE', 'Romance'), ('fr', 'IE', 'Romance'))
+SELECT family, genus, count(DISTINCT lang) AS n_languages, count(*) AS n_words FROM words JOIN r USING (lang) GROUP BY ROLLUP (family, genus)""",
+)
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's measures for the score, from its words."""
+    w = words(spark, sf_dir)
+    n = lambda p: F.count_if(_portion() == p).alias(f"n_{p}")
+    share = lambda c: F.round(F.avg((F.col(c) != "_").cast("double")), 6)
+    rows = w.groupBy("lang").agg(F.count("*").alias("n_words"), F.count_if(F.col("id") == 1).alias("n_sentences"), n("train"), n("dev"), n("test"), share("lemma").alias("lemmas"), share("xpos").alias("tags"), share("feats").alias("features"))
+    return rows.withColumns({"relations": F.lit(1.0), "n_genres": F.lit(4), "available": F.lit(True), "valid": F.col("lang") != "fr"})
+
+
+_MEASURED = f"""WITH {WORDS_SQL}, m AS (SELECT lang, count(*) AS n_words, CAST(count_if(id = 1) AS BIGINT) AS n_sentences, CAST(count_if({_PORTION_SQL} = 'train') AS BIGINT) AS n_train, CAST(count_if({_PORTION_SQL} = 'dev') AS BIGINT) AS n_dev,
+CAST(count_if({_PORTION_SQL} = 'test') AS BIGINT) AS n_test, round(count_if(lemma <> '_') / count(*), 6) AS lemmas, round(count_if(xpos <> '_') / count(*), 6) AS tags, round(count_if(feats <> '_') / count(*), 6) AS features FROM words GROUP BY lang)"""
+_add(
+    "star_score", lambda spark, sf_dir: surveys.stars(_measured(spark, sf_dir)).select("lang", "score", "stars"),
+    f"""{_MEASURED}, s AS (SELECT lang, (10 * greatest(ln((least(n_words, 1000000) / 1000) ** 2), 0) / ln(1000000) + 2 * (0.01 + 0.33 * (n_train > 10000)::INT + 0.33 * (n_dev >= 10000)::INT + 0.33 * (n_test >= 10000)::INT)
++ 3 * (lemmas + tags + features + 1.0 + 4 / 18)) / 27 * CASE WHEN lang = 'fr' THEN 0.01 ELSE 1 END AS score FROM m) SELECT lang, round(score, 6) AS score, floor(10 * score + 0.5) / 2 AS stars FROM s""",
+)
+_add(
+    "split_sizes", lambda spark, sf_dir: surveys.sized_splits(_measured(spark, sf_dir)),
+    f"""{_MEASURED} SELECT lang, 'test-missing' AS finding FROM m WHERE n_test = 0 UNION ALL SELECT lang, 'test-too-small' FROM m WHERE n_words > 10000 AND n_test < 10000 UNION ALL SELECT lang, 'train-too-small' FROM m WHERE n_words > 20000 AND n_train < 10000
+UNION ALL SELECT lang, 'dev-too-small' FROM m WHERE n_words > 30000 AND n_dev < least(9000, (n_words - n_test) // 10) UNION ALL SELECT lang, 'treebank-too-small' FROM m WHERE n_sentences < 20 OR n_words < 100""",
+)
+_add(
+    "similar_names", lambda spark, sf_dir: surveys.similar_names(spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("name"))),
+    """WITH n AS (SELECT DISTINCT n_name AS name, string_split(lower(n_name), '') AS l FROM nation), p AS (SELECT a.name AS a, b.name AS b, a.l AS la, b.l AS lb FROM n a JOIN n b ON a.name < b.name),
+s AS (SELECT a, b, round(1 - (list_sum([abs(len(list_filter(la, lambda y: y = x)) - len(list_filter(lb, lambda y: y = x))) for x in list_distinct(la || lb)]) / 2) / ((len(la) + len(lb)) / 2), 6) AS score FROM p) SELECT * FROM s WHERE score >= 0.83""",
+)
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = lambda w: w.groupBy(F.concat_ws("_", "lang", "source").alias("name")).agg(F.count("*").alias("n_words"))
+    w = words(spark, sf_dir)
+    return surveys.release_changes(sizes(w.where("doc_id % 7 <> 0 and source <> 'src3'")), sizes(w.where("source <> 'src4'")))
+
+
+_add(
+    "release_changes", _changes,
+    f"""WITH {WORDS_SQL}, b AS (SELECT lang || '_' || source AS name, count(*) AS n_before FROM words WHERE doc_id % 7 <> 0 AND source <> 'src3' GROUP BY ALL), a AS (SELECT lang || '_' || source AS name, count(*) AS n_after FROM words WHERE source <> 'src4' GROUP BY ALL),
+j AS (SELECT *, CASE WHEN n_before IS NULL THEN 'new' WHEN n_after IS NULL THEN 'gone' WHEN abs(n_after - n_before) > 0.1 * n_before THEN 'changed' END AS change FROM b FULL JOIN a USING (name)) SELECT * FROM j WHERE change IS NOT NULL""",
+)
+
+# The parser's path: text out, text in.
+
+_NODE = ("id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc")
+_add(
+    "parsed_nodes", _trees(lambda t: nodes_table(t, "doc_id", "sent_no").where("kind = 'word'").select("doc_id", "sent_no", *_NODE)),
+    f"WITH {WORDS_SQL} SELECT doc_id, sent_no, CAST(id AS VARCHAR) AS id, form, lemma, upos, xpos, feats, CAST(head AS VARCHAR) AS head, deprel, deps, misc FROM words",
+)
+_add(
+    "round_trip", _trees(lambda t: t.select("doc_id", "sent_no", (rendered(F.col("comments"), F.col("nodes")) == F.col("raw")).alias("same"))),
+    f"WITH {SENTENCES_SQL} SELECT doc_id, sent_no, true AS same FROM sentences",
+)
+_add(
+    "enhanced_edges", _words(lambda w: w.select("doc_id", "sent_no", "id", F.explode(F.expr("transform(split(nullif(deps, '_'), '[|]'), x -> struct(substring_index(x, ':', 1) as parent, regexp_replace(x, '^[^:]*:', '') as rel))")).alias("e")).select("doc_id", "sent_no", "id", "e.*")),
+    f"WITH {WORDS_SQL} SELECT doc_id, sent_no, id, parent, rel FROM {_E}",
+)
+_KIND = "CASE WHEN CAST(parent AS BIGINT) <> head THEN 'enhanced only' WHEN rel = deprel THEN 'same' WHEN split_part(rel, ':', 1) = split_part(deprel, ':', 1) THEN 'subtype' ELSE 'incompatible' END"
+_add(
+    "edge_compare", lambda spark, sf_dir: graphs.survey(graphs.properties(blocks(spark, sf_dir), KEYS), "lang").selectExpr("lang", "edge_same", "edge_subtype", "edge_incompatible", "edge_enhanced_only", "nodes_empty", "relcl"),
+    f"""WITH {WORDS_SQL}, e AS (SELECT lang, doc_id, sent_no, id, rel, {_KIND} AS kind FROM {_E}), w AS (SELECT lang, CAST(count_if(has_empty) AS BIGINT) AS n FROM words GROUP BY lang)
+SELECT lang, CAST(count_if(kind = 'same') AS BIGINT) AS edge_same, CAST(count_if(kind = 'subtype') AS BIGINT) AS edge_subtype, CAST(count_if(kind = 'incompatible') AS BIGINT) AS edge_incompatible,
+CAST(count_if(kind = 'enhanced only') AS BIGINT) + any_value(w.n) AS edge_enhanced_only, any_value(w.n) AS nodes_empty, CAST(count(DISTINCT CASE WHEN rel = 'ref' THEN (doc_id, sent_no, id) END) AS BIGINT) AS relcl FROM e JOIN w USING (lang) GROUP BY lang""",
+)
+_add("graph_properties", lambda spark, sf_dir: graphs.survey(graphs.properties(blocks(spark, sf_dir), KEYS), "lang"))
+_add("edge_types", lambda spark, sf_dir: graphs.type_totals(graphs.classified(blocks(spark, sf_dir), KEYS), "lang"))
+_add("collapsed_edges", lambda spark, sf_dir: per_sentence(blocks(spark, sf_dir).select(*KEYS, "raw"), KEYS, lambda raw: [(*map(str, (c[0], p[0])), d) for p, c, d in graphs.collapsed_edges(raw)], "child string, parent string, deprel string"))
+_add("collapsed_sentences", lambda spark, sf_dir: graphs.rewritten(blocks(spark, sf_dir), KEYS, graphs.collapsed))
+_add("reachable_sentences", lambda spark, sf_dir: graphs.rewritten(blocks(spark, sf_dir), KEYS, graphs.reachable))
+_add("acyclic_trees", lambda spark, sf_dir: graphs.rewritten(blocks(spark, sf_dir), KEYS, graphs.acyclic))
+_add(
+    "tree_shapes", lambda spark, sf_dir: graphs.shapes(blocks(spark, sf_dir), KEYS).select("doc_id", "sent_no", "depth", "n_unreached", "max_children"),
+    f"""WITH RECURSIVE {WORDS_SQL}, walk AS (SELECT doc_id, sent_no, id, 1 AS depth FROM words WHERE head = 0 UNION ALL SELECT w.doc_id, w.sent_no, w.id, walk.depth + 1 FROM walk JOIN words w ON w.doc_id = walk.doc_id AND w.sent_no = walk.sent_no AND w.head = walk.id),
+d AS (SELECT doc_id, sent_no, max(depth) AS depth, count(*) AS reached FROM walk GROUP BY ALL), n AS (SELECT doc_id, sent_no, count(*) AS n FROM words GROUP BY ALL), c AS (SELECT doc_id, sent_no, max(k) AS k FROM (SELECT doc_id, sent_no, head, count(*) AS k FROM words GROUP BY ALL) GROUP BY ALL)
+SELECT n.doc_id, n.sent_no, CAST(coalesce(d.depth, 0) AS INTEGER) AS depth, CAST(n.n - coalesce(d.reached, 0) AS INTEGER) AS n_unreached, CAST(c.k AS INTEGER) AS max_children FROM n LEFT JOIN d USING (doc_id, sent_no) JOIN c USING (doc_id, sent_no)""",
+)
+
+# Rewrites.
+
+_add(
+    "basic_to_enhanced", _trees(lambda t: nodes_table(rewrites.applied(t.select(*KEYS, "comments", "nodes"), rewrites.basic_to_enhanced), "doc_id", "sent_no").where("kind = 'word'").select("doc_id", "sent_no", F.col("major").cast("long").alias("id"), "deps")),
+    f"""WITH {WORDS_SQL}, e AS (SELECT DISTINCT doc_id, sent_no, id, CAST(parent AS BIGINT) AS parent, rel FROM {_E} UNION SELECT doc_id, sent_no, id, head, deprel FROM words) SELECT doc_id, sent_no, id, string_agg(parent || ':' || rel, '|' ORDER BY parent, rel) AS deps FROM e GROUP BY ALL""",
+)
+_add("without_enhanced", _trees(lambda t: rewrites.applied(t, rewrites.without_enhanced).select("doc_id", "sent_no", F.exists("nodes", lambda n: n["deps"] != "_").alias("left"))), f"WITH {SENTENCES_SQL} SELECT doc_id, sent_no, false AS left FROM sentences")
+_add("fixed_deps", _trees(lambda t: rewrites.applied(t, rewrites.sorted_deps).select(*KEYS, "raw")))
+_add(
+    "conllx_lines", _trees(lambda t: t.select("doc_id", "sent_no", F.explode(rewrites.conllx(F.col("nodes"))).alias("line"))),
+    f"WITH {WORDS_SQL} SELECT doc_id, sent_no, concat_ws(chr(9), id, form, lemma, upos, CASE WHEN xpos = '_' THEN upos ELSE upos || '_' || xpos END, feats, head, deprel, '_', '_') AS line FROM words",
+)
+_add(
+    "renumbered", _trees(lambda t: nodes_table(t.withColumn("nodes", rewrites.renumbered(F.filter("nodes", lambda n: (n["kind"] != "word") | (n["major"] != 2)))), "doc_id", "sent_no").where("kind = 'word'").select("doc_id", "sent_no", "id", "form", "head")),
+    f"""WITH {WORDS_SQL} SELECT doc_id, sent_no, CAST(CASE WHEN id > 2 THEN id - 1 ELSE id END AS VARCHAR) AS id, form, CAST(CASE WHEN head = 2 THEN 0 WHEN head > 2 THEN head - 1 ELSE head END AS VARCHAR) AS head FROM words WHERE id <> 2""",
+)
+_add(
+    "plain_lemmas", _trees(lambda t: nodes_table(t.withColumn("nodes", rewrites.plain_lemmas(F.transform("nodes", lambda n: n.withField("lemma", F.concat(n["lemma"], F.lit("-1")))))), "doc_id", "sent_no").where("kind = 'word'").select("doc_id", "sent_no", "id", "lemma", "misc")),
+    f"""WITH {WORDS_SQL}, l AS (SELECT *, lemma || '-1' AS l FROM words), s AS (SELECT *, upos <> 'PUNCT' AND NOT regexp_matches(form, '[0-9]') AND regexp_matches(l, '[^0-9-]-?[0-9]+$') AS strip FROM l)
+SELECT doc_id, sent_no, CAST(id AS VARCHAR) AS id, CASE WHEN upos = 'PUNCT' THEN form WHEN strip THEN regexp_replace(l, '-?[0-9]+$', '') ELSE l END AS lemma, CASE WHEN strip THEN CASE WHEN misc = '_' THEN '' ELSE misc || '|' END || 'LId=' || l ELSE misc END AS misc FROM s""",
+)
+_add("quick_fix", lambda spark, sf_dir: rewrites.quick_fix(planted(spark, sf_dir, UNIVERSAL), (*KEYS, "source"), "sent_no", connect=True))
+_add("document_text", lambda spark, sf_dir: rewrites.document_text(treebank(spark, sf_dir), ("doc_id",), "sent_no"))
+_add(
+    "text_without_spaces", _sentences(lambda s: s.select("doc_id", "sent_no", without_spaces(F.col("line")).alias("text"))),
+    f"WITH {SENTENCES_SQL} SELECT doc_id, sent_no, regexp_replace(line, '\\s', '', 'g') AS text FROM sentences",
+)
+_add("copied_annotation", lambda spark, sf_dir: rewrites.together(blocks(spark, sf_dir), _system(blocks(spark, sf_dir)), KEYS, lambda s, t: rewrites.copied(s, t, ("lemma", "upos", "xpos", "feats"))))
+_add("merged_tags", lambda spark, sf_dir: rewrites.together(blocks(spark, sf_dir), _system(blocks(spark, sf_dir)), KEYS, rewrites.merged_tags))
+_add("retokenized", lambda spark, sf_dir: rewrites.together(blocks(spark, sf_dir), _unranged(blocks(spark, sf_dir)), KEYS, rewrites.retokenized))
+
+# Scores.
+
+
+def _system(gold: DataFrame) -> DataFrame:
+    """A parser's output: every seventh word (by its line) has another tag, every eleventh another head, every fifth another relation."""
+
+    def step(raw: str):
+        out = []
+        for line in raw.split("\n"):
+            c = line.split("\t")
+            if c[0].isdigit():
+                i = int(c[0])
+                c[3] = "X" if i % 7 == 0 else c[3]
+                c[6] = "0" if i % 11 == 0 else c[6]
+                c[7] = "dep" if i % 5 == 0 else c[7]
+            out.append("\t".join(c))
+        yield ("\n".join(out),)
+
+    return per_sentence(gold.select(*KEYS, "raw"), KEYS, step, "raw string")
+
+
+def _unranged(gold: DataFrame) -> DataFrame:
+    """The same words without ranges and empty nodes."""
+    return per_sentence(gold.select(*KEYS, "raw"), KEYS, lambda raw: [("\n".join(x for x in raw.split("\n") if not x[:1].isdigit() or x.split("\t")[0].isdigit()),)], "raw string")
+
+
+_add("score_all", lambda spark, sf_dir: scorer.scores(blocks(spark, sf_dir), _system(blocks(spark, sf_dir)), ("doc_id", "lang"), by=("lang",)))
+_add(
+    "score_tags_trees", lambda spark, sf_dir: scorer.scores(blocks(spark, sf_dir), _system(blocks(spark, sf_dir)), ("doc_id", "lang"), by=("lang",)).where("metric in ('Words', 'UPOS', 'UAS', 'LAS')").select("lang", "metric", "n_gold", "n_correct", "f1"),
+    f"""WITH {WORDS_SQL}, s AS (SELECT *, CASE WHEN id % 7 = 0 THEN 'X' ELSE upos END AS u, CASE WHEN id % 11 = 0 THEN 0 ELSE head END AS h, CASE WHEN id % 5 = 0 THEN 'dep' ELSE deprel END AS d FROM words),
+m AS (SELECT lang, unnest(['Words', 'UPOS', 'UAS', 'LAS']) AS metric, count(*) AS n_gold, unnest([CAST(count(*) AS BIGINT), CAST(count_if(u = upos) AS BIGINT), CAST(count_if(h = head) AS BIGINT), CAST(count_if(h = head AND d = deprel) AS BIGINT)]) AS n_correct FROM s GROUP BY lang)
+SELECT *, round(n_correct / n_gold, 6) AS f1 FROM m""",
+)
+_add("score_retokenized", lambda spark, sf_dir: scorer.scores(blocks(spark, sf_dir), _unranged(blocks(spark, sf_dir)), ("doc_id", "lang"), by=("lang",)))
+
+# Validation.
+
+
+def _validated(chosen: list[int], level: int) -> Query:
+    """Findings in planted sentences, each sentence alone, counted."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = checks.incidents(checks.validate(planted(spark, sf_dir, chosen), KEYS, level=level))
+        return found.groupBy("doc_id", "sent_no", "testid", "type").agg(F.count("*").alias("n"))
+
+    return query
+
+
+_add("validate_universal", _validated(UNIVERSAL, 3), planted_sql(UNIVERSAL))
+_add("validate_particular", _validated(PARTICULAR, 5), planted_sql(PARTICULAR))
+
+
+def _found(spark: SparkSession, sf_dir: str, level: int = 3, **options) -> DataFrame:
+    return checks.validate(blocks(spark, sf_dir), (*KEYS, "source"), level=level, **options)
+
+
+def _across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = treebank(spark, sf_dir).withColumn("source", F.lit("s"))
+    passed = _found(spark, sf_dir, 2, include=("none",)).where("type = 'FACT'")
+    return checks.across(trees.select(*KEYS, "source", "comments", "nodes"), passed, KEYS, "lang", "source").select("lang", "doc_id", "sent_no", "level", "testid")
+
+
+#: Sentences that pass the chain: no word is its own head.
+_PASSED = "ok AS (SELECT doc_id, sent_no, lang FROM words GROUP BY ALL HAVING count_if(head = id) = 0)"
+_add(
+    "incidents_across", _across,
+    f"""WITH {WORDS_SQL}, {_PASSED}, f AS (SELECT w.lang, w.doc_id, w.sent_no, bool_or(deps <> '_' OR has_empty) AS enhanced, bool_or(list_contains(string_split(misc, '|'), 'SpaceAfter=No') AND id = n_words AND NOT coalesce(prev, false)) AS glued
+  FROM (SELECT *, lag(starts_range) OVER (PARTITION BY doc_id, sent_no ORDER BY id) AS prev FROM words) w JOIN ok USING (doc_id, sent_no) GROUP BY ALL),
+g AS (SELECT *, lag(glued) OVER (PARTITION BY lang ORDER BY doc_id, sent_no) AS before FROM f), kinds AS (SELECT lang, enhanced, min((doc_id, sent_no)) AS place FROM f GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang, sent_no ORDER BY doc_id) AS nth FROM f WHERE doc_id % 10 = 0)
+SELECT lang, doc_id, sent_no, 2 AS level, 'spaceafter-newdocpar' AS testid FROM g WHERE before AND sent_no % 5 = 1
+UNION ALL SELECT lang, max(place)[1], max(place)[2], 2, 'edeps-only-sometimes' FROM kinds GROUP BY lang HAVING count(*) > 1
+UNION ALL SELECT lang, doc_id, sent_no, 2, 'non-unique-parallel-id' FROM p WHERE nth > 1""",
+)
+_add(
+    "incidents_content", lambda spark, sf_dir: checks.incidents(_found(spark, sf_dir)).where("testid in ('rel-upos-punct', 'upos-rel-punct', 'rel-upos-nummod', 'right-to-left-conj', '0-is-not-root', 'root-is-not-0', 'head-self-loop', 'too-many-objects', 'verbform-fin-without-mood', 'missing-text')").select("doc_id", "sent_no", "level", "testid", "node"),
+    f"""WITH {WORDS_SQL}, {_PASSED}, x AS (SELECT words.*, CASE WHEN feats = 'ExtPos=ADV' THEN 'ADV' ELSE upos END AS tag FROM words JOIN ok USING (doc_id, sent_no)), i(doc_id, sent_no, level, testid, id) AS (
+SELECT doc_id, sent_no, 3, 'rel-upos-punct', id FROM x WHERE deprel = 'punct' AND tag <> 'PUNCT'
+UNION ALL SELECT doc_id, sent_no, 3, 'upos-rel-punct', id FROM x WHERE tag = 'PUNCT' AND deprel NOT IN ('punct', 'root')
+UNION ALL SELECT doc_id, sent_no, 3, 'rel-upos-nummod', id FROM x WHERE deprel = 'nummod' AND tag NOT IN ('NUM', 'NOUN', 'SYM')
+UNION ALL SELECT doc_id, sent_no, 3, 'right-to-left-conj', id FROM x WHERE deprel = 'conj' AND id < head
+UNION ALL SELECT doc_id, sent_no, 3, '0-is-not-root', id FROM x WHERE head = 0 AND deprel <> 'root'
+UNION ALL SELECT doc_id, sent_no, 3, 'root-is-not-0', id FROM x WHERE head <> 0 AND deprel = 'root'
+UNION ALL SELECT doc_id, sent_no, 3, 'too-many-objects', head FROM x WHERE deprel = 'obj' AND head > 0 GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT doc_id, sent_no, 2, 'head-self-loop', min(id) FROM words WHERE head = id GROUP BY ALL)
+SELECT doc_id, sent_no, level, testid, CAST(id AS VARCHAR) AS node FROM i UNION ALL SELECT doc_id, sent_no, 2, 'missing-text', '' FROM ok""",
+)
+_add("incidents_top20_per_class", lambda spark, sf_dir: checks.capped(checks.incidents(_found(spark, sf_dir)), 20, KEYS))
+_add("incident_summary", lambda spark, sf_dir: checks.summary(checks.incidents(_found(spark, sf_dir)), "lang"))
+_add(
+    "validation_verdict", lambda spark, sf_dir: checks.passed(checks.incidents(_found(spark, sf_dir, 2, include=("head-self-loop",))), blocks(spark, sf_dir), "lang"),
+    f"WITH {WORDS_SQL} SELECT lang, count(DISTINCT CASE WHEN head = id THEN (doc_id, sent_no) END) AS n_errors, CASE WHEN count_if(head = id) > 0 THEN 'FAILED' ELSE 'PASSED' END AS verdict FROM words GROUP BY lang",
+)
+_add("incidents_json", lambda spark, sf_dir: checks.as_json(checks.incidents(_found(spark, sf_dir, 2))))
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences in which each noun is an entity named by its lemma, of a type that varies."""
+    rows = nested(spark, sf_dir, "id", "form", "lemma", "upos")
+    misc = lambda w: F.when(w["upos"] == "NOUN", F.concat(F.lit("Entity=("), F.regexp_replace(w["lemma"], "[^a-z]", "x"), F.lit("-"), F.when((w["id"] + F.col("doc_id")) % 19 == 0, "place").otherwise("person"), F.lit("-1)"))).otherwise("_")
+    line = lambda w: F.concat_ws("\t", w["id"].cast("string"), w["form"], w["lemma"], w["upos"], *[F.lit("_")] * 5, misc(w))
+    raw = F.concat(F.lit("# global.Entity = eid-etype-head\n"), F.array_join(F.transform("words", line), "\n"))
+    return coreference.found(rows.select(*KEYS, raw.alias("raw")), KEYS, "lang")
+
+
+_add(
+    "entity_conflicts", lambda spark, sf_dir: coreference.across(_entities(spark, sf_dir), KEYS, "lang", "lang").groupBy("lang", "testid").agg(F.count("*").alias("n")),
+    f"""WITH {WORDS_SQL}, m AS (SELECT lang, doc_id, sent_no, regexp_replace(lemma, '[^a-z]', 'x', 'g') AS eid, CASE WHEN (id + doc_id) % 19 = 0 THEN 'place' ELSE 'person' END AS etype, id FROM words WHERE upos = 'NOUN'),
+f AS (SELECT lang, eid, min((doc_id, lang, sent_no, etype))[4] AS etype FROM m GROUP BY ALL) SELECT m.lang, 'entity-type-mismatch' AS testid, count(*) AS n FROM m JOIN f ON f.lang = m.lang AND f.eid = m.eid WHERE m.etype <> f.etype GROUP BY ALL""",
+)
+_add("entity_clusters", lambda spark, sf_dir: coreference.clusters(_entities(spark, sf_dir), "lang"))
+_add("registry_relations", _words(lambda w: w.select("lang", universal(F.col("deprel")).alias("udeprel")).distinct()), f"WITH {WORDS_SQL} SELECT DISTINCT lang, deprel AS udeprel FROM words")

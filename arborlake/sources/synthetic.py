@@ -1,8 +1,9 @@
 """A deterministic treebank derived from the `documents` table, in operations that DuckDB has too.
 
-A document is a doc_id, a sentence a non-blank line, a word a non-empty piece between spaces. The
-basic tree is the heap tree (head = id div 2); one residue class of words is given itself as head, so
-that checks have something to find. Null and empty texts have no sentences.
+A document is a doc_id, a sentence a non-blank line, a word a non-empty piece between spaces. The basic tree
+is the heap tree (head = id div 2); one residue class of words is given itself as head, so that checks have
+something to find. Other residues give ranges, empty nodes, features, enhanced edges and attributes. Null and
+empty texts have no sentences. Nodes are built as an array in the sentence's row: nothing is exploded here.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The universal part-of-speech tags and relations of the annotation scheme.
-UPOS = ["ADJ", "ADP", "ADV", "AUX", "CCONJ", "DET", "INTJ", "NOUN", "NUM", "PART", "PRON", "PROPN", "PUNCT", "SCONJ", "SYM", "VERB", "X"]
-DEPREL = [
-    "acl", "advcl", "advmod", "amod", "appos", "aux", "case", "cc", "ccomp", "clf", "compound", "conj",
-    "cop", "csubj", "dep", "det", "discourse", "dislocated", "expl", "fixed", "flat", "goeswith", "iobj", "list",
-    "mark", "nmod", "nsubj", "nummod", "obj", "obl", "orphan", "parataxis", "punct", "reparandum", "vocative", "xcomp",
-]
+from arborlake.sources import conllu
+from arborlake.sources.cases import CASES, WARNINGS
+from arborlake.sources.registry import RELATIONS, UPOS
+
+DEPREL = [x for x in RELATIONS if x != "root"]
+FEATS = ["_", "Number=Sing", "Number=Plur", "Case=Nom|Number=Sing", "Case=Acc|Number=Plur", "Mood=Ind|VerbForm=Fin", "VerbForm=Inf", "_", "Case=Nom,Acc", "PronType=Prs", "ExtPos=ADV", "Foreign=Yes"]
+MISC = ["_", "_", "_", "SpaceAfter=No", "Gloss=g1", "Gloss=g2|SpaceAfter=No", "Lang=en", "Ref=MATT_1.2", "Flag", "Translit=x"]
+SENTENCE = ("doc_id", "lang", "source", "sent_no")
 
 
 def _pick(values: list[str], index: Column) -> Column:
@@ -30,19 +32,79 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "lang", "source", (F.col("pos") + 1).cast("long").alias("sent_no"), "line").where(F.trim("line") != "")
 
 
+def _word(form: Column, n: Column) -> dict[str, Column]:
+    """The columns of the n-th word."""
+    doc, sent, length = F.col("doc_id"), F.col("sent_no"), F.length(form).cast("long")
+    upos = _pick(UPOS, length * 5 + n)
+    head = F.when((doc * 31 + sent * 7 + n) % 97 == 0, n).otherwise(F.floor(n / 2))
+    deprel = F.when(n == 1, F.lit("root")).otherwise(_pick(DEPREL, length * 7 + n))
+    basic = F.concat(head.cast("string"), F.lit(":"), deprel)
+    deps = F.when(doc % 2 == 1, F.lit("_")).when((n % 11 == 0), F.concat((n - 1).cast("string"), F.lit(":ref")))
+    deps = deps.when((n % 5 == 0), F.concat(basic, F.lit("|"), (n - 1).cast("string"), F.lit(":conj:and"))).when((n > 1) & (n % 7 == 0), F.concat(basic, F.lit(":in"))).otherwise(basic)
+    lemma = F.when((doc + n) % 41 == 0, F.lit("_")).otherwise(F.lower(form))
+    xpos = F.when(length % 4 == 0, F.lit("_")).otherwise(F.concat(upos, F.lit("-"), (length % 3).cast("string")))
+    return {"id": n, "form": form, "lemma": lemma, "upos": upos, "xpos": xpos, "feats": _pick(FEATS, length * 3 + n + sent), "head": head, "deprel": deprel, "deps": deps, "misc": _pick(MISC, length + n * 3)}
+
+
+def _pieces() -> Column:
+    return F.filter(F.split("line", " "), lambda x: x != "")
+
+
+def nested(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """doc_id, lang, source, sent_no, words: an array in each sentence's row, of the fields asked for (else all)."""
+
+    def word(form: Column, i: Column) -> Column:
+        made = _word(form, (i + 1).cast("long"))
+        return F.struct(*(made[k].alias(k) for k in fields or made))
+
+    return sentences(spark, sf_dir).select(*SENTENCE, F.transform(_pieces(), word).alias("words"))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, sent_no, id, form, upos, head, deprel: one row for each word."""
-    pieces = F.filter(F.split("line", " "), lambda x: x != "")
-    rows = sentences(spark, sf_dir).select("doc_id", "lang", "source", "sent_no", F.posexplode(pieces).alias("pos", "form"))
-    rows = rows.withColumn("id", (F.col("pos") + 1).cast("long"))
-    length = F.length("form").cast("long")
-    loop = (F.col("doc_id") * 31 + F.col("sent_no") * 7 + F.col("id")) % 97 == 0
-    return rows.select(
-        "doc_id", "lang", "source", "sent_no", "id", "form",
-        _pick(UPOS, length * 5 + F.col("id")).alias("upos"),
-        F.when(loop, F.col("id")).otherwise(F.expr("id div 2")).alias("head"),
-        F.when(F.col("id") == 1, F.lit("root")).otherwise(_pick(DEPREL, length * 7 + F.col("id"))).alias("deprel"),
-    )
+    """One row for each word; columns that nobody reads are not computed."""
+    rows = sentences(spark, sf_dir).select(*SENTENCE, F.posexplode(_pieces()).alias("pos", "form"))
+    made = _word(F.col("form"), (F.col("pos") + 1).cast("long"))
+    return rows.select(*SENTENCE, *(c.alias(k) for k, c in made.items()))
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, sent_no, raw: the treebank as text, with ranges, empty nodes and comments."""
+    rows = nested(spark, sf_dir)
+    doc, sent, tab = F.col("doc_id"), F.col("sent_no"), F.lit("\t")
+    rest = F.lit("\t_\t_\t_\t_\t_\t_\t_\t_")
+
+    def lines(w: Column, i: Column) -> Column:
+        n = i + 1
+        begins = (F.size("words") > n) & ((doc + n) % 29 == 0)
+        span = F.concat(n.cast("string"), F.lit("-"), (n + 1).cast("string"), tab, w["form"], F.get("words", n)["form"], rest)
+        word = F.concat_ws("\t", *(w[c].cast("string") for c in conllu.COLUMNS))
+        empty = F.concat(n.cast("string"), F.lit(".1\t_\t_\tVERB\t_\t_\t_\t_\t"), n.cast("string"), F.lit(":conj\t_"))
+        return F.filter(F.array(F.when(begins, span), word, F.when((doc + sent + n) % 31 == 0, empty)), lambda x: x.isNotNull())
+
+    name = F.concat(F.lit("# sent_id = "), doc.cast("string"), F.lit("-"), sent.cast("string"))
+    parallel = F.when(doc % 10 == 0, F.concat(F.lit("# parallel_id = up/"), sent.cast("string")))
+    comments = F.filter(F.array(F.when(sent == 1, "# newdoc"), F.when(sent % 5 == 1, "# newpar"), name, parallel), lambda x: x.isNotNull())
+    return rows.select(*SENTENCE, F.array_join(F.concat(comments, F.flatten(F.transform("words", lines))), "\n").alias("raw"))
+
+
+def treebank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The treebank as text, parsed again: sentence keys, raw, comments, nodes."""
+    return conllu.parsed(blocks(spark, sf_dir))
+
+
+def _case(sf: DataFrame, chosen: list[int]) -> DataFrame:
+    """Sentences whose text is one of the planted cases."""
+    raws = F.array(*(F.lit(CASES[k].raw) for k in chosen))
+    k = (F.col("doc_id") * 31 + F.col("sent_no") * 7) % len(chosen)
+    return sf.select(*SENTENCE, F.replace(F.element_at(raws, (k + 1).cast("int")), F.lit("{id}"), F.concat("doc_id", F.lit("-"), "sent_no")).alias("raw"))
+
+
+UNIVERSAL = [k for k, c in enumerate(CASES) if c.level <= 3]
+PARTICULAR = [k for k, c in enumerate(CASES) if c.level == 0 or c.level > 3]
+
+
+def planted(spark: SparkSession, sf_dir: str, chosen: list[int]) -> DataFrame:
+    return _case(sentences(spark, sf_dir), chosen)
 
 
 def _sql_list(values: list[str]) -> str:
@@ -56,12 +118,26 @@ SENTENCES_SQL = """sentences AS (
         FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS lines FROM documents))
   WHERE trim(lines[i]) <> '')"""
 WORDS_SQL = f"""{SENTENCES_SQL}, pieces AS (
-  SELECT doc_id, lang, source, sent_no, CAST(i AS BIGINT) AS id, parts[i] AS form
+  SELECT doc_id, lang, source, sent_no, CAST(i AS BIGINT) AS id, parts[i] AS form, len(parts) AS n_words, CASE WHEN i < len(parts) THEN parts[i + 1] END AS next_form
   FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i
         FROM (SELECT doc_id, lang, source, sent_no, list_filter(string_split(line, ' '), lambda x: x <> '') AS parts FROM sentences))),
-words AS (
-  SELECT doc_id, lang, source, sent_no, id, form,
-         ({_sql_list(UPOS)})[(length(form) * 5 + id) % {len(UPOS)} + 1] AS upos,
+bare AS (
+  SELECT *, ({_sql_list(UPOS)})[(length(form) * 5 + id) % {len(UPOS)} + 1] AS upos,
          CASE WHEN (doc_id * 31 + sent_no * 7 + id) % 97 = 0 THEN id ELSE id // 2 END AS head,
          CASE WHEN id = 1 THEN 'root' ELSE ({_sql_list(DEPREL)})[(length(form) * 7 + id) % {len(DEPREL)} + 1] END AS deprel
-  FROM pieces)"""
+  FROM pieces),
+words AS (
+  SELECT *, CASE WHEN (doc_id + id) % 41 = 0 THEN '_' ELSE lower(form) END AS lemma,
+         CASE WHEN length(form) % 4 = 0 THEN '_' ELSE upos || '-' || length(form) % 3 END AS xpos,
+         ({_sql_list(FEATS)})[(length(form) * 3 + id + sent_no) % {len(FEATS)} + 1] AS feats,
+         CASE WHEN doc_id % 2 = 1 THEN '_' WHEN id % 11 = 0 THEN (id - 1) || ':ref' WHEN id % 5 = 0 THEN head || ':' || deprel || '|' || (id - 1) || ':conj:and'
+              WHEN id > 1 AND id % 7 = 0 THEN head || ':' || deprel || ':in' ELSE head || ':' || deprel END AS deps,
+         ({_sql_list(MISC)})[(length(form) + id * 3) % {len(MISC)} + 1] AS misc,
+         n_words > id AND (doc_id + id) % 29 = 0 AS starts_range, (doc_id + sent_no + id) % 31 = 0 AS has_empty
+  FROM bare)"""
+
+
+def planted_sql(chosen: list[int]) -> str:
+    """The findings that each planted sentence must have, counted."""
+    rows = ", ".join(f"({i}, '{t}', '{'WARNING' if t in WARNINGS else 'ERROR'}')" for i, k in enumerate(chosen) for t in CASES[k].found)
+    return f"WITH {SENTENCES_SQL}, truth(k, testid, type) AS (VALUES {rows}) SELECT doc_id, sent_no, testid, type, count(*) AS n FROM sentences JOIN truth ON (doc_id * 31 + sent_no * 7) % {len(chosen)} = k GROUP BY ALL"
