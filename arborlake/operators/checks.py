@@ -676,28 +676,40 @@ def _at(rows: DataFrame, keys: tuple[str, ...], level: int, testclass: str, test
     return rows.select(*keys, F.lit(level).alias("level"), F.lit("ERROR").alias("type"), F.lit(testclass).alias("testclass"), name.alias("testid"), F.lit(1).alias("line"), (F.lit("") if node is None else node).alias("node"), F.lit("").alias("message"))
 
 
-def across(sentences: DataFrame, passed: DataFrame, keys: tuple[str, ...], treebank: str, file: str) -> DataFrame:
-    """Incidents between sentences. `sentences` are parsed, `passed` are the keys of those whose chain ran through.
+def facts_of(raw: str) -> tuple:
+    """What the checks between sentences need of a sentence that passed its own."""
+    t = Tree(raw)
+    named = lambda p: next((m[1] for c in t.comments if (m := p.fullmatch(c))), "")
+    surface = [n for n in t.nodes if n.kind != "empty"]
+    until = max((n.last for n in surface if n.kind == "range"), default=0)
+    last = next((n for n in surface if n.kind == "range" and n.last == surface[-1].id[0]), surface[-1]) if until >= surface[-1].id[0] else surface[-1]
+    enhanced = [n for n in t.enhanced if n.deps != "_"]
+    return (
+        named(SENT_ID), named(PARALLEL_ID), any(p.fullmatch(c) for c in t.comments for p in NEW.values()), "SpaceAfter=No" in last.misc.split("|"),
+        bool(enhanced), any(n.deps != f"{n.head}:{n.deprel}" for n in enhanced), [n.cells[0] for n in enhanced if n.kind == "empty"],
+        [n.cells[0] for n in enhanced if any(universal(d) == "orphan" for _, d in n.edges)],
+    )
+
+
+FACTS = "sent_id string, parallel_id string, begins boolean, ends_glued boolean, enhanced boolean, differs boolean, empties array<string>, orphans array<string>"
+
+
+def facts(sentences: DataFrame, keys: tuple[str, ...], whole: bool = True) -> DataFrame:
+    """A narrow row for each sentence (keys, raw) that passes levels 1 and 2; persisted, as several checks read it."""
+
+    def step(raw: str):
+        if any(f.type == "FACT" for f in chain(raw + "\n" if whole else raw, "ud", 2, {})):
+            yield facts_of(raw)
+
+    return per_sentence(sentences.select(*keys, "raw"), keys, step, FACTS).persist()
+
+
+def across(facts: DataFrame, keys: tuple[str, ...], treebank: str, file: str) -> DataFrame:
+    """Incidents between sentences, from their facts.
 
     The order of sentences is that of the keys. Windows are over (treebank, id) or over a file's sentences, of narrow rows.
     """
-    has = lambda pattern: F.filter("comments", lambda c: c.rlike(pattern))
-    rows = sentences.join(passed.select(*keys), list(keys), "left_semi")
-    enhanced = F.filter("nodes", lambda n: (n["kind"] != "mwt") & (n["deps"] != "_"))
-    tokens = F.filter("nodes", lambda n: n["kind"] != "empty")
-    within = lambda n: F.exists("nodes", lambda m: (m["kind"] == "mwt") & (m["major"] <= n["major"]) & (n["major"] <= m["last"]))
-    surface = F.filter(tokens, lambda n: (n["kind"] == "mwt") | ~within(n))
-    facts = rows.select(
-        *keys, F.struct(*keys).alias("place"),
-        F.regexp_extract(F.get(has(r"\A#\s*sent_id\s*=\s*\S+\z"), F.lit(0)), r"=\s*(\S+)\z", 1).alias("sent_id"),
-        F.regexp_extract(F.get(has(PARALLEL), F.lit(0)), r"=\s*(\S+)\z", 1).alias("parallel_id"),
-        (F.size(has(r"\A#\s*new(doc|par)(\s|\z)")) > 0).alias("begins"),
-        F.coalesce(F.array_contains(F.split(F.get(F.transform(F.slice(surface, -1, 1), lambda n: n["misc"]), F.lit(0)), r"\|"), "SpaceAfter=No"), F.lit(False)).alias("ends_glued"),
-        (F.size(enhanced) > 0).alias("enhanced"),
-        F.exists(enhanced, lambda n: n["deps"] != F.concat_ws(":", n["head"], n["deprel"])).alias("differs"),
-        F.transform(F.filter(enhanced, lambda n: n["kind"] == "empty"), lambda n: n["id"]).alias("empties"),
-        F.transform(F.filter(enhanced, lambda n: n["deps"].rlike(r"(\A|\|)[0-9.]+:orphan(:|\||\z)")), lambda n: n["id"]).alias("orphans"),
-    )
+    facts = facts.withColumn("place", F.struct(*keys))
     again = F.row_number().over(W.partitionBy(treebank, "sent_id").orderBy("place"))
     repeated = _at(facts.where("sent_id <> ''").withColumn("nth", again).where("nth > 1"), keys, 2, "METADATA", "non-unique-sent-id")
     glued = F.lag("ends_glued").over(W.partitionBy(treebank, file).orderBy("place"))
@@ -721,9 +733,6 @@ def across(sentences: DataFrame, passed: DataFrame, keys: tuple[str, ...], treeb
     return out
 
 
-PARALLEL = r"\A#\s*parallel_id\s*=\s*[a-z]+/[-0-9a-z]+(/(alt[1-9][0-9]*)?(part[1-9][0-9]*)?)?\z"
-
-
 def _parallel(facts: DataFrame, keys: tuple[str, ...], treebank: str) -> DataFrame:
     """Whole ids must be unique; numbers of alternatives and parts of a sentence run 1, 2, 3 or are absent from all."""
     number = lambda kind: F.nullif(F.regexp_extract("parallel_id", rf"{kind}([0-9]+)", 1), F.lit("")).cast("int")

@@ -50,19 +50,6 @@ def conllx(nodes: Column) -> Column:
     return F.transform(F.filter(nodes, lambda n: n["kind"] == "word"), line)
 
 
-def renumbered(nodes: Column) -> Column:
-    """Words numbered from 1 in order; a head becomes the new number of the first word that had its id."""
-    words = F.filter(nodes, lambda n: n["kind"] == "word")
-    number = lambda old: F.array_position(F.transform(words, lambda w: w["id"]), old)
-
-    def one(n: Column, i: Column) -> Column:
-        before = F.size(F.filter(F.slice(nodes, F.lit(1), i + 1), lambda m: m["kind"] == "word"))
-        head = F.when(n["head"].isin("0", "_"), n["head"]).otherwise(number(n["head"]).cast("string"))
-        return F.when(n["kind"] == "word", n.withField("id", before.cast("string")).withField("head", head)).otherwise(n)
-
-    return F.transform(nodes, one)
-
-
 def plain_lemmas(nodes: Column) -> Column:
     """Punctuation is its own lemma; a number at a lemma's end goes, the original to MISC, where the form has no digit."""
 
@@ -87,6 +74,20 @@ def unspaced_lines(text: Column, width: int = 80) -> Column:
 # Steps: one sentence's text in, its text out.
 
 
+def renumbered(raw: str) -> str:
+    """Words numbered from 1 in order; a head becomes the new number of the first word that had its id, or 0."""
+    lines = raw.split("\n")
+    old: dict[str, int] = {}
+    words = [k for k, x in enumerate(lines) if re.match("[0-9]+\t", x)]
+    for i, k in enumerate(words, 1):
+        old.setdefault(lines[k].partition("\t")[0], i)
+    for i, k in enumerate(words, 1):
+        c = lines[k].split("\t")
+        c[0], c[6] = str(i), c[6] if c[6] == "_" else str(old.get(c[6], 0))
+        lines[k] = "\t".join(c)
+    return "\n".join(lines)
+
+
 def composed(raw: str) -> str:
     return unicodedata.normalize("NFC", raw)
 
@@ -215,25 +216,22 @@ def wrapped(pieces: list[str], width: int = 80, anywhere: bool = False) -> str:
     return "\n\n".join(out)
 
 
-def document_text(trees: DataFrame, document: tuple[str, ...], order: str, language: str | None = None) -> DataFrame:
-    """The plain text of each document: sentences joined by their spacing, paragraphs apart, lines wrapped."""
-    covered = lambda n: F.exists("nodes", lambda m: (m["kind"] == "mwt") & (m["major"] <= n["major"]) & (n["major"] <= m["last"]))
-    surface = F.filter("nodes", lambda n: (n["kind"] == "mwt") | ((n["kind"] == "word") & ~covered(n)))
-    text = F.array_join(F.transform(surface, lambda n: F.concat(n["form"], F.when(F.array_contains(F.split(n["misc"], r"\|"), "SpaceAfter=No"), "").otherwise(" "))), "")
-    begins = F.exists("comments", lambda c: c.rlike(r"\A#\s*new(doc|par)(\s|\z)"))
-    rows = trees.select(*document, F.struct(F.col(order).alias("order"), begins.alias("begins"), text.alias("text")).alias("s"))
-    gathered = rows.groupBy(*document).agg(F.array_sort(F.collect_list("s")).alias("s"))  # one document
-    name = F.lit(language) if isinstance(language, str) else F.lit("")
+def document_text(sentences: DataFrame, document: tuple[str, ...], order: str, language: str = "") -> DataFrame:
+    """The plain text of each document (keys, order, raw): sentences joined by their spacing, paragraphs apart, lines wrapped."""
+    gathered = sentences.groupBy(*document).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "raw"))), lambda x: x["raw"]).alias("raws"))  # one document
 
-    def step(found: list[dict], lang: str):
+    def step(raws: list[str]):
         paragraphs: list[str] = []
-        for x in found:
-            if x["begins"] or not paragraphs:
+        for raw in raws:
+            tree = Tree(raw)
+            if not paragraphs or any(re.match(r"#\s*new(doc|par)(\s|$)", c) for c in tree.comments):
                 paragraphs.append("")
-            paragraphs[-1] += x["text"]
-        yield (wrapped([p.strip() for p in paragraphs], anywhere=lang in ("zh", "ja")),)
+            for _, _, lines in surface(tree):
+                n = lines[0]
+                paragraphs[-1] += n.form + ("" if "SpaceAfter=No" in n.misc.split("|") else " ")
+        yield (wrapped([p.strip() for p in paragraphs], anywhere=language in ("zh", "ja")),)
 
-    return per_sentence(gathered.select(*document, "s", name.alias("_language")), document, step, "text string")
+    return per_sentence(gathered.select(*document, "raws"), document, step, "text string")
 
 
 # Two versions of one text, joined by key.

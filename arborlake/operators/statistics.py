@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arborlake.functions import pairs, universal
+from arborlake.sources.conllu import nodes_table
 
 SENTENCE = ("doc_id", "sent_no")
 
@@ -22,15 +23,14 @@ def each(rows: DataFrame, *keys: str, array: str = "words") -> DataFrame:
     return rows.select(*keys, F.explode(array).alias("w")).select(*keys, "w.*")
 
 
-def size(trees: DataFrame, *keys: str) -> DataFrame:
-    """Sentences, surface tokens, ranges, words, empty nodes, distinct forms and lemmas of parsed sentences."""
-    of = lambda kind: F.size(F.filter("nodes", lambda n: n["kind"] == kind))
-    covered = F.aggregate(F.filter("nodes", lambda n: n["kind"] == "mwt"), F.lit(0), lambda s, n: s + n["last"] - n["major"])
-    counts = trees.select(*keys, of("word").alias("w"), of("mwt").alias("m"), of("empty").alias("e"), covered.alias("c"))
-    sums = counts.groupBy(*keys).agg(F.count("*").alias("n_sentences"), F.sum(F.col("w") - F.col("c")).alias("n_tokens"), F.sum("m").alias("n_ranges"), F.sum("w").alias("n_words"), F.sum("e").alias("n_empty"))
-    kinds = each(trees, *keys, array="nodes").where("kind = 'word'").select(*keys, "form", "lemma").distinct()
-    distinct = kinds.groupBy(*keys).agg(F.countDistinct("form").alias("n_forms"), F.countDistinct(F.nullif("lemma", F.lit("_"))).alias("n_lemmas"))
-    return sums.join(distinct, list(keys), "left")
+def size(sentences: DataFrame, *keys: str) -> DataFrame:
+    """Sentences, surface tokens, ranges, words, empty nodes, distinct forms and lemmas of sentences as text (raw)."""
+    nodes = nodes_table(sentences, *keys)
+    # Words are counted by form and lemma first, ranges and empty nodes in one group each, so the distinct counts see few rows.
+    kinds = nodes.groupBy(*keys, "kind", F.when(F.col("kind") == "word", F.col("form")).alias("form"), F.when(F.col("kind") == "word", F.col("lemma")).alias("lemma")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("kind") == "mwt", F.col("last") - F.col("major")).otherwise(0)).alias("covered"))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    sums = kinds.groupBy(*keys).agg((of("word") - F.sum("covered")).alias("n_tokens"), of("mwt").alias("n_ranges"), of("word").alias("n_words"), of("empty").alias("n_empty"), F.countDistinct("form").alias("n_forms"), F.countDistinct(F.nullif("lemma", F.lit("_"))).alias("n_lemmas"))
+    return sentences.groupBy(*keys).agg(F.count("*").alias("n_sentences")).join(sums, list(keys), "left")
 
 
 def size_rollup(sentences: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def child_degrees(sentences: DataFrame) -> DataFrame:
     last = F.filter(F.sequence(F.lit(0), F.size("heads") - 1), lambda i: ~F.get("heads", i).eqNullSafe(F.get("heads", i + 1)))
     rows = rows.select("n", F.when(F.size("heads") > 0, last).otherwise(F.array().cast("array<int>")).alias("ends"))
     runs = F.transform("ends", lambda x, k: x - F.coalesce(F.when(k > 0, F.get("ends", k - 1)), F.lit(-1)))
-    return counted(rows.select(F.explode(F.concat(runs, F.array_repeat(F.lit(0), F.col("n") - F.size("ends")))).cast("long").alias("degree")), "degree")
+    return counted(rows.select(F.explode(F.concat(runs, F.array_repeat(F.lit(0), F.col("n") - F.size("ends")))).alias("degree")).withColumn("degree", F.col("degree").cast("long")), "degree")
 
 
 def ambiguous_forms(sentences: DataFrame) -> DataFrame:
@@ -180,9 +180,10 @@ def detokenize(sentences: DataFrame) -> DataFrame:
 
 def ranges(trees: DataFrame) -> DataFrame:
     """Lower-cased range forms with the words they cover, counted; both are in the sentence's row."""
-    covered = lambda n: F.transform(F.filter("nodes", lambda w: (w["kind"] == "word") & (w["major"] >= n["major"]) & (w["major"] <= n["last"])), lambda w: F.lower(w["form"]))
+    rows = trees.withColumn("_words", F.transform(F.filter("nodes", lambda w: w["kind"] == "word"), lambda w: F.lower(w["form"])))
+    covered = lambda n: F.slice("_words", n["major"], n["last"] - n["major"] + 1)
     made = F.transform(F.filter("nodes", lambda n: n["kind"] == "mwt"), lambda n: F.struct(F.lower(n["form"]).alias("form"), F.array_join(covered(n), " ").alias("words")))
-    return counted(trees.select("lang", F.explode(made).alias("r")).select("lang", "r.*"), "lang", "form", "words")
+    return counted(rows.select("lang", F.explode(made).alias("r")).select("lang", "r.*"), "lang", "form", "words")
 
 
 def tag_runs(sentences: DataFrame, upos: str = "PROPN") -> DataFrame:
@@ -190,7 +191,7 @@ def tag_runs(sentences: DataFrame, upos: str = "PROPN") -> DataFrame:
     glued = lambda w: F.array_contains(F.split(w["misc"], r"\|"), "SpaceAfter=No")
     mark, space = "\u0001", " "
     marked = F.transform("words", lambda w: F.when(w["upos"] == upos, F.concat(w["form"], F.when(glued(w), "").otherwise(space))).otherwise(mark))
-    runs = F.filter(F.transform(F.split(F.array_join(marked, ""), mark), F.rtrim), lambda x: x != "")
+    runs = F.filter(F.transform(F.split(F.array_join(marked, ""), mark), lambda x: F.rtrim(x)), lambda x: x != "")
     return counted(sentences.select("lang", F.explode(runs).alias("run")), "lang", "run")
 
 

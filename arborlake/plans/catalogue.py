@@ -11,7 +11,7 @@ from arborlake.functions import universal, without_spaces
 from arborlake.operators import checks, coreference, graphs, rewrites, scorer, statistics, surveys
 from arborlake.operators.sentence import per_sentence
 from arborlake.sources import synthetic
-from arborlake.sources.conllu import nodes_table, rendered
+from arborlake.sources.conllu import exploded, nodes_table, rendered
 from arborlake.sources.registry import UPOS
 from arborlake.sources.synthetic import PARTICULAR, SENTENCES_SQL, UNIVERSAL, WORDS_SQL, blocks, nested, planted, planted_sql, sentences, treebank, words
 
@@ -49,7 +49,7 @@ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY n
 # Sizes, tops and ranks.
 
 _add(
-    "tb_size", _trees(lambda t: statistics.size(t, "lang")),
+    "tb_size", lambda spark, sf_dir: statistics.size(blocks(spark, sf_dir), "lang"),
     f"""WITH {WORDS_SQL} SELECT lang, count(DISTINCT (doc_id, sent_no)) AS n_sentences, CAST(count(*) - count_if(starts_range) AS BIGINT) AS n_tokens, CAST(count_if(starts_range) AS BIGINT) AS n_ranges,
 count(*) AS n_words, CAST(count_if(has_empty) AS BIGINT) AS n_empty, count(DISTINCT form) AS n_forms, count(DISTINCT nullif(lemma, '_')) AS n_lemmas FROM words GROUP BY lang""",
 )
@@ -161,7 +161,7 @@ _add(
     f"""WITH {WORDS_SQL}, s AS (SELECT lang, doc_id, sent_no, count(*) AS n FROM words GROUP BY ALL)
 SELECT lang, doc_id, sent_no, CAST(least(floor((sum(n) OVER (PARTITION BY lang ORDER BY doc_id, sent_no) - n) * 10 / sum(n) OVER (PARTITION BY lang)), 9) AS BIGINT) AS fold FROM s""",
 )
-_add("cut_by_id", _sentences(lambda s: statistics.cut(s, "10-1", "20-1").select("doc_id", "sent_no", "line")), f"WITH {SENTENCES_SQL} SELECT doc_id, sent_no, line FROM sentences WHERE (doc_id, sent_no) BETWEEN (10, 1) AND (20, 1)")
+_add("cut_by_id", _sentences(lambda s: statistics.cut(s, "10-1", "20-1").select("doc_id", "sent_no", "line")), f"WITH {SENTENCES_SQL} SELECT doc_id, sent_no, line FROM sentences WHERE doc_id BETWEEN 10 AND 19 OR (doc_id = 20 AND sent_no <= 1)")
 _add("sort_by_id", _sentences(lambda s: s.select(F.concat("doc_id", F.lit("-"), "sent_no").alias("sent_id"), "line").orderBy(*statistics.by_id(F.col("sent_id")))), f"WITH {SENTENCES_SQL} SELECT doc_id || '-' || sent_no AS sent_id, line FROM sentences")
 
 # Surveys.
@@ -290,8 +290,13 @@ SELECT n.doc_id, n.sent_no, CAST(coalesce(d.depth, 0) AS INTEGER) AS depth, CAST
 
 # Rewrites.
 
+
+def _without_second(raw: str) -> str:
+    return rewrites.renumbered("\n".join(x for x in raw.split("\n") if not x.startswith("2\t")))
+
+
 _add(
-    "basic_to_enhanced", _trees(lambda t: nodes_table(rewrites.applied(t.select(*KEYS, "comments", "nodes"), rewrites.basic_to_enhanced), "doc_id", "sent_no").where("kind = 'word'").select("doc_id", "sent_no", F.col("major").cast("long").alias("id"), "deps")),
+    "basic_to_enhanced", _trees(lambda t: exploded(t.withColumn("nodes", rewrites.basic_to_enhanced(F.col("nodes"))), "doc_id", "sent_no").where("kind = 'word'").select("doc_id", "sent_no", F.col("major").cast("long").alias("id"), "deps")),
     f"""WITH {WORDS_SQL}, e AS (SELECT DISTINCT doc_id, sent_no, id, CAST(parent AS BIGINT) AS parent, rel FROM {_E} UNION SELECT doc_id, sent_no, id, head, deprel FROM words) SELECT doc_id, sent_no, id, string_agg(parent || ':' || rel, '|' ORDER BY parent, rel) AS deps FROM e GROUP BY ALL""",
 )
 _add("without_enhanced", _trees(lambda t: rewrites.applied(t, rewrites.without_enhanced).select("doc_id", "sent_no", F.exists("nodes", lambda n: n["deps"] != "_").alias("left"))), f"WITH {SENTENCES_SQL} SELECT doc_id, sent_no, false AS left FROM sentences")
@@ -301,16 +306,16 @@ _add(
     f"WITH {WORDS_SQL} SELECT doc_id, sent_no, concat_ws(chr(9), id, form, lemma, upos, CASE WHEN xpos = '_' THEN upos ELSE upos || '_' || xpos END, feats, head, deprel, '_', '_') AS line FROM words",
 )
 _add(
-    "renumbered", _trees(lambda t: nodes_table(t.withColumn("nodes", rewrites.renumbered(F.filter("nodes", lambda n: (n["kind"] != "word") | (n["major"] != 2)))), "doc_id", "sent_no").where("kind = 'word'").select("doc_id", "sent_no", "id", "form", "head")),
+    "renumbered", lambda spark, sf_dir: nodes_table(graphs.rewritten(blocks(spark, sf_dir), KEYS, _without_second), "doc_id", "sent_no").where("kind = 'word'").select("doc_id", "sent_no", "id", "form", "head"),
     f"""WITH {WORDS_SQL} SELECT doc_id, sent_no, CAST(CASE WHEN id > 2 THEN id - 1 ELSE id END AS VARCHAR) AS id, form, CAST(CASE WHEN head = 2 THEN 0 WHEN head > 2 THEN head - 1 ELSE head END AS VARCHAR) AS head FROM words WHERE id <> 2""",
 )
 _add(
-    "plain_lemmas", _trees(lambda t: nodes_table(t.withColumn("nodes", rewrites.plain_lemmas(F.transform("nodes", lambda n: n.withField("lemma", F.concat(n["lemma"], F.lit("-1")))))), "doc_id", "sent_no").where("kind = 'word'").select("doc_id", "sent_no", "id", "lemma", "misc")),
+    "plain_lemmas", _trees(lambda t: exploded(t.withColumn("nodes", rewrites.plain_lemmas(F.transform("nodes", lambda n: n.withField("lemma", F.concat(n["lemma"], F.lit("-1")))))), "doc_id", "sent_no").where("kind = 'word'").select("doc_id", "sent_no", "id", "lemma", "misc")),
     f"""WITH {WORDS_SQL}, l AS (SELECT *, lemma || '-1' AS l FROM words), s AS (SELECT *, upos <> 'PUNCT' AND NOT regexp_matches(form, '[0-9]') AND regexp_matches(l, '[^0-9-]-?[0-9]+$') AS strip FROM l)
 SELECT doc_id, sent_no, CAST(id AS VARCHAR) AS id, CASE WHEN upos = 'PUNCT' THEN form WHEN strip THEN regexp_replace(l, '-?[0-9]+$', '') ELSE l END AS lemma, CASE WHEN strip THEN CASE WHEN misc = '_' THEN '' ELSE misc || '|' END || 'LId=' || l ELSE misc END AS misc FROM s""",
 )
 _add("quick_fix", lambda spark, sf_dir: rewrites.quick_fix(planted(spark, sf_dir, UNIVERSAL), (*KEYS, "source"), "sent_no", connect=True))
-_add("document_text", lambda spark, sf_dir: rewrites.document_text(treebank(spark, sf_dir), ("doc_id",), "sent_no"))
+_add("document_text", lambda spark, sf_dir: rewrites.document_text(blocks(spark, sf_dir), ("doc_id",), "sent_no"))
 _add(
     "text_without_spaces", _sentences(lambda s: s.select("doc_id", "sent_no", without_spaces(F.col("line")).alias("text"))),
     f"WITH {SENTENCES_SQL} SELECT doc_id, sent_no, regexp_replace(line, '\\s', '', 'g') AS text FROM sentences",
@@ -376,9 +381,7 @@ def _found(spark: SparkSession, sf_dir: str, level: int = 3, **options) -> DataF
 
 
 def _across(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trees = treebank(spark, sf_dir).withColumn("source", F.lit("s"))
-    passed = _found(spark, sf_dir, 2, include=("none",)).where("type = 'FACT'")
-    return checks.across(trees.select(*KEYS, "source", "comments", "nodes"), passed, KEYS, "lang", "source").select("lang", "doc_id", "sent_no", "level", "testid")
+    return checks.across(checks.facts(blocks(spark, sf_dir), KEYS), KEYS, "lang", "lang").select("lang", "doc_id", "sent_no", "level", "testid")
 
 
 #: Sentences that pass the chain: no word is its own head.
@@ -388,8 +391,12 @@ _add(
     f"""WITH {WORDS_SQL}, {_PASSED}, f AS (SELECT w.lang, w.doc_id, w.sent_no, bool_or(deps <> '_' OR has_empty) AS enhanced, bool_or(list_contains(string_split(misc, '|'), 'SpaceAfter=No') AND id = n_words AND NOT coalesce(prev, false)) AS glued
   FROM (SELECT *, lag(starts_range) OVER (PARTITION BY doc_id, sent_no ORDER BY id) AS prev FROM words) w JOIN ok USING (doc_id, sent_no) GROUP BY ALL),
 g AS (SELECT *, lag(glued) OVER (PARTITION BY lang ORDER BY doc_id, sent_no) AS before FROM f), kinds AS (SELECT lang, enhanced, min((doc_id, sent_no)) AS place FROM f GROUP BY ALL),
-p AS (SELECT *, row_number() OVER (PARTITION BY lang, sent_no ORDER BY doc_id) AS nth FROM f WHERE doc_id % 10 = 0)
-SELECT lang, doc_id, sent_no, 2 AS level, 'spaceafter-newdocpar' AS testid FROM g WHERE before AND sent_no % 5 = 1
+p AS (SELECT *, row_number() OVER (PARTITION BY lang, sent_no ORDER BY doc_id) AS nth FROM f WHERE doc_id % 10 = 0),
+o AS (SELECT lang, doc_id, sent_no FROM words JOIN ok USING (lang, doc_id, sent_no) WHERE regexp_matches(deps, '(^|[|])[0-9]+:orphan(:|[|]|$)')),
+e AS (SELECT lang, min((doc_id, sent_no)) AS empty FROM words JOIN ok USING (lang, doc_id, sent_no) WHERE has_empty GROUP BY lang), fo AS (SELECT lang, min((doc_id, sent_no)) AS orphan FROM o GROUP BY lang)
+SELECT lang, empty[1] AS doc_id, empty[2] AS sent_no, 3 AS level, 'empty-node-after-eorphan' AS testid FROM e JOIN fo USING (lang) WHERE orphan < empty
+UNION ALL SELECT lang, doc_id, sent_no, 3, 'eorphan-after-empty-node' FROM o JOIN e USING (lang) WHERE (doc_id, sent_no) > empty
+UNION ALL SELECT lang, doc_id, sent_no, 2, 'spaceafter-newdocpar' FROM g WHERE before AND sent_no % 5 = 1
 UNION ALL SELECT lang, max(place)[1], max(place)[2], 2, 'edeps-only-sometimes' FROM kinds GROUP BY lang HAVING count(*) > 1
 UNION ALL SELECT lang, doc_id, sent_no, 2, 'non-unique-parallel-id' FROM p WHERE nth > 1""",
 )

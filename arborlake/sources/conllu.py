@@ -32,17 +32,22 @@ def blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def parsed(sentences: DataFrame) -> DataFrame:
     """sentences (raw) with `comments` and `nodes`; lines that are neither are left to the checks."""
     lines = F.split("raw", "\n")
-    return sentences.withColumn("comments", F.filter(lines, lambda x: x.startswith("#"))).withColumn("nodes", F.transform(F.filter(lines, lambda x: x.rlike(r"\A[0-9]")), node_of))
+    return sentences.withColumn("comments", F.filter(lines, lambda x: x.startswith("#"))).withColumn("nodes", F.transform(F.transform(F.filter(lines, lambda x: x.rlike(r"\A[0-9]")), lambda x: F.split(x, "\t")), node_of))
 
 
-def node_of(line: Column) -> Column:
-    """A node line as a struct: the ten columns, kind (word, mwt, empty), and ids as numbers; 1.1 and 1.10 stay apart."""
-    cells = F.split(line, "\t")
+def node_fields(cells: Column) -> dict[str, Column]:
+    """The ten columns of a line's cells, kind (word, mwt, empty), and ids as numbers; 1.1 and 1.10 stay apart."""
     cell = lambda i: F.coalesce(F.get(cells, F.lit(i)), F.lit("_"))
     first = cell(0)
     kind = F.when(first.contains("-"), "mwt").when(first.contains("."), "empty").otherwise("word")
-    number = lambda pattern: F.coalesce(F.nullif(F.regexp_extract(first, pattern, 1), F.lit("")), F.lit("0")).cast("int")
-    return F.struct(*(cell(i).alias(c) for i, c in enumerate(COLUMNS)), kind.alias("kind"), number(r"\A([0-9]{1,9})").alias("major"), number(r"\.([0-9]{1,9})\z").alias("minor"), number(r"-([0-9]{1,9})\z").alias("last"))
+    number = lambda text: F.coalesce(text.try_cast("int"), F.lit(0))
+    major = number(F.substring_index(F.substring_index(first, "-", 1), ".", 1))
+    minor, last = F.when(first.contains("."), number(F.substring_index(first, ".", -1))).otherwise(0), F.when(first.contains("-"), number(F.substring_index(first, "-", -1))).otherwise(0)
+    return {**{c: cell(i) for i, c in enumerate(COLUMNS)}, "kind": kind, "major": major, "minor": minor, "last": last}
+
+
+def node_of(cells: Column) -> Column:
+    return F.struct(*(c.alias(k) for k, c in node_fields(cells).items()))
 
 
 def comment(comments: Column, key: str) -> Column:
@@ -86,5 +91,11 @@ def write(sentences: DataFrame, path: str) -> None:
 
 
 def nodes_table(sentences: DataFrame, *keys: str) -> DataFrame:
-    """One row for each node of parsed sentences, with the sentence's keys."""
-    return sentences.select(*keys, F.explode("nodes").alias("n")).select(*keys, "n.*")
+    """One row for each node of sentences (keys, raw): lines are exploded before they are parsed, so columns nobody reads are not."""
+    rows = sentences.select(*keys, F.explode(F.filter(F.split("raw", "\n"), lambda x: x.rlike(r"\A[0-9]"))).alias("line")).select(*keys, F.split("line", "\t").alias("cells"))
+    return rows.select(*keys, *(c.alias(k) for k, c in node_fields(F.col("cells")).items()))
+
+
+def exploded(trees: DataFrame, *keys: str) -> DataFrame:
+    """One row for each node of sentences whose nodes have been rewritten."""
+    return nodes_table(trees.select(*keys, rendered(F.array().cast("array<string>"), F.col("nodes")).alias("raw")), *keys)
