@@ -114,8 +114,7 @@ def paradigms(sentences: DataFrame, min_forms: int = 2, upos: str = "", lemma: s
 
 def tag_trigrams(sentences: DataFrame) -> DataFrame:
     """Counts of three tags in a row, with sentence bounds, for each language; neighbours are elements of the same array."""
-    tags = F.transform("words", lambda w: w["upos"])
-    at = lambda i: F.when((i >= 0) & (i < F.size("words")), F.get(tags, i)).otherwise("#")
+    at = lambda i: F.coalesce(F.when(i >= 0, F.get("words", i)["upos"]), F.lit("#"))
     made = F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.struct(at(i - 1).alias("t1"), at(i).alias("t2"), at(i + 1).alias("t3")))
     return counted(sentences.where("size(words) > 0").select("lang", F.explode(made).alias("t")).select("lang", "t.*"), "lang", "t1", "t2", "t3")
 
