@@ -1,12 +1,17 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (after . ! ? or a line break, with the white space that follows). A run is the
+A text is cut into sentences (after . ! ? or a line break, with the white space that follows), and a sentence of
+over `min_words` words further, after each word whose hash with the next word's is a multiple of SPACING, or whose
+next word is the same: cuts that depend on nothing but the words around them, so that two copies of a passage
+are cut alike within, whatever it is glued to. These pieces count as sentences below. A run is the
 least number of consecutive sentences that hold `min_words` words, forward from a sentence or back from one;
 so runs cover every sentence of any repeated sequence of whole sentences with that many words together, be
 they many short ones or a single long one. Runs are hashed (128 bits) over their lower-cased words and meet by hash over
 all documents, and sentences covered by any run that is not the first of its hash, by (doc_id, position), are
 removed. Sequences of fewer words stay, and so do the parts of sentences at a repeated passage's ends.
 
+The table of runs goes once what is to be removed is known, and each join's shuffle files before the next.
+
 The first of each hash is a minimum, aggregated on the map side, so a passage that many documents share
 is never gathered; the join back brings one row for each hash and is left to AQE where a hash is hot.
 Defined results: null and empty texts have no sentences and stay; a null doc_id takes no part; rows that
@@ -25,19 +30,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import per_batch, stored
+from arborlake.llm.common import dropped, per_batch, stored
+
+#: Words between two cuts within a long sentence, on average.
+SPACING = 6
 
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|\Z)")
+_WORD = re.compile(r"\s*\S+\s*")
+
+
+def clauses(sentence: str) -> list[str]:
+    """The sentence, cut by its content."""
+    words = _WORD.findall(sentence)
+    keys = [x.strip().lower() for x in words]
+    cuts = [i for i, (a, b) in enumerate(zip(keys, keys[1:]), 1) if a == b or xxhash.xxh32_intdigest(f"{a} {b}") % SPACING == 0]
+    return ["".join(words[a:b]) for a, b in zip([0, *cuts], [*cuts, len(words)])]
 
 
-def sentences(text: str) -> list[str]:
+def sentences(text: str, min_words: int) -> list[str]:
     """Pieces that together are the text."""
-    return [x for x in _SENTENCE.findall(text) if x]
+    return [y for x in _SENTENCE.findall(text) if x for y in (clauses(x) if len(x.split()) > min_words else (x,))]
 
 
 def runs(text: str | None, min_words: int) -> list[tuple[int, int, bytes]]:
     """(first sentence, sentences, hash) of every run; the pieces without words belong to no run."""
-    words = [w for x in sentences(text or "") if (w := x.lower().split())]
+    words = [w for x in sentences(text or "", min_words) if (w := x.lower().split())]
     at = [0, *accumulate(map(len, words))]
     flat = [w for x in words for w in x]
     ends = [(a, bisect_left(at, at[a] + min_words)) for a in range(len(words))]
@@ -46,9 +63,9 @@ def runs(text: str | None, min_words: int) -> list[tuple[int, int, bytes]]:
     return [(a, b - a, xxhash.xxh3_128_digest(" ".join(flat[at[a] : at[b]]))) for a, b in sorted(every)]
 
 
-def without(text: str, later: list[tuple[int, int]]) -> tuple[str, int]:
+def without(text: str, later: list[tuple[int, int]], min_words: int) -> tuple[str, int]:
     """The text without the sentences of the runs (first sentence, sentences), and how many are removed."""
-    pieces = sentences(text)
+    pieces = sentences(text, min_words)
     real = [i for i, x in enumerate(pieces) if x.split()]
     gone = {real[i] for a, n in later for i in range(a, a + n)}
     return "".join(x for i, x in enumerate(pieces) if i not in gone), len(gone)
@@ -64,12 +81,14 @@ def dedup(docs: DataFrame, min_words: int = 20) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.binary())], names=["doc_id", "start", "length", "hash"])
 
     found = stored(docs.mapInArrow(per_batch(step, size_of="text"), "doc_id long, start int, length int, hash binary"))
-    first = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("hash", "first")
+    first = stored(found.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("hash", "first"))
     later = found.join(first, "hash").where(F.struct("doc_id", "start") > F.col("first"))
-    gone = later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "length")).alias("later"))
+    gone = stored(later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "length")).alias("later")))
+    dropped(found)
+    dropped(first)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        new = [(t, 0) if not t or not s else without(t, [(x["start"], x["length"]) for x in s]) for t, s in zip(batch.column("text").to_pylist(), batch.column("later").to_pylist())]
+        new = [(t, 0) if not t or not s else without(t, [(x["start"], x["length"]) for x in s], min_words) for t, s in zip(batch.column("text").to_pylist(), batch.column("later").to_pylist())]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t for t, _ in new], pa.string()), pa.array([n for _, n in new], pa.int64())], names=["doc_id", "text", "n_removed"])
 
     joined = docs.join(gone, "doc_id", "left").select("doc_id", "text", "later")

@@ -272,18 +272,41 @@ def test_repeated_sequences_of_any_sentence_length_go(spark):
     texts += [f"Head {k}. {' '.join(bank[a : a + n])} Tail {k}." for k, (a, n) in enumerate([(0, 12), (0, 6), (12, 1), (11, 3), (3, 9), (15, 5), (14, 3), (18, 2)])] + [f"Start. {texts[0]}\nStop."]
     seen, expected = {}, {}
     for d, text in enumerate(texts):
-        pieces, gone = substring.sentences(text), set()
+        pieces, gone = substring.sentences(text, 20), set()
         for a in range(len(pieces)):
             for b in range(a + 1, len(pieces) + 1):
                 words = tuple("".join(pieces[a:b]).split())
                 if len(words) >= 20 and seen.setdefault(words, (d, a)) < (d, a):
                     gone.update(range(a, b))
         expected[d] = ("".join(x for i, x in enumerate(pieces) if i not in gone), len(gone))
-    assert expected[len(texts) - 1][1] == 30 and expected[5][1] == 1
+    assert expected[len(texts) - 1][1] == 30 and expected[5][0] == "Head 2. Tail 2."
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: (r.text, r.n_removed) for r in substring.dedup(docs).collect()} == expected
 
 
+def test_no_passage_of_51_words_stays_whole_wherever_it_is(spark):
+    """All given texts, and passages glued into sentences without bounds or made of one word, against all word sequences."""
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    rng = np.random.default_rng(9)
+    draw = lambda n: " ".join(f"x{rng.integers(0, 10**6)}" for _ in range(n))
+    middle, same = draw(60), " ".join(["again"] * 70)
+    docs += [(10**6 + i, f"{draw(7 + i)} {p} {draw(9)}") for i, p in enumerate([middle, middle, same, same, middle.upper()])]
+    found = {r.doc_id: r.text for r in substring.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    windows = lambda text: {tuple(w[i : i + 51]) for w in [text.lower().split()] for i in range(len(w) - 50)}
+    seen, repeated = set(), 0
+    for d, text in sorted(docs):
+        mine = windows(text)
+        repeated += bool(mine & seen)
+        assert not windows(found[d]) & mine & seen, d
+        seen |= mine
+    assert repeated >= 10
+
+
+@pytest.mark.parametrize("text", ["", " \n ", "a", "  one two. ", "w " * 500, "\n".join(["a b"] * 40), "é ß. " * 30 + "x" * 10**5])
+def test_pieces_together_are_the_text(text):
+    assert "".join(substring.sentences(text, 20)) == text
+
+
 @pytest.mark.parametrize("size, unruled", [("sf0.001", 33), ("sf0.01", 165), ("sf0.1", 1751)])
 def test_no_given_url_without_a_rule_is_blocked(spark, size, unruled):
     """The labels of the given pages say nothing about the first segments without a rule."""
