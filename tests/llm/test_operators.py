@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from arborlake.llm import ann, hmm, jpeg, minhash, mixing, packing, pii, quality, queries, substring, urls
-from arborlake.llm.common import documents, remainder
+from arborlake.llm.common import WordHashes, documents, remainder
 from arborlake.llm.queries import op6_urls
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -272,7 +272,7 @@ def test_repeated_sequences_of_any_sentence_length_go(spark):
     texts += [f"Head {k}. {' '.join(bank[a : a + n])} Tail {k}." for k, (a, n) in enumerate([(0, 12), (0, 6), (12, 1), (11, 3), (3, 9), (15, 5), (14, 3), (18, 2)])] + [f"Start. {texts[0]}\nStop."]
     seen, expected = {}, {}
     for d, text in enumerate(texts):
-        pieces, gone = substring.sentences(text, 20), set()
+        pieces, gone = substring.sentences(text, 20, WordHashes()), set()
         for a in range(len(pieces)):
             for b in range(a + 1, len(pieces) + 1):
                 words = tuple("".join(pieces[a:b]).split())
@@ -304,7 +304,7 @@ def test_no_passage_of_51_words_stays_whole_wherever_it_is(spark):
 
 @pytest.mark.parametrize("text", ["", " \n ", "a", "  one two. ", "w " * 500, "\n".join(["a b"] * 40), "é ß. " * 30 + "x" * 10**5])
 def test_pieces_together_are_the_text(text):
-    assert "".join(substring.sentences(text, 20)) == text
+    assert "".join(substring.sentences(text, 20, WordHashes())) == text
 
 
 @pytest.mark.parametrize("size, unruled", [("sf0.001", 33), ("sf0.01", 165), ("sf0.1", 1751)])
