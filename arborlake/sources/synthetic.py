@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.sources import conllu
+from arborlake.sources import conllu, spread
 from arborlake.sources.cases import CASES, WARNINGS
 from arborlake.sources.registry import RELATIONS, UPOS
 
@@ -27,7 +27,7 @@ def _pick(values: list[str], index: Column) -> Column:
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, sent_no, line."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text"))
     lines = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return lines.select("doc_id", "lang", "source", (F.col("pos") + 1).cast("long").alias("sent_no"), "line").where(F.trim("line") != "")
 
