@@ -6,6 +6,7 @@ alignments of two versions of a sentence, are steps over one row; versions meet
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Callable
@@ -62,6 +63,39 @@ def plain_lemmas(nodes: Column) -> Column:
     return F.transform(nodes, one)
 
 
+def converted_tags(nodes: Column, mapping: dict[tuple[str, str, str], tuple[str, str]]) -> Column:
+    """Tags and features by a table of (upos, xpos, feats) to (upos, feats) that the caller brings; others stay.
+
+    A tagset is small; the table travels as one literal, so its size is checked.
+    """
+    if len(mapping) > 50_000:
+        raise ValueError("a tag table of over 50,000 entries: join it instead")
+    table = json.dumps({"\t".join(k): {"upos": u, "feats": f} for k, (u, f) in mapping.items()})
+    by_tag = F.from_json(F.lit(table), "map<string, struct<upos: string, feats: string>>")
+
+    def one(n: Column) -> Column:
+        new = F.try_element_at(by_tag, F.concat_ws("\t", n["upos"], n["xpos"], n["feats"]))
+        return F.when((n["kind"] == "mwt") | new.isNull(), n).otherwise(n.withField("upos", new["upos"]).withField("feats", new["feats"]))
+
+    return F.transform(nodes, one)
+
+
+def tags_to_xpos(nodes: Column, mapping: dict[tuple[str, str], str]) -> Column:
+    """XPOS by a table of (upos, feats); `_` where the table has none or only white space."""
+    if len(mapping) > 50_000:
+        raise ValueError("a tag table of over 50,000 entries: join it instead")
+    by_tag = F.from_json(F.lit(json.dumps({"\t".join(k): " ".join(v.split()) or "_" for k, v in mapping.items()})), "map<string, string>")
+    of = lambda n: F.coalesce(F.try_element_at(by_tag, F.concat_ws("\t", n["upos"], n["feats"])), F.lit("_"))
+    return F.transform(nodes, lambda n: F.when(n["kind"] == "word", n.withField("xpos", of(n))).otherwise(n))
+
+
+def with_parallel(comments: Column, ids: str = "[nw][0-9]+", group: str = "pud") -> Column:
+    """`parallel_id = group/id` after each sentence id that is one of `ids`."""
+    pattern = rf"\A#\s*sent_id\s*=\s*({ids})\z"
+    added = lambda x: F.concat(F.lit(f"# parallel_id = {group}/"), F.regexp_extract(x, pattern, 1))
+    return F.flatten(F.transform(comments, lambda x: F.when(x.rlike(pattern), F.array(x, added(x))).otherwise(F.array(x))))
+
+
 def applied(trees: DataFrame, step: Callable[[Column], Column]) -> DataFrame:
     return trees.withColumn("nodes", step(F.col("nodes"))).withColumn("raw", conllu.rendered(F.col("comments"), F.col("nodes")))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.functions import universal, without_spaces
-from arborlake.operators import checks, coreference, graphs, rewrites, scorer, statistics, surveys
+from arborlake.operators import checks, coreference, graphs, render, rewrites, scorer, statistics, surveys, verses
 from arborlake.operators.sentence import per_sentence
 from arborlake.sources import synthetic
 from arborlake.sources.conllu import exploded, nodes_table, rendered
@@ -438,3 +438,46 @@ f AS (SELECT lang, eid, min((doc_id, lang, sent_no, etype))[4] AS etype FROM m G
 )
 _add("entity_clusters", lambda spark, sf_dir: coreference.clusters(_entities(spark, sf_dir), "lang"))
 _add("registry_relations", _words(lambda w: w.select("lang", universal(F.col("deprel")).alias("udeprel")).distinct()), f"WITH {WORDS_SQL} SELECT DISTINCT lang, deprel AS udeprel FROM words")
+
+# Verse references, tags by table, reports.
+
+_VERSE_ID = """CASE doc_id % 3 WHEN 0 THEN concat('LUKE_', doc_id % 30 + 1, '.', sent_no, 'b') WHEN 1 THEN concat('Septuagint-Exodus-', doc_id % 30 + 1, ':', sent_no, '-grc') ELSE 's1' END"""
+_add(
+    "verse_sentences", _nested(lambda s: verses.referenced(s, F.expr(_VERSE_ID)).select("doc_id", "sent_no", "refs", "book", "chapter", "verse").orderBy(*verses.canonical(), "doc_id", "sent_no"), "misc"),
+    f"""WITH {WORDS_SQL}, s AS (SELECT doc_id, sent_no, bool_or(misc LIKE '%Ref=MATT_1.2%') AS given FROM words GROUP BY ALL),
+b AS (SELECT doc_id, sent_no, given, CASE WHEN given THEN 'MATT' WHEN doc_id % 3 = 0 THEN 'LUKE' ELSE 'EXOD' END AS book, CASE WHEN given THEN 1 ELSE CAST(doc_id % 30 + 1 AS INTEGER) END AS chapter,
+  CASE WHEN given THEN '2' ELSE CAST(sent_no AS VARCHAR) END AS verse FROM s WHERE given OR doc_id % 3 < 2)
+SELECT doc_id, sent_no, book || '_' || chapter || '.' || verse AS refs, book, chapter, verse FROM b""",
+)
+_TO_UNIVERSAL = {(u, f"{u}-{k}", "_"): ("X", f"Typo={u}") for u in UPOS for k in (1, 2)}
+_add(
+    "converted_tags", _trees(lambda t: exploded(t.withColumn("nodes", rewrites.converted_tags(F.col("nodes"), _TO_UNIVERSAL)), "doc_id", "sent_no").where("kind = 'word'").select("doc_id", "sent_no", "id", "upos", "feats")),
+    f"""WITH {WORDS_SQL}, w AS (SELECT *, feats = '_' AND (xpos LIKE '%-1' OR xpos LIKE '%-2') AS new FROM words)
+SELECT doc_id, sent_no, CAST(id AS VARCHAR) AS id, CASE WHEN new THEN 'X' ELSE upos END AS upos, CASE WHEN new THEN 'Typo=' || upos ELSE feats END AS feats FROM w""",
+)
+_add(
+    "tags_to_xpos", _trees(lambda t: exploded(t.withColumn("nodes", rewrites.tags_to_xpos(F.col("nodes"), {(u, "_"): f" {u[0]}  {u[1:]} " for u in UPOS})), "doc_id", "sent_no").where("kind = 'word'").select("doc_id", "sent_no", "id", "xpos")),
+    f"WITH {WORDS_SQL} SELECT doc_id, sent_no, CAST(id AS VARCHAR) AS id, CASE WHEN feats = '_' THEN trim(upos[1] || ' ' || upos[2:]) ELSE '_' END AS xpos FROM words",
+)
+_add(
+    "parallel_inserted", _trees(lambda t: t.select("doc_id", "sent_no", F.explode(rewrites.with_parallel(F.col("comments"), "[0-9]+-1", "px")).alias("comment")).where("comment LIKE '# parallel_id%'")),
+    f"""WITH {SENTENCES_SQL} SELECT doc_id, sent_no, '# parallel_id = px/' || doc_id || '-1' AS comment FROM sentences WHERE sent_no = 1
+UNION ALL SELECT doc_id, sent_no, '# parallel_id = up/' || sent_no FROM sentences WHERE doc_id % 10 = 0""",
+)
+_REPORT_SQL = f"""{WORDS_SQL}, f AS (SELECT lang, 'tag' AS section, upos AS name, lemma AS example, '' AS upos FROM words UNION ALL SELECT lang, 'dep', deprel, '', '' FROM words
+  UNION ALL SELECT lang, 'feat', unnest(string_split(feats, '|')), form, upos FROM words WHERE feats <> '_'),
+c AS (SELECT lang, section, name, example, count(*) AS n FROM f GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang, section, name ORDER BY n DESC, example) AS rank FROM c),
+report AS (SELECT f.lang, f.section, f.name, count(*) AS n, string_agg(DISTINCT f.upos, ',' ORDER BY f.upos) AS upos,
+  CASE WHEN f.section = 'dep' THEN '' ELSE any_value(x.examples) END AS examples FROM f
+  LEFT JOIN (SELECT lang, section, name, string_agg(example, ', ' ORDER BY rank) AS examples FROM r WHERE rank <= 10 GROUP BY ALL) x USING (lang, section, name) GROUP BY f.lang, f.section, f.name)"""
+_add("statistics_report", _words(lambda w: render.report(w, "lang")), f"WITH {_REPORT_SQL} SELECT * FROM report")
+_add(
+    "statistics_xml", _words(lambda w: render.xml(render.report(w, "lang").where("section <> 'feat'")).select("lang", "line")),
+    f"""WITH {_REPORT_SQL} SELECT lang, '<' || section || ' name="' || name || '">' || n || '</' || section || '>' || CASE WHEN examples = '' THEN '' ELSE '<!-- ' || replace(examples, '--', '–') || ' -->' END AS line FROM report WHERE section <> 'feat'""",
+)
+_add(
+    "statistics_markdown", _words(lambda w: render.markdown(render.report(w, "lang").where("section = 'dep'"), "lang", "name", "n")),
+    f"""WITH {_REPORT_SQL} SELECT 2 AS place, '| ' || lang || ' | ' || name || ' | ' || n || ' |' AS line FROM report WHERE section = 'dep'
+UNION ALL SELECT 0, '| lang | name | n |' UNION ALL SELECT 1, '| --- | --- | --- |'""",
+)
+_add("collated_lemmas", _words(lambda w: render.collated(w.select("lang", "lemma").distinct(), "lemma", "cs", "lang")))

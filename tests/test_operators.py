@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborlake.functions import pairs, shorten, version
-from arborlake.operators import checks, coreference, graphs, release, rewrites, scorer
+from arborlake.operators import checks, coreference, graphs, release, render, rewrites, scorer, verses
 from arborlake.operators.sentence import Tree
 from arborlake.sources import conllu
 from arborlake.sources.cases import BASE, CASES, WARNINGS
@@ -204,3 +204,42 @@ def test_release_checks(spark):
     releases = spark.createDataFrame([("2.9", "UD_A-B"), ("2.10", "UD_A-C")], "release string, name string")
     row = release.history(releases, spark.createDataFrame([("UD_A-B", "UD_A-C")], "old string, new string")).first()
     assert tuple(row) == ("UD_A-C", "2.9", "2.10", 2)
+
+
+@pytest.mark.parametrize(
+    ("reference", "found"),
+    [
+        ("MATT_1.2", ("MATT", "1.2", 1, "2")), ("PSALM.22.4", ("PS", "22.4", 22, "4")), ("PAVEL_TIM.1_2:3a", ("1TIM", "2:3a", 2, "3a")), ("PAVEL_1.CORINT_13.1", ("1COR", "13.1", 13, "1")),
+        ("IOAN_APOC_1.8", ("REV", "1.8", 1, "8")), ("IOAN.2_7", ("2JOHN", "7", 7, None)), ("1KGDMS_3.4-5", ("1SAM", "3.4-5", 3, "4-5")), ("none", (None, None, None, None)), ("", (None, None, None, None)),
+    ],
+)
+def test_verse_references(spark, reference, found):
+    row = spark.createDataFrame([(reference,)], "r string").select(*(c.alias(k) for k, c in verses.parts(F.col("r")).items())).first()
+    assert (row["book"], row["index"], row["chapter"], row["verse"]) == found
+
+
+def test_verses_in_sentence_ids_and_their_order(spark):
+    ids = ["REV_1.1", "Masoretic-Ruth-1:2-3-hbo", "sahidica_mark-1Cor_02_s003", "12.NTJOHN.REL-BIB,.40", "MATT_10.2a-3b", "MATT_9.11", "MATT_9.2", "XYZ_1.1", "w01-7"]
+    rows = spark.createDataFrame([(x, [("_",)]) for x in ids], "sent_id string, words array<struct<misc: string>>")
+    found = [r.refs for r in verses.referenced(rows, F.col("sent_id")).orderBy(*verses.canonical()).collect()]
+    assert found == ["RUTH_1.2", "MATT_9.2", "MATT_9.11", "MATT_10.2", "JOHN_1.40", "1COR_2.3", "REV_1.1", "XYZ_1.1"]
+    several = spark.createDataFrame([([("REF=PSALM.2.1|X=1",), ("ref=EXO_3.4",), ("ref=EXO_3.4",), (None,)],)], "words array<struct<misc: string>>")
+    assert [(r.refs, r.book) for r in verses.referenced(several, F.lit("LUKE_1.1")).collect()] == [("EXOD_3.4,PSALM.2.1", "EXOD")]
+
+
+def test_rendered_lines_are_safe(spark):
+    rows = spark.createDataFrame([("a|b\nc", None)], "x string, y long")
+    assert [r.line for r in render.markdown(rows, "x", "y").orderBy("place").collect()] == ["| x | y |", "| --- | --- |", "| a\\|b<br>c |  |"]
+    report = spark.createDataFrame([("tag", "<&", 3, "", "a--b"), ("feat", "A=x=y", 1, "NOUN,VERB", ""), ("dep", "obj", 2, "", "")], "section string, name string, n long, upos string, examples string")
+    assert [r.line for r in render.xml(report).collect()] == ['<tag name="&lt;&amp;">3</tag><!-- a–b -->', '<feat name="A" value="x=y" upos="NOUN,VERB">1</feat>', '<dep name="obj">2</dep>']
+
+
+def test_shares_of_a_report(spark):
+    words = spark.createDataFrame([("A", "a", "NOUN", "_", "obj"), ("B", "b", "NOUN", "N=1|M=2", "root"), ("b", "b", "VERB", "N=1", "obj"), ("c", "c", "VERB", "_", "obj")], "form string, lemma string, upos string, feats string, deprel string")
+    found = {(r.section, r["name"]): (r.n, r.upos, r.examples) for r in render.report(words, relative=True).collect()}
+    assert found == {("tag", "NOUN"): (0.5, "", "a, b"), ("tag", "VERB"): (0.5, "", "b, c"), ("feat", "N=1"): (0.5, "NOUN,VERB", "B, b"), ("feat", "M=2"): (0.25, "NOUN", "B"), ("dep", "obj"): (0.75, "", ""), ("dep", "root"): (0.25, "", "")}
+
+
+def test_collation_of_digraphs(spark):
+    rows = spark.createDataFrame([(x,) for x in ("i", "hora", "chata", "čas", "cena", "Cena", "daň")], "x string")
+    assert [r.x for r in render.collated(rows, "x", "cs").orderBy("rank").collect()] == ["cena", "Cena", "čas", "daň", "hora", "chata", "i"]
