@@ -133,6 +133,9 @@ def test_near_duplicates_equal_brute_force(spark):
                 root[y] = x
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, numerator=85).collect()}
     assert found == {d: (len(sets[d]), top(d)) for d in ids}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    assert con.sql(queries.ORACLE["op10_minhash"]).fetchall() and {(d, n, c, d == c) for d, (n, c) in found.items()} == set(con.sql(queries.ORACLE["op10_minhash"]).fetchall())
 
 
 def test_search_recall(spark):
@@ -375,3 +378,35 @@ def test_pipeline_stages_decide_by_row(spark):
     finally:
         quality.fit = fit
     assert found == expected and 0 < len(found) < 40
+
+
+def test_run_equals_its_stages_by_hand(spark):
+    """Quality and mixing by the operators' own decisions, near-duplicates by all pairs, texts and ids one by one."""
+    docs = documents(spark, SF)
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    good = {r.doc_id for r in quality.score(docs, model).where("predicted = 1").collect()}
+    rows = sorted((r for r in docs.collect() if r.doc_id in good), key=lambda r: r.doc_id)
+    words = [(r.text or "").encode().lower().split() for r in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    root = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    left = [(r.doc_id, pii.redacted(r.text), r.lang, r.source, r.n_chars) for i, r in enumerate(rows) if root[i] == i]
+    assert 0 < len(left) < len(rows) < docs.count()
+    taken = Counter(r.doc_id for r in mixing.mix(spark.createDataFrame(left, SCHEMA)).where("taken").collect())
+    found = corpus_pipeline.run(spark, SF).toPandas()
+    assert set(found.doc_id) == set(taken)
+    tokenizer = packing.encoder(packing.tokenizer_path()).tokenizer
+    for doc_id, text, *_ in left:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        times, mine = np.zeros(len(ids), int), found[found.doc_id == doc_id]
+        for a, n, c in zip(mine.start, mine.length, mine.ids_crc32):
+            assert zlib.crc32(ids[a : a + n].tobytes()) == c
+            times[a : a + n] += 1
+        assert (times == taken[doc_id]).all() and (mine.doc_tokens == len(ids)).all()
+    ordered = found.sort_values(["sequence_id", "offset"])
+    ends = ordered.groupby("sequence_id").length.cumsum()
+    assert (ends - ordered.length == ordered.offset).all() and ends.max() <= 1024
