@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -28,6 +29,8 @@ MEMO_ENTRIES = 200_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _scratch: list[tuple[SparkSession, str]] = []
+#: How many writes hold CLEANUP on, and what it was before the first.
+_writing, _lock, _before = 0, threading.Lock(), None
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,16 +61,27 @@ def _drop_scratch() -> None:
 atexit.register(_drop_scratch)
 
 
+def _cleanup(spark: SparkSession, on: bool) -> None:
+    """Turns CLEANUP on for the first of several writes, and back after the last; they may come from several threads."""
+    global _writing, _before
+    with _lock:
+        if on and not _writing:
+            _before = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _writing += 1 if on else -1
+        if not _writing:
+            spark.conf.unset(CLEANUP) if _before is None else spark.conf.set(CLEANUP, _before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: a lost executor then costs a reread, not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/arborlake-{uuid.uuid4().hex}"
-    had = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")  # once the table is written, nothing reads the shuffle files behind it
+    _cleanup(spark, True)  # once the table is written, nothing reads the shuffle files behind it
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if had is None else spark.conf.set(CLEANUP, had)
+        _cleanup(spark, False)
     _scratch.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._arborlake_path = path

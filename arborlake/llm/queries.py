@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arborlake.llm import ann, hmm, jpeg, minhash, mixing, packing, pii, quality, substring, urls
+from arborlake.llm import ann, audit, exact, hmm, jpeg, minhash, mixing, packing, pii, quality, search, substring, urls
 from arborlake.llm.common import documents, remainder
 
 
@@ -69,6 +69,18 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.refined(documents(spark, sf_dir), every_digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_substring": op2_substring,
@@ -81,8 +93,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "pipeline": corpus_pipeline.run,
     "op10_minhash": op10_minhash,
+    "op11_audit": op11_audit,
+    "op12_search": op12_search,
+    "op13_exact": op13_exact,
 }
 
+
 def _weights_sql(depth: int) -> str:
     rows = [(*(f"'{n}'" for n in path), str(w)) for path, w in WEIGHTS.items() if len(path) == depth]
     return "(VALUES " + ", ".join(f"({', '.join(r)})" for r in rows) + ") AS g(" + ", ".join([*("abc"[:depth]), "w"]) + ")"
@@ -127,5 +143,29 @@ reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_i
 least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(size.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN least USING (doc_id)"""
 
+_FAILS = "concat(CASE WHEN len(w) < 100 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END, CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN doc_id > first THEN 'E' ELSE '' END)"
+_OP11 = f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, {_FAILS} AS failed, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM d LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS f, left(filter_order, step - 1) AS before FROM o, range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step, s.f, contains(failed, s.f) AS fails, translate(before, failed, '') <> before AS earlier, translate(s.f || before, failed, '') = s.f || before AS stays, failed = s.f AS alone, n, good, toxic FROM m, s),
+t AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (stays), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT earlier), 0) AS removed, coalesce(sum(n) FILTER (fails AND earlier), 0) AS redundant,
+  coalesce(sum(n) FILTER (alone), 0) AS unique_fails, coalesce(sum(good) FILTER (fails AND NOT earlier), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT earlier), 0) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM t"""
+
+_OP12 = """WITH term(kind, id, row, term) AS (SELECT kind, id, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))
+  FROM (SELECT 'doc' AS kind, doc_id AS id, row_number() OVER () AS row, text FROM documents UNION ALL SELECT 'item', item_id, 0, min(text) FROM benchmark GROUP BY item_id)),
+tf AS (SELECT id AS doc_id, row, term, count(*) AS tf FROM term WHERE kind = 'doc' GROUP BY ALL), n AS (SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY row),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n), w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, g GROUP BY term, docs),
+q AS (SELECT id AS item_id, term, count(*) AS q FROM term WHERE kind = 'item' GROUP BY ALL),
+s AS (SELECT item_id, doc_id, tf.row, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score FROM q JOIN tf USING (term) JOIN w USING (term) JOIN n ON n.row = tf.row, g GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+_OP13 = """WITH t AS (SELECT doc_id, row_number() OVER () AS row, regexp_replace(coalesce(text, ''), '[ \t-\r]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY t ORDER BY doc_id NULLS LAST, row) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST, row) = 1 AS kept, sha256(t) AS text_sha256 FROM t"""
+
 #: Tests hold the others against brute force: hashes, models and closures that SQL cannot express or not within reason.
-ORACLE: dict[str, str] = {"op3_mixing": _OP3, "op10_minhash": _OP10}
+ORACLE: dict[str, str] = {"op3_mixing": _OP3, "op10_minhash": _OP10, "op11_audit": _OP11, "op12_search": _OP12, "op13_exact": _OP13}
