@@ -36,9 +36,10 @@ def refined(docs: DataFrame, prefix: int = PREFIX, every_digest: bool = False) -
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text").cast("string")).alias("text"))
     text = text.select("doc_id", "text", F.octet_length("text").alias("length"), F.xxhash64(F.substring("text", 1, prefix)).alias("head"))
     narrow = stored(text.select("length", "head"))
-    shared = narrow.groupBy("length").agg(F.count("*").alias("n")).where("n > 1").select("length")
+    shared = stored(narrow.groupBy("length").agg(F.count("*").alias("n")).where("n > 1").select("length"))  # its size is known then
     heads = stored(narrow.join(shared, "length", "left_semi").groupBy("length", "head").agg(F.count("*").alias("n")).where("n > 1").select("length", "head", F.lit(True).alias("survives")))
     dropped(narrow)
+    dropped(shared)
 
     digest = F.sha2(F.col("text"), 256)
     if every_digest:  # the text ends here: what the join may move are narrow rows
