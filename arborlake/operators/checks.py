@@ -460,16 +460,18 @@ def gap(s: Sentence, n: Node) -> list[Node]:
 
 
 def crossed_by(s: Sentence, n: Node) -> list[Node]:
-    """Words whose edge passes over n, unless an ancestor of n is to blame for that."""
-    ancestors, x = set(), n
-    while x.parent is not None:
+    """Words whose edge crosses that between n and its parent at n: it passes over n, not over the parent, and does not hang on an ancestor of n."""
+    above, x = set(), n.parent
+    while x is not None:
+        above.add(x)
         x = x.parent
-        ancestors.add(x)
-    i, p, words = n.id[0], n.parent.id[0], s.tree.words
-    left, right = (range(p + 1, i), range(i + 1, len(words))) if p < i else (range(1, i), range(i + 1, p))
-    over_left = [words[k] for k in left if words[k].parent not in ancestors and words[k].parent.id[0] > i and (p < i or words[k].parent.id[0] < p)]
-    over_right = [words[k] for k in right if words[k].parent not in ancestors and words[k].parent.id[0] < i and (p > i or words[k].parent.id[0] > p)]
-    return over_left + over_right
+    at, up = n.id[0], n.parent.id[0]
+    out = []
+    for w in s.tree.words[1:]:
+        low, high = sorted((w.id[0], w.parent.id[0]))
+        if low < at < high and not low <= up <= high and w.parent not in above:
+            out.append(w)
+    return out
 
 
 def content(s: Sentence) -> Iterator[Found]:
