@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arborlake.operators.sentence import EMPTY, RANGE, WORD, Node, Tree, edge_list, id_of, id_text, per_sentence, universal
+from arborlake.sources.scratch import written
 from arborlake.sources.registry import RELATIONS, SAMPLE, UPOS, Language
 
 # The languages of the format's cells and comments.
@@ -668,9 +669,9 @@ DELAYED = ("pron-det-without-prontype", "goeswith-missing-typo")
 
 
 def delayed(found: DataFrame, sentences: DataFrame, treebank: str) -> DataFrame:
-    """Drops the findings that ask for features where the whole treebank has none. `sentences` are parsed."""
-    featured = sentences.groupBy(treebank).agg(F.max(F.exists("nodes", lambda n: n["feats"] != "_").cast("int")).alias("_featured"))
-    return found.join(F.broadcast(featured), treebank).where(F.col("_featured").eqNullSafe(1) | ~F.col("testid").isin(*DELAYED)).drop("_featured")  # a row for each treebank
+    """Drops the findings that ask for features where the whole treebank has none. `sentences` have `lines`: their nodes' lines."""
+    featured = sentences.groupBy(treebank).agg(F.max(F.exists("lines", lambda x: F.coalesce(F.get(F.split(x, "\t"), F.lit(5)), F.lit("_")) != "_").cast("int")).alias("_featured"))
+    return found.join(featured, treebank).where(F.col("_featured").eqNullSafe(1) | ~F.col("testid").isin(*DELAYED)).drop("_featured")
 
 
 def _at(rows: DataFrame, keys: tuple[str, ...], level: int, testclass: str, testid: Column | str, node: Column | None = None) -> DataFrame:
@@ -697,13 +698,13 @@ FACTS = "sent_id string, parallel_id string, begins boolean, ends_glued boolean,
 
 
 def facts(sentences: DataFrame, keys: tuple[str, ...], whole: bool = True) -> DataFrame:
-    """A narrow row for each sentence (keys, raw) that passes levels 1 and 2; persisted, as several checks read it."""
+    """A narrow row for each sentence (keys, raw) that passes levels 1 and 2; written, as several checks read it."""
 
     def step(raw: str):
         if any(f.type == "FACT" for f in chain(raw + "\n" if whole else raw, "ud", 2, {})):
             yield facts_of(raw)
 
-    return per_sentence(sentences.select(*keys, "raw"), keys, step, FACTS).persist()
+    return written(per_sentence(sentences.select(*keys, "raw"), keys, step, FACTS), "facts")
 
 
 def across(facts: DataFrame, keys: tuple[str, ...], treebank: str, file: str) -> DataFrame:
@@ -714,7 +715,7 @@ def across(facts: DataFrame, keys: tuple[str, ...], treebank: str, file: str) ->
     facts = facts.withColumn("place", F.struct(*keys))
     again = F.row_number().over(W.partitionBy(treebank, "sent_id").orderBy("place"))
     repeated = _at(facts.where("sent_id <> ''").withColumn("nth", again).where("nth > 1"), keys, 2, "METADATA", "non-unique-sent-id")
-    glued = F.lag("ends_glued").over(W.partitionBy(treebank, file).orderBy("place"))
+    glued = F.lag("ends_glued").over(W.partitionBy(file).orderBy("place"))
     breaks = _at(facts.withColumn("glued", glued).where("begins and glued"), keys, 2, "METADATA", "spaceafter-newdocpar")
     kinds = facts.groupBy(treebank, "enhanced").agg(F.min("place").alias("place"))
     second = kinds.groupBy(treebank).agg(F.max("place").alias("place"), F.count("*").alias("n")).where("n > 1")
@@ -758,9 +759,9 @@ def newlines(files: DataFrame) -> DataFrame:
 # The report.
 
 
-def capped(found: DataFrame, k: int = 20, order: tuple[str, ...] = ()) -> DataFrame:
-    """The first k incidents of each type and class: the report's cap is the feature."""
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("type", "testclass").orderBy(*order, "line", "node", "testid"))).where(F.col("rank") <= k)
+def capped(found: DataFrame, k: int = 20, order: tuple[str, ...] = (), by: tuple[str, ...] = ("type", "testclass")) -> DataFrame:
+    """The first k incidents of each type and class: the report's cap is the feature. A task hands on k of a group at most (WindowGroupLimit)."""
+    return found.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order, "line", "node", "testid"))).where(F.col("rank") <= k)
 
 
 def summary(found: DataFrame, *keys: str) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.functions import universal, without_spaces
-from arborlake.operators import checks, coreference, graphs, render, rewrites, scorer, statistics, surveys, verses
+from arborlake.operators import checks, coreference, graphs, render, rewrites, scorer, statistics, surveys, validator, verses
 from arborlake.operators.sentence import per_sentence
-from arborlake.sources import synthetic
+from arborlake.sources import files
 from arborlake.sources.conllu import exploded, nodes_table, rendered
 from arborlake.sources.registry import UPOS
+from arborlake.sources.scratch import new_folder
 from arborlake.sources.synthetic import PARTICULAR, SENTENCES_SQL, UNIVERSAL, WORDS_SQL, blocks, nested, planted, planted_sql, sentences, treebank, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -381,7 +382,7 @@ def _found(spark: SparkSession, sf_dir: str, level: int = 3, **options) -> DataF
 
 
 def _across(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.across(checks.facts(blocks(spark, sf_dir), KEYS), KEYS, "lang", "lang").select("lang", "doc_id", "sent_no", "level", "testid")
+    return checks.across(checks.facts(blocks(spark, sf_dir), KEYS), KEYS, "lang", "doc_id").select("lang", "doc_id", "sent_no", "level", "testid")
 
 
 #: Sentences that pass the chain: no word is its own head.
@@ -390,7 +391,7 @@ _add(
     "incidents_across", _across,
     f"""WITH {WORDS_SQL}, {_PASSED}, f AS (SELECT w.lang, w.doc_id, w.sent_no, bool_or(deps <> '_' OR has_empty) AS enhanced, bool_or(list_contains(string_split(misc, '|'), 'SpaceAfter=No') AND id = n_words AND NOT coalesce(prev, false)) AS glued
   FROM (SELECT *, lag(starts_range) OVER (PARTITION BY doc_id, sent_no ORDER BY id) AS prev FROM words) w JOIN ok USING (doc_id, sent_no) GROUP BY ALL),
-g AS (SELECT *, lag(glued) OVER (PARTITION BY lang ORDER BY doc_id, sent_no) AS before FROM f), kinds AS (SELECT lang, enhanced, min((doc_id, sent_no)) AS place FROM f GROUP BY ALL),
+g AS (SELECT *, lag(glued) OVER (PARTITION BY doc_id ORDER BY lang, sent_no) AS before FROM f), kinds AS (SELECT lang, enhanced, min((doc_id, sent_no)) AS place FROM f GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY lang, sent_no ORDER BY doc_id) AS nth FROM f WHERE doc_id % 10 = 0),
 o AS (SELECT lang, doc_id, sent_no FROM words JOIN ok USING (lang, doc_id, sent_no) WHERE regexp_matches(deps, '(^|[|])[0-9]+:orphan(:|[|]|$)')),
 e AS (SELECT lang, min((doc_id, sent_no)) AS empty FROM words JOIN ok USING (lang, doc_id, sent_no) WHERE has_empty GROUP BY lang), fo AS (SELECT lang, min((doc_id, sent_no)) AS orphan FROM o GROUP BY lang)
@@ -400,9 +401,8 @@ UNION ALL SELECT lang, doc_id, sent_no, 2, 'spaceafter-newdocpar' FROM g WHERE b
 UNION ALL SELECT lang, max(place)[1], max(place)[2], 2, 'edeps-only-sometimes' FROM kinds GROUP BY lang HAVING count(*) > 1
 UNION ALL SELECT lang, doc_id, sent_no, 2, 'non-unique-parallel-id' FROM p WHERE nth > 1""",
 )
-_add(
-    "incidents_content", lambda spark, sf_dir: checks.incidents(_found(spark, sf_dir)).where("testid in ('rel-upos-punct', 'upos-rel-punct', 'rel-upos-nummod', 'right-to-left-conj', '0-is-not-root', 'root-is-not-0', 'head-self-loop', 'too-many-objects', 'verbform-fin-without-mood', 'missing-text')").select("doc_id", "sent_no", "level", "testid", "node"),
-    f"""WITH {WORDS_SQL}, {_PASSED}, x AS (SELECT words.*, CASE WHEN feats = 'ExtPos=ADV' THEN 'ADV' ELSE upos END AS tag FROM words JOIN ok USING (doc_id, sent_no)), i(doc_id, sent_no, level, testid, id) AS (
+_CONTENT = ("rel-upos-punct", "upos-rel-punct", "rel-upos-nummod", "right-to-left-conj", "0-is-not-root", "root-is-not-0", "head-self-loop", "too-many-objects", "verbform-fin-without-mood", "missing-text")
+_CONTENT_SQL = f"""{WORDS_SQL}, {_PASSED}, x AS (SELECT words.*, CASE WHEN feats = 'ExtPos=ADV' THEN 'ADV' ELSE upos END AS tag FROM words JOIN ok USING (doc_id, sent_no)), i(doc_id, sent_no, level, testid, id) AS (
 SELECT doc_id, sent_no, 3, 'rel-upos-punct', id FROM x WHERE deprel = 'punct' AND tag <> 'PUNCT'
 UNION ALL SELECT doc_id, sent_no, 3, 'upos-rel-punct', id FROM x WHERE tag = 'PUNCT' AND deprel NOT IN ('punct', 'root')
 UNION ALL SELECT doc_id, sent_no, 3, 'rel-upos-nummod', id FROM x WHERE deprel = 'nummod' AND tag NOT IN ('NUM', 'NOUN', 'SYM')
@@ -410,10 +410,21 @@ UNION ALL SELECT doc_id, sent_no, 3, 'right-to-left-conj', id FROM x WHERE depre
 UNION ALL SELECT doc_id, sent_no, 3, '0-is-not-root', id FROM x WHERE head = 0 AND deprel <> 'root'
 UNION ALL SELECT doc_id, sent_no, 3, 'root-is-not-0', id FROM x WHERE head <> 0 AND deprel = 'root'
 UNION ALL SELECT doc_id, sent_no, 3, 'too-many-objects', head FROM x WHERE deprel = 'obj' AND head > 0 GROUP BY ALL HAVING count(*) > 1
-UNION ALL SELECT doc_id, sent_no, 2, 'head-self-loop', min(id) FROM words WHERE head = id GROUP BY ALL)
-SELECT doc_id, sent_no, level, testid, CAST(id AS VARCHAR) AS node FROM i UNION ALL SELECT doc_id, sent_no, 2, 'missing-text', '' FROM ok""",
+UNION ALL SELECT doc_id, sent_no, 2, 'head-self-loop', min(id) FROM words WHERE head = id GROUP BY ALL),
+content AS (SELECT doc_id, sent_no, level, testid, CAST(id AS VARCHAR) AS node FROM i UNION ALL SELECT doc_id, sent_no, 2, 'missing-text', '' FROM ok)"""
+_add(
+    "incidents_content", lambda spark, sf_dir: checks.incidents(_found(spark, sf_dir, include=_CONTENT)).select("doc_id", "sent_no", "level", "testid", "node"),
+    f"WITH {_CONTENT_SQL} SELECT * FROM content",
+)
+#: Comment lines of a sentence, and the line of each word.
+_COMMENTS_SQL = "(1 + (sent_no = 1)::INT + (sent_no % 5 = 1)::INT + (doc_id % 10 = 0)::INT)"
+_LINES_SQL = f"""places AS (SELECT doc_id, sent_no, CAST(id AS VARCHAR) AS node, {_COMMENTS_SQL} + sum(1 + starts_range::INT + has_empty::INT) OVER (PARTITION BY doc_id, sent_no ORDER BY id) - has_empty::INT AS line FROM words
+  UNION ALL SELECT DISTINCT doc_id, sent_no, '', {_COMMENTS_SQL} + 1 FROM words)"""
+_add(
+    "incidents_top20_per_class", lambda spark, sf_dir: checks.capped(checks.incidents(_found(spark, sf_dir, include=_CONTENT)), 20, KEYS).select("doc_id", "sent_no", "testclass", "testid", "line", "node", "rank"),
+    f"""WITH {_CONTENT_SQL}, {_LINES_SQL}, c AS (SELECT doc_id, sent_no, CASE WHEN testid = 'missing-text' THEN 'METADATA' ELSE 'SYNTAX' END AS testclass, testid, CAST(line AS INTEGER) AS line, node FROM content JOIN places USING (doc_id, sent_no, node))
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY testclass ORDER BY doc_id, sent_no, line, node, testid) AS INTEGER) AS rank FROM c) WHERE rank <= 20""",
 )
-_add("incidents_top20_per_class", lambda spark, sf_dir: checks.capped(checks.incidents(_found(spark, sf_dir)), 20, KEYS))
 _add("incident_summary", lambda spark, sf_dir: checks.summary(checks.incidents(_found(spark, sf_dir)), "lang"))
 _add(
     "validation_verdict", lambda spark, sf_dir: checks.passed(checks.incidents(_found(spark, sf_dir, 2, include=("head-self-loop",))), blocks(spark, sf_dir), "lang"),
@@ -481,3 +492,31 @@ _add(
 UNION ALL SELECT 0, '| lang | name | n |' UNION ALL SELECT 1, '| --- | --- | --- |'""",
 )
 _add("collated_lemmas", _words(lambda w: render.collated(w.select("lang", "lemma").distinct(), "lemma", "cs", "lang")))
+
+# Files: the treebank written in order, read again by ranges, and validated as files.
+
+
+def _in_files(spark: SparkSession, sf_dir: str) -> str:
+    """The folder into which the treebank has been written: a file (or pieces) for each language and portion."""
+    folder = new_folder(spark, "treebank")
+    files.write(blocks(spark, sf_dir).withColumn("portion", _portion()), folder, "lang", "portion", "doc_id", "sent_no")
+    return folder
+
+
+_FILES_SQL = f"f AS (SELECT lang, {_PORTION_SQL} AS portion, doc_id, sent_no, {_COMMENTS_SQL} + CAST(sum(1 + starts_range::INT + has_empty::INT) AS BIGINT) + 1 AS n FROM words GROUP BY lang, doc_id, sent_no)"
+_add(
+    "files_read_back", lambda spark, sf_dir: files.read(spark, _in_files(spark, sf_dir), 1 << 20).select("treebank", "portion", "sent_no", "line", F.regexp_extract("raw", r"# sent_id = (\S+)", 1).alias("sent_id"), F.endswith("raw", F.lit("\n")).alias("ended"), "cr"),
+    f"""WITH {WORDS_SQL}, {_FILES_SQL} SELECT lang AS treebank, portion, row_number() OVER o AS sent_no, CAST(1 + sum(n) OVER o - n AS BIGINT) AS line, doc_id || '-' || sent_no AS sent_id, true AS ended, false AS cr
+FROM f WINDOW o AS (PARTITION BY lang, portion ORDER BY doc_id, sent_no ROWS UNBOUNDED PRECEDING)""",
+)
+_WHOLE = ("head-self-loop", "missing-text", "non-unique-parallel-id", "edeps-only-sometimes", "spaceafter-newdocpar", "non-unique-sent-id", "missing-empty-line", "non-unix-newline")
+_add(
+    "files_validated", lambda spark, sf_dir: validator.validate_files(spark, _in_files(spark, sf_dir), level=2, include=_WHOLE, range_bytes=1 << 20).counts,
+    f"""WITH {WORDS_SQL}, {_PASSED}, g AS (SELECT w.lang, {_PORTION_SQL} AS portion, w.doc_id, w.sent_no, bool_or(deps <> '_' OR has_empty) AS enhanced, bool_or(list_contains(string_split(misc, '|'), 'SpaceAfter=No') AND id = n_words AND NOT coalesce(prev, false)) AS glued
+  FROM (SELECT *, lag(starts_range) OVER (PARTITION BY doc_id, sent_no ORDER BY id) AS prev FROM words) w JOIN ok USING (doc_id, sent_no) GROUP BY ALL),
+i AS (SELECT lang, 'SYNTAX' AS testclass, 'head-self-loop' AS testid FROM words WHERE head = id GROUP BY doc_id, sent_no, lang UNION ALL SELECT lang, 'METADATA', 'missing-text' FROM g
+  UNION ALL SELECT lang, 'METADATA', 'non-unique-parallel-id' FROM (SELECT lang, row_number() OVER (PARTITION BY lang, sent_no) AS nth FROM g WHERE doc_id % 10 = 0) WHERE nth > 1
+  UNION ALL SELECT lang, 'ENHANCED', 'edeps-only-sometimes' FROM g GROUP BY lang HAVING count(DISTINCT enhanced) > 1
+  UNION ALL SELECT lang, 'METADATA', 'spaceafter-newdocpar' FROM (SELECT lang, sent_no, lag(glued) OVER (PARTITION BY lang, portion ORDER BY doc_id, sent_no) AS before FROM g) WHERE before AND sent_no % 5 = 1)
+SELECT lang AS treebank, 'ERROR' AS type, testclass, testid, count(*) AS n FROM i GROUP BY ALL""",
+)

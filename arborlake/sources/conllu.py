@@ -1,32 +1,28 @@
 """Reader, parser and writer of CoNLL-U.
 
-A sentence is a block of lines that a blank or white-space-only line ends. Files are split at empty lines by
-the text source itself, so one large file is read by many tasks; blocks that hold a white-space-only line are
-cut further. Parsing is a projection: comments and nodes become arrays of the sentence's row, and nothing is
+A sentence is a block of lines that a blank or white-space-only line ends; `sources.files` reads them by byte
+ranges, so one large file is read by many tasks. Parsing is a projection: comments and nodes become arrays of the sentence's row, and nothing is
 exploded or shuffled until an operator asks for single nodes.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arborlake.functions import portion
+from arborlake.sources import files
 
 #: The ten columns of a node line.
 COLUMNS = ("id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc")
 
 
-def blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, portion, sent_no (from 1 in each file), raw: the block's lines, with the white-space-only line that ends it, if any."""
-    rows = spark.read.option("lineSep", "\n\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), "value")
-    # A line of white space ends a block too; \u0000 marks the cut and keeps the line for the checks.
-    cut = F.split(F.regexp_replace(F.regexp_replace("value", r"\A\n+", ""), r"(?m)^([^\S\n]+)(\n|\z)", "$1\u0000"), "\u0000")
-    rows = rows.select("file", "place", F.posexplode(cut).alias("part", "raw"))
-    rows = rows.withColumn("raw", F.regexp_replace("raw", r"\n\z", "")).where("raw <> ''")
-    order = W.partitionBy("file").orderBy("place", "part")  # a file's blocks in order, without their nodes
-    return rows.select("file", portion(F.col("file")).alias("portion"), F.row_number().over(order).cast("long").alias("sent_no"), "raw")
+def blocks(spark: SparkSession, path: str) -> DataFrame:
+    """file, portion, sent_no (from 1 in each file), raw: the block's lines without the blank line that ends it, but with one of white space.
+
+    What checks need of how a block ended, and lines within the file, `sources.files.read` has.
+    """
+    rows = files.read(spark, path, suffix="")
+    return rows.select("file", "portion", "sent_no", F.regexp_replace("raw", r"\n\z", "").alias("raw")).where("raw <> ''")
 
 
 def parsed(sentences: DataFrame) -> DataFrame:
