@@ -1,17 +1,23 @@
 """URL verdicts: explicit host and path rules, and beyond them a tree of path templates for each host.
 
-Urls that a rule decides are the labels. Each path is cut into segments; segments that vary by form
-(numbers, long hexadecimal or mixed tokens) become wildcards; then, level by level until no segment is
-left, the children of a node whose labelled rates do not differ from their siblings' (two proportions,
-|z| < `z`, with at least `enough` labels on both sides) are merged into one wildcard branch, "?", which no
-segment can be; however many children there are, nothing else merges them. A branch with fewer labels, or none, stays by itself. A template is rejected
-when its purity, smoothed by `weight` pseudo-urls towards its host's rate, reaches `reject`. That rate is
-the mean over the host's labelled first segments, smoothed by `weight` segments towards `prior`: rules are
-no fair sample of a host, so many urls under one segment say little about the others.
-
-Everything is aggregated by (host, template) first, so a hot host is pre-aggregated; the join back is
-salted. A node that holds a single path has nothing to merge, so the rest of that path is taken at once;
-levels are walked only as deep as different paths agree.
+Urls that a rule decides are the labels. Each path is cut into segments; a slash at its end is none. Segments that vary by form (numbers,
+long hexadecimal or mixed tokens) are kept by their first character and ending alone. Then the children of every
+node of a host's tree are compared: those with at least `enough` labels are put in order of their labelled
+rate, in `bins` steps, and neighbours whose rates do not differ (two proportions, |z| < `z`) are one branch.
+Varying children become the wildcard "*", which also takes those with too few labels, but for branches that
+differ from the largest ("*~1", ...); other children merge into "?" (which no segment can be) or stay by
+themselves, as those with too few labels do. Statistics, not the number of children, merge branches.
+
+A host's tree has few labels, so trees are also grown for the domains around the host (a.b.example.com,
+b.example.com, example.com), by the same rule. A template's purity is smoothed by `weight` pseudo-urls towards
+the purity of the path's template in the next larger domain, and there towards that of all domains, where each
+domain that has labels counts once; without any, towards `prior`. A template is rejected when its purity
+reaches `reject`. So a path that is blocked on some hosts of a domain is evidence for the others, and one
+domain's is weak evidence for another one.
+
+All of it is a fixed number of joins and aggregates over distinct (host, path form) rows, counted on the map
+side first; windows run over the at most 2 * `bins` rate steps of a node. Keys are unique on one side of every
+join, and that side is written before, so that Spark can split the rows of a hot host.
 
 Defined results: null urls and urls without :// have empty host and path, fit no rule and are judged
 by the empty host's template; repeated rows keep a row each; other columns are ignored; an empty table
@@ -20,9 +26,8 @@ gives an empty table.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arborlake.llm.common import stored
@@ -50,46 +55,72 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def segment_form(segment: Column) -> Column:
-    """Segments that vary by form, generalised; a file ending stays."""
+    """Segments that vary by form as "*", first character and file ending; others with "=" ahead where they begin like such."""
     ending = F.regexp_extract(segment, r"\.[A-Za-z]{1,5}\z", 0)
     stem = F.substring(segment, F.lit(1), F.length(segment) - F.length(ending))
     varies = stem.rlike(r"\A[0-9]+\z") | stem.rlike(r"\A[0-9a-fA-F-]{8,}\z") | (stem.rlike(r"[0-9]") & (F.length(stem) >= 12))
-    return F.when(varies, F.concat(F.lit("*"), ending)).otherwise(segment)
+    return F.when(varies, F.concat(F.lit("*"), F.substring(stem, 1, 1), ending)).when(segment.rlike(r"\A[*=]"), F.concat(F.lit("="), segment)).otherwise(segment)
+
+
+def domains(host: Column) -> Column:
+    """The host and the domains around it down to two labels, smallest first; an address of numbers has none."""
+    labels = F.split(host, r"\.")
+    around = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.when(host.rlike(r"\A[0-9.:]*\z"), F.array(host)).otherwise(around)
+
+
+def differs(n: Column, b: Column, n2: Column, b2: Column, z: float) -> Column:
+    """Two proportions, b of n and b2 of n2."""
+    pooled = (b + b2) / (n + n2)
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / n2))
+    return (spread > 0) & (F.abs(b / n - b2 / n2) >= z * spread)
+
+
+def branches(child: DataFrame, z: float, enough: int, bins: int) -> DataFrame:
+    """scope, parent, segment, name, of the children (scope, parent, segment, n, b) that merge or are kept apart."""
+    tested = child.where(F.col("n") >= enough).withColumns({"varies": F.col("segment").startswith("*"), "bin": F.least(F.floor(F.col("b") / F.col("n") * bins), F.lit(bins - 1)).cast("int")})
+    steps = tested.groupBy("scope", "parent", "varies", "bin").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("members"))
+    order = W.partitionBy("scope", "parent", "varies").orderBy("bin")
+    begins = F.coalesce(differs(F.col("n"), F.col("b"), F.lag("n").over(order), F.lag("b").over(order), z), F.lit(False))
+    steps = steps.withColumn("begins", begins.cast("int")).withColumn("cluster", F.sum("begins").over(order))
+    whole = W.partitionBy("scope", "parent", "varies", "cluster")
+    steps = steps.withColumns({"all_n": F.sum("n").over(whole), "all_members": F.sum("members").over(whole)})
+    rank = F.dense_rank().over(W.partitionBy("scope", "parent", "varies").orderBy(F.desc("all_n"), "cluster")) - 1
+    mark = F.when(F.col("rank") == 0, "").otherwise(F.concat(F.lit("~"), F.col("rank")))
+    name = F.when(F.col("varies"), F.concat(F.lit("*"), mark)).when(F.col("all_members") > 1, F.concat(F.lit("?"), mark))
+    steps = stored(steps.withColumn("rank", rank).select("scope", "parent", "varies", "bin", name.alias("name")).where("name is not null"))
+    return stored(tested.join(steps, ["scope", "parent", "varies", "bin"]).select("scope", "parent", "segment", "name"))
 
 
-def judge(pages: DataFrame, rules: list[Rule], z: float = 1.96, enough: int = 10, weight: float = 4.0, prior: float = 0.2, reject: float = 0.5, salts: int = 32) -> DataFrame:
-    """page_id, host, path, rule, verdict, template, purity."""
+def judge(pages: DataFrame, rules: list[Rule], *, teaches: Column | None = None, z: float = 1.96, enough: int = 10, weight: float = 4.0, prior: float = 0.2, reject: float = 0.5, bins: int = 20) -> DataFrame:
+    """page_id, host, path, rule, verdict, template, purity. `teaches`: which pages' rules are labels (all, if none)."""
     host, path = host_and_path(F.col("url").cast("string"))
-    rows = pages.select(F.col("page_id"), host.alias("host"), path.alias("path")).withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
-    parts = F.split(F.regexp_replace("path", r"\A/", ""), "/")
-    rows = stored(rows.withColumn("raw", F.transform(parts, segment_form)).withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts))))
-
-    labelled, bad = F.count("fit.verdict").alias("labelled"), F.count(F.when(F.col("fit.verdict") == "block", 1)).alias("bad")
-    here, ended, level = stored(rows.groupBy("host", "raw").agg(labelled, bad).withColumn("template", F.lit(""))), [], 0
-    while not here.isEmpty():
-        here = here.withColumn("segment", F.get("raw", F.lit(level)))
-        child = here.groupBy("host", "template", "segment").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"), F.count("*").alias("paths"))
-        parent = child.groupBy("host", "template").agg(F.sum("paths").alias("paths"), F.sum("n").alias("pn"), F.sum("b").alias("pb"))
-        n2, b2 = F.col("pn") - F.col("n"), F.col("pb") - F.col("b")
-        pooled = F.col("pb") / F.nullif("pn", F.lit(0))
-        spread = F.sqrt(pooled * (1 - pooled) * (1 / F.nullif("n", F.lit(0)) + 1 / F.nullif(n2, F.lit(0))))
-        alike = (pooled == 0) | (pooled == 1) | (F.abs(F.col("b") / F.nullif("n", F.lit(0)) - b2 / F.nullif(n2, F.lit(0))) < z * spread)
-        merged = (F.least("n", n2) >= enough) & F.coalesce(alike, F.lit(True))
-        step = child.drop("paths").join(parent, ["host", "template"]).select("host", "template", "segment", (F.col("paths") == 1).alias("alone"), F.when(merged, F.lit("?")).otherwise(F.col("segment")).alias("to"))
-        to = F.when(F.col("alone"), F.array_join(F.slice("raw", F.lit(level + 1), F.size("raw")), "/")).otherwise(F.col("to"))
-        going = ~F.col("alone") & (F.size("raw") > level + 1)
-        walked = stored(here.join(step, ["host", "template", "segment"]).select("host", "raw", "labelled", "bad", F.concat("template", F.lit("/"), to).alias("template"), going.alias("going")))
-        ended.append(walked.where("not going").drop("going"))
-        here, level = walked.where("going").drop("going"), level + 1
-    tree = reduce(DataFrame.unionByName, ended, here)
-
-    branch = tree.groupBy("host", F.get("raw", F.lit(0)).alias("segment")).agg(F.sum("bad").alias("b"), F.sum("labelled").alias("n"))
-    rate = F.coalesce(F.sum(F.col("b") / F.nullif("n", F.lit(0))), F.lit(0.0))
-    hosts = branch.groupBy("host").agg(((rate + weight * prior) / (F.count(F.nullif("n", F.lit(0))) + weight)).alias("host_rate"))
-    templates = tree.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("labelled").alias("n")).join(hosts, "host")
-    purity = (F.col("b") + weight * F.col("host_rate")) / (F.col("n") + weight)
-    leaf = tree.select("host", "raw", "template").join(templates.select("host", "template", purity.alias("purity")), ["host", "template"])
-    leaf = leaf.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    out = rows.join(leaf, ["host", "raw", "salt"])
-    verdict = F.coalesce("fit.verdict", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
+    rows = pages.select(F.col("page_id"), (F.lit(True) if teaches is None else teaches).alias("teaches"), host.alias("host"), path.alias("path")).withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
+    parts = F.split(F.regexp_replace("path", r"\A/|(?<=.)/\z", ""), "/")
+    rows = stored(rows.withColumn("form", F.array_join(F.transform(parts, segment_form), "/")))
+
+    label = F.when(F.col("teaches"), F.col("fit.verdict"))
+    paths = stored(rows.groupBy("host", "form").agg(F.count(label).alias("n"), F.count(F.when(label == "block", 1)).alias("b")))
+    around = paths.select("host", "form", "n", "b", F.posexplode(domains(F.col("host"))).alias("place", "scope"))
+    own = stored(around.groupBy("scope", "form").agg(F.sum("n").alias("n"), F.sum("b").alias("b")))
+
+    segments = own.withColumn("segments", F.split("form", "/"))
+    nodes = segments.select("scope", "form", "n", "b", F.posexplode("segments").alias("level", "segment"), "segments").withColumn("parent", F.xxhash64(F.slice("segments", 1, F.col("level")))).drop("segments")
+    child = stored(nodes.groupBy("scope", "parent", "segment").agg(F.sum("n").alias("n"), F.sum("b").alias("b")))
+    named = nodes.join(branches(child, z, enough, bins), ["scope", "parent", "segment"], "left")
+    name = F.coalesce("name", F.when(F.col("segment").startswith("*"), "*").otherwise(F.col("segment")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", name.alias("name")))), lambda x: x["name"]), "/")  # as many as the path has segments
+    leaf = stored(named.groupBy("scope", "form").agg(F.concat(F.lit("/"), whole).alias("template"), F.first("n").alias("n"), F.first("b").alias("b")))
+
+    templates = stored(leaf.groupBy("scope", "template").agg(F.sum("n").alias("n"), F.sum("b").alias("b")))
+    outermost = F.element_at(domains(F.col("scope")), -1) == F.col("scope")
+    everywhere = templates.where(outermost & (F.col("n") > 0)).groupBy("template").agg(F.count("*").alias("n"), F.sum(F.col("b") / F.col("n")).alias("rate"))
+    first = stored(everywhere.select("template", ((F.col("rate") + weight * prior) / (F.col("n") + weight)).alias("everywhere")))
+    judged = leaf.select("scope", "form", "template").join(templates, ["scope", "template"]).join(first, "template", "left")
+    judged = stored(judged.select("scope", "form", F.struct(F.col("n").alias("n"), F.col("b").alias("b"), "template", F.coalesce("everywhere", F.lit(prior)).alias("everywhere")).alias("t")))
+    chain = F.reverse(F.array_sort(F.collect_list(F.struct("place", "t"))))  # one for each domain, the largest first
+    smoothed = F.aggregate("chain", F.col("chain")[0]["t"]["everywhere"], lambda p, x: (x["t"]["b"] + weight * p) / (x["t"]["n"] + weight))
+    scored = around.select("host", "form", "place", "scope").join(judged, ["scope", "form"]).groupBy("host", "form").agg(chain.alias("chain"))
+    scored = stored(scored.select("host", "form", F.element_at("chain", -1)["t"]["template"].alias("template"), smoothed.alias("purity")))
+    decided = F.when(F.col("purity") >= reject, "block").otherwise("allow")
+    return rows.join(scored, ["host", "form"]).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", decided).alias("verdict"), "template", "purity")
