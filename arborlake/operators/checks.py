@@ -699,12 +699,17 @@ FACTS = "sent_id string, parallel_id string, begins boolean, ends_glued boolean,
 
 def facts(sentences: DataFrame, keys: tuple[str, ...], whole: bool = True) -> DataFrame:
     """A narrow row for each sentence (keys, raw) that passes levels 1 and 2; written, as several checks read it."""
+    return written(passing(sentences, keys, whole), "facts")
+
+
+def passing(sentences: DataFrame, keys: tuple[str, ...], whole: bool = True) -> DataFrame:
+    """The rows of facts(); also of a stream."""
 
     def step(raw: str):
         if any(f.type == "FACT" for f in chain(raw + "\n" if whole else raw, "ud", 2, {})):
             yield facts_of(raw)
 
-    return written(per_sentence(sentences.select(*keys, "raw"), keys, step, FACTS), "facts")
+    return per_sentence(sentences.select(*keys, "raw"), keys, step, FACTS)
 
 
 def across(facts: DataFrame, keys: tuple[str, ...], treebank: str, file: str) -> DataFrame:
@@ -714,7 +719,7 @@ def across(facts: DataFrame, keys: tuple[str, ...], treebank: str, file: str) ->
     """
     facts = facts.withColumn("place", F.struct(*keys))
     again = F.row_number().over(W.partitionBy(treebank, "sent_id").orderBy("place"))
-    repeated = _at(facts.where("sent_id <> ''").withColumn("nth", again).where("nth > 1"), keys, 2, "METADATA", "non-unique-sent-id")
+    repeated = _at(facts.where("sent_id <> ''").withColumn("_nth", again).where("_nth > 1"), keys, 2, "METADATA", "non-unique-sent-id")
     glued = F.lag("ends_glued").over(W.partitionBy(file).orderBy("place"))
     breaks = _at(facts.withColumn("glued", glued).where("begins and glued"), keys, 2, "METADATA", "spaceafter-newdocpar")
     kinds = facts.groupBy(treebank, "enhanced").agg(F.min("place").alias("place"))
@@ -740,10 +745,10 @@ def _parallel(facts: DataFrame, keys: tuple[str, ...], treebank: str) -> DataFra
     """Whole ids must be unique; numbers of alternatives and parts of a sentence run 1, 2, 3 or are absent from all."""
     number = lambda kind: F.nullif(F.regexp_extract("parallel_id", rf"{kind}([0-9]+)", 1), F.lit("")).cast("int")
     rows = facts.withColumns({"core": F.regexp_extract("parallel_id", r"\A[^/]+/[^/]+", 0), "alt": number("/alt"), "part": number("part")})
-    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy(treebank, "parallel_id").orderBy("place")))
-    out = _at(rows.where("nth > 1"), keys, 2, "METADATA", "non-unique-parallel-id")
+    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy(treebank, "parallel_id").orderBy("place")))
+    out = _at(rows.where("_nth > 1"), keys, 2, "METADATA", "non-unique-parallel-id")
     order = W.partitionBy(treebank, "core").orderBy("place")
-    first = rows.where("nth = 1").withColumn("at", F.row_number().over(order))
+    first = rows.where("_nth = 1").withColumn("at", F.row_number().over(order))
     for kind in ("alt", "part"):
         before = F.lag(kind).over(order)
         wrong = F.when(F.col("at") == 1, F.coalesce(F.col(kind), F.lit(1)) != 1).otherwise(~(before + 1).eqNullSafe(F.col(kind)))

@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from arborlake.functions import portion
@@ -120,13 +120,18 @@ class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.size, self.suffix = options["path"], int(options.get("rangeBytes", RANGE_BYTES)), options.get("suffix", ".conllu")
 
-    def partitions(self) -> list[Range]:
-        """The ranges of all files below the path whose names end in the suffix, by name; hidden ones are left out."""
+    def files(self) -> list[fs.FileInfo]:
+        """All files below the path whose names end in the suffix, by name; hidden ones are left out."""
         system, root = opened(self.path)
         found = system.get_file_info(root)
         infos = [found] if found.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
-        chosen = sorted((i.path, i.size) for i in infos if i.type == fs.FileType.File and (i.path == root or i.path.endswith(self.suffix) and not re.search(r"/[._]", i.path[len(root) :])))
-        return [Range(path, k, k * self.size, min((k + 1) * self.size, size)) for path, size in chosen for k in range(-(-size // self.size))]
+        return sorted((i for i in infos if i.type == fs.FileType.File and (i.path == root or i.path.endswith(self.suffix) and not re.search(r"/[._]", i.path[len(root) :]))), key=lambda i: i.path)
+
+    def ranges(self, infos: list[fs.FileInfo]) -> list[Range]:
+        return [Range(i.path, k, k * self.size, min((k + 1) * self.size, i.size)) for i in infos for k in range(-(-i.size // self.size))]
+
+    def partitions(self) -> list[Range]:
+        return self.ranges(self.files())
 
     def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # no files
@@ -144,6 +149,27 @@ class Reader(DataSourceReader):
                 yield batch_of(rows)
 
 
+class Arrivals(Reader, DataSourceStreamReader):
+    """Files that arrive whole, by renaming, in the order of their times (of equal times, by name). The offset is the last one's."""
+
+    def initialOffset(self) -> dict:
+        return {"time": -1, "path": ""}
+
+    def latestOffset(self) -> dict:
+        return max((self.arrived(i) for i in self.files()), key=lambda o: (o["time"], o["path"]), default=self.initialOffset())
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        place = lambda o: (o["time"], o["path"])
+        return self.ranges([i for i in self.files() if place(start) < place(self.arrived(i)) <= place(end)])
+
+    def commit(self, end: dict) -> None:
+        pass
+
+    @staticmethod
+    def arrived(info: fs.FileInfo) -> dict:
+        return {"time": info.mtime_ns, "path": info.path}
+
+
 _ARROW = pa.schema([("file", pa.string()), ("range", pa.int32()), ("nth", pa.int64()), ("line", pa.int64()), ("n_lines", pa.int64()), ("raw", pa.string()), ("cr", pa.bool_())])
 
 
@@ -218,6 +244,9 @@ class ConlluSource(DataSource):
     def reader(self, schema: StructType) -> Reader:
         return Reader(self.options)
 
+    def streamReader(self, schema: StructType) -> Arrivals:
+        return Arrivals(self.options)
+
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
         system, root = opened(self.options["path"])
         if not overwrite and any(i.path.endswith(".conllu") for i in system.get_file_info(fs.FileSelector(root, allow_not_found=True))):
@@ -242,6 +271,13 @@ def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, suffix:
     return numbered.select(F.col("name").alias("file"), treebank.alias("treebank"), portion(F.col("name")).alias("portion"), (F.col("nth") + F.col("blocks_before") + 1).alias("sent_no"), (F.col("line") + F.col("lines_before") + 1).alias("line"), "raw", "cr")
 
 
+def arriving(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """A stream of the blocks of files that arrive below the path: treebank, file, range, nth, raw, cr. Their order is (file, range, nth)."""
+    spark.dataSource.register(ConlluSource)
+    rows = spark.readStream.format("conllu").option("rangeBytes", range_bytes).load(path)
+    return rows.select(F.regexp_extract("file", r"([^/]+?)(?:-ud-(?:train|dev|test))?(?:-[0-9]+)?\.conllu\z", 1).alias("treebank"), "file", "range", "nth", "raw", "cr")
+
+
 def write(sentences: DataFrame, path: str, treebank: str, portion: str, *order: str, pieces: int | None = None, piece_bytes: int = PIECE_BYTES) -> None:
     """Writes raw blocks as `treebank-ud-portion-00000.conllu` and so on, in the order of `order` within each.
 
