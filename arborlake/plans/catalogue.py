@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.functions import universal, without_spaces
-from arborlake.operators import checks, coreference, graphs, render, rewrites, scorer, statistics, surveys, validator, verses
+from arborlake.operators import checks, coreference, graphs, lookups, render, rewrites, scorer, statistics, surveys, validator, verses
 from arborlake.operators.sentence import per_sentence
-from arborlake.sources import files
+from arborlake.sources import files, registry
 from arborlake.sources.conllu import exploded, nodes_table, rendered
 from arborlake.sources.registry import UPOS
 from arborlake.sources.scratch import new_folder
@@ -520,3 +521,40 @@ i AS (SELECT lang, 'SYNTAX' AS testclass, 'head-self-loop' AS testid FROM words
   UNION ALL SELECT lang, 'METADATA', 'spaceafter-newdocpar' FROM (SELECT lang, sent_no, lag(glued) OVER (PARTITION BY lang, portion ORDER BY doc_id, sent_no) AS before FROM g) WHERE before AND sent_no % 5 = 1)
 SELECT lang AS treebank, 'ERROR' AS type, testclass, testid, count(*) AS n FROM i GROUP BY ALL""",
 )
+
+# The registry's files against the treebank: French is not registered, German bans Mood and lacks `dep`, Spanish lacks an accusative and plural verbs.
+
+
+def _registry(spark: SparkSession) -> registry.Tables:
+    """Written as JSON files and loaded from them."""
+    en = registry.SAMPLE["en"]
+    de = replace(en, features={f: v for f, v in en.features.items() if f != "Mood"}, banned=en.banned | {"Mood"}, relations=en.relations - {"dep"})
+    es = replace(en, features={**en.features, "Case": {u: {"Nom"} for u in en.features["Case"]}, "Number": {**en.features["Number"], "VERB": {"Sing"}}})
+    folder = new_folder(spark, "registry")
+    for name, text in registry.as_json({"en": en, "de": de, "es": es}).items():
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/{name}")
+    return registry.load(spark, folder)
+
+
+_add(
+    "incidents_registry", lambda spark, sf_dir: lookups.incidents(lookups.words(nested(spark, sf_dir), KEYS, "lang"), _registry(spark), KEYS).groupBy("lang", "upos", "level", "testid").agg(F.count("*").alias("n")),
+    f"""WITH {WORDS_SQL}, x AS (SELECT *, CASE WHEN list_contains(string_split(misc, '|'), 'Lang=en') THEN 'en' ELSE lang END AS own FROM words),
+t AS (SELECT x.*, p.own AS above FROM x LEFT JOIN x p ON p.doc_id = x.doc_id AND p.sent_no = x.sent_no AND p.lang = x.lang AND p.id = x.head),
+f AS (SELECT lang, upos, feature, CASE WHEN feature = 'Foreign' THEN lang ELSE own END AS l, unnest(string_split(v, ',')) AS v FROM (SELECT lang, upos, own, split_part(x, '=', 1) AS feature, split_part(x, '=', 2) AS v FROM (SELECT *, unnest(string_split(feats, '|')) AS x FROM t WHERE feats <> '_'))),
+tags(feature, tags) AS (VALUES ('Number', ['NOUN', 'PROPN', 'ADJ', 'PRON', 'DET', 'VERB', 'AUX']), ('Case', ['NOUN', 'PROPN', 'ADJ', 'PRON', 'DET']), ('Mood', ['VERB', 'AUX']), ('VerbForm', ['VERB', 'AUX']), ('PronType', ['PRON', 'DET']), ('Foreign', ['X', 'PROPN'])),
+e AS (SELECT t.*, split_part(e, ':', 1) AS h, substr(e, strpos(e, ':') + 1) AS rel FROM (SELECT *, unnest(string_split(deps, '|')) AS e FROM t WHERE deps <> '_') t),
+g AS (SELECT e.lang, e.upos, e.rel, e.own, p.own AS above FROM e LEFT JOIN x p ON p.doc_id = e.doc_id AND p.sent_no = e.sent_no AND p.lang = e.lang AND p.id = CAST(e.h AS BIGINT)),
+i(lang, upos, level, testid) AS (
+SELECT lang, upos, 4, CASE WHEN l = 'fr' THEN 'feature-unknown' WHEN l = 'de' AND feature = 'Mood' THEN 'feature-not-permitted' WHEN l = 'es' AND v = 'Acc' THEN 'feature-value-unknown' WHEN feature <> 'ExtPos' AND NOT list_contains(tags, upos) THEN 'feature-upos-not-permitted'
+  WHEN l = 'es' AND upos = 'VERB' AND v = 'Plur' THEN 'feature-value-upos-not-permitted' END FROM f LEFT JOIN tags USING (feature)
+UNION ALL SELECT lang, upos, 4, 'unknown-deprel' FROM t WHERE (lang = 'fr' OR (lang = 'de' AND deprel = 'dep')) AND NOT (own <> lang AND own IS NOT DISTINCT FROM above)
+UNION ALL SELECT lang, upos, 4, 'unknown-edeprel' FROM g WHERE NOT (rel = 'ref' OR rel = 'conj:and' OR rel IN ('obl:in', 'nmod:in') OR (rel NOT LIKE '%:%' AND NOT (lang = 'de' AND rel = 'dep'))) AND NOT (own <> lang AND own IS NOT DISTINCT FROM above AND rel = 'dep')
+UNION ALL SELECT lang, upos, 4, 'unknown-edeprel' FROM g WHERE lang = 'fr' AND (rel = 'ref' OR rel = 'conj:and' OR rel IN ('obl:in', 'nmod:in') OR rel NOT LIKE '%:%') AND NOT (own <> lang AND own IS NOT DISTINCT FROM above)
+UNION ALL SELECT lang, upos, 5, 'aux-lemma' FROM t WHERE upos = 'AUX' AND (own = 'fr' OR lemma NOT IN ('be', 'have'))
+UNION ALL SELECT lang, upos, 5, 'cop-lemma' FROM t WHERE deprel = 'cop' AND (own = 'fr' OR lemma <> 'be'))
+SELECT lang, upos, level, testid, count(*) AS n FROM i WHERE testid IS NOT NULL GROUP BY ALL""",
+)
+_add(
+    "registry_explained", lambda spark, sf_dir: registry.explained(_registry(spark)).join(words(spark, sf_dir).select("lang").distinct(), "lang").where("what in ('auxiliaries', 'copulas', 'words with spaces')"),
+    f"""WITH {WORDS_SQL}, l AS (SELECT DISTINCT lang FROM words WHERE lang <> 'fr'), t(what, text) AS (VALUES ('auxiliaries', 'Permitted auxiliaries: be, have'), ('copulas', 'Permitted copulas: be'), ('words with spaces', 'Permitted words with spaces: \\A(?:[0-9]+( [0-9]{{3}})+|a lot)\\z')) SELECT lang, what, text FROM l, t""",
+)

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.operators import checks
+from arborlake.sources import files
 
 
 def sentences(spark: SparkSession, folder: str, language: str) -> DataFrame:
-    """file, lang, raw of every sentence in files that arrive in the folder."""
-    rows = spark.readStream.schema("value string").option("lineSep", "\n\n").text(folder)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.lit(language).alias("lang"), F.regexp_replace("value", r"\A\n+|\n+\z", "").alias("raw")).where("raw <> ''")
+    """file, lang, raw (with the line that ends it) of every sentence in .conllu files that arrive in the folder."""
+    return files.arriving(spark, folder).select("file", F.lit(language).alias("lang"), "raw")
 
 
 def incidents(spark: SparkSession, folder: str, language: str, level: int = 5) -> DataFrame:
-    """Findings of each sentence alone; what spans sentences needs the whole treebank, see operators.checks.across."""
-    return checks.incidents(checks.validate(sentences(spark, folder, language), ("file", "lang"), level=level))
+    """Findings of each sentence alone; what spans sentences is in streaming.between."""
+    return checks.incidents(checks.validate(sentences(spark, folder, language), ("file", "lang"), level=level, whole=False))
