@@ -1,9 +1,13 @@
-"""Column functions of the annotation format: features, relations, versions, shares. All stay inside the JVM."""
+"""Column functions of the annotation format: features, relations, versions, shares. All but composed() stay inside the JVM."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def pairs(cell: Column) -> Column:
@@ -58,3 +62,15 @@ def portion(path: Column) -> Column:
 
 def without_spaces(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s", "")
+
+
+@F.arrow_udf(StringType())
+def _composed(text: pa.Array) -> pa.Array:
+    # Arrow's own kernel leaves the text decomposed when asked for NFC.
+    return pa.array([x if x is None else unicodedata.normalize("NFC", x) for x in text.to_pylist()], pa.string())
+
+
+def composed(text: Column) -> Column:
+    """Unicode's composed form (NFC), whole columns at a time. Text of ASCII alone is composed, and goes as null."""
+    other = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    return F.coalesce(_composed(other), text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arborlake.functions import repository, version
@@ -70,9 +71,27 @@ def file_findings(files: DataFrame) -> DataFrame:
 
 
 def history(releases: DataFrame, renamed: DataFrame) -> DataFrame:
-    """name, first, last, n: releases of each treebank, by version, under its newest name. releases (release, name), renamed (old, new)."""
-    rows = releases.join(F.broadcast(renamed), F.col("name") == F.col("old"), "left").select("release", F.coalesce("new", "name").alias("name"))  # a row for each renaming
-    return rows.groupBy("name").agg(F.min_by("release", version(F.col("release"))).alias("first"), F.max_by("release", version(F.col("release"))).alias("last"), F.countDistinct("release").alias("n"))
+    """name, first, last, n: releases of each treebank, by version, under the name that it has in the end.
+
+    releases (release, name), renamed (old, new, after: the last release under the old name; null: any). A recursive
+    query follows each name through one renaming after another; a name may be given again later. Releases and
+    renamings are few; Spark stops a recursion beyond 100 steps.
+    """
+    number = lambda c: (version(c)["major"] * 100_000 + version(c)["minor"]).cast("long")
+    spark = releases.sparkSession
+    has = "after" in renamed.columns
+    after = F.coalesce(number(F.col("after")), F.lit(1 << 40)) if has else F.lit(1 << 40)
+    steps = renamed.select("old", "new", after.alias("until")).distinct()
+    since = F.coalesce(F.lag("until").over(W.partitionBy("old").orderBy("until")), F.lit(-1))
+    names = (releases.select("release", "name", number(F.col("release")).alias("place")).distinct(), steps.withColumn("since", since))
+    newest = spark.sql(
+        """WITH RECURSIVE chain(release, place, name, now, at) AS (
+          SELECT release, place, name, name, place FROM {releases}
+          UNION ALL SELECT c.release, c.place, c.name, r.new, r.until + 1 FROM chain c JOIN {renamed} r ON r.old = c.now AND c.at <= r.until AND c.at > r.since)
+        SELECT release, place, max_by(now, at) AS name FROM chain GROUP BY release, place, name""",
+        releases=names[0], renamed=names[1],
+    )
+    return newest.groupBy("name").agg(F.min_by("release", "place").alias("first"), F.max_by("release", "place").alias("last"), F.countDistinct("release").alias("n"))
 
 
 def repeated_ids(sentences: DataFrame) -> DataFrame:

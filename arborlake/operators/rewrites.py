@@ -12,6 +12,7 @@ import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arborlake.operators.graphs import reachable, rewritten
@@ -105,6 +106,30 @@ def unspaced_lines(text: Column, width: int = 80) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s", ""), rf"(.{{{width}}})(?=.)", "$1\n")
 
 
+def spaced_before_paragraphs(sentences: DataFrame, keys: tuple[str, ...], file: str) -> DataFrame:
+    """keys, raw, changed: a sentence ahead of one that begins a paragraph or document loses SpaceAfter=No at its last token.
+
+    What the next sentence begins is looked up over narrow rows of the file; only sentences with such a successor
+    are rewritten. A last word inside a range leaves the space to the range.
+    """
+    begins = F.exists(F.split("raw", "\n"), lambda x: x.rlike(r"\A#\s*new(doc|par)(\s|\z)"))
+    narrow = sentences.select(*keys, begins.alias("begins"))
+    ahead = narrow.withColumn("before_break", F.lead("begins").over(W.partitionBy(file).orderBy(*keys))).where("before_break").select(*keys, "before_break")
+    rows = sentences.join(ahead, list(keys), "left").withColumn("lines", F.split("raw", "\n"))
+    node = lambda x: x.rlike(r"\A[0-9]+(-[0-9]+)?\t")
+    # The last surface token: the last range, if it holds the last word, else that word.
+    last = F.try_element_at(F.filter("lines", node), F.lit(-1))
+    number = lambda x: F.substring_index(F.substring_index(x, "\t", 1), "-", -1).try_cast("int")
+    ranges = F.filter("lines", lambda x: x.rlike(r"\A[0-9]+-[0-9]+\t") & (number(x) >= number(last)))
+    rows = rows.withColumn("token", F.coalesce(F.try_element_at(ranges, F.lit(-1)), last))
+    cells = F.split("token", "\t")
+    left = F.array_join(F.filter(F.split(F.get(cells, F.lit(9)), r"\|"), lambda x: x != "SpaceAfter=No"), "|")
+    changed = F.coalesce(F.col("before_break") & F.array_contains(F.split(F.get(cells, F.lit(9)), r"\|"), "SpaceAfter=No"), F.lit(False))
+    fixed = F.concat_ws("\t", F.slice(cells, 1, 9), F.when(left == "", "_").otherwise(left))
+    whole = F.array_join(F.transform("lines", lambda x: F.when(x == F.col("token"), fixed).otherwise(x)), "\n")
+    return rows.select(*keys, F.when(changed, whole).otherwise(F.col("raw")).alias("raw"), changed.alias("changed"))
+
+
 # Steps: one sentence's text in, its text out.
 
 
@@ -299,18 +324,6 @@ def copied(source: str, target: str, columns: tuple[str, ...]) -> str:
     return b.rendered()
 
 
-def lemmas_aligned(gold: str, system: str) -> str:
-    """The gold sentence with the system's lemmas, where tokens of both begin and end together and have as many lines."""
-    a, b = Tree(gold), Tree(system)
-    other = {(s, e): lines for s, e, lines in surface(b)}
-    for s, e, lines in surface(a):
-        match = other.get((s, e))
-        if match and len(match) == len(lines):
-            for x, y in zip(lines, match):
-                x.cells[2] = y.lemma or x.lemma
-    return a.rendered()
-
-
 def retokenized(source: str, target: str) -> str:
     """The target in the source's tokens. Where they differ, the source's lines stand with the first target word's tags and no tree."""
     a, b = Tree(source), Tree(target)
@@ -374,45 +387,3 @@ def together(source: DataFrame, target: DataFrame, keys: tuple[str, ...], step:
     """Targets rewritten by their sources; both are (keys, raw)."""
     both = target.select(*keys, "raw").join(source.select(*keys, F.col("raw").alias("_source")), list(keys))
     return per_sentence(both.select(*keys, "_source", "raw"), keys, lambda s, t: [(step(s, t),)], "raw string")
-
-
-def resegmented(sources: list[str], targets: list[str]) -> list[str]:
-    """A document's target sentences cut as the source's: tokens by characters, ids and texts made anew, names with a letter from the second on."""
-    ends, at = set(), 0
-    for raw in sources:
-        at += sum(e - s for s, e, _ in surface(Tree(raw)))
-        ends.add(at)
-    out: list[tuple[list[str], list]] = []
-    comments: list[str] = []
-    tokens: list = []
-    at = 0
-    for raw in targets:
-        tree = Tree(raw)
-        comments += tree.comments
-        for s, e, lines in surface(tree):
-            tokens.append(lines)
-            at += e - s
-            if at in ends:
-                out.append((comments, tokens))
-                comments, tokens = [], []
-    if tokens:
-        out.append((comments, tokens))
-    used: dict[str, int] = {}
-    done, last = [], "s"
-    for comments, tokens in out:
-        names = [m[1] for c in comments if (m := re.fullmatch(r"#\s*sent_id\s*=\s*(\S+)", c))]
-        last = names[0] if names else last
-        used[last] = used.get(last, 0) + 1
-        name = last if used[last] == 1 else last + chr(ord("A") + used[last] - 1)
-        rows, number, text = [], 0, ""
-        for lines in tokens:
-            for n in lines:
-                if n.kind == "range":
-                    rows.append("\t".join([f"{number + 1}-{number + 1 + n.last - n.id[0]}", *n.cells[1:]]))
-                else:
-                    number += 1
-                    rows.append("\t".join([str(number), *n.cells[1:]]))
-            text += lines[0].form + ("" if "SpaceAfter=No" in lines[0].misc.split("|") else " ")
-        other = [c for c in comments if not re.match(r"#\s*(sent_id|text)\s*=", c)]
-        done.append("\n".join([*other, f"# sent_id = {name}", f"# text = {text.rstrip()}", *rows]))
-    return done

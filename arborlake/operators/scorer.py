@@ -1,20 +1,21 @@
-"""Scores of a system's treebank against the gold one: spans, word alignment, fifteen metrics.
+"""Scores of a system's treebank against the gold one: spans, word alignment, fifteen metrics, as joins.
 
-Characters outside white space are the common ground. Documents (or whatever key both sides share) are
-scored apart and their counts added, so a treebank is not one task; each side's document is one row of text.
+Characters are the common ground: every word gets its place in its document's characters (operators.offsets), and
+the versions meet there. Words that belong together are aligned once; what the metrics ask of them (tags, parents,
+functional children, enhanced edges) are comparisons and joins of narrow rows. Documents are scored apart and
+their counts added; none is gathered. Only paths through empty nodes and the common sequences inside overlapping
+ranges are walked in Python.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable
-from dataclasses import dataclass, field
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.functions import without_spaces
-from arborlake.operators.sentence import Id, Node, Tree, per_sentence, universal
+from arborlake.functions import universal, without_spaces
+from arborlake.operators import offsets
+from arborlake.operators.sentence import Id, Tree, per_sentence
+from arborlake.sources.scratch import written
 
 # Relations that count as content or as function words, and universal features.
 CONTENT = {"nsubj", "obj", "iobj", "csubj", "ccomp", "xcomp", "obl", "vocative", "expl", "dislocated", "advcl", "advmod", "discourse", "nmod", "appos", "nummod", "acl", "amod", "conj", "fixed", "flat", "compound", "list", "parataxis", "orphan", "goeswith", "reparandum", "root", "dep"}
@@ -24,205 +25,141 @@ FEATURES = {
     "Tense", "Aspect", "Voice", "Evident", "Polarity", "Person", "Polite",
 }
 METRICS = ("Tokens", "Sentences", "Words", "UPOS", "XPOS", "UFeats", "AllTags", "Lemmas", "UAS", "LAS", "ELAS", "EULAS", "CLAS", "MLAS", "BLEX")
+#: The path of an edge that passes no empty node has one relation.
+JOINT = ">"
 
 
-@dataclass(eq=False)
-class Word:
-    node: Node
-    start: int
-    end: int
-    in_range: bool
-    feats: str
-    parent: Word | None = None
-    functional: list[Word] = field(default_factory=list)
-    edges: list[tuple[Word | None, tuple[str, ...]]] = field(default_factory=list)
-
-    @property
-    def rel(self) -> str:
-        return self.node.universal
-
-
-class Side:
-    """Tokens, sentences and words of one side, with their spans in the characters."""
-
-    def __init__(self, blocks: list[str], skip_edges: str = "") -> None:
-        self.tokens: list[tuple[int, int]] = []
-        self.sentences: list[tuple[int, int]] = []
-        self.words: list[Word] = []
-        self.text = ""
-        for raw in blocks:
-            self._add(Tree(raw), skip_edges)
-
-    def _add(self, tree: Tree, skip_edges: str) -> None:
-        begin, until, span = len(self.text), 0, (0, 0)
-        by_id: dict[Id, Word] = {}
-        for n in tree.nodes:
-            if n.kind == "empty":
-                continue
-            if n.kind == "range" or n.id[0] > until:
-                form = "".join(n.form.split())
-                span = (len(self.text), len(self.text) + len(form))
-                self.text += form
-                self.tokens.append(span)
-                until = n.last if n.kind == "range" else 0
-            if n.kind == "word":
-                feats = "|".join(sorted(x for x in n.feats.split("|") if x.partition("=")[0] in FEATURES))
-                by_id[n.id] = Word(n, *span, n.id[0] <= until, feats)
-        for w in by_id.values():
-            parent = w.node.parent
-            w.parent = by_id.get(parent.id) if parent is not None and parent.line else None
-            if w.parent is not None and w.rel in FUNCTIONAL:
-                w.parent.functional.append(w)
-            w.edges = [(by_id.get(h), path) for h, path in collapsed_paths(tree, w.node, skip_edges)]
-        self.words += by_id.values()
-        self.sentences.append((begin, len(self.text)))
-
-
-def collapsed_paths(tree: Tree, node: Node, skip: str) -> list[tuple[Id, tuple[str, ...]]]:
-    """Enhanced parents, each with the relations on the path from it through empty nodes.
-
-    `skip` lists kinds that are undone first: 1 paths through empty nodes, 2 and 3 second parents in
-    coordinations, 4 second subjects, 5 referents, 6 case markers in relations.
-    """
+def words(laid: DataFrame, doc: tuple[str, ...], order: str) -> DataFrame:
+    """A row for each word: doc, place (sent, id), parent (its place; null: the root), start, end, ranged, lower, tags, and how many functional children it has."""
+    features = F.array_join(F.array_sort(F.filter(F.split("feats", r"\|"), lambda x: F.substring_index(x, "=", 1).isin(*FEATURES))), "|")
+    head = F.col("head").try_cast("int")
+    rows = laid.where("kind = 'word'").select(
+        *doc, F.struct(F.col(order).alias("sent"), F.col("major").alias("id")).alias("place"), F.when(head > 0, F.struct(F.col(order).alias("sent"), head.alias("id"))).alias("parent"),
+        "start", "end", "ranged", F.lower("form").alias("lower"), "lemma", "upos", "xpos", features.alias("feats"), universal(F.col("deprel")).alias("rel"),
+    )
+    helpers = rows.where(F.col("rel").isin(*FUNCTIONAL) & F.col("parent").isNotNull()).groupBy(*doc, F.col("parent").alias("place")).agg(F.count("*").alias("helpers"))
+    return rows.join(helpers, [*doc, "place"], "left").withColumn("helpers", F.coalesce("helpers", F.lit(0)))
+
+
+def paths(raw: str, undone: bool = False) -> list[tuple[int, int, str]]:
+    """(word, head, relations on the path from the head through empty nodes) of every enhanced edge; `undone`: words reached through empty nodes hang as in the tree instead."""
+    tree = Tree(raw)
     empties = {n.id: n for n in tree.nodes if n.kind == "empty"}
-    out, stack = [], [(h, (d,), frozenset()) for h, d in node.edges]
-    while stack:
-        h, path, seen = stack.pop()
-        if h in empties:
-            if h not in seen:
+    out = []
+    for n in tree.words[1:]:
+        found: set[tuple[Id, tuple[str, ...]]] = set()
+        stack = [(h, (d,), frozenset()) for h, d in n.edges]
+        while stack:
+            h, path, seen = stack.pop()
+            if h not in empties:
+                found.add((h, path))
+            elif h not in seen:
                 stack += [(h2, (d2, *path), seen | {h}) for h2, d2 in empties[h].edges]
-        else:
-            out.append((h, path))
-    basic = (((int(node.head), 0) if node.head.isdigit() else (0, 0)), (node.deprel,))
-    if "1" in skip and any(len(p) > 1 for _, p in out):
-        out = [x for x in out if len(x[1]) == 1] or [basic]
-    conj = [x for x in out if universal(x[1][-1]) == "conj"]
-    if set("23") & set(skip) and len(out) > 1 and conj:
-        out = conj[:1]
-    if "4" in skip and len(out) > 1 and all(universal(p[-1]) in ("nsubj", "csubj") for _, p in out):
-        out = [x for x in out if x[0] == basic[0]] or out[:1]
-    if "5" in skip and any(universal(p[-1]) == "ref" for _, p in out):
-        out = [basic]
-    if "6" in skip:
-        out = [(h, tuple(node.deprel if universal(d) == node.universal and h == basic[0] else universal(d) for d in p)) for h, p in out]
-    return sorted(set(out))
-
-
-def aligned(gold: list[Word], system: list[Word]) -> list[tuple[Word, Word]]:
-    """Words of equal spans; within ranges the longest common sequence of lower-cased forms."""
-    pairs: list[tuple[Word, Word]] = []
-    g = s = 0
-    while g < len(gold) and s < len(system):
-        a, b = gold[g], system[s]
-        if not a.in_range and not b.in_range:
-            if (a.start, a.end) == (b.start, b.end):
-                pairs.append((a, b))
-                g, s = g + 1, s + 1
-            elif a.start <= b.start:
-                g += 1
-            else:
-                s += 1
-            continue
-        # The smallest stretch that holds the range and every range that overlaps its end.
-        end = a.end if a.in_range else b.end
-        if a.in_range and not b.in_range and b.start < a.start:
-            s += 1
-        elif not a.in_range and a.start < b.start:
-            g += 1
-        g0, s0 = g, s
-        inside = lambda words, i: i < len(words) and (words[i].start < end if words[i].in_range else words[i].end <= end)  # noqa: B023, E731
-        while inside(gold, g) or inside(system, s):
-            if g < len(gold) and (s >= len(system) or gold[g].start <= system[s].start):
-                w, g = gold[g], g + 1
-            else:
-                w, s = system[s], s + 1
-            end = max(end, w.end) if w.in_range else end
-        pairs += common(gold[g0:g], system[s0:s])
-    return pairs
-
-
-def common(a: list[Word], b: list[Word]) -> list[tuple[Word, Word]]:
-    """A longest common sequence; equal words pair at once, and of equal choices the gold side steps first."""
-    same = lambda i, j: a[i].node.form.lower() == b[j].node.form.lower()
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], 1 + best[i + 1][j + 1] if same(i, j) else 0)
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if same(i, j):
-            out.append((a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
-        else:
-            j += 1
+        if undone and any(len(p) > 1 for _, p in found):
+            found = {x for x in found if len(x[1]) == 1} or {((int(n.head), 0) if n.head.isdigit() else (0, 0), (n.deprel,))}
+        out += [(n.id[0], h[0], JOINT.join(p)) for h, p in sorted(found)]
     return out
 
 
-def counts(gold_blocks: list[str], system_blocks: list[str], skip_edges: str = "") -> dict[str, tuple[int, int, int, int]] | None:
-    """For each metric how many in gold and system, correct, and aligned; None where the characters differ."""
-    gold, system = Side(gold_blocks, skip_edges), Side(system_blocks, skip_edges)
-    if gold.text != system.text:
-        return None
-    pairs = aligned(gold.words, system.words)
-    to_gold = {id(s): g for g, s in pairs}
-    unknown = object()
-    of = lambda w: None if w is None else to_gold.get(id(w), unknown)
-    out: dict[str, tuple[int, int, int, int]] = {}
-    for name, a, b in (("Tokens", gold.tokens, system.tokens), ("Sentences", gold.sentences, system.sentences)):
-        out[name] = (len(a), len(b), sum((Counter(a) & Counter(b)).values()), 0)
-    out["Words"] = (len(gold.words), len(system.words), len(pairs), len(pairs))
-
-    def compared(name: str, equal: Callable[[Word, Word], bool], content: bool = False) -> None:
-        size = lambda words: sum(w.rel in CONTENT for w in words) if content else len(words)
-        chosen = [(g, s) for g, s in pairs if not content or g.rel in CONTENT]
-        out[name] = (size(gold.words), size(system.words), sum(equal(g, s) for g, s in chosen), len(chosen))
-
-    attached = lambda g, s: g.parent is of(s.parent)
-    labelled = lambda g, s: attached(g, s) and g.rel == s.rel
-    lemma = lambda g, s: g.node.lemma in ("_", s.node.lemma)
-    upos, xpos, feats = (lambda g, s: g.node.upos == s.node.upos), (lambda g, s: g.node.xpos == s.node.xpos), (lambda g, s: g.feats == s.feats)
-    tagged = lambda w: (w.rel, w.node.upos, w.feats)
-    helpers = lambda g, s: len(g.functional) == len(s.functional) and all(x is of(y) and tagged(x) == tagged(y) for x, y in zip(g.functional, s.functional))
-    compared("UPOS", upos)
-    compared("XPOS", xpos)
-    compared("UFeats", feats)
-    compared("AllTags", lambda g, s: upos(g, s) and xpos(g, s) and feats(g, s))
-    compared("Lemmas", lemma)
-    compared("UAS", attached)
-    compared("LAS", labelled)
-    compared("CLAS", labelled, True)
-    compared("MLAS", lambda g, s: labelled(g, s) and upos(g, s) and feats(g, s) and helpers(g, s), True)
-    compared("BLEX", lambda g, s: labelled(g, s) and lemma(g, s), True)
-    for name, cut in (("ELAS", lambda p: p), ("EULAS", lambda p: tuple(map(universal, p)))):
-        right = sum(p is of(q) and cut(d) == cut(e) for g, s in pairs for p, d in g.edges for q, e in s.edges)
-        out[name] = (sum(len(w.edges) for w in gold.words), sum(len(w.edges) for w in system.words), right, 0)
-    return out
+def edges(sentences: DataFrame, doc: tuple[str, ...], order: str, undone: bool) -> DataFrame:
+    """doc, place, parent, path of every enhanced edge."""
+    rows = per_sentence(sentences.select(*doc, order, "raw"), (*doc, order), lambda raw: paths(raw, undone), "id int, head int, path string")
+    return rows.select(*doc, F.struct(F.col(order).alias("sent"), "id").alias("place"), F.when(F.col("head") > 0, F.struct(F.col(order).alias("sent"), F.col("head").alias("id"))).alias("parent"), "path")
 
 
-def scores(gold: DataFrame, system: DataFrame, keys: tuple[str, ...], order: str = "sent_no", by: tuple[str, ...] = (), skip_edges: str = "") -> DataFrame:
-    """metric, n_gold, n_system, n_correct, n_aligned, precision, recall, f1, aligned_accuracy; documents are `keys`.
+def _spans(laid: DataFrame, doc: tuple[str, ...], order: str) -> DataFrame:
+    """metric, doc, start, end of tokens and sentences."""
+    tokens = laid.where("not ranged").select(*doc, F.lit("Tokens").alias("metric"), "start", "end")
+    return tokens.unionByName(offsets.sentence_spans(laid, doc, order).select(*doc, F.lit("Sentences").alias("metric"), "start", "end"))
 
-    A document whose characters differ between the sides has metric `Mismatch`.
-    """
-    gathered = lambda df, name: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "raw"))), lambda x: x["raw"]).alias(name))
-    both = gathered(gold, "g").join(gathered(system, "s"), list(keys), "full")
 
-    def step(g: list[str] | None, s: list[str] | None):
-        found = counts(g or [], s or [], skip_edges)
-        return [("Mismatch", 1, 1, 0, 0)] if found is None else [(m, *found[m]) for m in METRICS]
+def scores(gold: DataFrame, system: DataFrame, keys: tuple[str, ...], order: str = "sent_no", by: tuple[str, ...] = (), undone: bool = False) -> DataFrame:
+    """metric, n_gold, n_system, n_correct, n_aligned, precision, recall, f1, aligned_accuracy; documents are `keys`, `by` some of them.
 
-    rows = per_sentence(both.select(*keys, "g", "s"), keys, step, "metric string, n_gold long, n_system long, n_correct long, n_aligned long")
-    sums = rows.groupBy(*by, "metric").agg(*(F.sum(c).alias(c) for c in ("n_gold", "n_system", "n_correct", "n_aligned")))
+    A document whose characters differ between the sides has metric `Mismatch` and counts in no other.
+    `undone`: see paths().
+    """
+    columns = [*keys, order, "kind", "major", "start", "end", "ranged", "text", "form", "lemma", "upos", "xpos", "feats", "head", "deprel"]
+    laid = [written(offsets.laid_out(x, keys, order).select(*columns), "places") for x in (gold, system)]
+    bad = written(offsets.different(*laid, keys), "mismatch")
+    sides = [written(words(x.join(bad, list(keys), "left_anti"), keys, order), "words") for x in laid]
+    pairs = written(offsets.aligned(*sides, keys), "pairs")
+
+    counts = []
+    value = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    zero = F.lit(0).cast("long")
+    # Tokens and sentences: equal places, as often as both sides have them.
+    spans = [_spans(x.join(bad, list(keys), "left_anti"), keys, order).groupBy(*keys, "metric", "start", "end").agg(F.count("*").alias(n)) for x, n in zip(laid, ("g", "s"))]
+    both = spans[0].join(spans[1], [*keys, "metric", "start", "end"], "full").groupBy(*by, "metric").agg(F.sum("g").alias("n_gold"), F.sum("s").alias("n_system"), F.sum(F.least("g", "s") * F.col("g").isNotNull().cast("int") * F.col("s").isNotNull().cast("int")).alias("n_correct"))
+    counts.append(both.select(*by, "metric", value("n_gold").alias("n_gold"), value("n_system").alias("n_system"), value("n_correct").alias("n_correct"), zero.alias("n_aligned")))
+
+    # Aligned words with the attributes of both, and the gold word that the system's parent is aligned with.
+    named = lambda df, p: df.select(*keys, *(F.col(c).alias(f"{p}{c}") for c in df.columns if c not in keys))
+    g, s = named(sides[0], "g_"), named(sides[1], "s_")
+    joined = pairs.join(g, [pairs[k] == g[k] for k in keys] + [pairs["g"] == g["g_place"]]).select(*(pairs[k] for k in keys), "s", *(c for c in g.columns if c not in keys))
+    joined = joined.join(s, [joined[k] == s[k] for k in keys] + [joined["s"] == s["s_place"]]).select(*(joined[k] for k in keys), *(c for c in joined.columns if c not in (*keys, "s")), *(c for c in s.columns if c not in keys))
+    heads = pairs.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("s").alias("_s"), F.col("g").alias("mapped"))
+    joined = joined.join(heads, [joined[k] == heads[f"_{k}"] for k in keys] + [joined["s_parent"] == heads["_s"]], "left").drop(*(f"_{k}" for k in keys), "_s")
+    rooted = F.col("g_parent").isNull() & F.col("s_parent").isNull()
+    joined = joined.withColumn("attached", rooted | F.coalesce(F.col("g_parent") == F.col("mapped"), F.lit(False)))
+    same = lambda *names: F.expr(" and ".join(f"g_{c} = s_{c}" for c in names))
+    good = joined.where(F.col("attached") & F.col("g_parent").isNotNull() & F.col("g_rel").isin(*FUNCTIONAL) & same("rel", "upos", "feats")).groupBy(*keys, F.col("g_parent").alias("g_place")).agg(F.count("*").alias("right"))
+    joined = written(joined.join(good, [*keys, "g_place"], "left"), "aligned")
+
+    labelled = F.col("attached") & same("rel")
+    lemma = (F.col("g_lemma") == "_") | same("lemma")
+    helped = (F.col("g_helpers") == F.col("s_helpers")) & (F.col("g_helpers") == F.coalesce("right", F.lit(0)))
+    content = F.col("g_rel").isin(*CONTENT)
+    tests: dict[str, tuple[Column, bool]] = {
+        "Words": (F.lit(True), False), "UPOS": (same("upos"), False), "XPOS": (same("xpos"), False), "UFeats": (same("feats"), False), "AllTags": (same("upos", "xpos", "feats"), False), "Lemmas": (lemma, False),
+        "UAS": (F.col("attached"), False), "LAS": (labelled, False), "CLAS": (labelled, True), "MLAS": (labelled & same("upos", "feats") & helped, True), "BLEX": (labelled & lemma, True),
+    }
+    right = joined.groupBy(*by).agg(*(F.count_if(test & content if c else test).alias(f"{m}_correct") for m, (test, c) in tests.items()), F.count("*").alias("all"), F.count_if(content).alias("content"))
+    sizes = [x.groupBy(*by).agg(F.count("*").alias(f"all_{n}"), F.count_if(F.col("rel").isin(*CONTENT)).alias(f"content_{n}")) for x, n in zip(sides, ("gold", "system"))]
+    wide = sizes[0]
+    for other in (sizes[1], right):
+        wide = wide.join(other, list(by), "full") if by else wide.crossJoin(other)  # a row each
+    of = lambda m, c: F.struct(F.lit(m).alias("metric"), value(f"{c}_gold").alias("n_gold"), value(f"{c}_system").alias("n_system"), value(f"{m}_correct").alias("n_correct"), value(c).alias("n_aligned"))
+    counts.append(wide.select(*by, F.explode(F.array(*(of(m, "content" if c else "all") for m, (_, c) in tests.items()))).alias("x")).select(*by, "x.*"))
+
+    # Enhanced edges: the system's, carried over to the gold words that its words are aligned with.
+    left, other = (edges(x.join(bad, list(keys), "left_anti"), keys, order, undone) for x in (gold, system))
+    to = lambda df, c, out: df.join(heads, [df[k] == heads[f"_{k}"] for k in keys] + [df[c] == heads["_s"]], "left").withColumnRenamed("mapped", out).drop(*(f"_{k}" for k in keys), "_s")
+    moved = to(to(other, "place", "g_place"), "parent", "g_parent").where("g_place is not null and (parent is null or g_parent is not null)")
+    root = F.struct(F.col("place.sent"), F.lit(0).alias("id"))
+    plain = lambda path: F.array_join(F.transform(F.split(path, JOINT), universal), JOINT)
+    for metric, cut in (("ELAS", F.col("path")), ("EULAS", plain(F.col("path")))):
+        mine = left.select(*keys, F.col("place").alias("p"), F.coalesce("parent", root).alias("q"), cut.alias("d"))
+        theirs = moved.select(*keys, F.col("g_place").alias("p"), F.coalesce(F.col("g_parent"), F.struct(F.col("g_place.sent"), F.lit(0).alias("id"))).alias("q"), cut.alias("d"))
+        n = lambda df, c: df.groupBy(*by).agg(F.count("*").alias(c))
+        three = [n(left, "n_gold"), n(other, "n_system"), n(mine.join(theirs, [*keys, "p", "q", "d"]), "n_correct")]
+        row = three[0]
+        for x in three[1:]:
+            row = row.join(x, list(by), "full") if by else row.crossJoin(x)  # a row each
+        counts.append(row.select(*by, F.lit(metric).alias("metric"), value("n_gold").alias("n_gold"), value("n_system").alias("n_system"), value("n_correct").alias("n_correct"), zero.alias("n_aligned")))
+    wrong = bad.groupBy(*by, F.lit("Mismatch").alias("metric")).agg(F.count("*").alias("n_gold"))
+    sums = wrong.select(*by, "metric", "n_gold", F.col("n_gold").alias("n_system"), zero.alias("n_correct"), zero.alias("n_aligned")).where("n_gold > 0")
+    for c in counts:
+        sums = sums.unionByName(c)
     share = lambda a, b: F.coalesce(F.round(a / F.nullif(b, F.lit(0)), 6), F.lit(0.0))
     return sums.select("*", share(F.col("n_correct"), F.col("n_system")).alias("precision"), share(F.col("n_correct"), F.col("n_gold")).alias("recall"), share(2 * F.col("n_correct"), F.col("n_gold") + F.col("n_system")).alias("f1"), share(F.col("n_correct"), F.col("n_aligned")).alias("aligned_accuracy"))
 
 
-def table(rows: DataFrame) -> DataFrame:
-    """The scores as lines of a report, in percent."""
-    cell = lambda c: F.lpad(F.format_number(100 * F.col(c), 2), 9, " ")
-    return rows.select(F.concat_ws(" |", F.rpad("metric", 10, " "), cell("precision"), cell("recall"), cell("f1"), cell("aligned_accuracy")).alias("line"))
+def table(rows: DataFrame, verbose: bool = True, counts: bool = False, enhanced: bool = False) -> DataFrame:
+    """place, line: the scores as a report. In percent or as counts; not verbose: one line with the LAS, MLAS and BLEX alone. Enhanced metrics if asked for."""
+    chosen = rows.where(F.col("metric").isin(*(m for m in METRICS if enhanced or m not in ("ELAS", "EULAS"))))
+    place = F.array_position(F.array(*map(F.lit, METRICS)), F.col("metric"))
+    if not verbose:
+        brief = ("LAS", "MLAS", "BLEX", *(("ELAS",) if enhanced else ()))
+        return chosen.where(F.col("metric").isin(*brief)).select(place.alias("place"), F.format_string("%s F1 Score: %.2f", "metric", 100 * F.col("f1")).alias("line"))
+    if counts:
+        cells = [F.lpad(F.col(c).cast("string"), 10, " ") for c in ("n_correct", "n_gold", "n_system", "n_aligned")]
+        names = ("Correct", "Gold", "Predicted", "Aligned")
+    else:
+        cells = [F.lpad(F.format_number(100 * F.col(c), 2), 10, " ") for c in ("precision", "recall", "f1", "aligned_accuracy")]
+        names = ("Precision", "Recall", "F1 Score", "AligndAcc")
+    head = rows.sparkSession.createDataFrame([(0, " |".join([f"{'Metric':<11}", *(f"{n:>10}" for n in names)])), (1, "+".join(["-" * 11, *["-" * 11] * 4]))], "place long, line string")
+    return head.unionByName(chosen.select((place + 1).alias("place"), F.concat_ws(" |", F.rpad("metric", 11, " "), *cells).alias("line")))
 
 
 def same_characters(gold: DataFrame, system: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -126,3 +126,30 @@ def release_changes(before: DataFrame, after: DataFrame, share: float = 0.1) ->
     both = before.select("name", F.col("n_words").alias("n_before")).join(after.select("name", F.col("n_words").alias("n_after")), "name", "full")
     change = F.when(F.col("n_before").isNull(), "new").when(F.col("n_after").isNull(), "gone").when(F.abs(F.col("n_after") - F.col("n_before")) > share * F.col("n_before"), "changed")
     return both.withColumn("change", change).where("change is not null")
+
+
+def side_by_side(words: DataFrame, by: str, values: tuple[str, ...]) -> DataFrame:
+    """section, name, and for each of `values` the share of its words in percent: tags, relations and feature sets, counted in one pass."""
+    facts = words.select(by, F.explode(F.array(*(F.struct(F.lit(s).alias("section"), c.alias("name")) for s, c in (("tag", F.col("upos")), ("relation", F.col("deprel")), ("features", F.col("feats")), ("all", F.lit(None).cast("string")))))).alias("x")).select(by, "x.*")
+    counts = facts.groupBy(by, "section", "name").agg(F.count("*").alias("n"))
+    # The totals come with the counts; a row for each value.
+    wide = counts.groupBy("section", "name").pivot(by, list(values)).agg(F.sum("n"))
+    totals = wide.where("section = 'all'").select(*(F.col(v).alias(f"_{v}") for v in values))
+    share = lambda v: F.coalesce(F.floor(100 * F.col(v) / F.col(f"_{v}") + 0.5), F.lit(0)).alias(v)
+    return wide.where("section <> 'all'").crossJoin(F.broadcast(totals)).select("section", "name", *map(share, values))  # one row
+
+
+def companions(words: DataFrame, often: float = 0.1, share: float = 0.5) -> DataFrame:
+    """upos, feature, other, n, percent: values that more than `share` of a tag's words with a value have too, among features that more than `often` of the tag's words have."""
+    parts = F.when(F.col("feats") == "_", F.array().cast("array<string>")).otherwise(F.split("feats", r"\|"))
+    rows = words.select("upos", parts.alias("f"))
+    name = lambda c: F.substring_index(c, "=", 1)
+    # Per tag: words (no feature), words with a feature, words with a value, by one pass with grouping sets.
+    marks = rows.select("upos", F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("feature"), F.lit(None).cast("string").alias("value"))), F.transform("f", lambda x: F.struct(name(x).alias("feature"), x.alias("value"))))).alias("x")).select("upos", "x.*")
+    sets = marks.groupingSets([[F.col("upos"), F.col("feature")], [F.col("upos"), F.col("value")]], F.col("upos"), F.col("feature"), F.col("value")).agg(F.count("*").alias("n"), F.grouping_id().alias("set"))
+    total = sets.where("set = 1 and feature is null").select("upos", F.col("n").alias("total"))
+    used = sets.where("set = 1 and feature is not null").join(total, "upos").where(F.col("n") > often * F.col("total")).select("upos", "feature")
+    values = sets.where("set = 2 and value is not null").select("upos", F.col("value").alias("feature"), F.col("n").alias("of"))
+    pairs = rows.select("upos", F.explode("f").alias("feature"), "f").select("upos", "feature", F.explode("f").alias("other")).where("feature <> other").groupBy("upos", "feature", "other").agg(F.count("*").alias("n"))
+    keep = lambda df, c: df.withColumn("_used", name(F.col(c))).join(used.withColumnRenamed("feature", "_used"), ["upos", "_used"], "left_semi").drop("_used")
+    return keep(keep(pairs, "feature"), "other").join(values, ["upos", "feature"]).where(F.col("n") > share * F.col("of")).select("upos", "feature", "other", "n", F.floor(100 * F.col("n") / F.col("of") + 0.5).alias("percent"))

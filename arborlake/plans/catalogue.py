@@ -8,8 +8,8 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.functions import universal, without_spaces
-from arborlake.operators import checks, coreference, graphs, lookups, render, rewrites, scorer, statistics, surveys, validator, verses
+from arborlake.functions import composed, universal, without_spaces
+from arborlake.operators import checks, coreference, graphs, lookups, offsets, release, render, rewrites, scorer, statistics, surveys, validator, verses
 from arborlake.operators.sentence import per_sentence
 from arborlake.sources import files, registry
 from arborlake.sources.conllu import exploded, nodes_table, rendered
@@ -558,3 +558,72 @@ _add(
     "registry_explained", lambda spark, sf_dir: registry.explained(_registry(spark)).join(words(spark, sf_dir).select("lang").distinct(), "lang").where("what in ('auxiliaries', 'copulas', 'words with spaces')"),
     f"""WITH {WORDS_SQL}, l AS (SELECT DISTINCT lang FROM words WHERE lang <> 'fr'), t(what, text) AS (VALUES ('auxiliaries', 'Permitted auxiliaries: be, have'), ('copulas', 'Permitted copulas: be'), ('words with spaces', 'Permitted words with spaces: \\A(?:[0-9]+( [0-9]{{3}})+|a lot)\\z')) SELECT lang, what, text FROM l, t""",
 )
+
+# Versions of a text that meet by the places of their characters.
+
+
+def _lines(spark: SparkSession, sf_dir: str, lemma: str = "w.lemma", split: int = 0) -> DataFrame:
+    """The treebank's words without ranges and empty nodes; with `split`, in two sentences each, cut behind that word."""
+    cells = ", ".join("w.id" if c == "id" else lemma if c == "lemma" else f"w.{c}" for c in _NODE)
+    rows = nested(spark, sf_dir).withColumn("lines", F.expr(f"transform(words, w -> concat_ws('\t', {cells}))"))
+    if split:
+        parts = F.array(F.struct(F.lit(0).alias("part"), F.slice("lines", 1, split).alias("lines")), F.struct(F.lit(1).alias("part"), F.slice("lines", split + 1, 1 << 30).alias("lines")))
+        rows = rows.select("doc_id", "lang", F.col("sent_no"), F.explode(parts).alias("p")).where("size(p.lines) > 0").select("doc_id", "lang", (2 * F.col("sent_no") + F.col("p.part")).alias("sent_no"), "p.lines")
+    return rows.select("doc_id", "lang", "sent_no", F.array_join("lines", "\n").alias("raw"))
+
+
+_add(
+    "resegmented", lambda spark, sf_dir: offsets.resegmented(_lines(spark, sf_dir, split=5), blocks(spark, sf_dir), ("doc_id",), "sent_no").select("doc_id", F.col("number").cast("long").alias("number"), F.regexp_extract("raw", r"\A# sent_id = (\S+)", 1).alias("name"), F.regexp_count("raw", F.lit("(?m)^[0-9]+\t")).cast("long").alias("n_words")),
+    f"""WITH {WORDS_SQL}, c AS (SELECT *, id = n_words OR (id = 5 AND (doc_id + 5) % 29 <> 0) AS cut FROM words), n AS (SELECT *, 1 + coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY sent_no, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS number FROM c),
+g AS (SELECT doc_id, number, sent_no, count(*) AS n_words FROM n GROUP BY ALL)
+SELECT doc_id, CAST(number AS BIGINT) AS number, doc_id || '-' || sent_no || CASE WHEN row_number() OVER (PARTITION BY doc_id, sent_no ORDER BY number) = 2 THEN 'B' ELSE '' END AS name, n_words FROM g""",
+)
+_add(
+    "lemmas_aligned", lambda spark, sf_dir: offsets.lemmas(blocks(spark, sf_dir), _lines(spark, sf_dir, "concat('L-', w.lemma)"), ("doc_id",), "sent_no").where("id not like '%-%'").select("doc_id", "sent_no", "id", "lemma"),
+    f"""WITH {WORDS_SQL}, r AS (SELECT *, starts_range OR coalesce(lag(starts_range) OVER (PARTITION BY doc_id, sent_no ORDER BY id), false) AS inside FROM words) SELECT doc_id, sent_no, CAST(id AS VARCHAR) AS id, CASE WHEN inside THEN lemma ELSE 'L-' || lemma END AS lemma FROM r""",
+)
+
+# Histories, composed characters, paragraphs, side by side.
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source is a treebank that takes the next source's name after a release; the last of a chain takes the first one's again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("source").rlike("^src[0-9]+$"))
+    releases = docs.select(F.concat(F.lit("2."), F.col("doc_id") % 12).alias("release"), F.col("source").alias("name")).distinct()
+    number = F.regexp_extract("name", "[0-9]+", 0).cast("int")
+    renamed = releases.select("name").distinct().where(number < 4).select(F.col("name").alias("old"), F.concat(F.lit("src"), (number + 1) % 4).alias("new"), F.concat(F.lit("2."), 2 * number + 3).alias("after"))
+    return release.history(releases, renamed)
+
+
+_add(
+    "release_history", _history,
+    """WITH RECURSIVE r AS (SELECT DISTINCT CAST(doc_id % 12 AS INTEGER) AS minor, source AS name FROM documents WHERE regexp_matches(source, '^src[0-9]+$')),
+n AS (SELECT DISTINCT name AS old, 'src' || ((CAST(substr(name, 4) AS INTEGER) + 1) % 4) AS new, 2 * CAST(substr(name, 4) AS INTEGER) + 3 AS after FROM r WHERE CAST(substr(name, 4) AS INTEGER) < 4),
+c AS (SELECT minor, name, minor AS place, name AS called FROM r UNION ALL SELECT c.minor, c.name, n.after + 1, n.new FROM c JOIN n ON n.old = c.called AND n.after >= c.place),
+l AS (SELECT minor, name, max_by(called, place) AS newest FROM c GROUP BY ALL)
+SELECT newest AS name, '2.' || min(minor) AS first, '2.' || max(minor) AS last, count(DISTINCT minor) AS n FROM l GROUP BY newest""",
+)
+_add(
+    "composed_lines", _sentences(lambda s: s.select("doc_id", "sent_no", composed(F.replace(F.col("line"), F.lit("e"), F.when(F.col("sent_no") % 2 == 0, "e\u0301").otherwise("e"))).alias("line"))),
+    f"WITH {SENTENCES_SQL} SELECT doc_id, sent_no, nfc_normalize(CASE WHEN sent_no % 2 = 0 THEN replace(line, 'e', 'e' || chr(769)) ELSE line END) AS line FROM sentences",
+)
+_add(
+    "spaced_paragraphs", lambda spark, sf_dir: nodes_table(rewrites.spaced_before_paragraphs(blocks(spark, sf_dir), KEYS, "doc_id").where("changed"), "doc_id", "sent_no").where("kind = 'word'").select("doc_id", "sent_no", "id", "misc"),
+    f"""WITH {WORDS_SQL}, s AS (SELECT doc_id, lang, sent_no, bool_or(list_contains(string_split(misc, '|'), 'SpaceAfter=No') AND id = n_words AND NOT coalesce(prev, false)) AS glued FROM (SELECT *, lag(starts_range) OVER (PARTITION BY doc_id, sent_no ORDER BY id) AS prev FROM words) GROUP BY ALL),
+n AS (SELECT *, lead(sent_no) OVER (PARTITION BY doc_id ORDER BY lang, sent_no) AS next FROM s)
+SELECT w.doc_id, w.sent_no, CAST(id AS VARCHAR) AS id, CASE WHEN id = n_words THEN coalesce(nullif(array_to_string(list_filter(string_split(misc, '|'), lambda x: x <> 'SpaceAfter=No'), '|'), ''), '_') ELSE misc END AS misc FROM words w JOIN n USING (doc_id, sent_no) WHERE glued AND next % 5 = 1""",
+)
+_SIDES = ("de", "en", "es", "fr")
+_add(
+    "side_by_side", _words(lambda w: surveys.side_by_side(w, "lang", _SIDES)),
+    f"""WITH {WORDS_SQL}, f AS (SELECT lang, 'tag' AS section, upos AS name FROM words UNION ALL SELECT lang, 'relation', deprel FROM words UNION ALL SELECT lang, 'features', feats FROM words),
+c AS (SELECT section, name, lang, count(*) AS n FROM f GROUP BY ALL), t AS (SELECT lang, count(*) AS total FROM words GROUP BY lang)
+SELECT section, name, {", ".join(f"coalesce(sum(CAST(floor(100 * n / total + 0.5) AS BIGINT)) FILTER (lang = '{x}'), 0)::BIGINT AS {x}" for x in _SIDES)} FROM c JOIN t USING (lang) GROUP BY section, name""",
+)
+_add(
+    "feature_companions", _words(surveys.companions),
+    f"""WITH {WORDS_SQL}, x AS (SELECT doc_id, sent_no, id, upos, f, split_part(f, '=', 1) AS feature FROM (SELECT doc_id, sent_no, id, upos, unnest(string_split(feats, '|')) AS f FROM words WHERE feats <> '_')), t AS (SELECT upos, count(*) AS total FROM words GROUP BY upos),
+v AS (SELECT upos, f, count(*) AS n FROM x GROUP BY ALL), u AS (SELECT upos, feature FROM x JOIN t USING (upos) GROUP BY upos, feature HAVING count(*) > 0.1 * any_value(total)),
+p AS (SELECT a.upos, a.f AS feature, b.f AS other, count(*) AS n FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.sent_no = b.sent_no AND a.id = b.id AND a.upos = b.upos AND a.f <> b.f WHERE (a.upos, a.feature) IN (SELECT (upos, feature) FROM u) AND (b.upos, b.feature) IN (SELECT (upos, feature) FROM u) GROUP BY ALL)
+SELECT p.upos, p.feature, p.other, p.n, CAST(floor(100 * p.n / v.n + 0.5) AS BIGINT) AS percent FROM p JOIN v ON v.upos = p.upos AND v.f = p.feature WHERE p.n > 0.5 * v.n""",
+)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborlake.functions import pairs, shorten, version
-from arborlake.operators import checks, coreference, graphs, release, render, rewrites, scorer, verses
+from arborlake.operators import checks, coreference, graphs, offsets, release, render, rewrites, scorer, verses
 from arborlake.operators.sentence import Tree
 from arborlake.sources import conllu
 from arborlake.sources.cases import BASE, CASES, WARNINGS
@@ -132,26 +132,98 @@ def test_edge_types_and_collapsing():
 
 def test_common_sequence_is_longest():
     rng = random.Random(7)
-    word = lambda x: scorer.Word(Tree(f"1\t{x}\t_\tX\t_\t_\t0\troot\t_\t_").nodes[0], 0, 0, True, "")
-    for _ in range(100):
-        a, b = ([rng.choice("abc") for _ in range(rng.randrange(0, 6))] for _ in range(2))
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(0, 7))] for _ in range(2))
+        found = offsets.longest(a, b)
         best = max(k for k in range(len(a) + 1) for x in itertools.combinations(a, k) if x in set(itertools.combinations(b, k)))
-        # Equal words pair at once, which need not be longest, but never is longer.
-        assert len(scorer.common([word(x) for x in a], [word(x) for x in b])) <= best
+        assert len(found) == best and all(a[i] == b[j] for i, j in found) and found == sorted(found) and len({i for i, _ in found}) == len({j for _, j in found}) == best
 
 
 def test_scores_by_hand(spark):
     gold = "1-2\tdel\t_\t_\t_\t_\t_\t_\t_\t_\n1\tde\tde\tADP\t_\t_\t3\tcase\t3:case\t_\n2\tel\tel\tDET\t_\t_\t3\tdet\t3:det\t_\n3\trio\trio\tNOUN\t_\tNumber=Sing\t0\troot\t0:root\t_"
     other = "1\tdel\tdel\tADP\t_\t_\t2\tcase\t2:case\t_\n2\trio\trio\tNOUN\t_\tNumber=Sing\t0\troot\t0:root\t_"
-    same = scorer.counts([gold], [gold])
-    assert all(same[m][0] == same[m][1] == same[m][2] for m in scorer.METRICS)
-    found = scorer.counts([gold], [other])
+    df = lambda *raws: spark.createDataFrame([(d, 1, raw) for d, raw in enumerate(raws)], "doc_id int, sent_no int, raw string")
+    scored = lambda a, b, **o: {r.metric: r for r in scorer.scores(a, b, ("doc_id",), **o).collect()}
+    same = scored(df(gold), df(gold))
+    assert set(same) == set(scorer.METRICS) and all(same[m].n_gold == same[m].n_system == same[m].n_correct > 0 for m in scorer.METRICS)
+    rows = scored(df(gold), df(other))
+    found = {m: (r.n_gold, r.n_system, r.n_correct, r.n_aligned) for m, r in rows.items()}
     assert found["Tokens"] == (2, 2, 2, 0) and found["Words"] == (3, 2, 1, 1) and found["LAS"] == (3, 2, 1, 1) and found["MLAS"] == (1, 1, 0, 1) and found["ELAS"][:3] == (3, 2, 1)
-    assert scorer.counts([gold], [other.replace("rio", "mar")]) is None
-    df = lambda raw: spark.createDataFrame([(1, 1, raw)], "doc_id int, sent_no int, raw string")
-    rows = {r.metric: r for r in scorer.scores(df(gold), df(other), ("doc_id",)).collect()}
     assert (rows["Words"].precision, rows["Words"].recall, rows["Words"].f1) == (0.5, 0.333333, 0.4)
-    assert scorer.table(scorer.scores(df(gold), df(other), ("doc_id",))).count() == 15
+    apart = scored(df(gold, gold), df(other.replace("rio", "mar"), gold))
+    assert apart["Mismatch"].n_gold == 1 and apart["Words"].n_gold == 3
+    once = spark.createDataFrame(list(rows.values()))
+    table = lambda **o: [r.line for r in scorer.table(once, **o).orderBy("place").collect()]
+    assert len(table()) == 15 and len(table(enhanced=True)) == 17 and table()[4].split() == ["Words", "|", "50.00", "|", "33.33", "|", "40.00", "|", "100.00"]
+    assert table(counts=True)[4].split() == ["Words", "|", "1", "|", "3", "|", "2", "|", "1"] and len(table(verbose=False)) == 3
+    empty = gold + "\n3.1\te\te\tVERB\t_\t_\t_\t_\t3:conj\t_\n4\tx\tx\tX\t_\t_\t3\tdep\t3.1:obj\t_"
+    assert (4, 3, "conj>obj") in scorer.paths(empty) and (4, 3, "dep") in scorer.paths(empty, True)
+
+
+def test_alignment_equals_its_definition(spark):
+    """Random versions of a text: islands of ranges that overlap, a longest common sequence in each, equal places elsewhere."""
+    rng = random.Random(2)
+
+    def version(text):
+        """A sentence's tokens: (start, end, words, in a range)."""
+        out, at = [], 0
+        while at < len(text):
+            n = min(rng.randrange(1, 4), len(text) - at)
+            kind = rng.random() < 0.4
+            out.append((at, at + n, [rng.choice("abAB") for _ in range(rng.randrange(2, 4))] if kind else [text[at : at + n]], kind))
+            at += n
+        return out
+
+    def raw(tokens):
+        rows, i = [], 1
+        for a, b, ws, kind in tokens:
+            if kind:
+                rows.append(f"{i}-{i + len(ws) - 1}\t{'x' * (b - a)}" + "\t_" * 8)
+            rows += [f"{i + k}\t{w}\t_\tX\t_\t_\t{0 if i + k == 1 else 1}\tdep\t_\t_" for k, w in enumerate(ws)]
+            i += len(ws)
+        return "\n".join(rows)
+
+    def plain(g, s):
+        spread = lambda side: [(a, b, w.lower(), kind) for a, b, ws, kind in side for w in ws]
+        gw, sw = spread(g), spread(s)
+        spans = sorted({x[:2] for x in gw + sw if x[3]})
+        land = []
+        for a, b in spans:
+            if land and a < land[-1][1]:
+                land[-1][1] = max(land[-1][1], b)
+            else:
+                land.append([a, b])
+        island = lambda x: next((tuple(i) for i in land if i[0] <= x[0] and x[1] <= i[1]), None)
+        pairs = {(i, j) for i, x in enumerate(gw) for j, y in enumerate(sw) if island(x) is None and island(y) is None and x[:2] == y[:2]}
+        for i in {tuple(x) for x in land}:
+            a, b = ([k for k, x in enumerate(side) if island(x) == i] for side in (gw, sw))
+            pairs |= {(a[p], b[q]) for p, q in offsets.longest([gw[k][2] for k in a], [sw[k][2] for k in b])}
+        return {(i + 1, j + 1) for i, j in pairs}
+
+    cases = []
+    for _ in range(60):
+        text = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 12)))
+        cases.append((version(text), version(text)))
+    df = lambda side: spark.createDataFrame([(d, 1, raw(c[side])) for d, c in enumerate(cases)], "doc_id int, sent_no int, raw string")
+    sides = [scorer.words(offsets.laid_out(df(k), ("doc_id",), "sent_no"), ("doc_id",), "sent_no") for k in (0, 1)]
+    found = {}
+    for r in offsets.aligned(*sides, ("doc_id",)).collect():
+        found.setdefault(r.doc_id, set()).add((r.g["id"], r.s["id"]))
+    assert found == {d: p for d, c in enumerate(cases) if (p := plain(*c))}
+
+
+def test_versions_meet_by_offsets(spark):
+    doc = ("doc_id",)
+    df = lambda *raws: spark.createDataFrame([(1, i, raw) for i, raw in enumerate(raws, 1)], "doc_id int, sent_no int, raw string")
+    gold = "# sent_id = s\n1-2\tdel\t_\t_\t_\t_\t_\t_\t_\t_\n1\tde\tde\tADP\t_\t_\t3\tcase\t_\t_\n2\tel\tel\tDET\t_\t_\t3\tdet\t_\t_\n3\trio\trio\tNOUN\tn\t_\t0\troot\t_\t_"
+    other = "1\tdel\tDEL\tADP\tp\t_\t2\tcase\t_\t_\n2\trio\tRIO\tNOUN\tN\t_\t0\troot\t_\t_"
+    assert sorted((r.id, r.lemma) for r in offsets.lemmas(df(gold), df(other), doc, "sent_no").collect()) == [("1", "de"), ("1-2", "_"), ("2", "el"), ("3", "RIO")]
+    first, second = "# sent_id = a\n1\tdel\t_\tX\t_\t_\t0\troot\t_\t_", "# sent_id = b\n1-2\trio\t_\t_\t_\t_\t_\t_\t_\tSpaceAfter=No\n1\tri\t_\tX\t_\t_\t0\troot\t_\t_\n2\to\t_\tX\t_\t_\t1\tdep\t_\t_\n3\t.\t_\tPUNCT\t_\t_\t1\tpunct\t_\t_"
+    whole = offsets.resegmented(df("1\tdelrio\t_\tX\t_\t_\t0\troot\t_\t_", "1\t.\t_\tX\t_\t_\t0\troot\t_\t_"), df(first, second), doc, "sent_no").orderBy("number").collect()
+    assert [r.raw.split("\n")[:2] for r in whole] == [["# sent_id = a", "# text = del rio"], ["# sent_id = b", "# text = ."]] and [x.split("\t")[0] for x in whole[0].raw.split("\n")[2:]] == ["1", "2-3", "2", "3"]
+    again = offsets.resegmented(df("1\tdel\t_\tX\t_\t_\t0\troot\t_\t_", "1\trio.\t_\tX\t_\t_\t0\troot\t_\t_"), df(whole[0].raw, whole[1].raw), doc, "sent_no").orderBy("number").collect()
+    assert [r.raw.split("\n")[0] for r in again] == ["# sent_id = a", "# sent_id = aB"]
+    assert [r.doc_id for r in offsets.different(*(offsets.laid_out(df(x), doc, "sent_no") for x in (gold, other.replace("rio", "mar"))), doc).collect()] == [1]
 
 
 def test_rewrites_of_versions():
@@ -159,12 +231,9 @@ def test_rewrites_of_versions():
     other = "1\tdel\tDEL\tADP\tp\t_\t2\tcase\t_\t_\n2\trio\tRIO\tNOUN\tN\t_\t0\troot\t_\t_"
     again = rewrites.retokenized(gold, other).split("\n")
     assert [x.split("\t")[0] for x in again] == ["1-2", "1", "2", "3"] and again[1].split("\t")[2:5] == ["DEL", "ADP", "p"]
-    assert rewrites.lemmas_aligned(gold, other).split("\n")[-1].split("\t")[2] == "RIO"
     assert rewrites.copied(other, other.replace("RIO", "x"), ("lemma",)) == other
     assert rewrites.merged_tags(other, other.replace("\tN\t", "\t_\t")) == other
     assert rewrites.restored("1\tD\td\tX\tX\t_\t0\troot\t_\t_\n2\tE\te\tX\tX\t_\t1\tdep\t_\t_\n3\tF\tf\tX\tX\t_\t1\tdep\t_\t_", gold).split("\n")[2].startswith("1\tde\td\tX")
-    whole = rewrites.resegmented(["1\tdelrio\t_\tX\t_\t_\t0\troot\t_\t_"], ["# sent_id = a\n1\tdel\t_\tX\t_\t_\t0\troot\t_\t_", "# sent_id = b\n1\trio\t_\tX\t_\t_\t0\troot\t_\tSpaceAfter=No"])
-    assert len(whole) == 1 and "# text = del rio" in whole[0] and whole[0].endswith("2\trio\t_\tX\t_\t_\t0\troot\t_\tSpaceAfter=No")
     assert rewrites.wrapped(["aa bb cc"], 5) == "aa bb\ncc" and rewrites.wrapped(["中文abc字"], 3, True) == "中文\nabc\n字"
 
 
