@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.functions import composed, universal, without_spaces
-from arborlake.operators import checks, coreference, graphs, lookups, offsets, release, render, rewrites, scorer, statistics, surveys, validator, verses
+from arborlake.operators import checks, coreference, graphs, lookups, offsets, release, render, rewrites, rules, scorer, statistics, surveys, validator, verses
 from arborlake.operators.sentence import per_sentence
 from arborlake.sources import files, registry
 from arborlake.sources.conllu import exploded, nodes_table, rendered
@@ -627,3 +627,63 @@ v AS (SELECT upos, f, count(*) AS n FROM x GROUP BY ALL), u AS (SELECT upos, fea
 p AS (SELECT a.upos, a.f AS feature, b.f AS other, count(*) AS n FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.sent_no = b.sent_no AND a.id = b.id AND a.upos = b.upos AND a.f <> b.f WHERE (a.upos, a.feature) IN (SELECT (upos, feature) FROM u) AND (b.upos, b.feature) IN (SELECT (upos, feature) FROM u) GROUP BY ALL)
 SELECT p.upos, p.feature, p.other, p.n, CAST(floor(100 * p.n / v.n + 0.5) AS BIGINT) AS percent FROM p JOIN v ON v.upos = p.upos AND v.f = p.feature WHERE p.n > 0.5 * v.n""",
 )
+
+# Rules as filters: on the treebank as it is, and on cells broken by residue classes of the words.
+
+
+def _sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of sentences in which none is its own head."""
+    w = words(spark, sf_dir)
+    return w.join(w.where("head = id").select(*KEYS).distinct(), list(KEYS), "left_anti")
+
+
+_ASKED_SQL = " ".join(f"UNION ALL SELECT lang, '{r}', 'ERROR' FROM x WHERE deprel = '{d}' AND tag NOT IN ({tags})" for r, d, tags in (
+    ("rel-upos-det", "det", "'DET', 'PRON'"), ("rel-upos-nummod", "nummod", "'NUM', 'NOUN', 'SYM'"), ("rel-upos-expl", "expl", "'PRON', 'DET', 'PART'"), ("rel-upos-aux", "aux", "'AUX'"), ("rel-upos-cop", "cop", "'AUX', 'PRON', 'DET', 'SYM'"),
+    ("rel-upos-punct", "punct", "'PUNCT'"), ("rel-upos-case", "case", "'ADP', 'ADV', 'CCONJ', 'INTJ', 'NOUN', 'PART', 'PUNCT', 'SCONJ', 'SYM', 'VERB', 'X'"), ("rel-upos-mark", "mark", "'ADP', 'ADV', 'CCONJ', 'PART', 'PUNCT', 'SCONJ', 'SYM', 'VERB', 'X'"),
+    ("rel-upos-cc", "cc", "'ADP', 'ADV', 'CCONJ', 'PART', 'PUNCT', 'SCONJ', 'SYM', 'X'"),
+))
+_LEAF_SQL = " ".join(f"UNION ALL SELECT lang, '{t}', 'ERROR' FROM x WHERE p_rel IN ({p}) AND deprel NOT IN ({a})" for t, p, a in (
+    ("leaf-mark-case", "'mark', 'case'", "'advmod', 'obl', 'goeswith', 'fixed', 'reparandum', 'conj', 'cc', 'punct'"), ("leaf-aux-cop", "'aux', 'cop'", "'goeswith', 'fixed', 'reparandum', 'conj', 'cc', 'punct'"),
+    ("leaf-det", "'det'", "'det', 'case', 'advmod', 'obl', 'clf', 'goeswith', 'fixed', 'flat', 'compound', 'reparandum', 'discourse', 'parataxis', 'conj', 'cc', 'punct'"), ("leaf-clf", "'clf'", "'advmod', 'obl', 'goeswith', 'fixed', 'reparandum', 'conj', 'cc', 'punct'"),
+    ("leaf-cc", "'cc'", "'goeswith', 'fixed', 'reparandum', 'conj', 'punct'"), ("leaf-fixed", "'fixed'", "'goeswith', 'reparandum', 'conj', 'punct'"), ("leaf-punct", "'punct'", "'punct'"),
+))
+_add(
+    "rules_content", lambda spark, sf_dir: rules.content(_sound(spark, sf_dir), KEYS).where("testid <> 'leaf-goeswith'").groupBy("lang", "testid", "type").agg(F.count("*").alias("n")),
+    f"""WITH {WORDS_SQL}, {_PASSED}, w AS (SELECT words.*, CASE WHEN feats = 'ExtPos=ADV' THEN 'ADV' ELSE upos END AS tag FROM words JOIN ok USING (doc_id, sent_no)),
+k AS (SELECT doc_id, sent_no, head AS id, list(DISTINCT deprel) AS below, count_if(deprel IN ('nsubj', 'csubj')) AS subjects, count_if(deprel = 'obj') AS objects FROM w GROUP BY ALL),
+y AS (SELECT w.*, coalesce(k.below, []) AS below, coalesce(subjects, 0) AS subjects, coalesce(objects, 0) AS objects FROM w LEFT JOIN k USING (doc_id, sent_no, id)),
+x AS (SELECT y.*, p.upos AS p_upos, p.deprel AS p_rel, p.below AS p_below FROM y LEFT JOIN y p ON p.doc_id = y.doc_id AND p.sent_no = y.sent_no AND p.id = y.head),
+e AS (SELECT lang, split_part(e, ':', 1) AS h, split_part(substr(e, strpos(e, ':') + 1), ':', 1) AS r FROM (SELECT lang, unnest(string_split(deps, '|')) AS e FROM w WHERE deps <> '_')),
+f(lang, testid, type) AS (SELECT lang, 'pron-det-without-prontype', 'WARNING' FROM x WHERE upos IN ('PRON', 'DET') AND feats NOT LIKE '%PronType=%'
+UNION ALL SELECT lang, '0-is-not-root', 'ERROR' FROM x WHERE head = 0 AND deprel <> 'root' UNION ALL SELECT lang, 'root-is-not-0', 'ERROR' FROM x WHERE head <> 0 AND deprel = 'root'
+UNION ALL SELECT lang, 'fixed-without-extpos', 'WARNING' FROM x WHERE list_contains(below, 'fixed') AND feats NOT LIKE '%ExtPos=%' UNION ALL SELECT lang, 'upos-rel-punct', 'ERROR' FROM x WHERE tag = 'PUNCT' AND deprel NOT IN ('punct', 'root')
+UNION ALL SELECT lang, 'rel-upos-fixed', 'ERROR' FROM x WHERE tag = 'PROPN' AND (deprel = 'fixed' OR list_contains(below, 'fixed')) UNION ALL SELECT lang, 'too-many-subjects', 'ERROR' FROM x WHERE subjects > 1 UNION ALL SELECT lang, 'too-many-objects', 'ERROR' FROM x WHERE objects > 1
+UNION ALL SELECT lang, 'obl-should-be-nmod', 'ERROR' FROM x WHERE deprel = 'obl' AND p_upos IN ('NOUN', 'PROPN', 'PRON') AND p_rel IN ('nsubj', 'obj', 'iobj', 'obl', 'vocative', 'dislocated', 'expl', 'nmod') AND NOT list_has_any(p_below, ['cop', 'nsubj', 'csubj'])
+UNION ALL SELECT lang, 'goeswith-missing-typo', 'ERROR' FROM x WHERE list_contains(below, 'goeswith') UNION ALL SELECT lang, 'goeswith-lemma', 'ERROR' FROM x WHERE deprel = 'goeswith' AND lemma <> '_' UNION ALL SELECT lang, 'goeswith-upos', 'ERROR' FROM x WHERE deprel = 'goeswith' AND upos <> 'X'
+UNION ALL SELECT lang, 'goeswith-feats', 'ERROR' FROM x WHERE deprel = 'goeswith' AND feats <> '_' UNION ALL SELECT lang, 'goeswith-edeps', 'ERROR' FROM x WHERE deprel = 'goeswith' AND deps NOT IN ('_', head || ':goeswith')
+UNION ALL SELECT lang, 'rel-upos-advmod', 'ERROR' FROM x WHERE deprel = 'advmod' AND tag NOT IN ('ADV', 'ADJ', 'CCONJ', 'DET', 'PART', 'SYM') AND NOT list_contains(below, 'goeswith')
+UNION ALL SELECT lang, 'right-to-left-' || deprel, 'ERROR' FROM x WHERE deprel IN ('conj', 'fixed', 'flat', 'goeswith', 'appos') AND id < head
+UNION ALL SELECT lang, 'orphan-parent', 'WARNING' FROM x WHERE deprel = 'orphan' AND coalesce(p_rel, '') NOT IN ('conj', 'parataxis', 'root', 'csubj', 'ccomp', 'advcl', 'acl', 'reparandum')
+UNION ALL SELECT lang, 'enhanced-0-is-not-root', 'ERROR' FROM e WHERE h = '0' AND r <> 'root' UNION ALL SELECT lang, 'enhanced-root-is-not-0', 'ERROR' FROM e WHERE h <> '0' AND r = 'root' {_ASKED_SQL} {_LEAF_SQL})
+SELECT lang, testid, type, count(*) AS n FROM f GROUP BY ALL""",
+)
+#: By the residue of id + doc_id: column, what it becomes, the findings.
+_BROKEN = [
+    ("upos", "NOU", ["unknown-upos"]), ("feats", "Number=Sing|Case=Nom", ["unsorted-features"]), ("feats", "case=Nom", ["invalid-feature"]), ("feats", "Case=Acc,Acc", ["repeated-feature-value"]), ("feats", "Case=Nom,Acc", ["unsorted-feature-values"]),
+    ("feats", "Case=Acc|Case=Nom", ["repeated-feature"]), ("deprel", "Obj", ["invalid-deprel"]), ("deprel", "object", ["unknown-udeprel"]), ("deps", "7:obj|3:conj", ["unsorted-deps"]), ("deps", "3:obj|3:conj", ["unsorted-deps-2"]), ("deps", "3:conj|3:conj", ["repeated-deps"]),
+    ("deps", "3:Conj", ["invalid-edeprel"]), ("deps", "3:ref:x", []), ("deps", "3.1:object:von_der", ["unknown-eudeprel"]), ("misc", "gloss=x", ["misc-attr-typo"]), ("misc", "Gloss=a|Gloss=b", ["repeated-misc"]), ("misc", "Gloss= a", ["misc-extra-space"]), ("xpos", "", ["empty-string-in-xpos"]),
+]
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = words(spark, sf_dir).withColumns({"feats": F.lit("_"), "deps": F.lit("_"), "misc": F.lit("_")})
+    k = (F.col("id") + F.col("doc_id")) % (2 * len(_BROKEN))
+    for i, (column, value, _) in enumerate(_BROKEN):
+        w = w.withColumn(column, F.when(k == i, value).otherwise(F.col(column)))
+    return w
+
+
+_add(
+    "rules_cells", lambda spark, sf_dir: rules.cells(_broken(spark, sf_dir), KEYS).where("testid <> 'deps-self-loop'").select("doc_id", "sent_no", "node", "testid"),
+    f"WITH {WORDS_SQL}, t(k, testid) AS (VALUES {', '.join(f"({i}, '{t}')" for i, (*_, found) in enumerate(_BROKEN) for t in found)}) SELECT doc_id, sent_no, CAST(id AS VARCHAR) AS node, testid FROM words JOIN t ON (id + doc_id) % {2 * len(_BROKEN)} = t.k",
+)
