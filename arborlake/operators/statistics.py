@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arborlake.functions import pairs, universal
-from arborlake.sources.conllu import nodes_table
 
 SENTENCE = ("doc_id", "sent_no")
 
@@ -24,13 +23,20 @@ def each(rows: DataFrame, *keys: str, array: str = "words") -> DataFrame:
 
 
 def size(sentences: DataFrame, *keys: str) -> DataFrame:
-    """Sentences, surface tokens, ranges, words, empty nodes, distinct forms and lemmas of sentences as text (raw)."""
-    nodes = nodes_table(sentences, *keys)
-    # Words are counted by form and lemma first, ranges and empty nodes in one group each, so the distinct counts see few rows.
-    kinds = nodes.groupBy(*keys, "kind", F.when(F.col("kind") == "word", F.col("form")).alias("form"), F.when(F.col("kind") == "word", F.col("lemma")).alias("lemma")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("kind") == "mwt", F.col("last") - F.col("major")).otherwise(0)).alias("covered"))
+    """Sentences, surface tokens, ranges, words, empty nodes, distinct forms and lemmas of sentences as text (raw), in one pass.
+
+    Each sentence gives a row for itself and one for each node line; a line is cut behind its lemma at most.
+    """
+    lines = F.concat(F.array(F.lit("")), F.filter(F.split("raw", "\n"), lambda x: x.rlike(r"\A[0-9]")))
+    rows = sentences.select(*keys, F.explode(lines).alias("line"))
+    name = F.substring_index("line", "\t", 1)
+    kind = F.when(F.col("line") == "", "sentence").when(name.contains("-"), "mwt").when(name.contains("."), "empty").otherwise("word")
+    rows = rows.select(*keys, kind.alias("kind"), F.when(kind == "word", F.split("line", "\t", 4)).alias("cells"), F.when(kind == "mwt", name).alias("name"))
+    # Words are counted by form and lemma first, the rest in one group each, so the distinct counts see few rows.
+    covered = F.substring_index("name", "-", -1).try_cast("int") - F.substring_index("name", "-", 1).try_cast("int")
+    kinds = rows.groupBy(*keys, "kind", F.get("cells", F.lit(1)).alias("form"), F.get("cells", F.lit(2)).alias("lemma")).agg(F.count("*").alias("n"), F.coalesce(F.sum(covered), F.lit(0)).alias("covered"))
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
-    sums = kinds.groupBy(*keys).agg((of("word") - F.sum("covered")).alias("n_tokens"), of("mwt").alias("n_ranges"), of("word").alias("n_words"), of("empty").alias("n_empty"), F.countDistinct("form").alias("n_forms"), F.countDistinct(F.nullif("lemma", F.lit("_"))).alias("n_lemmas"))
-    return sentences.groupBy(*keys).agg(F.count("*").alias("n_sentences")).join(sums, list(keys), "left")
+    return kinds.groupBy(*keys).agg(of("sentence").alias("n_sentences"), (of("word") - F.sum("covered")).alias("n_tokens"), of("mwt").alias("n_ranges"), of("word").alias("n_words"), of("empty").alias("n_empty"), F.countDistinct("form").alias("n_forms"), F.countDistinct(F.nullif("lemma", F.lit("_"))).alias("n_lemmas"))
 
 
 def size_rollup(sentences: DataFrame) -> DataFrame:

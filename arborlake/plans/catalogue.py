@@ -448,7 +448,11 @@ _add(
     f"""WITH {WORDS_SQL}, m AS (SELECT lang, doc_id, sent_no, regexp_replace(lemma, '[^a-z]', 'x', 'g') AS eid, CASE WHEN (id + doc_id) % 19 = 0 THEN 'place' ELSE 'person' END AS etype, id FROM words WHERE upos = 'NOUN'),
 f AS (SELECT lang, eid, min((doc_id, lang, sent_no, etype))[4] AS etype FROM m GROUP BY ALL) SELECT m.lang, 'entity-type-mismatch' AS testid, count(*) AS n FROM m JOIN f ON f.lang = m.lang AND f.eid = m.eid WHERE m.etype <> f.etype GROUP BY ALL""",
 )
-_add("entity_clusters", lambda spark, sf_dir: coreference.clusters(_entities(spark, sf_dir), "lang"))
+_add(
+    "entity_clusters", lambda spark, sf_dir: coreference.clusters(_entities(spark, sf_dir), "lang"),
+    f"""WITH {WORDS_SQL}, m AS (SELECT lang, regexp_replace(lemma, '[^a-z]', 'x', 'g') AS eid, CASE WHEN (id + doc_id) % 19 = 0 THEN 'place' ELSE 'person' END AS etype FROM words WHERE upos = 'NOUN'),
+c AS (SELECT lang, eid, count(*) AS n_mentions, min(etype) AS etype FROM m GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY n_mentions DESC, eid) AS INTEGER) AS rank FROM c""",
+)
 _add("registry_relations", _words(lambda w: w.select("lang", universal(F.col("deprel")).alias("udeprel")).distinct()), f"WITH {WORDS_SQL} SELECT DISTINCT lang, deprel AS udeprel FROM words")
 
 # Verse references, tags by table, reports.
@@ -687,3 +691,35 @@ _add(
     "rules_cells", lambda spark, sf_dir: rules.cells(_broken(spark, sf_dir), KEYS).where("testid <> 'deps-self-loop'").select("doc_id", "sent_no", "node", "testid"),
     f"WITH {WORDS_SQL}, t(k, testid) AS (VALUES {', '.join(f"({i}, '{t}')" for i, (*_, found) in enumerate(_BROKEN) for t in found)}) SELECT doc_id, sent_no, CAST(id AS VARCHAR) AS node, testid FROM words JOIN t ON (id + doc_id) % {2 * len(_BROKEN)} = t.k",
 )
+
+# Twins of queries whose whole result has none: the part that SQL can tell, by words.
+
+
+def _by_word(query: Query, *columns: str) -> Query:
+    return lambda spark, sf_dir: nodes_table(query(spark, sf_dir), "doc_id", "sent_no").where("kind = 'word'").select("doc_id", "sent_no", "id", *columns)
+
+
+_add(
+    "fixed_deps_by_word", _by_word(CATALOGUE["fixed_deps"][0], "deps"),
+    f"""WITH {WORDS_SQL}, e AS (SELECT doc_id, sent_no, id, string_agg(e, '|' ORDER BY CAST(parent AS BIGINT), rel) AS deps FROM {_E} GROUP BY ALL)
+SELECT doc_id, sent_no, CAST(id AS VARCHAR) AS id, coalesce(e.deps, '_') AS deps FROM words w LEFT JOIN e USING (doc_id, sent_no, id)""",
+)
+_SYSTEM_SQL = "CASE WHEN id % 7 = 0 THEN 'X' ELSE upos END AS u, CASE WHEN id % 11 = 0 THEN 0 ELSE head END AS h, CASE WHEN id % 5 = 0 THEN 'dep' ELSE deprel END AS d"
+_add(
+    "copied_annotation_by_word", _by_word(CATALOGUE["copied_annotation"][0], "lemma", "upos", "xpos", "feats", "head", "deprel"),
+    f"WITH {WORDS_SQL} SELECT doc_id, sent_no, CAST(id AS VARCHAR) AS id, lemma, upos, xpos, feats, CAST(h AS VARCHAR) AS head, d AS deprel FROM (SELECT *, {_SYSTEM_SQL} FROM words)",
+)
+_add(
+    "merged_tags_by_word", _by_word(CATALOGUE["merged_tags"][0], "upos", "xpos", "deprel"),
+    f"WITH {WORDS_SQL} SELECT doc_id, sent_no, CAST(id AS VARCHAR) AS id, u AS upos, xpos, d AS deprel FROM (SELECT *, {_SYSTEM_SQL} FROM words)",
+)
+_add(
+    "incident_summary_known", lambda spark, sf_dir: checks.summary(checks.incidents(_found(spark, sf_dir, include=_CONTENT)), "lang"),
+    f"WITH {_CONTENT_SQL}, l AS (SELECT DISTINCT doc_id, lang FROM words) SELECT lang, 'ERROR' AS type, CASE WHEN testid = 'missing-text' THEN 'METADATA' ELSE 'SYNTAX' END AS testclass, testid, count(*) AS n FROM content JOIN l USING (doc_id) GROUP BY ALL",
+)
+_add(
+    "incidents_json_known", lambda spark, sf_dir: checks.as_json(checks.incidents(_found(spark, sf_dir, 2, include=("head-self-loop", "missing-text"))).drop("source", "message")),
+    f"""WITH {_CONTENT_SQL}, {_LINES_SQL}, l AS (SELECT DISTINCT doc_id, lang FROM words)
+SELECT '{{"doc_id":"' || doc_id || '","lang":"' || lang || '","sent_no":"' || sent_no || '","level":"2","type":"ERROR","testclass":"' || CASE WHEN testid = 'missing-text' THEN 'METADATA' ELSE 'SYNTAX' END || '","testid":"' || testid || '","line":"' || line || '","node":"' || node || '"}}' AS json
+FROM content JOIN places USING (doc_id, sent_no, node) JOIN l USING (doc_id) WHERE testid IN ('head-self-loop', 'missing-text')""",
+)
