@@ -102,14 +102,6 @@ def test_audit_equals_applying_the_filters_in_turn(spark):
     assert all(r.shapley == shapley[r.part, r.filter_order[r.step - 1]] for r in found)
 
 
-def test_many_parts_are_handed_on_early(spark, monkeypatch):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", (F.col("doc_id") % 37).cast("string"))
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    expected = Counter(audit.audit(docs, labels).collect())
-    monkeypatch.setattr(audit, "PARTS", 3)
-    assert Counter(audit.audit(docs, labels).collect()) == expected and len(expected) == 37 * 600
-
-
 def test_search_is_the_same_in_blocks_and_without_a_vocabulary(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     expected = Counter(search.ranked(docs, items).collect())
