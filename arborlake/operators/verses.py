@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,11 @@ def _number(word: Column) -> Column:
     return F.when(word.rlike(r"\As?[0-9]+[a-z]*\z"), F.when(digits == "", "0").otherwise(digits))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def reference_in_id(sent_id: Column) -> Column:
     """`BOOK_chapter.verse` of a sentence id, with a book known by a full name under its label; else null.
 
@@ -48,37 +55,46 @@ def reference_in_id(sent_id: Column) -> Column:
     ahead of a number; the two words after it are chapter and verse. Words `REL-BIB` after a book (perhaps with
     NT ahead of it) leave the chapter out.
     """
-    words = F.split(sent_id, "[^A-Za-z0-9]+")
-    word = lambda i: F.get(words, i)
-    first = F.when(word(F.lit(0)).rlike(r"\A[0-9]*[A-Z][A-Z0-9]*\z") & sent_id.rlike(r"\A[^-.:]+_"), F.lit(0))
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(2)) - 1), lambda i: _label(word(i)).isNotNull() & _number(word(i + 1)).isNotNull())
-    at = F.when(word(F.lit(0)).isin(*CORPORA), F.try_element_at(places, F.lit(-1))).otherwise(first)
-    plain = F.concat(F.coalesce(_label(word(at)), word(at)), F.lit("_"), _number(word(at + 1)), F.lit("."), _number(word(at + 2)))
-    book = F.coalesce(_label(word(F.lit(1))), _label(F.regexp_replace(word(F.lit(1)), r"\ANT", "")))
-    chapterless = F.when((word(F.lit(2)) == FIRST_CHAPTER[0]) & (word(F.lit(3)) == FIRST_CHAPTER[1]), F.concat(book, F.lit("_1."), _number(word(F.lit(4)))))
-    return F.coalesce(chapterless, plain)
 
+    def found(words: Column) -> Column:
+        word = lambda i: F.get(words, i)
+        first = F.when(word(F.lit(0)).rlike(r"\A[0-9]*[A-Z][A-Z0-9]*\z") & sent_id.rlike(r"\A[^-.:]+_"), F.lit(0))
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(2)) - 1), lambda i: _number(word(i + 1)).isNotNull() & _label(word(i)).isNotNull())
+        place = F.when(word(F.lit(0)).isin(*CORPORA), F.try_element_at(places, F.lit(-1))).otherwise(first)
+        plain = _let(place, lambda at: F.concat(F.coalesce(_label(word(at)), word(at)), F.lit("_"), _number(word(at + 1)), F.lit("."), _number(word(at + 2))))
+        book = F.coalesce(_label(word(F.lit(1))), _label(F.regexp_replace(word(F.lit(1)), r"\ANT", "")))
+        chapterless = F.when((word(F.lit(2)) == FIRST_CHAPTER[0]) & (word(F.lit(3)) == FIRST_CHAPTER[1]), F.concat(book, F.lit("_1."), _number(word(F.lit(4)))))
+        return F.coalesce(chapterless, plain)
 
-def parts(reference: Column) -> dict[str, Column]:
-    """Book by its label, index (the rest), chapter and verse; null where the reference has no book or no number.
+    return _let(F.split(sent_id, "[^A-Za-z0-9]+"), found)
+
+
+def part(reference: Column) -> Column:
+    """struct(book by its label, index (the rest), chapter, verse); null where the reference has no book or no number.
 
     The book is the longest known name that the reference begins with ahead of a number, else what comes before
     the first number behind its letters.
     """
     known = sorted({*BOOKS, *NAMES}, key=lambda x: (-len(x), x))
-    rest = lambda name: F.substring(reference, F.length(name) + 1, F.length(reference))
-    longest = F.get(F.filter(F.array(*map(F.lit, known)), lambda name: reference.startswith(name) & rest(name).rlike(r"\A[_.]?[0-9]")), F.lit(0))
-    other = F.nullif(F.regexp_extract(reference, r"\A([0-9]*[A-Z]+)[_.]?[0-9]", 1), F.lit(""))
-    book = F.coalesce(longest, other)
-    index = F.ltrim(rest(book), F.lit("_."))
-    pieces = F.split(index, "[:.]", 2)
-    chapter = F.regexp_extract(F.get(pieces, F.lit(0)), r"\A[0-9]+", 0)
-    return {
-        "book": F.coalesce(F.try_element_at(_names(), book), book),
-        "index": index,
-        "chapter": chapter.try_cast("int"),
-        "verse": F.when(F.get(pieces, F.lit(0)) == chapter, F.nullif(F.get(pieces, F.lit(1)), F.lit(""))),
-    }
+
+    def made(book: Column, index: Column) -> Column:
+        pieces = F.split(index, "[:.]", 2)
+        chapter = F.regexp_extract(F.get(pieces, F.lit(0)), r"\A[0-9]+", 0)
+        verse = F.when(F.get(pieces, F.lit(0)) == chapter, F.nullif(F.get(pieces, F.lit(1)), F.lit("")))
+        return F.struct(F.coalesce(F.try_element_at(_names(), book), book).alias("book"), index.alias("index"), chapter.try_cast("int").alias("chapter"), verse.alias("verse"))
+
+    def found(whole: Column) -> Column:
+        rest = lambda name: F.substring(whole, F.length(name) + 1, F.length(whole))
+        longest = F.get(F.filter(F.array(*map(F.lit, known)), lambda name: whole.startswith(name) & rest(name).rlike(r"\A[_.]?[0-9]")), F.lit(0))
+        other = F.nullif(F.regexp_extract(whole, r"\A([0-9]*[A-Z]+)[_.]?[0-9]", 1), F.lit(""))
+        return _let(F.coalesce(longest, other), lambda book: _let(F.ltrim(rest(book), F.lit("_.")), lambda index: made(book, index)))
+
+    return _let(reference, found)
+
+
+def parts(reference: Column) -> dict[str, Column]:
+    whole = part(reference)
+    return {c: whole[c] for c in ("book", "index", "chapter", "verse")}
 
 
 def referenced(sentences: DataFrame, sent_id: Column) -> DataFrame:
@@ -91,8 +107,8 @@ def referenced(sentences: DataFrame, sent_id: Column) -> DataFrame:
     misc = F.transform("words", lambda w: F.transform(F.filter(pairs(w["misc"]), lambda p: (F.lower(p["name"]) == "ref") & (p["value"] != "")), lambda p: p["value"]))
     rows = sentences.withColumn("_in", F.array_sort(F.array_distinct(F.flatten(misc))))
     rows = rows.withColumn("_all", F.when(F.size("_in") > 0, F.col("_in")).otherwise(F.array(reference_in_id(sent_id))))
-    made = parts(F.get("_all", F.lit(0)))
-    rows = rows.select("*", *(c.alias(f"_{k}") for k, c in made.items())).where(F.col("_index").rlike(r"\A[0-9]"))
+    rows = rows.withColumn("_made", part(F.get("_all", F.lit(0)))).where(F.col("_made.index").rlike(r"\A[0-9]"))
+    rows = rows.select("*", *(F.col(f"_made.{k}").alias(f"_{k}") for k in ("book", "index", "chapter", "verse")))
     refs = F.array_join(F.concat(F.array(F.concat_ws("_", "_book", "_index")), F.slice("_all", 2, F.greatest(F.size("_all"), F.lit(1)))), ",")
     return rows.select(*sentences.columns, refs.alias("refs"), F.col("_book").alias("book"), F.col("_chapter").alias("chapter"), F.col("_verse").alias("verse"))
 
