@@ -1,12 +1,15 @@
 """Rules of levels 2 and 3 as filters over rows of words: cells, and what a word, its parent and its children may be.
 
-What needs no walk is decided by column expressions; parents and children meet by one aggregate and one join on
-(sentence, id). Left to `checks` are brackets, crossing edges, spans without gaps, text against forms, and the
-order in which a broken sentence stops its later checks: the caller passes sentences that are sound.
+What needs no walk is decided by column expressions. A word meets its parent and its children within the sentence's
+row, so the rules take one scan and no shuffle; words that come as rows are gathered by sentence first. Left to `checks`
+are brackets, crossing edges, spans without gaps, text against forms, and the order in which a broken sentence stops
+its later checks: the caller passes sentences that are sound.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +25,63 @@ ENHANCED = r"\A[a-z]+(:[a-z]+)?(:[\p{Ll}\p{Lm}\p{Lo}\p{M}]+(_[\p{Ll}\p{Lm}\p{Lo}
 WHOLE = ("nummod", "expl", "punct")
 
 
-def _found(rows: DataFrame, keys: tuple[str, ...], level: int, rules: dict[str, tuple[str, Column]], node: str = "id") -> DataFrame:
-    """keys, node, level, type, testid of the rules that fire: test to (type, condition)."""
-    fired = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(kind).alias("type"), F.lit(test).alias("testid"))) for test, (kind, c) in rules.items())), lambda x: x.isNotNull())
-    return rows.select(*keys, F.col(node).cast("string").alias("node"), F.lit(level).alias("level"), F.explode(fired).alias("x")).select(*keys, "node", "level", "x.*")
+def _fired(test: str, kind: str, condition: Column, node: Column) -> Column:
+    return F.when(F.coalesce(condition, F.lit(False)), F.struct(node.cast("string").alias("node"), F.lit(kind).alias("type"), F.lit(test).alias("testid")))
+
+
+def _found(rows: DataFrame, keys: tuple[str, ...], level: int, rules: dict[str, tuple[str, Column]], *more: Column) -> DataFrame:
+    """keys, node, level, type, testid of the rules that fire: test to (type, condition) on the word, and `more` of _fired on other nodes."""
+    fired = F.filter(F.array(*(_fired(test, kind, c, F.col("id")) for test, (kind, c) in rules.items()), *more), lambda x: x.isNotNull())
+    return rows.select(*keys, F.lit(level).alias("level"), F.explode(fired).alias("x")).select(*keys, "x.node", "level", "x.type", "x.testid")
+
+
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value computed once however often it is read."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+#: What `content` reads of a word.
+FIELDS = ("id", "head", "lemma", "upos", "feats", "deprel", "deps", "misc")
+
+
+def relatives(sentences: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row for each word: id, head, lemma, upos, feats, deprel, deps, its relation and tag, its children's kinds and counts, its parent's p_upos, p_rel, p_feats, p_has_clause.
+
+    Sentences hold their `words` as an array; words as rows are gathered by `keys`. A head that is no word's id has no parent's columns.
+    """
+    if "words" not in sentences.columns:
+        sentences = sentences.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("words"))
+
+    def own(w: Column) -> Column:
+        outer = (value_of(w["misc"], "Subject") == "Outer") | w["deprel"].isin("nsubj:outer", "csubj:outer")
+        rel = universal(w["deprel"])
+        return F.struct(*(w[c].alias(c) for c in FIELDS[:-1]), rel.alias("rel"), F.coalesce(F.nullif(value_of(w["feats"], "ExtPos"), F.lit("")), w["upos"]).alias("tag"), (rel.contains("subj") & ~outer).alias("subject"))
+
+    def heads(words: Column, kind: Callable[[Column], Column]) -> Column:
+        return F.transform(F.filter(words, kind), lambda w: w["head"])
+
+    def sets(words: Column) -> Column:
+        of = {"fixed": lambda w: w["rel"] == "fixed", "goeswith": lambda w: w["rel"] == "goeswith", "clause": lambda w: w["rel"].isin("cop", "nsubj", "csubj"), "subject": lambda w: w["subject"], "object": lambda w: w["rel"] == "obj"}
+        return F.struct(words.alias("words"), *(heads(words, kind).alias(name) for name, kind in of.items()))
+
+    def known(s: Column) -> Column:
+        times = lambda name, w: F.size(F.filter(s[name], lambda h: h == w["id"]))
+
+        def with_parent(w: Column) -> Column:
+            # Ids count the words in sound sentences, so the parent is looked up by place first.
+            there = F.get(s["words"], (w["head"] - 1).cast("int"))
+            parent = F.when(there["id"] == w["head"], there).otherwise(F.get(F.filter(s["words"], lambda x: x["id"] == w["head"]), F.lit(0)))
+            return F.struct(w.alias("w"), parent.alias("p"))
+
+        def flat(x: Column) -> Column:
+            w, p = x["w"], x["p"]
+            children = (F.array_contains(s["fixed"], w["id"]).alias("has_fixed"), F.array_contains(s["goeswith"], w["id"]).alias("has_goeswith"), times("subject", w).alias("subjects"), times("object", w).alias("objects"))
+            return F.struct(*(w[c].alias(c) for c in (*FIELDS[:-1], "rel", "tag")), *children, *(p[c].alias(f"p_{c}") for c in ("upos", "rel", "feats")), F.array_contains(s["clause"], p["id"]).alias("p_has_clause"))
+
+        return F.transform(F.transform(s["words"], with_parent), flat)
+
+    made = _bound(F.transform("words", own), lambda words: _bound(sets(words), known))
+    return sentences.select(*keys, F.explode(made).alias("w")).select(*keys, "w.*")
 
 
 def cells(words: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -57,17 +113,12 @@ def cells(words: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def content(words: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Level 3 on words (id, head, form, lemma, upos, feats, deprel, deps, misc), their parents and children.
+    """Level 3 on words (FIELDS, as rows or as an array `words` in the sentence's row), their parents and children.
 
     Punctuation under goeswith is left to `checks`, as it depends on crossing edges.
     """
     has = lambda name: value_of(F.col("feats"), name)
-    base = words.select(*keys, "id", "head", "lemma", "upos", "feats", "deprel", "deps", universal(F.col("deprel")).alias("rel"), F.coalesce(F.nullif(has("ExtPos"), F.lit("")), F.col("upos")).alias("tag"), (value_of(F.col("misc"), "Subject") == "Outer").alias("outer"))
-    subject = F.col("rel").contains("subj") & ~F.col("deprel").isin("nsubj:outer", "csubj:outer") & ~F.col("outer")
-    kids = base.groupBy(*keys, F.col("head").alias("id")).agg(F.max(F.col("rel") == "fixed").alias("has_fixed"), F.max(F.col("rel") == "goeswith").alias("has_goeswith"), F.max(F.col("rel").isin("cop", "nsubj", "csubj")).alias("has_clause"), F.count_if(subject).alias("subjects"), F.count_if(F.col("rel") == "obj").alias("objects"))
-    rows = base.join(kids, [*keys, "id"], "left")
-    parents = rows.select(*keys, F.col("id").alias("head"), *(F.col(c).alias(f"p_{c}") for c in ("upos", "rel", "feats", "has_clause")))
-    rows = rows.join(parents, [*keys, "head"], "left")
+    rows = relatives(words, keys)
     below = lambda r: F.coalesce(F.col(f"has_{r}"), F.lit(False))
     rel, tag = F.col("rel"), F.col("tag")
     error, warning = (lambda c: ("ERROR", c)), (lambda c: ("WARNING", c))
@@ -98,12 +149,21 @@ def content(words: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         one = (F.col("p_rel") == name) & ~fits & ~left_out
         of_test[test] = of_test[test] | one if test in of_test else one
     rules |= {test: error(c) for test, c in of_test.items()}
-    found = _found(rows, keys, 3, rules)
     orphan = (rel == "orphan") & ~F.coalesce(F.col("p_rel"), F.lit("")).isin(*ORPHAN_PARENTS)
-    found = found.unionByName(_found(rows.withColumn("_at", F.when(F.col("head") > 0, F.col("head")).otherwise(F.col("id"))), keys, 3, {"orphan-parent": warning(orphan)}, "_at"))
     foreign = lambda upos, feats: (F.col("deprel") == "flat:foreign") & ((upos != "X") | (feats != "Foreign=Yes"))
-    found = found.unionByName(_found(rows, keys, 3, {"flat-foreign-upos-feats": warning(foreign(F.col("upos"), F.col("feats")))}))
-    above = _found(rows, keys, 3, {"flat-foreign-upos-feats": warning(foreign(F.coalesce("p_upos", F.lit("")), F.coalesce("p_feats", F.lit("_"))))}, "head")
-    listed = base.select(*keys, "id", F.explode(edges(F.col("deps"))).alias("e"))
-    roots = _found(listed, keys, 3, {"enhanced-0-is-not-root": error((F.col("e.head") == "0") & (universal(F.col("e.deprel")) != "root")), "enhanced-root-is-not-0": error((F.col("e.head") != "0") & (universal(F.col("e.deprel")) == "root"))})
-    return found.unionByName(above).unionByName(roots)
+    own, above = foreign(F.col("upos"), F.col("feats")), foreign(F.coalesce("p_upos", F.lit("")), F.coalesce("p_feats", F.lit("_")))
+    around = [
+        _fired("orphan-parent", "WARNING", orphan, F.when(F.col("head") > 0, F.col("head")).otherwise(F.col("id"))),
+        _fired("flat-foreign-upos-feats", "WARNING", own, F.col("id")), _fired("flat-foreign-upos-feats", "WARNING", above, F.col("head")),
+    ]
+    found = _found(rows, keys, 3, rules, *around)
+    # An edge is a finding of its own, so these are exploded by edge; most words have none.
+    listed = each_edge(words, keys)
+    top, root = F.col("e.head") == "0", universal(F.col("e.deprel")) == "root"
+    return found.unionByName(_found(listed.where(top != root), keys, 3, {"enhanced-0-is-not-root": error(top & ~root), "enhanced-root-is-not-0": error(~top & root)}))
+
+
+def each_edge(words: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, id, e: the enhanced edges of words as rows or within sentences."""
+    rows = words.select(*keys, F.explode("words").alias("w")).select(*keys, "w.id", "w.deps") if "words" in words.columns else words.select(*keys, "id", "deps")
+    return rows.where("deps <> '_'").select(*keys, "id", F.explode(edges(F.col("deps"))).alias("e"))

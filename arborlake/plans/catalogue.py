@@ -636,9 +636,8 @@ SELECT p.upos, p.feature, p.other, p.n, CAST(floor(100 * p.n / v.n + 0.5) AS BIG
 
 
 def _sound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of sentences in which none is its own head."""
-    w = words(spark, sf_dir)
-    return w.join(w.where("head = id").select(*KEYS).distinct(), list(KEYS), "left_anti")
+    """Sentences in which no word is its own head."""
+    return nested(spark, sf_dir).where(~F.exists("words", lambda w: w["head"] == w["id"]))
 
 
 _ASKED_SQL = " ".join(f"UNION ALL SELECT lang, '{r}', 'ERROR' FROM x WHERE deprel = '{d}' AND tag NOT IN ({tags})" for r, d, tags in (
