@@ -35,6 +35,12 @@ def universal(deprel: Column) -> Column:
     return F.substring_index(deprel, ":", 1)
 
 
+def transliterated(cell: Column, misc: Column, attribute: str, replaced: bool = False) -> Column:
+    """A form or lemma with its transliteration (Translit or LTranslit in MISC) behind it, or in its place; alone where there is none."""
+    other = value_of(misc, attribute)
+    return F.when(other == "", cell).otherwise(other if replaced else F.concat_ws(" ", cell, other))
+
+
 def shorten(text: Column) -> Column:
     """At most 24 characters, or 20 and a mark."""
     return F.when(F.length(text) < 25, text).otherwise(F.concat(F.substring(text, 1, 20), F.lit("[...]")))

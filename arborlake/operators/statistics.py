@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arborlake.functions import pairs, universal
+from arborlake.functions import pairs, universal, value_of
 
 SENTENCE = ("doc_id", "sent_no")
 
@@ -88,6 +88,13 @@ def tag_pairs(sentences: DataFrame) -> DataFrame:
     return counted(sentences.select(F.explode(made).alias("p")).select("p.*").where("parent_upos is not null"), "parent_upos", "deprel", "upos")
 
 
+def detailed_pairs(sentences: DataFrame) -> DataFrame:
+    """Counts of (relation, parent's tag with its VerbForm, child's tag with its Case), within the sentence's row."""
+    marked = lambda tag, feats, name: F.concat(tag, F.when(value_of(feats, name) == "", "").otherwise(F.concat(F.lit("-"), value_of(feats, name))))
+    made = F.transform("words", lambda w: F.struct(w["deprel"].alias("deprel"), marked(_parent(F.col("words"), w, "upos"), _parent(F.col("words"), w, "feats"), "VerbForm").alias("parent"), marked(w["upos"], w["feats"], "Case").alias("child")))
+    return counted(sentences.select("lang", F.explode(made).alias("p")).select("lang", "p.*").where("parent is not null"), "lang", "deprel", "parent", "child")
+
+
 def child_degrees(sentences: DataFrame) -> DataFrame:
     """How many words have how many children: runs of equal heads in the sentence's sorted heads."""
     rows = sentences.select(F.size("words").alias("n"), F.array_sort(F.filter(F.transform("words", lambda w: w["head"]), lambda h: h > 0)).alias("heads"))
@@ -183,12 +190,24 @@ def detokenize(sentences: DataFrame) -> DataFrame:
     return sentences.select(*SENTENCE, F.rtrim(F.array_join(pieces, "")).alias("text"))
 
 
-def ranges(trees: DataFrame) -> DataFrame:
-    """Lower-cased range forms with the words they cover, counted; both are in the sentence's row."""
-    rows = trees.withColumn("_words", F.transform(F.filter("nodes", lambda w: w["kind"] == "word"), lambda w: F.lower(w["form"])))
-    covered = lambda n: F.slice("_words", n["major"], n["last"] - n["major"] + 1)
-    made = F.transform(F.filter("nodes", lambda n: n["kind"] == "mwt"), lambda n: F.struct(F.lower(n["form"]).alias("form"), F.array_join(covered(n), " ").alias("words")))
-    return counted(rows.select("lang", F.explode(made).alias("r")).select("lang", "r.*"), "lang", "form", "words")
+def ranges(trees: DataFrame, stem: str = "") -> DataFrame:
+    """Lower-cased range forms with the words they cover, counted; both are in the sentence's row.
+
+    With `stem`, a verb or auxiliary at the head of a range of two words, whose form begins the range's, is written
+    so in both: what is left are the endings that verbs take.
+    """
+    rows = trees.withColumn("_words", F.transform(F.filter("nodes", lambda w: w["kind"] == "word"), lambda w: F.struct(F.lower(w["form"]).alias("form"), w["upos"].alias("upos"))))
+
+    def made(n: Column) -> Column:
+        covered = F.transform(F.slice("_words", n["major"], n["last"] - n["major"] + 1), lambda w: w["form"])
+        form, first = F.lower(n["form"]), F.get("_words", n["major"] - 1)
+        if not stem:
+            return F.struct(form.alias("form"), F.array_join(covered, " ").alias("words"))
+        verb = (n["last"] - n["major"] == 1) & first["upos"].isin("VERB", "AUX") & F.startswith(form, first["form"])
+        rest = F.concat(F.lit(stem), F.substring(form, F.length(first["form"]) + 1, F.length(form)))
+        return F.struct(F.when(verb, rest).otherwise(form).alias("form"), F.when(verb, F.concat(F.lit(stem + " "), F.get("_words", n["major"])["form"])).otherwise(F.array_join(covered, " ")).alias("words"))
+
+    return counted(rows.select("lang", F.explode(F.transform(F.filter("nodes", lambda n: n["kind"] == "mwt"), made)).alias("r")).select("lang", "r.*"), "lang", "form", "words")
 
 
 def tag_runs(sentences: DataFrame, upos: str = "PROPN") -> DataFrame:

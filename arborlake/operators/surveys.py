@@ -66,6 +66,39 @@ def scripts(lines: DataFrame, by: str = "lang") -> DataFrame:
     return sums.withColumn("percent", F.floor(F.lit(100) * F.col("n") / F.sum("n").over(W.partitionBy(by)) + F.lit(0.5)))
 
 
+#: Codes (ISO 15924) of SCRIPTS, and of scripts that mix several of them.
+CODES = {"Latin": "Latn", "Greek": "Grek", "Cyrillic": "Cyrl", "Hebrew": "Hebr", "Arabic": "Arab", "Devanagari": "Deva", "Han": "Hani", "Hiragana": "Hira", "Katakana": "Kana", "Hangul": "Hang", "Thai": "Thai"}
+MIXED = {"Jpan": ("Hani", "Hira", "Kana"), "Kore": ("Hang", "Hani"), "Hans": ("Hani",), "Hant": ("Hani",)}
+
+
+def main_scripts(found: DataFrame, expected: DataFrame, by: str = "lang") -> DataFrame:
+    """Each treebank's commonest script (of `scripts`) by its code, whether it is expected, and what else is written in it.
+
+    expected is (by, script): codes, a row for each that a language uses. A mixed code stands for its parts. A
+    treebank of which nothing is known has null in `expected`, and is not told to be wrong.
+    """
+    code = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in CODES.items() for x in kv)), "script"), "script")
+    parts = F.try_element_at(F.create_map(*(x for k, v in MIXED.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), "script")
+    known = expected.select(by, F.explode(F.coalesce(parts, F.array("script"))).alias("code")).groupBy(by).agg(F.array_sort(F.collect_set("code")).alias("expected"))  # a row for each language
+    rows = found.withColumn("code", code).groupBy(by).agg(F.min_by(F.struct("code", "percent"), F.struct((-F.col("n")).alias("n"), F.col("script"))).alias("main"), F.array_sort(F.collect_set("code")).alias("codes"))
+    rows = rows.join(known, by, "left")
+    return rows.select(by, F.col("main.code").alias("main"), F.col("main.percent").alias("percent"), F.array_join("expected", ",").alias("expected"), F.array_contains("expected", F.col("main.code")).alias("as_expected"), F.array_join(F.array_except("codes", F.coalesce("expected", F.array().cast("array<string>"))), ",").alias("others"))
+
+
+def features_json(sentences: DataFrame, by: str = "lang") -> DataFrame:
+    """One JSON object for each treebank: tag, feature and value to the number of words, keys in order. Multiple values count each.
+
+    What is nested are counts, as many as the scheme has values: they are built level by level, one group at a time.
+    """
+    rows = each(sentences, by).select(by, "upos", F.explode(pairs(F.col("feats"))).alias("f")).select(by, "upos", F.col("f.name").alias("feature"), F.explode(F.split("f.value", ",")).alias("value"))
+    by_key = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)  # noqa: E731  (maps have no order of their own)
+    level = counted(rows, by, "upos", "feature", "value").withColumnRenamed("n", "inside")
+    for keys, name in (((by, "upos", "feature"), "value"), ((by, "upos"), "feature"), ((by,), "upos")):
+        entries = F.collect_list(F.struct(F.col(name).alias("k"), F.col("inside").alias("v")))
+        level = level.groupBy(*keys).agg(F.map_from_entries(F.array_sort(entries, by_key)).alias("inside"))
+    return level.select(by, F.to_json("inside").alias("json"))
+
+
 def parallel(trees: DataFrame, by: str = "source") -> DataFrame:
     """Parallel collections: distinct core sentences of each treebank, and how many are alternatives or parts."""
     names = F.transform(F.filter("comments", lambda c: c.rlike(r"\A#\s*parallel_id\s*=\s*\S")), lambda c: F.regexp_extract(c, r"=\s*(\S+)", 1))

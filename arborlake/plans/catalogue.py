@@ -8,8 +8,8 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.functions import composed, universal, without_spaces
-from arborlake.operators import checks, coreference, graphs, lookups, offsets, release, render, rewrites, rules, scorer, statistics, surveys, validator, verses
+from arborlake.functions import composed, transliterated, universal, without_spaces
+from arborlake.operators import checks, coreference, graphs, lookups, offsets, paradigms, release, render, rewrites, rules, scorer, statistics, surveys, validator, verses
 from arborlake.operators.sentence import per_sentence
 from arborlake.sources import files, registry
 from arborlake.sources.conllu import exploded, nodes_table, rendered
@@ -722,3 +722,70 @@ _add(
 SELECT '{{"doc_id":"' || doc_id || '","lang":"' || lang || '","sent_no":"' || sent_no || '","level":"2","type":"ERROR","testclass":"' || CASE WHEN testid = 'missing-text' THEN 'METADATA' ELSE 'SYNTAX' END || '","testid":"' || testid || '","line":"' || line || '","node":"' || node || '"}}' AS json
 FROM content JOIN places USING (doc_id, sent_no, node) JOIN l USING (doc_id) WHERE testid IN ('head-self-loop', 'missing-text')""",
 )
+
+# Paradigms with case folded, stems of verbs in ranges, relations in detail, scripts as expected, features as JSON.
+
+_CELLS_SQL = "k AS (SELECT lang, lemma, upos, form, feats, count(*) AS n, lower(form) AS low, upper(substr(form, 1, 1)) || lower(substr(form, 2)) AS cap FROM words GROUP BY ALL)"
+_FORMS_SQL = f"""{WORDS_SQL}, {_CELLS_SQL}, l AS (SELECT DISTINCT lang, lemma, upos, form FROM k),
+fo AS (SELECT k.lang, k.lemma, k.upos, CASE WHEN a.form IS NOT NULL THEN k.low WHEN b.form IS NOT NULL THEN k.cap ELSE k.form END AS form, k.feats, CAST(sum(k.n) AS BIGINT) AS n
+  FROM k LEFT JOIN l a ON (a.lang, a.lemma, a.upos, a.form) = (k.lang, k.lemma, k.upos, k.low) LEFT JOIN l b ON (b.lang, b.lemma, b.upos, b.form) = (k.lang, k.lemma, k.upos, k.cap) GROUP BY ALL)"""
+_add("folded_forms", _words(lambda w: paradigms.forms(w, "lang")), f"WITH {_FORMS_SQL} SELECT * FROM fo")
+
+
+def _paradigms(step: Callable[[DataFrame, DataFrame], DataFrame], **asked) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        counts = paradigms.forms(words(spark, sf_dir), "lang")
+        return step(counts, paradigms.sized(counts, "lang", **asked))
+
+    return query
+
+
+_SIZED_SQL = f"{_FORMS_SQL}, p AS (SELECT lang, lemma, upos, count(DISTINCT form) AS n_forms, count(*) AS n_slots, CAST(sum(n) AS BIGINT) AS n, bool_or(feats LIKE '%Case=%') AS cased FROM fo GROUP BY ALL)"
+_ORDER_SQL = "n_forms DESC, n_slots DESC, n DESC, lemma, upos"
+_add(
+    "paradigms_telling", _paradigms(lambda counts, chosen: paradigms.telling(counts, chosen, "lang").withColumn("new", F.array_join("new", " "))),
+    f"""WITH {_SIZED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_ORDER_SQL}) AS place FROM p), v AS (SELECT r.*, unnest(string_split(fo.feats, '|')) AS value FROM r JOIN fo USING (lang, lemma, upos)),
+m AS (SELECT lang, value, min(place) AS place FROM v WHERE value <> '_' GROUP BY ALL)
+SELECT lang, lemma, upos, n_forms, n_slots, r.n, string_agg(value, ' ' ORDER BY value) AS new FROM m JOIN r USING (lang, place) GROUP BY ALL""",
+)
+_add(
+    "paradigm_tables", _paradigms(lambda counts, chosen: paradigms.table(counts, paradigms.largest(chosen, "lang"), "lang", features=("Number", "Case"), values={"Number": ("Sing", "Plur"), "Case": ("Nom", "Acc")}), tags=("NOUN", "VERB", "ADJ"), feats=("case=",)),
+    f"""WITH {_SIZED_SQL}, b AS (SELECT * FROM p WHERE upos IN ('NOUN', 'VERB', 'ADJ') AND cased QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {_ORDER_SQL}) = 1),
+o(feats, nth) AS (VALUES ('_', 0), ('Number=Sing', 1), ('Case=Nom|Number=Sing', 2), ('Number=Plur', 3), ('Case=Acc|Number=Plur', 4), ('Case=Nom,Acc', 5), ('ExtPos=ADV', 6), ('Foreign=Yes', 7), ('Mood=Ind|VerbForm=Fin', 8), ('PronType=Prs', 9), ('VerbForm=Inf', 10))
+SELECT fo.lang, fo.lemma, fo.upos, CAST(row_number() OVER (PARTITION BY fo.lang ORDER BY nth, form) AS INTEGER) AS place, form, feats, fo.n FROM fo JOIN b USING (lang, lemma, upos) JOIN o USING (feats)""",
+)
+_add(
+    "verb_ranges", _trees(lambda t: statistics.ranges(t, "VERB")),
+    f"WITH {WORDS_SQL}, r AS (SELECT lang, lower(form) AS a, lower(next_form) AS b, lower(form || next_form) AS whole, upos IN ('VERB', 'AUX') AS verb FROM words WHERE starts_range) SELECT lang, CASE WHEN verb THEN 'VERB' || b ELSE whole END AS form, CASE WHEN verb THEN 'VERB' ELSE a END || ' ' || b AS words, count(*) AS n FROM r GROUP BY ALL",
+)
+_add(
+    "detailed_relations", _nested(statistics.detailed_pairs, "upos", "head", "deprel", "feats"),
+    f"""WITH {WORDS_SQL}, m AS (SELECT *, upos || coalesce('-' || nullif(regexp_extract(feats, 'VerbForm=([^|]+)', 1), ''), '') AS as_parent, upos || coalesce('-' || nullif(regexp_extract(feats, 'Case=([^|]+)', 1), ''), '') AS as_child FROM words)
+SELECT c.lang, c.deprel, p.as_parent AS parent, c.as_child AS child, count(*) AS n FROM m c JOIN m p ON (p.doc_id, p.sent_no, p.id) = (c.doc_id, c.sent_no, c.head) GROUP BY ALL""",
+)
+
+
+def _main_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = spark.createDataFrame([("en", "Latn"), ("de", "Latn"), ("es", "Grek"), ("fr", "Jpan")], "lang string, script string")
+    return surveys.main_scripts(surveys.scripts(sentences(spark, sf_dir)), expected)
+
+
+_CODES_SQL = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in surveys.CODES.items()) + ") t(script, code)"
+_add(
+    "main_scripts", _main_scripts,
+    f"""WITH {SENTENCES_SQL}, l AS (SELECT lang, unnest(regexp_extract_all(line, '\\p{{L}}')) AS letter FROM sentences), s AS (SELECT lang, {_SCRIPT} AS script, count(*) AS n FROM l GROUP BY ALL),
+c AS (SELECT lang, script, n, coalesce(code, script) AS code, CAST(floor(100 * n / sum(n) OVER (PARTITION BY lang) + 0.5) AS BIGINT) AS percent FROM s LEFT JOIN {_CODES_SQL} USING (script)),
+e(lang, expected) AS (VALUES ('en', ['Latn']), ('de', ['Latn']), ('es', ['Grek']), ('fr', ['Hani', 'Hira', 'Kana'])),
+m AS (SELECT lang, arg_min((code, percent), (-n, script)) AS main, list_sort(list(code)) AS codes FROM c GROUP BY lang)
+SELECT lang, main[1] AS main, main[2] AS percent, array_to_string(expected, ',') AS expected, list_contains(expected, main[1]) AS as_expected, array_to_string(list_filter(codes, lambda x: NOT coalesce(list_contains(expected, x), false)), ',') AS others FROM m LEFT JOIN e USING (lang)""",
+)
+_add(
+    "features_json", _words(surveys.features_json),
+    f"""WITH {WORDS_SQL}, c AS (SELECT lang, upos, feature, value, count(*) AS n FROM {_F} GROUP BY ALL),
+v AS (SELECT lang, upos, feature, string_agg('"' || value || '":' || n, ',' ORDER BY value) AS t FROM c GROUP BY ALL), f AS (SELECT lang, upos, string_agg('"' || feature || '":{{' || t || '}}', ',' ORDER BY feature) AS t FROM v GROUP BY ALL)
+SELECT lang, '{{' || string_agg('"' || upos || '":{{' || t || '}}', ',' ORDER BY upos) || '}}' AS json FROM f GROUP BY lang""",
+)
+_add(
+    "forms_transliterated", _words(lambda w: w.select("doc_id", "sent_no", "id", transliterated(F.col("form"), F.col("misc"), "Translit").alias("form"))),
+    f"WITH {WORDS_SQL} SELECT doc_id, sent_no, id, CASE WHEN misc = 'Translit=x' THEN form || ' x' ELSE form END AS form FROM words",
+)
