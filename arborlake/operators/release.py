@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -101,3 +101,70 @@ def repeated_ids(sentences: DataFrame) -> DataFrame:
     few = rows.select(F.when(F.size("names") == 0, "missing").when(F.size("names") > 1, "several").alias("finding"), F.get("names", F.lit(0)).alias("sent_id")).where("finding is not null")
     twice = rows.where("size(names) > 0").groupBy(F.get("names", F.lit(0)).alias("sent_id")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated").alias("finding"), "sent_id")
     return few.unionByName(twice)
+
+
+def column_of(field: str) -> str:
+    return field.lower().replace(" ", "_")
+
+
+def metadata(readmes: DataFrame) -> DataFrame:
+    """READMEs (name, text) with a column for each of FIELDS, `summary` and `changelog`: readme() as column expressions.
+
+    A field that is given twice has its last value; a missing one, and every field of a null text, is empty.
+    """
+    trim = lambda c: F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    text = F.coalesce("text", F.lit(""))
+    lines = F.transform(F.split(text, "\n"), trim)
+
+    def value(field: str) -> Column:
+        said = F.filter("_lines", lambda x: F.startswith(x, F.lit(f"{field}:")))
+        return F.coalesce(trim(F.substring(F.try_element_at(said, F.lit(-1)), len(field) + 2, 1 << 30)), F.lit(""))
+
+    sections = F.split(text, r"(?m)^#+\s*")
+    begins = lambda word: F.filter("_sections", lambda x: F.startswith(F.lower(x), F.lit(word)))
+    first = F.coalesce(F.get(begins("summary"), F.lit(0)), F.lit(""))
+    body = F.regexp_replace(first, r"\A[^\n]*\n?", "")
+    plain = F.regexp_replace(body, r"\[([^\]]*)\]\([^)]*\)|[*_`]", "$1")  # no group, no text
+    rows = readmes.select("name", lines.alias("_lines"), sections.alias("_sections"))
+    return rows.select("name", *(value(f).alias(column_of(f)) for f in FIELDS), trim(F.regexp_replace(plain, r"(?U)\s+", " ")).alias("summary"), F.when(F.size(begins("changelog")) > 0, "yes").otherwise("no").alias("changelog"))
+
+
+def metadata_table(meta: DataFrame, first: DataFrame | None = None, collections: tuple[str, ...] = ()) -> DataFrame:
+    """name, finding of metadata(): metadata_findings() as column expressions. `first` (name, first) tells a treebank's first release."""
+    rows = meta.withColumn("_first", F.lit("")) if first is None else meta.join(first.select("name", F.col("first").alias("_first")), "name", "left")
+    since, genres = F.col("data_available_since"), F.filter(F.split("genre", r"\s+"), lambda x: x != "")
+    words = F.filter(F.split("parallel", r"\s+"), lambda x: x != "")
+    given = F.coalesce("_first", F.lit(""))
+    among = lambda a, allowed: F.size(F.filter(a, lambda x: ~x.isin(*allowed))) == 0
+    rules: dict[str, Column] = {
+        "available-since": ~since.rlike(r"\AUD v[0-9]+\.[0-9]+\z") | ((given != "") & (since != F.concat(F.lit("UD v"), given))),
+        "parallel-unknown": ~F.col("parallel").isin("", "no") & ~among(words, collections or ("",)),
+        "genre-unknown": (F.size(genres) == 0) | ~among(genres, sorted(GENRES)),
+        "license-unknown": ~F.col("license").rlike(r"\A(LGPL|GPL|CC|GNU|ODC|Public)"),
+        "includes-text": ~F.col("includes_text").isin("yes", "no"),
+        **{f"source-{k.lower()}": ~F.col(column_of(k)).isin(*sorted(SOURCES)) for k in ("Lemmas", "UPOS", "XPOS", "Features", "Relations")},
+        **{f"missing-{k.lower()}": F.col(column_of(k)) == "" for k in ("Contributors", "Contributing", "Contact")},
+        "summary-length": ~F.length("summary").between(40, 500), "missing-changelog": F.col("changelog") == "no",
+    }
+    return rows.select("name", F.explode(F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())), lambda x: x.isNotNull())).alias("finding"))
+
+
+def report(files: DataFrame, readmes: DataFrame, releases: DataFrame, renamed: DataFrame, collections: tuple[str, ...] = ()) -> DataFrame:
+    """name, kind (files, metadata, release), finding: what stands against a release.
+
+    files (name, file), readmes (name, text), releases and renamed as in history(). A treebank is known by its files;
+    one without a README has a finding of its files and none of its metadata; one that was released under its newest
+    name and has no files any more is `gone`, one with files and no release is `new`.
+    """
+    known = history(releases, renamed)
+    present = files.select("name").distinct()
+    state = present.withColumn("_here", F.lit(True)).join(known.select("name", F.lit(True).alias("_before")), "name", "full")
+    moved = state.select("name", F.when(F.col("_here").isNull(), "gone").when(F.col("_before").isNull(), "new").alias("finding")).where("finding is not null")
+    parts = {"files": file_findings(files), "metadata": metadata_table(metadata(readmes), known.select("name", "first"), collections), "release": moved}
+    tables = [df.select("name", F.lit(kind).alias("kind"), "finding") for kind, df in parts.items()]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+
+
+def by_treebank(found: DataFrame) -> DataFrame:
+    """name, n_findings, and all findings in order: one row for each treebank that has any."""
+    return found.groupBy("name").agg(F.count("*").alias("n_findings"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "kind", "finding"))), "; ").alias("findings"))  # as many as there are rules

@@ -789,3 +789,35 @@ _add(
     "forms_transliterated", _words(lambda w: w.select("doc_id", "sent_no", "id", transliterated(F.col("form"), F.col("misc"), "Translit").alias("form"))),
     f"WITH {WORDS_SQL} SELECT doc_id, sent_no, id, CASE WHEN misc = 'Translit=x' THEN form || ' x' ELSE form END AS form FROM words",
 )
+
+# A release's report: a repository for each language and source, its files and README made of its number of documents.
+
+
+def _repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    repo = F.concat(F.lit("UD_"), F.coalesce("lang", F.lit("none")), F.lit("-"), F.regexp_replace(F.coalesce("source", F.lit("none")), r"[^A-Za-z0-9]", ""))
+    return docs.groupBy(repo.alias("name")).agg(F.count("*").alias("n"))
+
+
+def _release_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repos, n = _repositories(spark, sf_dir), F.col("n")
+    unless = lambda c, x, other: F.when(c, F.lit(other)).otherwise(F.lit(x))
+    listed = F.array(unless(n % 13 == 0, "README.md", "stats.xml"), unless(n % 5 == 1, "LICENSE.txt", ".gitignore"), F.lit("CONTRIBUTING.md"), unless(n % 7 == 0, "xx_y-ud-test.conllu", "xx_y-ud-train.conllu"), unless(n % 6 == 2, "eval.log", "notes.docx"))
+    fields = F.concat_ws("\n", F.concat(F.lit("Data available since: UD v2."), n % 12), F.concat(F.lit("License: "), unless(n % 5 == 0, "CC BY-SA 4.0", "ask us")), F.concat(F.lit("Includes text:"), unless(n % 4 == 0, " yes", "perhaps")), F.concat(F.lit("Parallel: "), unless(n % 10 == 0, "up", "up xx")), F.concat(F.lit("Genre: "), F.when(n % 7 == 1, "").when(n % 6 == 0, "news gossip").otherwise("news  wiki")), F.concat(F.lit("Lemmas: "), unless(n % 9 == 0, "manual native", "by hand")), F.lit("UPOS: automatic\nXPOS: nothing\nXPOS: not available\nFeatures: automatic\nRelations: automatic"), F.concat(F.lit("Contributors: "), unless(n % 8 == 0, "A, B", " ")), F.lit("Contributing: elsewhere\nContact: a@b.c"))
+    text = F.concat(F.lit("# Summary\n\n*"), F.expr("repeat('abcd ', cast(n % 120 as int))"), F.lit("[x](y)*\n\n"), unless(n % 3 == 0, "# Changelog\n\n* first", "# Other\n\n* first"), F.lit("\n\n"), fields, F.lit("\n"))
+    released = repos.where("n % 16 <> 3").select(F.concat(F.lit("2."), F.when(n % 11 == 0, n % 12 + 1).otherwise(n % 12)).alias("release"), F.when(n % 2 == 0, F.concat("name", F.lit("Old"))).otherwise(F.col("name")).alias("name"))
+    renamed = repos.where("n % 16 <> 3 and n % 2 = 0 and n % 14 <> 0").select(F.concat("name", F.lit("Old")).alias("old"), F.col("name").alias("new"))
+    return release.by_treebank(release.report(repos.select("name", F.explode(F.array_distinct(listed)).alias("file")), repos.select("name", text.alias("text")), released, renamed, ("up",)))
+
+
+_add(
+    "release_report", _release_report,
+    """WITH r AS (SELECT 'UD_' || coalesce(lang, 'none') || '-' || regexp_replace(coalesce(source, 'none'), '[^A-Za-z0-9]', '', 'g') AS name, count(*) AS n FROM documents GROUP BY ALL),
+k AS (SELECT name, n, n % 16 <> 3 AS released, n % 16 <> 3 AND n % 2 = 0 AND n % 14 = 0 AS lost FROM r),
+f AS (SELECT name, 'files: missing-readme' AS x FROM k WHERE n % 13 = 0 UNION ALL SELECT name, 'files: missing-license' FROM k WHERE n % 5 = 1 UNION ALL SELECT name, 'files: missing-test' FROM k WHERE n % 7 = 0 UNION ALL SELECT name, 'files: extra notes.docx' FROM k WHERE n % 6 = 2
+UNION ALL SELECT name, 'metadata: available-since' FROM k WHERE n % 11 = 0 AND released AND NOT lost UNION ALL SELECT name, 'metadata: license-unknown' FROM k WHERE n % 5 = 0 UNION ALL SELECT name, 'metadata: includes-text' FROM k WHERE n % 4 = 0
+UNION ALL SELECT name, 'metadata: parallel-unknown' FROM k WHERE n % 10 = 0 UNION ALL SELECT name, 'metadata: genre-unknown' FROM k WHERE n % 7 = 1 OR n % 6 = 0 UNION ALL SELECT name, 'metadata: source-lemmas' FROM k WHERE n % 9 = 0
+UNION ALL SELECT name, 'metadata: missing-contributors' FROM k WHERE n % 8 = 0 UNION ALL SELECT name, 'metadata: missing-changelog' FROM k WHERE n % 3 = 0 UNION ALL SELECT name, 'metadata: summary-length' FROM k WHERE 5 * (n % 120) + 1 NOT BETWEEN 40 AND 500
+UNION ALL SELECT name, 'release: new' FROM k WHERE NOT released OR lost UNION ALL SELECT name || 'Old', 'release: gone' FROM k WHERE lost)
+SELECT name, count(*) AS n_findings, string_agg(x, '; ' ORDER BY x) AS findings FROM f GROUP BY name""",
+)
