@@ -821,3 +821,39 @@ UNION ALL SELECT name, 'metadata: missing-contributors' FROM k WHERE n % 8 = 0 U
 UNION ALL SELECT name, 'release: new' FROM k WHERE NOT released OR lost UNION ALL SELECT name || 'Old', 'release: gone' FROM k WHERE lost)
 SELECT name, count(*) AS n_findings, string_agg(x, '; ' ORDER BY x) AS findings FROM f GROUP BY name""",
 )
+
+# Level 1 on lines and the tree rules of level 2, within the sentence's row.
+
+_HEADS = "CASE WHEN (doc_id + sent_no) % 7 = 0 AND id = 2 THEN 0 WHEN (doc_id + sent_no) % 7 = 1 AND id = 1 THEN n_words WHEN (doc_id + sent_no) % 7 = 2 AND id = 3 THEN n_words + 5 ELSE head END"
+
+
+def _bent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of which some have two roots, a cycle through the first word, or a head that is no word."""
+    doc = (F.col("doc_id") + F.col("sent_no")) % 7
+    head = lambda w: F.when((doc == 0) & (w["id"] == 2), F.lit(0)).when((doc == 1) & (w["id"] == 1), F.size("words")).when((doc == 2) & (w["id"] == 3), F.size("words") + 5).otherwise(w["head"])
+    return nested(spark, sf_dir, "id", "head").withColumn("words", F.transform("words", lambda w: F.struct(w["id"].alias("id"), head(w).cast("long").alias("head"))))
+
+
+_add(
+    "tree_rules", lambda spark, sf_dir: rules.trees(_bent(spark, sf_dir), ("doc_id", "sent_no")),
+    f"""WITH RECURSIVE {WORDS_SQL}, b AS (SELECT doc_id, sent_no, id, {_HEADS} AS h FROM words), walk AS (SELECT doc_id, sent_no, id, 1 AS depth FROM b WHERE h = 0 UNION ALL SELECT b.doc_id, b.sent_no, b.id, walk.depth + 1 FROM walk JOIN b ON b.doc_id = walk.doc_id AND b.sent_no = walk.sent_no AND b.h = walk.id),
+d AS (SELECT doc_id, sent_no, max(depth) AS depth, count(*) AS reached FROM walk GROUP BY ALL), n AS (SELECT doc_id, sent_no, count(*) AS n, count_if(h = 0) AS n_roots, count_if(h = id) AS n_loops FROM b GROUP BY ALL), c AS (SELECT doc_id, sent_no, max(k) AS k FROM (SELECT doc_id, sent_no, h, count(*) AS k FROM b GROUP BY ALL) GROUP BY ALL)
+SELECT doc_id, sent_no, CAST(coalesce(depth, 0) AS INTEGER) AS depth, CAST(n - coalesce(reached, 0) AS INTEGER) AS n_unreached, CAST(n_roots AS INTEGER) AS n_roots, CAST(n_loops AS INTEGER) AS n_loops, CAST(k AS INTEGER) AS max_children,
+CASE WHEN n_loops > 0 THEN 'head-self-loop' WHEN n_roots > 1 THEN 'multiple-roots' WHEN n > coalesce(reached, 0) THEN 'non-tree' END AS verdict FROM n LEFT JOIN d USING (doc_id, sent_no) JOIN c USING (doc_id, sent_no)""",
+)
+
+
+def _frayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The treebank as text with a fault of the line of the third word, by the residue of the document."""
+    word, k = "(\\n)(3\t[^\\n]*)", F.col("doc_id") % 8
+    edited = lambda to: F.regexp_replace("raw", word, to)
+    raw = F.when(k == 0, edited("$1$2\tx")).when(k == 1, edited("$1\n$2")).when(k == 2, edited("$1# late\n$2")).when(k == 3, edited("$1\u00a0\n$2")).when(k == 4, edited("$1x$2")).when(k == 5, edited("$1")).when(k == 6, F.regexp_replace("raw", "(\\n3\t)([^\t\\n]*)", "$1 $2  ")).otherwise(F.col("raw"))
+    return blocks(spark, sf_dir).withColumn("raw", F.when(k == 7, raw).otherwise(F.concat(raw, F.lit("\n"))))
+
+
+_LINE_FAULTS = ((0, "number-of-columns"), (1, "extra-empty-line"), (2, "misplaced-comment"), (3, "pseudo-empty-line"), (3, "extra-empty-line"), (4, "invalid-line"), (6, "leading-whitespace"), (6, "trailing-whitespace"), (6, "repeated-whitespace"))
+_add(
+    "rules_lines", lambda spark, sf_dir: rules.lines(_frayed(spark, sf_dir), ("doc_id", "sent_no")).where("testid in ('missing-empty-line', " + ", ".join(f"'{t}'" for _, t in _LINE_FAULTS) + ")").select("doc_id", "sent_no", "testid"),
+    f"""WITH {WORDS_SQL}, t(k, testid) AS (VALUES {", ".join(f"({k}, '{t}')" for k, t in _LINE_FAULTS)}) SELECT doc_id, sent_no, testid FROM words JOIN t ON doc_id % 8 = t.k WHERE id = 3
+UNION ALL SELECT doc_id, sent_no, 'extra-empty-line' FROM words WHERE doc_id % 8 = 5 AND id = 3 UNION ALL SELECT DISTINCT doc_id, sent_no, 'missing-empty-line' FROM words WHERE doc_id % 8 = 7""",
+)

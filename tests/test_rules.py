@@ -1,5 +1,6 @@
 """Rules as column expressions against the checks that walk a sentence, on the synthetic treebank and on planted cells."""
 
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -55,6 +56,77 @@ def test_planted_cells_and_contents_are_found(spark):
         assert len({t for _, t in expected}) > 12
 
 
+LINES = {
+    "misplaced-comment", "pseudo-empty-line", "extra-empty-line", "empty-sentence", "invalid-line", "missing-empty-line", "number-of-columns", "invalid-whitespace-mwt", "invalid-whitespace", "empty-column", "leading-whitespace",
+    "trailing-whitespace", "repeated-whitespace", "invalid-word-id", "word-id-sequence", "misplaced-word-interval", "misplaced-empty-node", "reversed-word-interval", "word-interval-out", "overlapping-word-intervals",
+}
+
+
+def test_line_rules_find_what_is_planted(spark):
+    df = planted(spark, 1)
+    walked = checks.validate(df, ("n", "lang"), level=1)
+    expected = {(r.n, r.testid) for r in walked.where(F.col("testid").isin(*LINES)).collect()}
+    whole = df.withColumn("raw", F.concat("raw", F.lit("\n")))
+    found = {(r.n, r.testid) for r in rules.lines(whole, ("n",)).collect()}
+    stopped = {n for n, _ in expected}
+    # Where an earlier rule stops the walk, more may be told; sound sentences have nothing.
+    assert expected <= found and {n for n, _ in found} == stopped, (expected - found, found - expected)
+    assert len({t for _, t in expected}) > 10
+
+
+def test_line_rules_on_ids_equal_the_walk(spark):
+    rng = random.Random(11)
+    line = lambda i: "\t".join((i, "w", *"________"))
+    texts = []
+    for _ in range(150):
+        made, n = [], 0
+        for _ in range(rng.randrange(1, 7)):
+            n += rng.random() < 0.9 or 2
+            if rng.random() < 0.3:
+                a = n + rng.choice([0, 0, 0, -1])
+                made.append(f"{a}-{a + rng.choice([1, 1, 2, -1])}")
+            made.append(str(n) if rng.random() < 0.95 else "0x")
+            made += [f"{n}.{k + rng.choice([1, 1, 1, 2])}" for k in range(rng.choice([0, 0, 0, 1, 2]))]
+        texts.append("\n".join(["# c", *map(line, made), ""]))
+    edge = ["", "\n", "# c\n", "# c\n\n\n", line("1"), "\t" * 9 + "\n", line("1-1") + "\n", line("0.1") + "\n" + line("1") + "\n", line("99999999999") + "\n", line("1") + "\n \n" + line("2") + "\n"]
+    rows = [*enumerate(texts + edge), (-1, None)]
+    found: dict = {}
+    for r in rules.lines(spark.createDataFrame(rows, "n int, raw string"), ("n",)).collect():
+        found.setdefault(r.n, set()).add(r.testid)
+    for n, raw in rows[: len(texts)]:
+        due = {f.testid for f in checks.chain(raw, "ud", 1, {}) if f.testid in LINES}
+        # Local rules agree with the walk on whether a sentence is sound, and on all findings of sound neighbours.
+        assert bool(due) == bool(found.get(n)), (raw, due, found.get(n))
+    at = len(texts)
+    assert -1 not in found and [found.get(at + k, set()) for k in range(len(edge))] == [
+        {"empty-sentence"}, {"extra-empty-line", "empty-sentence"}, {"empty-sentence"}, {"extra-empty-line", "empty-sentence"}, {"missing-empty-line"}, {"pseudo-empty-line", "extra-empty-line", "empty-sentence"}, {"word-interval-out"}, set(), {"word-id-sequence"},
+        {"pseudo-empty-line", "extra-empty-line"},
+    ]
+
+
+def test_depths_and_tree_rules_equal_a_walk(spark):
+    rng = random.Random(7)
+    cases = [[rng.choice([0, *range(n + 2), None][: n + 3]) for _ in range(n)] for n in [1, 2, 3, 5, 8, 13] * 20]
+    cases += [[k - 1 for k in range(1, 200)], [k + 1 for k in range(1, 120)] + [0], [2, 1], [1], [], [0] * 5, [3, 0, 2, 5, 4]]
+    df = spark.createDataFrame([(k, [(i + 1, h) for i, h in enumerate(heads)]) for k, heads in enumerate(cases)], "k int, words array<struct<id:int,head:int>>")
+    shapes = {r.k: r for r in rules.trees(df, ("k",)).collect()}
+    listed = {r.k: r.d for r in df.select("k", rules.depths(F.transform("words", lambda w: w["head"])).alias("d")).collect()}
+    for k, heads in enumerate(cases):
+        due = []
+        for i in range(len(heads)):
+            far, at = 0, i + 1
+            while at and far <= len(heads):
+                at = heads[at - 1] if at <= len(heads) and heads[at - 1] is not None else len(heads) + 9
+                far = far + 1 if at <= len(heads) else len(heads) + 9
+            due.append(far if at == 0 else None)
+        assert listed[k] == due, heads
+        counts = Counter(h for h in heads if h is not None)
+        loops = sum(h == i + 1 for i, h in enumerate(heads))
+        verdict = "head-self-loop" if loops else "multiple-roots" if counts[0] > 1 else "non-tree" if None in due else None
+        r = shapes[k]
+        assert (r.depth, r.n_unreached, r.n_roots, r.n_loops, r.max_children, r.verdict) == (max((d for d in due if d), default=0), due.count(None), counts[0], loops, max(counts.values(), default=0), verdict), heads
+
+
 def test_registry_files_and_lookups_equal_the_walk(spark):
     folder = new_folder(spark, "registry")
     for name, text in registry.as_json(registry.SAMPLE).items():
