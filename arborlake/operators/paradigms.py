@@ -30,6 +30,8 @@ def forms(sentences: DataFrame, *keys: str, translit: str = "none") -> DataFrame
     counts = rows.select(*keys, written["lemma"].alias("lemma"), "upos", written["form"].alias("form"), F.coalesce("feats", F.lit("_")).alias("feats")).groupBy(*keys, *CELL).agg(F.count("*").alias("n"))
     lower = F.lower("form")
     capital = F.concat(F.upper(F.substring("form", 1, 1)), F.lower(F.substring("form", 2, 1 << 30)))
+    # Counts are dealt by paradigm once; the window, the sums and the sizes of paradigms find them where they are.
+    counts = counts.repartition(*keys, "lemma", "upos")
     # A form and what it may be folded to have one lower-case form: they are in one small group.
     group = W.partitionBy(*keys, "lemma", "upos", lower)
     occurs = lambda c: F.max((F.col("form") == c).cast("int")).over(group) == 1
@@ -38,18 +40,18 @@ def forms(sentences: DataFrame, *keys: str, translit: str = "none") -> DataFrame
 
 
 def sized(counts: DataFrame, *keys: str, min_forms: int = 1, lemma: str = "", tags: tuple[str, ...] = (), feats: tuple[str, ...] = (), shapes: tuple[str, ...] = ()) -> DataFrame:
-    """keys, lemma, upos, n_forms, n_slots (form and features), n: paradigms that hold each of `feats` in some annotation and each of `shapes` as some whole form.
+    """keys, lemma, upos, n_forms, n_slots (form and features), n, values (of its features): paradigms that hold each of `feats` in some annotation and each of `shapes` as some whole form.
 
     `lemma` (whole), `feats` and `shapes` are expressions, case left aside; `tags` are given as they are.
     """
     rows = counts.where(F.col("lemma").rlike(rf"(?i)\A(?:{lemma})\z")) if lemma else counts
     rows = rows.where(F.col("upos").isin(*tags)) if tags else rows
     asked = [F.col("feats").rlike(f"(?i){x}") for x in feats] + [F.col("form").rlike(rf"(?i)\A(?:{x})\z") for x in shapes]
-    found = rows.groupBy(*keys, "lemma", "upos").agg(F.countDistinct("form").alias("n_forms"), F.count("*").alias("n_slots"), F.sum("n").alias("n"), *(F.max(c).alias(f"_{i}") for i, c in enumerate(asked)))
+    found = rows.groupBy(*keys, "lemma", "upos").agg(F.countDistinct("form").alias("n_forms"), F.count("*").alias("n_slots"), F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_set(F.split("feats", r"\|")))).alias("values"), *(F.max(c).alias(f"_{i}") for i, c in enumerate(asked)))
     kept = F.col("n_forms") >= min_forms
     for i in range(len(asked)):
         kept = kept & F.col(f"_{i}")
-    return found.where(kept).select(*keys, "lemma", "upos", "n_forms", "n_slots", "n")
+    return found.where(kept).select(*keys, "lemma", "upos", "n_forms", "n_slots", "n", F.filter("values", lambda x: x != "_").alias("values"))
 
 
 def _first(size: tuple[str, ...] = ("n_forms", "n_slots", "n")) -> Column:
@@ -57,16 +59,16 @@ def _first(size: tuple[str, ...] = ("n_forms", "n_slots", "n")) -> Column:
     return F.struct(*((-F.col(c)).alias(c) for c in size), F.col("lemma"), F.col("upos"))
 
 
-def telling(counts: DataFrame, chosen: DataFrame, *keys: str) -> DataFrame:
-    """Of the chosen paradigms, largest first, those that show a feature's value that no larger one has shown.
+def telling(chosen: DataFrame, *keys: str) -> DataFrame:
+    """Of the chosen paradigms, largest first, those that show a feature's value that no larger one has shown; `new` has these values.
 
-    Each value names the largest paradigm that has it, so there is no walk along the order: one aggregate by value.
+    Each value names the largest paradigm that has it, so there is no walk along the order and no join: its place in
+    the order is the paradigm itself.
     """
-    of = counts.drop("n").join(chosen, [*keys, "lemma", "upos"]).withColumn("_place", _first())
-    values = of.select(*keys, "_place", F.explode(F.filter(F.split("feats", r"\|"), lambda x: x != "_")).alias("value"))
-    first = values.groupBy(*keys, "value").agg(F.min("_place").alias("p"))
-    shown = first.groupBy(*keys, F.col("p.lemma").alias("lemma"), F.col("p.upos").alias("upos")).agg(F.array_sort(F.collect_list("value")).alias("new"))  # values of features: few
-    return chosen.join(shown, [*keys, "lemma", "upos"])
+    values = chosen.select(*keys, _first().alias("p"), F.explode("values").alias("value"))
+    first = values.groupBy(*keys, "value").agg(F.min("p").alias("p"))
+    shown = first.groupBy(*keys, "p").agg(F.array_sort(F.collect_list("value")).alias("new"))  # as many as the scheme has values
+    return shown.select(*keys, "p.lemma", "p.upos", *((-F.col(f"p.{c}")).alias(c) for c in ("n_forms", "n_slots", "n")), "new")
 
 
 def largest(chosen: DataFrame, *keys: str) -> DataFrame:

@@ -275,8 +275,50 @@ def wrapped(pieces: list[str], width: int = 80, anywhere: bool = False) -> str:
     return "\n\n".join(out)
 
 
+def spoken(nodes: Column) -> Column:
+    """A sentence's text from its nodes: ranges and the words outside of them, each with its space."""
+    ranges = F.filter(nodes, lambda n: n["kind"] == "mwt")
+    shown = F.filter(nodes, lambda n: (n["kind"] == "mwt") | ((n["kind"] == "word") & ~F.exists(ranges, lambda r: (r["major"] <= n["major"]) & (n["major"] <= r["last"]))))
+    return F.array_join(F.transform(shown, lambda n: F.concat(n["form"], F.when(F.array_contains(F.split(n["misc"], r"\|"), "SpaceAfter=No"), "").otherwise(" "))), "")
+
+
+def paragraphs(sentences: DataFrame, document: tuple[str, ...], order: str) -> DataFrame:
+    """document, paragraph (from 1), text: the sentences (raw) of each paragraph by their order, joined by their spacing.
+
+    `newdoc` and `newpar` begin a paragraph. The texts are dealt by document once; numbers and texts of paragraphs are
+    made there, row by row, and no value holds more than a paragraph. Sentences without text give empty paragraphs.
+    """
+    rows = conllu.parsed(sentences.select(*document, order, "raw"))
+    begins = F.exists("comments", lambda c: c.rlike(r"\A#\s*new(doc|par)(\s|\z)"))
+    # What Spark windows over and groups by here is clustered by the document already: one exchange.
+    inside = W.partitionBy(*document).orderBy(order)
+    first = F.row_number().over(inside) == 1
+    rows = rows.select(*document, order, begins.alias("_begins"), spoken(F.col("nodes")).alias("_text")).withColumn("_first", first)
+    rows = rows.withColumn("paragraph", F.sum((F.col("_begins") | F.col("_first")).cast("int")).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)).cast("int"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_text"))), lambda x: x["_text"]), "")
+    return rows.groupBy(*document, "paragraph").agg(F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "").alias("text"))
+
+
+def filled(text: Column, width: int = 80) -> Column:
+    """The lines of a paragraph: as many words as fit into the width, and longer words alone. One expression finds them all."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?Us)\S.{{0,{width - 1}}}(?=\s|\z)|\S+"), 0)
+    return F.transform(found, lambda x: F.regexp_replace(x, r"(?U)\s+\z", ""))
+
+
+def document_lines(sentences: DataFrame, document: tuple[str, ...], order: str, width: int = 80) -> DataFrame:
+    """document, paragraph, line (from 1), text: a document's text in lines, one row each, so that long documents stay in many rows."""
+    rows = paragraphs(sentences, document, order)
+    return rows.select(*document, "paragraph", F.posexplode(filled(F.col("text"), width)).alias("_at", "text")).select(*document, "paragraph", (F.col("_at") + 1).alias("line"), "text")
+
+
 def document_text(sentences: DataFrame, document: tuple[str, ...], order: str, language: str = "") -> DataFrame:
-    """The plain text of each document (keys, order, raw): sentences joined by their spacing, paragraphs apart, lines wrapped."""
+    """The plain text of each document (keys, order, raw): sentences joined by their spacing, paragraphs apart, lines wrapped.
+
+    A document's text is one value, as long as the document. Only languages whose lines break within words (zh, ja) take a Python step.
+    """
+    if language not in ("zh", "ja"):
+        parts = paragraphs(sentences, document, order).select(*document, "paragraph", F.array_join(filled(F.col("text")), "\n").alias("_lines"))
+        return parts.groupBy(*document).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "_lines"))), lambda x: x["_lines"]), "\n\n").alias("text"))
     gathered = sentences.groupBy(*document).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "raw"))), lambda x: x["raw"]).alias("raws"))  # one document
 
     def step(raws: list[str]):

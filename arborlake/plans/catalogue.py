@@ -743,7 +743,7 @@ def _paradigms(step: Callable[[DataFrame, DataFrame], DataFrame], **asked) -> Qu
 _SIZED_SQL = f"{_FORMS_SQL}, p AS (SELECT lang, lemma, upos, count(DISTINCT form) AS n_forms, count(*) AS n_slots, CAST(sum(n) AS BIGINT) AS n, bool_or(feats LIKE '%Case=%') AS cased FROM fo GROUP BY ALL)"
 _ORDER_SQL = "n_forms DESC, n_slots DESC, n DESC, lemma, upos"
 _add(
-    "paradigms_telling", _paradigms(lambda counts, chosen: paradigms.telling(counts, chosen, "lang").withColumn("new", F.array_join("new", " "))),
+    "paradigms_telling", _paradigms(lambda counts, chosen: paradigms.telling(chosen, "lang").withColumn("new", F.array_join("new", " "))),
     f"""WITH {_SIZED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_ORDER_SQL}) AS place FROM p), v AS (SELECT r.*, unnest(string_split(fo.feats, '|')) AS value FROM r JOIN fo USING (lang, lemma, upos)),
 m AS (SELECT lang, value, min(place) AS place FROM v WHERE value <> '_' GROUP BY ALL)
 SELECT lang, lemma, upos, n_forms, n_slots, r.n, string_agg(value, ' ' ORDER BY value) AS new FROM m JOIN r USING (lang, place) GROUP BY ALL""",
@@ -857,3 +857,29 @@ _add(
     f"""WITH {WORDS_SQL}, t(k, testid) AS (VALUES {", ".join(f"({k}, '{t}')" for k, t in _LINE_FAULTS)}) SELECT doc_id, sent_no, testid FROM words JOIN t ON doc_id % 8 = t.k WHERE id = 3
 UNION ALL SELECT doc_id, sent_no, 'extra-empty-line' FROM words WHERE doc_id % 8 = 5 AND id = 3 UNION ALL SELECT DISTINCT doc_id, sent_no, 'missing-empty-line' FROM words WHERE doc_id % 8 = 7""",
 )
+
+# A document's text, by paragraph and by line.
+
+_SPOKEN_SQL = f"""{WORDS_SQL}, t AS (SELECT *, lag(starts_range) OVER (PARTITION BY doc_id, sent_no ORDER BY id) AS prev FROM words),
+s AS (SELECT doc_id, sent_no, string_agg(CASE WHEN starts_range THEN form || next_form || ' ' WHEN list_contains(string_split(misc, '|'), 'SpaceAfter=No') THEN form ELSE form || ' ' END, '' ORDER BY id) FILTER (WHERE NOT coalesce(prev, false)) AS text FROM t GROUP BY ALL),
+n AS (SELECT *, sum(CASE WHEN sent_no % 5 = 1 OR nth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY sent_no) AS paragraph FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_no) AS nth FROM s)),
+p AS (SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, trim(string_agg(text, '' ORDER BY sent_no)) AS text FROM n GROUP BY ALL)"""
+_add("document_paragraphs", lambda spark, sf_dir: rewrites.paragraphs(blocks(spark, sf_dir), ("doc_id",), "sent_no"), f"WITH {_SPOKEN_SQL} SELECT * FROM p")
+
+
+def _filled_sql(width: int) -> str:
+    """Lines of the paragraphs, one cut after another."""
+    return f"""l AS (SELECT doc_id, paragraph, 0 AS line, '' AS text, text AS rest FROM p UNION ALL
+  SELECT doc_id, paragraph, line + 1, rtrim(substr(rest, 1, n)), ltrim(substr(rest, n + 1)) FROM (SELECT *, CASE WHEN length(rest) <= {width} THEN length(rest)
+    WHEN strpos(reverse(substr(rest, 1, {width + 1})), ' ') > 0 THEN {width + 1} - strpos(reverse(substr(rest, 1, {width + 1})), ' ') WHEN strpos(rest, ' ') > 0 THEN strpos(rest, ' ') - 1 ELSE length(rest) END AS n FROM l WHERE rest <> ''))"""
+
+
+_add(
+    "document_line_ends", lambda spark, sf_dir: rewrites.document_lines(blocks(spark, sf_dir), ("doc_id",), "sent_no", 40),
+    f"WITH RECURSIVE {_SPOKEN_SQL}, {_filled_sql(40)} SELECT doc_id, paragraph, CAST(line AS INTEGER) AS line, text FROM l WHERE line > 0",
+)
+_add(
+    "document_text", CATALOGUE["document_text"][0],
+    f"""WITH RECURSIVE {_SPOKEN_SQL}, {_filled_sql(80)}, j AS (SELECT doc_id, paragraph, coalesce(string_agg(text, chr(10) ORDER BY line) FILTER (WHERE line > 0), '') AS text FROM l GROUP BY ALL)
+SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY paragraph) AS text FROM j GROUP BY doc_id""",
+)

@@ -237,6 +237,34 @@ def test_rewrites_of_versions():
     assert rewrites.wrapped(["aa bb cc"], 5) == "aa bb\ncc" and rewrites.wrapped(["中文abc字"], 3, True) == "中文\nabc\n字"
 
 
+def test_document_text_by_expressions_equals_the_walk(spark):
+    rng = random.Random(4)
+    line = lambda i, form, misc: "\t".join((str(i), form, *"_______", misc))
+    rows, due = [], {}
+    for doc in range(25):
+        texts = [""]
+        for sent in range(rng.randrange(1, 9)):
+            mark = rng.choice(["# newpar", "# newdoc id = a", "# text = x", "# newparty = 1", "#newpar"])
+            made, n = [mark], rng.randrange(0, 20)
+            if sent and mark in ("# newpar", "# newdoc id = a", "#newpar"):
+                texts.append("")
+            i = 1
+            while i <= n:
+                form, misc = rng.choice(["a", "word", "ünï", "x" * 90, "𝒳𝒴", "to be"]), rng.choice(["_", "_", "SpaceAfter=No", "Gloss=1|SpaceAfter=No"])
+                wide = rng.random() < 0.2 and i < n
+                made += [line(f"{i}-{i + 1}", form, misc), line(i, "p", "_"), line(i + 1, "q", "_")] if wide else [line(i, form, misc)]
+                made += [line(f"{i}.1", "hidden", "_")] if rng.random() < 0.1 and not wide else []
+                texts[-1] += form + ("" if "SpaceAfter=No" in misc else " ")
+                i += 2 if wide else 1
+            rows.append((doc, sent, "\n".join(made)))
+        due[doc] = texts
+    df = spark.createDataFrame(rows, "doc int, sent int, raw string").repartition(3)
+    assert {r.doc: r.text for r in rewrites.document_text(df, ("doc",), "sent").collect()} == {k: rewrites.wrapped([p.strip() for p in v]) for k, v in due.items()}
+    parts = sorted((r.doc, r.paragraph, r.line, r.text) for r in rewrites.document_lines(df, ("doc",), "sent", 30).collect())
+    assert parts == [(k, n, m, x) for k, v in sorted(due.items()) for n, p in enumerate(v, 1) for m, x in enumerate(filter(None, rewrites.wrapped([p.strip()], 30).split("\n")), 1)]
+    assert rewrites.document_text(df, ("doc",), "sent", "zh").count() == 25
+
+
 @pytest.mark.parametrize("case", [c for c in CASES if 2 <= c.level <= 2], ids=lambda c: " ".join(c.found))
 def test_quick_fix_leaves_no_format_error(case):
     raw = rewrites.quick_fixed(case.raw.replace("{id}", "s1"), connect=True)

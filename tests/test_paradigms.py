@@ -47,7 +47,7 @@ def test_chosen_paradigms_equal_a_walk_along_their_order(spark):
         if new:
             due[key] = sorted(new)
         seen |= new
-    assert {(r.lemma, r.upos): r.new for r in paradigms.telling(counts, paradigms.sized(counts, "lang"), "lang").collect()} == due
+    assert {(r.lemma, r.upos): r.new for r in paradigms.telling(paradigms.sized(counts, "lang"), "lang").collect()} == due
     best = paradigms.largest(paradigms.sized(counts, "lang"), "lang").first()
     assert (best.lemma, best.upos) == order[0]
     asked = paradigms.sized(counts, "lang", lemma="L[0-3]", tags=("NOUN",), feats=("mood=", "case=nom"), shapes=("F1",), min_forms=2)
