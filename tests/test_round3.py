@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from arborlake.operators import checks, coreference
+from arborlake.operators import checks, coreference, statistics
 
 
 def test_first_mention_of_a_sentence_is_that_of_least_type(spark):
@@ -27,3 +27,20 @@ def test_a_file_s_documents_follow_each_other(spark):
     finally:
         spark.conf.set(conf, before)
     assert found == expected
+
+
+def test_examples_sort_no_texts(spark):
+    rng = random.Random(6)
+    texts = [(rng.choice([None, *range(9)]), i, [("w" * rng.choice([2, 30, 90]), rng.choice("abc")) for _ in range(rng.randrange(1, 4))]) for i in range(200)]
+    texts += [(4, 900, [("x" * 95, "d")]), (5, 901, [("y" * 85, "d")]), (3, 902, [("z" * 85, "d")])]
+    df = spark.createDataFrame([(d, "en", "s", n, w) for d, n, w in texts], "doc_id long, lang string, source string, sent_no long, words array<struct<form: string, deprel: string>>")
+    out = statistics.examples(df)
+    best = {}
+    for d, n, w in texts:
+        text = " ".join(f for f, _ in w)
+        key = (len(text) > 80, len(text) if len(text) > 80 else 0, d is not None, d or 0, n)
+        for rel in {r for _, r in w}:
+            best[rel] = min(best.get(rel, (key, text)), (key, text))
+    assert {r.deprel: r.example for r in out.collect()} == {k: v[1] for k, v in best.items()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan  # the numbers; only the few texts are sorted
