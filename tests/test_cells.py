@@ -143,3 +143,12 @@ def test_only_texts_without_a_space_at_their_end_meet_the_paragraphs(spark):
     assert any(x[3] for x in expected)
     changed = made.where("changed")._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in changed and "LeftOuter" not in changed  # the other texts do not move
+
+
+def test_tags_are_merged_without_a_tree(monkeypatch):
+    monkeypatch.setattr(rewrites, "Tree", None)
+    line = lambda i, form, xpos: "\t".join([i, form, "l", "U", xpos, *"_____"])
+    source = "\n".join([line("1-2", "ab", "R"), line("1", "a", "A"), line("2", "b", "B"), line("2.1", "e", "E"), line("3", "c", "C")])
+    target = "\n".join([line("1-2", "ab", "x"), "# late", line("1", "a", "x"), "dropped", line("2", "bc", "x"), line("2.1", "e", "x")])
+    assert rewrites.merged_tags(source, target) == "\n".join(["# late", line("1-2", "ab", "R"), line("1", "a", "A"), line("2", "bc", "x"), line("2.1", "e", "E")])
+    assert rewrites.merged_tags(source, target + "\n" + line("3", "d", "x")) == target + "\n" + line("3", "d", "x")
