@@ -107,7 +107,7 @@ def forward(tokens: np.ndarray, lengths: np.ndarray, emission: np.ndarray, start
     alpha = np.empty((states, len(token)), cells.dtype) if counts else None
     for t in range(len(active)):
         a, at = active[t], slice(offset[t], offset[t + 1])
-        state = (ahead[:, :a] if t == 0 else np.einsum("jp,jk->kp", state[:, :a], move)) * cells[:, at]
+        state = (ahead[:, :a] if t == 0 else move.T @ state[:, :a]) * cells[:, at]
         scale[at] = state.sum(axis=0)
         state /= scale[at]
         if counts:
@@ -124,9 +124,9 @@ def forward(tokens: np.ndarray, lengths: np.ndarray, emission: np.ndarray, start
         full[:, ending] /= (full[:, ending] * alpha[:, at][:, ending]).sum(axis=0)
         here = full * cells[:, at]
         here /= scale[at]
-        moves += np.einsum("jp,kp->jk", alpha[:, offset[t - 1] : offset[t - 1] + a] if t else before[:, :a], here)
+        moves += (alpha[:, offset[t - 1] : offset[t - 1] + a] if t else before[:, :a]) @ here.T
         alpha[:, at] *= full
-        beta = np.einsum("kp,jk->jp", here, move)
+        beta = move @ here
     emitted = np.stack([np.bincount(token, alpha[k], len(emission)) for k in range(states)], axis=1)
     return score, emitted, alpha[:, row[nth == 0]].sum(axis=1, dtype=float), moves * move
 
