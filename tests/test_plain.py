@@ -97,3 +97,13 @@ def test_summary_of_all_incidents_is_that_of_the_walk(spark, monkeypatch):
     monkeypatch.setattr(checks, "per_sentence", lambda *a: many.append(a))
     found = {tuple(r)[:4]: r.n for r in __spark_entry__.queries()["incident_summary"](spark, SF).collect()}
     assert found == due and not many
+
+
+def test_facts_of_the_treebank_are_not_walked(spark, monkeypatch):
+    keys = ("doc_id", "sent_no")
+    rows = synthetic.blocks(spark, SF).where("doc_id < 60")
+    due = {(r.doc_id, r.sent_no): checks.facts_of(r.raw) for r in rows.collect() if any(f.type == "FACT" for f in checks.chain(r.raw + "\n", "ud", 2, {}))}
+    many = []
+    monkeypatch.setattr(checks, "per_sentence", lambda *a: many.append(a))
+    found = {tuple(r)[:2]: tuple(r)[2:] for r in checks.passing(rows, keys).collect()}
+    assert found == due and len(due) > 100 and not many
